@@ -1,0 +1,138 @@
+"""Secret scans by corpus-wide ownership frequency.
+
+Every candidate value is hashed; the hashes are counted by distinct repositories and distinct owners over the whole
+corpus. A value that many owners hold is an example that was copied around; one that a single owner holds and that looks
+random is a live-looking credential.
+
+Defined results: a null text is an empty text; null repository or owner is a value of its own; repeated rows each get a
+row; an empty table gives an empty result; other columns are ignored. Long texts are scanned whole, in linear time.
+"""
+
+from __future__ import annotations
+
+import hashlib
+import math
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .common import column_or_null, materialize
+
+ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+ACCESS = re.compile(r"AKIA[A-Z0-9]+")
+HEX = re.compile(r"[0-9a-f]{16,}")
+#: Formats of well-known issuers, and long mixed tokens; these are the spans that the method adds.
+ISSUED = re.compile(
+    r"(?<![A-Za-z0-9])(?:gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|[rs]k_(?:live|test)_[A-Za-z0-9]{16,}"
+    r"|AIza[A-Za-z0-9_-]{35}|eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})"
+)
+PEM = re.compile(r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----")
+MIXED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,512}+(?![A-Za-z0-9+/_-])")
+KINDS = ("assign", "access", "hex", "issued", "pem", "mixed")
+PLACEHOLDER = re.compile(r"example|sample|dummy|placeholder|changeme|xxxx|1234567|abcdef", re.I)
+
+SCHEMA = (
+    "doc_id long, repo string, owner string, n_assign long, n_access long, n_hex long, base_sha256 string, "
+    "candidates array<struct<kind:int,start:int,end:int,value:long,entropy:double,placeholder:boolean>>"
+)
+
+
+def entropy(value: str) -> float:
+    """Bits a character."""
+    n = len(value)
+    return -sum(c / n * math.log2(c / n) for c in Counter(value).values()) if n else 0.0
+
+
+def base_spans(text: str) -> list[tuple[int, int, int, str]]:
+    """(start, kind, end, value) of the base kinds, leftmost non-overlapping within each kind."""
+    found = []
+    low = text.lower()
+    if "pass" in low or "secret" in low or "token" in low or "api" in low:
+        found += [(m.start(), 0, m.end(), m[2]) for m in ASSIGN.finditer(text) if len(m[2]) >= 12]
+    if "AKIA" in text:
+        found += [(m.start(), 1, m.end(), m[0]) for m in ACCESS.finditer(text) if len(m[0]) >= 18]
+    found += [(m.start(), 2, m.end(), m[0]) for m in HEX.finditer(text)]
+    return sorted(found)
+
+
+def added_spans(text: str, base: list[tuple[int, int, int, str]]) -> list[tuple[int, int, int, str]]:
+    """Candidates of further kinds that no base span touches."""
+    found = []
+    if "_" in text or "xox" in text or "AIza" in text or "eyJ" in text:
+        found += [(m.start(), 3, m.end(), m[0]) for m in ISSUED.finditer(text)]
+    if "-----BEGIN " in text:
+        found += [(m.start(), 4, m.end(), text[m.start() : m.end() + 64]) for m in PEM.finditer(text)]
+    for m in MIXED.finditer(text):
+        v = m[0]
+        if any(c.isdigit() for c in v) and v.lower() != v and v.upper() != v and entropy(v) >= 3.5:
+            found.append((m.start(), 5, m.end(), v))
+    taken = sorted((s, e) for s, _, e, _ in base)
+    kept, i = [], 0
+    for x in sorted(found):
+        while i < len(taken) and taken[i][1] <= x[0]:
+            i += 1
+        if (i == len(taken) or taken[i][0] >= x[2]) and (not kept or kept[-1][2] <= x[0]):
+            kept.append(x)
+    return kept
+
+
+def digest(spans) -> str:
+    return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e, *_ in spans)
+
+
+def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kind = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("value", pa.int64()), ("entropy", pa.float64()), ("placeholder", pa.bool_())]))
+    for batch in batches:
+        counts, shas, all_found = [[], [], []], [], []
+        for text in batch.column(1).to_pylist():
+            text = text or ""
+            base = base_spans(text)
+            n = Counter(k for _, k, _, _ in base)
+            for k in range(3):
+                counts[k].append(n[k])
+            shas.append(hashlib.sha256(digest(base).encode()).hexdigest())
+            all_found.append([
+                {"kind": k, "start": s, "end": e, "value": xxhash.xxh64_intdigest(v.encode(), 7) - (1 << 63), "entropy": entropy(v), "placeholder": bool(PLACEHOLDER.search(v))}
+                for s, k, e, v in base + added_spans(text, base)
+            ])
+        columns = [batch.column(0), batch.column(2), batch.column(3), *(pa.array(c, pa.int64()) for c in counts), pa.array(shas, pa.string()), pa.array(all_found, kind)]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "repo", "owner", "n_assign", "n_access", "n_hex", "base_sha256", "candidates"])
+
+
+def scan_secrets(docs: DataFrame, repo: str = "source", owner: str = "source", copied_owners: int = 3, min_entropy: float = 3.0) -> DataFrame:
+    """One row per row of ``docs(doc_id, text, ...)`` with its spans, each with a verdict.
+
+    repo, owner: the columns that name the repository and its owner. A value held by ``copied_owners`` owners or more is
+    ``copied``; else one of ``min_entropy`` bits a character that is no placeholder is ``live``; else ``weak``. Base spans
+    stay whatever the verdict; added spans stay if live. Columns: doc_id, n_assign, n_access, n_hex, base_sha256,
+    findings (array of kind, start, end, verdict, n_repos, n_owners).
+    """
+    rows = docs.select(column_or_null(docs, "doc_id", "long").alias("doc_id"), column_or_null(docs, "text", "string").alias("text"), column_or_null(docs, repo, "string").alias("repo"), column_or_null(docs, owner, "string").alias("owner"))
+    scanned = materialize(rows.mapInArrow(_scan, SCHEMA).withColumn("row", F.monotonically_increasing_id()), "secrets")
+    hits = scanned.filter(F.size("candidates") > 0).select("row", "repo", "owner", F.inline("candidates"))
+    # Distinct (value, owner, repo) first, combined before the shuffle: a value that a third of all rows hold is one row a task.
+    holders = hits.select("value", F.coalesce("owner", F.lit("\0")).alias("owner"), F.coalesce("repo", F.lit("\0")).alias("repo")).distinct()
+    spread = holders.groupBy("value").agg(F.count_distinct("owner").alias("n_owners"), F.count_distinct("owner", "repo").alias("n_repos"))
+    verdict = F.when(F.col("n_owners") >= copied_owners, "copied").when((F.col("entropy") >= min_entropy) & ~F.col("placeholder"), "live").otherwise("weak")
+    judged = hits.join(spread, "value").withColumn("verdict", verdict).filter("kind < 3 or verdict = 'live'")
+    finding = F.struct("start", "kind", "end", "verdict", "n_repos", "n_owners")
+    by_row = judged.groupBy("row").agg(F.sort_array(F.collect_list(finding)).alias("findings"))
+    names = F.array(*map(F.lit, KINDS))
+    return scanned.join(by_row, "row", "left").select(
+        "doc_id", "n_assign", "n_access", "n_hex", "base_sha256",
+        F.transform(F.coalesce("findings", F.expr("cast(array() as array<struct<start:int,kind:int,end:int,verdict:string,n_repos:bigint,n_owners:bigint>>)")), lambda x: F.struct(names[x["kind"]].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["verdict"].alias("verdict"), x["n_repos"].alias("n_repos"), x["n_owners"].alias("n_owners"))).alias("findings"),
+    )
+
+
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = docs.withColumn("repo", F.concat_ws("/", "source", "lang"))
+    found = scan_secrets(docs, repo="repo", owner="source")
+    text = F.array_join(F.transform("findings", lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
+    count = lambda v: F.size(F.filter("findings", lambda x: x["verdict"] == v)).cast("long")
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", text.alias("spans"), count("live").alias("n_live"), count("copied").alias("n_copied"))
