@@ -7,8 +7,13 @@ from importlib import import_module
 #: name: module of this package that holds the function of that name.
 MODULES = {
     "op1_source_mix": "mixing",
-    "op3_secret_scan": "secrets",
+    "op2_html_text": "html_text",
+    "op3_secret_scan": "secret_scan",
+    "op5_language_id": "langid",
+    "op7_license_scan": "licenses",
+    "op8_pii": "pii",
     "op9_simhash": "simhash",
+    "op10_embedding_dedup": "embedding_dedup",
 }
 
 
