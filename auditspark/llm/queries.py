@@ -9,6 +9,7 @@ MODULES = {
     "op1_source_mix": "mixing",
     "op2_html_text": "html_text",
     "op3_secret_scan": "secret_scan",
+    "op4_decontaminate": "decontaminate",
     "op5_language_id": "langid",
     "op7_license_scan": "licenses",
     "op8_pii": "pii",
