@@ -208,6 +208,18 @@ def identify(rows: DataFrame, model: ByteConv | None) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
+def keep_identified(rows: DataFrame, least: float = 0.3, label: str = "lang") -> DataFrame:
+    """``rows`` whose text has an identifiable language: not ``und``, and a score of ``least`` or more.
+
+    The model learns from the labelled rows themselves; without any, every text that has a letter stays.
+    """
+    model = fit(rows.select(column_or_null(rows, "doc_id", "long").alias("doc_id"), "text", F.col(label).alias("lang")))
+    if model is None:
+        return rows.filter(F.col("text").rlike(r"\p{L}"))
+    names = [f"`{c}`" for c in rows.columns]
+    return identify(rows, model).filter((F.col("lang_pred") != UND) & (F.col("score") >= least)).select(*names)
+
+
 def held_out(doc_id: Column) -> Column:
     """Fold 1 of 3 by the CRC-32 of the id as text."""
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string")), F.lit(3)) == 1, F.lit(False))

@@ -11,6 +11,7 @@ MODULES = {
     "op3_secret_scan": "secret_scan",
     "op4_decontaminate": "decontaminate",
     "op5_language_id": "langid",
+    "op6_substring_dedup": "substring_dedup",
     "op7_license_scan": "licenses",
     "op8_pii": "pii",
     "op9_simhash": "simhash",
