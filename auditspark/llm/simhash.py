@@ -224,7 +224,7 @@ def drop_near_copies(docs: DataFrame, k: int = 3) -> DataFrame:
     """``docs`` with one row of each component: that of the least doc_id (a null one last)."""
     names = [c for c in docs.columns if c not in ("_fp", "_row")]
     docs = docs.select(*[f"`{c}`" for c in names])
-    at, schema = names.index("text"), docs.schema.add("_fp", "long")
+    at, schema = names.index("text"), docs.withColumn("_fp", F.lit(0).cast("long")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
