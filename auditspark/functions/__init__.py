@@ -1 +1 @@
-
+"""Scalar functions: columns to columns."""

@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: tuple[str, ...] = ()
+MODULES = ("lookup_queries", "candidate_queries", "metric_queries", "event_queries")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
