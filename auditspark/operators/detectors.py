@@ -77,6 +77,9 @@ def dereferenced(functions: DataFrame) -> DataFrame:
     arrows, stars = one(r"([A-Za-z_]\w*(?:(?:->|\.)\w+)*)\s*->"), one(r"(?<![\w)\]]\s?)\*\s*\(?\s*([A-Za-z_]\w*)\b(?!\s*[(*])")
     subscripts, hooks = one(r"([A-Za-z_]\w*(?:(?:->|\.)\w+)*)\s*\["), one(r"(?:->|\.|::)?\b(g_\w+)\s*\(")
     known = functions.select(F.col("name").alias("variable")).distinct()
+    # a->b->c dereferences a and a->b.
+    steps = lambda chain: F.split(chain, "->")
+    arrows = F.flatten(F.transform(arrows, lambda chain: F.transform(F.sequence(F.lit(1), F.size(steps(chain))), lambda i: F.array_join(F.slice(steps(chain), F.lit(1), i), "->"))))
     names = F.array_distinct(F.concat(arrows, stars, subscripts))
     used = functions.select("*", F.explode(names).alias("variable"))
     called = functions.select("*", F.explode(F.array_distinct(hooks)).alias("variable")).join(known, "variable", "left_anti")
