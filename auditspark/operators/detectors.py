@@ -11,6 +11,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions.text import call_names, chain_guarded, first_matching_line, escape_regex, normal_expression, null_guarded, pair_name, role_hint, short_name, stable_id, terms_in
 from .candidates import keep_first
@@ -22,7 +23,7 @@ SKIPPED = ("this", "NULL", "nullptr", "true", "false", "void")
 KEYWORDS = ("if", "for", "while", "switch", "return", "sizeof", "case", "else", "do", "goto")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def blank_comments(code: pd.Series) -> pd.Series:
     """The code with comments and the insides of literals as blanks; lines and columns stay."""
 

@@ -62,7 +62,7 @@ def source_files(spark: SparkSession, root: str, suffixes=C_SUFFIXES, dirs=SKIPP
     rel = relative_path(F.col("path"), root)
     kept = files.withColumn("rel", rel).filter(has_suffix(F.col("rel"), suffixes) & ~in_skipped_dir(F.col("rel"), dirs, prefixes))
     # Bytes that are no UTF-8 become replacement characters.
-    return kept.select(F.col("rel").alias("path"), F.decode(F.to_binary(F.hex("content"), F.lit("hex")), "UTF-8").alias("text"))
+    return kept.select(F.col("rel").alias("path"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
 
 
 def text_lines(files: DataFrame) -> DataFrame:
