@@ -183,6 +183,8 @@ def search(texts: list[str | None], items: Items) -> list[tuple[int, int, int, i
         where = np.minimum(np.searchsorted(codes, found[at]), len(codes) - 1)
         hit = codes[where] == found[at]
         at, where = at[hit], where[hit]
+        if not len(at):
+            continue
         count = first[where + 1] - first[where]
         row = np.repeat(first[where] - np.cumsum(count) + count, count) + np.arange(count.sum())
         place, n = np.repeat(at, count), lengths[row]
