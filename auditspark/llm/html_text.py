@@ -108,8 +108,8 @@ def blocks_of(page: str) -> list[Block]:
                 barred = barred or (tag in BAD_TAGS and not (tag == "header" and inside)) or (bool(bad) and tag != "body") or bool(HIDDEN.search(m[4]))
                 regions += 1
                 inside_now = inside or tag in ("article", "main") or bool(names & GOOD_NAMES and tag in ("div", "section"))
-                # An article is one region with all it holds; elsewhere each container is a region.
-                stack.append((tag, inside_now, barred, region if inside and not bad else regions))
+                # An article is one region with all it holds but barred containers; elsewhere each container is a region.
+                stack.append((tag, inside_now, barred, region if inside and not barred else regions))
     add(page[at:])
     end()
     return found
