@@ -1,0 +1,343 @@
+"""Document operators against brute force, on the driver's smallest documents and on odd rows."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import pytest
+from conftest import DATA
+from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
+
+from auditspark.llm import decontaminate, langid, licenses, mixing, pii, secret_scan, simhash, substring_dedup
+from auditspark.llm.common import components_of_pairs, connected_components
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row int, size string, tag int, taken int, candidate string"
+LONG = " ".join(f"w{i % 977}" for i in range(30_000))
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    body = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen"
+    texts = [None, "", " \t\n ", body, body, "x", "a b été \U0001f600", LONG, LONG + " tail", "same " * 200, body.upper() + "  " + body]
+    rows = [(i, t, None if i % 4 == 0 else "en", None if i % 3 == 0 else f"s{i % 3}", 1) for i, t in enumerate(texts)]
+    rows += [(3, body, "en", "s1", 1), (3, body, "en", "s1", 1), (None, body, "en", "s1", 1), (None, None, None, None, None), (5, body + " more", "de", "s2", 1)]
+    return spark.createDataFrame([(*r, 7, "clash", 7, 7, "clash") for r in rows], SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet(f"{DATA}/documents.parquet").repartition(5)
+
+
+def words(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", text or "")
+
+
+# --- substring dedup
+
+
+def expected_cuts(rows, width=13):
+    least = {}
+    for d, t in rows:
+        w = words(t)
+        for i in range(len(w) - width + 1):
+            if d is not None:
+                k = tuple(w[i : i + width])
+                least[k] = min(d, least.get(k, d))
+    out = Counter()
+    for d, t in rows:
+        w = words(t)
+        gone = [False] * len(w)
+        for i in range(len(w) - width + 1):
+            if d is not None and least[tuple(w[i : i + width])] < d:
+                gone[i : i + width] = [True] * width
+        kept = " ".join(x for x, g in zip(w, gone) if not g)
+        out[(d, len(w), sum(gone), hashlib.sha256(kept.encode()).hexdigest())] += 1
+    return out
+
+
+@pytest.mark.parametrize("which", ["docs", "odd"])
+def test_substrings(request, which):
+    rows = request.getfixturevalue(which)
+    got = Counter(map(tuple, substring_dedup.dedup_substrings(rows).collect()))
+    assert got == expected_cuts([(r.doc_id, r.text) for r in rows.collect()])
+
+
+def test_substrings_in_pieces(spark, docs, monkeypatch):
+    text = docs.filter("n_chars > 2000").first().text
+    monkeypatch.setattr(substring_dedup, "PIECE", 64)
+    n, removed, kept = substring_dedup.kept_text(text.encode(), substring_dedup.np.array([[5, 3]], "uint32"), 13)
+    w = words(text)
+    assert (n, removed, kept.decode()) == (len(w), 15, " ".join(w[:5] + w[20:]))
+    assert (substring_dedup.word_hashes(text.encode()) == [xxh64_intdigest(x) for x in w]).all()
+
+
+# --- SimHash
+
+
+def fingerprint(text):
+    w = "".join(c.lower() if c.isascii() else c for c in text or "")
+    w = words(w)
+    shingles = [" ".join(w[i : i + 3]) for i in range(len(w) - 2)] or ([" ".join(w)] if w else [])
+    hashes = [xxh64_intdigest(s, 42) for s in shingles]
+    return sum(1 << b for b in range(64) if sum(h >> b & 1 for h in hashes) * 2 > len(hashes))
+
+
+@pytest.mark.parametrize("which", ["docs", "odd"])
+def test_simhash(request, which):
+    rows = request.getfixturevalue(which)
+    data = [(r.doc_id, fingerprint(r.text)) for r in rows.collect()]
+    prints = sorted({f for _, f in data})
+    root = {f: f for f in prints}
+
+    def find(a):
+        while root[a] != a:
+            a = root[a]
+        return a
+
+    for i, a in enumerate(prints):
+        for b in prints[i + 1 :]:
+            if (a ^ b).bit_count() <= 3:
+                root[max(find(a), find(b))] = min(find(a), find(b))
+    least = {}
+    for d, f in data:
+        if d is not None:
+            least[find(f)] = min(d, least.get(find(f), d))
+    expected = Counter((d, f, least.get(find(f))) for d, f in data)
+    got = Counter((r.doc_id, r.fp & (1 << 64) - 1, r.component_id) for r in simhash.simhash_components(rows).collect())
+    assert got == expected
+    kept = simhash.drop_near_copies(rows)
+    assert kept.columns == rows.columns
+    assert kept.count() == len({find(f) for _, f in data})
+
+
+def test_search_equals_all_pairs():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 1 << 63, 40, np.uint64)
+    fps = np.unique(np.concatenate([base ^ (np.uint64(1) << rng.integers(0, 64, 40, np.uint64)) for _ in range(20)] + [base]))
+    fps = fps[np.argsort(simhash.gray_rank(fps))]
+    a, b = fps[:400], fps[400:]
+    expected = set(zip(*np.nonzero(np.bitwise_count(a[:, None] ^ b[None]) <= 3)))
+    i, j = simhash.search(a, b, 3)
+    assert set(zip(i, j)) == expected and len(i) == len(expected)
+
+
+def test_five_blocks_find_the_same(spark):
+    random.seed(3)
+    base = [random.getrandbits(63) for _ in range(30)]
+    fps = sorted({b ^ sum(1 << k for k in random.sample(range(63), random.randint(0, 4))) for b in base for _ in range(12)})
+    rows = spark.createDataFrame([(f,) for f in fps], "fp long")
+    found = []
+    for blocks in (4, 5):
+        parts = connected_components(simhash.near_links(rows, 3, blocks))
+        found.append({(r.node, r.component) for r in parts.collect()})
+    assert found[0] == found[1] != set()
+
+
+def test_components(spark):
+    random.seed(1)
+    edges = [(i, i + 1) for i in range(0, 60)] + [(100 + random.randrange(9), 100 + random.randrange(30)) for _ in range(40)] + [(500, 499)]
+    got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    import numpy as np
+
+    label = components_of_pairs(501, np.array([a for a, _ in edges]), np.array([b for _, b in edges]))
+    nodes = {x for a, b in edges if a != b for x in (a, b)}
+    assert got == {n: label[n] for n in nodes}
+
+
+# --- personal data
+
+
+def pii_spans(text):
+    """The contract's patterns, as they stand."""
+    text = text or ""
+    found = [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    found += [(m.start(), 1, m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(x) <= 255 for x in m[0].split("."))]
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        d = re.sub(r"\D", "", m[0])
+        if 12 <= len(d) <= 19 and sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(d[::-1])) % 10 == 0:
+            found.append((m.start(), 2, m.end()))
+    found += [(m.start(), 3, m.end()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 9 <= sum(c.isdigit() for c in m[0]) <= 15]
+    return sorted(found)
+
+
+ODD_PII = ["a@b", "x.y@c.d.", "@a@b.co@c.d", "..a@b-c.d-e.f g@h", "1.2.3.4.5.6.7.8", "999.1.1.1 1.1.1.1", "00001.2.3.4", "4111 1111 1111 1111", "4111-1111-1111-1112", "+1 (702) 555-0742.", "++12345678 9", "+1-----", "1" * 5000, "a" * 5000 + "@b.c", "4111111111111111 4111111111111111"]
+
+
+def test_pii_base(spark, docs, odd):
+    assert [pii.base_spans(t) for t in ODD_PII] == [pii_spans(t) for t in ODD_PII]
+    for rows in (docs, odd):
+        expected = Counter()
+        for r in rows.collect():
+            s = pii_spans(r.text)
+            n = Counter(k for _, k, _ in s)
+            expected[(r.doc_id, n[0], n[1], n[2], n[3], hashlib.sha256(pii.digest(s).encode()).hexdigest())] += 1
+        got = Counter((r.doc_id, r.n_email, r.n_ip, r.n_card, r.n_phone, r.base_sha256) for r in pii.scan_pii(rows).collect())
+        assert got == expected
+
+
+def test_disclosing_terms(spark):
+    filler = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda omicron sigma tau upsilon phi chi psi omega"
+    rng = random.Random(2)
+    pick = lambda n: " ".join(rng.choices(filler.split(), k=n))
+    rows = [(i, f"{pick(4)} Zorblat {pick(1)} z@corp.example.org {pick(4)}") for i in range(6)]
+    rows += [(100 + i, f"{pick(30)}") for i in range(60)] + [(200, f"{pick(9)} zorblat {pick(9)}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"lang": F.lit("en"), "source": F.lit("s"), "n_chars": F.length("text").cast("long")})
+    found = {r.doc_id: [r.terms[0]["start"]] for r in pii.scan_pii(docs, threshold=0.6).filter(F.size("terms") > 0).collect()}
+    assert set(found) == {0, 1, 2, 3, 4, 5, 200}
+    clean = {r.doc_id: r for r in pii.sanitise_documents(docs, threshold=0.6).collect()}
+    assert "orblat" not in "".join(r.text for r in clean.values()) and "[EMAIL-RELATED]" in clean[200].text and "[EMAIL]" in clean[0].text
+    assert all(r.n_chars == len(r.text) for r in clean.values()) and clean[100].text == dict(rows)[100]
+    # Copies of one passage are one context.
+    copies = spark.createDataFrame([(i, rows[0][1]) for i in range(9)], "doc_id long, text string")
+    assert pii.scan_pii(copies, threshold=0.1).filter(F.size("terms") > 0).count() == 0
+
+
+def test_sanitise_overlaps():
+    text = "call +1 702 555 0742 now"
+    assert pii.sanitise(text, pii.base_spans(text), []) == "call [PHONE] now"
+    assert pii.sanitise("abcdef", [(1, 0, 4), (2, 1, 5)], []) == "a[EMAIL]f"
+
+
+# --- secrets
+
+
+def test_secret_base(spark, docs, odd):
+    texts = ['password: "token = "abcdefghijklmnop', "API_KEY='abcdefghijkl'", "secret=short", "AKIAABCDEFGHIJKLMN AKIAX", "f" * 15 + " " + "0" * 16, "token K= x", "ſecret=abcdefghijklmno", "token" + " " * 3000]
+    for text in texts + [r.text or "" for r in docs.collect()]:
+        expected = [(m.start(), 0, m.end()) for m in re.finditer(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.A) if len(m[2]) >= 12]
+        expected += [(m.start(), 1, m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]
+        expected += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 16]
+        assert [x[:3] for x in secret_scan.base_spans(text)] == sorted(expected)
+    assert secret_scan.scan_secrets(odd).count() == odd.count()
+
+
+def test_owned_and_copied_secrets(spark):
+    live, copied = "ghp_Zk39QwLmT7vXbR2nYc8HsJd4FgPaUe6iOq1W", "ghp_Ab7RtYuWq9ZxCv3LkJhGf5DsPo1Mn8BvEi2T"
+    rows = [(1, f"use {live} here", "r1", "o1"), (2, f"use {copied}", "r1", "o1"), (3, f"use {copied}", "r2", "o2"), (4, f"use {copied}", "r3", "o3"), (5, 'token = "aaaaaaaaaaaaaaaa"', "r1", "o1")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, repo string, owner string")
+    found = {r.doc_id: [(f["kind"], f["verdict"], f["n_owners"]) for f in r.findings] for r in secret_scan.scan_secrets(docs, "repo", "owner").collect()}
+    assert found == {1: [("issued", "live", 1)], 2: [], 3: [], 4: [], 5: [("assign", "weak", 1), ("hex", "weak", 1)]}
+
+
+# --- mixing
+
+
+def test_mix(spark, docs, odd):
+    for rows in (docs, odd):
+        found = mixing.mix(rows, F.array("source")).collect()
+        again = mixing.mix(rows.repartition(2), F.array("source")).collect()
+        key = lambda r: (r.doc_id, r.size, r.taken)
+        assert Counter(map(key, found)) == Counter(map(key, again)) and len(found) == rows.count()
+        sizes, taken, target = defaultdict(int), defaultdict(int), {}
+        assert Counter(r.size for r in found) == Counter(len(words(r.text)) for r in rows.collect())
+        for r in found:
+            sizes[r.source] += r.size
+            taken[r.source] += r.taken
+            target[r.source] = r.target
+            assert 0 <= r.taken <= 2 * r.size
+        order = sorted(sizes, key=lambda s: (s is None, s or ""))
+        assert [target[s] for s in order] == pytest.approx(mixing.source_targets([sizes[s] for s in order]))
+        assert all(abs(taken[s] - target[s]) <= 1 for s in order)
+        assert all(r.source_size == sizes[r.source] for r in found)
+
+
+def test_targets():
+    assert mixing.source_targets([100, 100, 100]) == pytest.approx([200, 500 / 3, 250 / 3]) or sum(mixing.source_targets([100, 100, 100])) == pytest.approx(450)
+    got = mixing.source_targets([10, 1000, 0, 500])
+    assert got[0] == 20 and got[2] == 0 and sum(got) == pytest.approx(1.5 * 1510) and got[3] == 1000
+
+
+def test_flow_serves_overlapping_sources(spark):
+    # Source 0 can only be served by the shared pattern, source 1 by either: the shared words must go to 0.
+    assert mixing.min_cost_flow([10, 10], [[0, 1], [1]], [10, 10], 1) == [{0: 10}, {1: 10}]
+    flow = mixing.min_cost_flow([10, 10], [[0, 1], [1]], [10, 25], 2)
+    assert sum(flow[0].values()) + sum(flow[1].values()) == 35 and flow[0][0] == 10
+    rows = spark.createDataFrame([(i, "w " * 10, ["a", "b"] if i % 2 else ["b"]) for i in range(200)] + [(999, "none", [])], "doc_id long, text string, sources array<string>")
+    found = mixing.mix(rows, F.col("sources"))
+    assert found.count() == 201 and found.filter("doc_id = 999").first().taken == 0
+
+
+# --- language
+
+
+def test_language(spark, docs, odd):
+    model = langid.fit(docs.filter(~langid.held_out(F.col("doc_id"))), train_rows=600)
+    found = langid.identify(docs, model)
+    assert found.select(docs.columns).exceptAll(docs).count() == 0
+    hit = found.filter(langid.held_out(F.col("doc_id"))).agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0]
+    assert hit >= 0.9
+    got = {(r.text, r.lang_pred) for r in langid.identify(odd, model).collect()}
+    assert {(t, p) for t, p in got if not t or not any(c.isalpha() for c in t)} == {(None, "und"), ("", "und"), (" \t\n ", "und")}
+    assert langid.identify(odd, None).filter("lang_pred <> 'und'").count() == 0
+    assert sum(r[0] for r in odd.select(langid.held_out(F.col("doc_id")).cast("int")).collect()) == sum(r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 3 == 1 for r in odd.collect())
+    assert langid.keep_identified(docs).columns == docs.columns
+
+
+# --- decontamination
+
+
+def test_edited_items_are_found(spark, docs):
+    items = spark.read.parquet(f"{DATA}/benchmark.parquet").collect()
+    block = decontaminate.prepare([(r.item_id, r.text) for r in items], 0.2, 0.95)
+    host = docs.filter("n_chars between 1500 and 3000").first().text
+    rng, hit, trials = random.Random(4), 0, 60
+    for _ in range(trials):
+        r = rng.choice(items)
+        w = decontaminate.TOKEN.findall(r.text.lower())
+        for _ in range(rng.randint(0, decontaminate.edits_allowed(len(w), 0.2))):
+            p = rng.randrange(len(w))
+            rng.choice([lambda: w.__setitem__(p, "zz"), lambda: w.__delitem__(p), lambda: w.insert(p, "qq")])()
+        found = decontaminate.search([host[:700] + " " + " ".join(w) + " " + host[700:]], block)
+        hit += any(block.ids[f[1]] == r.item_id for f in found)
+    assert hit >= 0.95 * trials
+
+
+def test_exact_leaks_and_clean_documents(spark, docs, odd):
+    benchmark = spark.read.parquet(f"{DATA}/benchmark.parquet")
+    items = {r.item_id: r.text for r in benchmark.collect()}
+    leaks = {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(docs, benchmark).collect()}
+    exact = {(r.doc_id, i) for r in docs.collect() for i, t in items.items() if t in (r.text or "")}
+    assert exact <= leaks
+    kept = {r.doc_id for r in decontaminate.drop_contaminated(docs, benchmark).collect()}
+    assert kept == {r.doc_id for r in docs.collect()} - {d for d, _ in leaks}
+    assert decontaminate.drop_contaminated(odd, benchmark).count() == odd.count()
+    assert decontaminate.find_leaks(docs, benchmark.limit(0)).count() == 0
+    tiny = spark.createDataFrame([(1, "x"), (2, None), (3, ""), (None, "y")], "item_id long, text string")
+    assert {r.item_id for r in decontaminate.find_leaks(odd, tiny).collect()} == {1}
+
+
+def test_occurrence_is_edit_distance():
+    assert decontaminate.occurrence([1, 2, 3, 4], [9, 1, 2, 3, 4, 9], 0) == (0, 1, 5)
+    assert decontaminate.occurrence([1, 2, 3, 4], [1, 2, 9, 3, 4], 1)[0] == 1
+    assert decontaminate.occurrence([1, 2, 3, 4], [5, 6, 7, 8], 2) is None
+
+
+# --- licences
+
+
+def test_licenses(spark, odd):
+    rows = [("a/LICENSE", "Released under the MIT License."), ("a/b/x.c", "int x;"), ("a/b/c/y.c", "code\nLicensed under the Apache License, Version 2.0.\n" + "z " * 100), ("q/z.c", None), ("a/b/c/COPYING", "This work is licensed under the GNU General Public License, version 3."), ("a/b/c/d/e.c", "x"), (None, "x")]
+    docs = spark.createDataFrame([(i, t, p) for i, (p, t) in enumerate(rows)], "doc_id long, text string, path string")
+    found = {r.doc_id: (r.license, r.origin, r.license_dir, r.depth) for r in licenses.scan_licenses(docs).collect()}
+    assert found == {0: ("MIT", "own", None, None), 1: ("MIT", "inherited", "a", 1), 2: ("Apache-2.0", "own", None, None), 3: (None, "none", None, None), 4: ("GPL-3.0", "own", None, None), 5: ("GPL-3.0", "inherited", "a/b/c", 1), 6: (None, "none", None, None)}
+    assert licenses.scan_licenses(odd.withColumn("path", F.col("source"))).count() == odd.count()
+
+
+# --- all of them
+
+
+def test_empty_tables(spark, odd):
+    none = odd.limit(0)
+    assert substring_dedup.dedup_substrings(none).count() == 0
+    assert simhash.simhash_components(none).count() == 0 and simhash.drop_near_copies(none).count() == 0
+    assert pii.scan_pii(none).count() == 0 and pii.sanitise_documents(none).count() == 0
+    assert secret_scan.scan_secrets(none).count() == 0
+    assert mixing.mix(none, F.array("source")).count() == 0
+    assert langid.fit(none) is None and langid.identify(none, None).count() == 0
+    assert licenses.scan_licenses(none).count() == 0
