@@ -210,3 +210,8 @@ def in_time_window(at: Column, start: Column, end: Column, weekdays: Column) ->
     now = F.hour(at) * 60 + F.minute(at)
     inside = F.when(start < end, (now >= start) & (now < end)).otherwise((now >= start) | (now < end))
     return inside & F.array_contains(weekdays, (F.weekday(at) + 1).cast("int")) & (start != end)
+
+
+def macro_names(text: Column) -> Column:
+    """Names of the macros that the text defines; lines that end in a backslash go on in the next one."""
+    return F.regexp_extract_all(F.regexp_replace(text, r"\\\r?\n", " "), F.lit(r"(?m)^[ \t]*#[ \t]*define[ \t]+([A-Za-z_]\w*)"), F.lit(1))

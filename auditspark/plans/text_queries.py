@@ -435,3 +435,26 @@ def from_matches(spark, sf):
     every = names.select((F.col("f") + 1000).alias("function_id"), F.concat(F.lit("all"), F.col("f").cast("string")).alias("name"), path.alias("file_path"), F.lit(1).alias("start_line"), F.lit(99).alias("end_line"))
     found = D.from_matches(matches(spark, sf), low.unionByName(every), "npd_funcret")
     return found.select("file", "function", F.col("metadata")["callee"].alias("callee"), F.col("metadata")["ptr"].alias("ptr"), "line")
+
+
+LEAKY = "SELECT o_orderkey AS function_id, concat('fn', CAST(o_orderkey AS STRING)) AS name, concat('f', CAST(o_orderkey AS STRING), '.c') AS file_path, CAST(1 AS BIGINT) AS start_line, concat('int fn(int n) {', chr(10), 'char *p = malloc(n);', chr(10), CASE o_orderkey % 4 WHEN 0 THEN 'if (p == NULL) { return 1; }' WHEN 1 THEN 'if (n) { return 2; }' WHEN 2 THEN 'if (n) { free(p); } else { free(p); return 3; }' ELSE 'log(\"}\"); free(p);' END, chr(10), CASE WHEN o_orderkey % 4 = 2 THEN '' ELSE 'free(p);' END, chr(10), 'return 0; }', chr(10), 'int after;') AS body FROM orders"
+
+
+@Q.add("det_memleak", f"SELECT name AS function, CAST(3 AS INT) AS line FROM ({LEAKY}) WHERE function_id % 4 = 1")
+def memleak(spark, sf):
+    from ..operators.leaks import memleak as detect
+
+    return detect(over(spark, sf, LEAKY, "orders")).select("function", "line")
+
+
+@Q.add("str05_body_end", f"SELECT function_id, CAST(5 AS BIGINT) AS end_line FROM ({LEAKY})")
+def body_end(spark, sf):
+    from ..operators.leaks import body_ends
+
+    return body_ends(over(spark, sf, LEAKY, "orders"))
+
+
+@Q.add("str16_macros", "SELECT o_orderkey, concat('M', CAST(o_orderkey AS STRING), ',LAST') AS names FROM orders")
+def macros(spark, sf):
+    text = F.concat(F.lit("# define M"), F.col("o_orderkey").cast("string"), F.lit("(x) \\\n  #define NOT\nint y;\n  #define LAST 1"))
+    return table(spark, sf, "orders").select("o_orderkey", F.array_join(T.macro_names(text), ",").alias("names"))

@@ -165,3 +165,24 @@ def test_json_in_text(spark):
 def test_required_empty(spark):
     with pytest.raises(ValueError, match="unknown"):
         C.require_empty(spark.range(1), "unknown")
+
+
+LEAKS = {
+    "early_exit": ("int f(int n) {\n  char *b = get();\n  if (n) {\n    return 1;\n  }\n  free(b);\n  return 0;\n}", {("b", "exit", 4)}),
+    "checked": ("int f(int n) {\n  char *b = get();\n  if (b == NULL) {\n    return 1;\n  }\n  free(b);\n  return 0;\n}", set()),
+    "handed_over": ("int f(box *o, int n) {\n  char *b = get();\n  if (n) {\n    o->b = b;\n    return 1;\n  }\n  free(b);\n  return 0;\n}", set()),
+    "goes_on": ("int f(int n) {\n  for (;;) {\n    char *b = get();\n    if (n) {\n      continue;\n    }\n    free(b);\n  }\n}", {("b", "continue", 5)}),
+    "half_a_chain": ("int f(int n) {\n  char *b = get();\n  if (n) {\n    free(b);\n  }\n  return 0;\n}", {("b", "exit", 6)}),
+    "whole_chain": ("int f(int n) {\n  char *b = get();\n  if (n) {\n    free(b);\n  } else {\n    free(b);\n  }\n  return 0;\n}", set()),
+    "switch": ("int f(int n) {\n  char *b = get();\n  switch (n) {\n  case 1:\n    return 1;\n  default:\n    free(b);\n    break;\n  }\n  return 0;\n}", {("b", "exit", 5)}),
+}
+
+
+def test_leaks(spark):
+    from auditspark.operators.leaks import leaks
+
+    rows = spark.createDataFrame([(i, name, "", "a.c", 1, 20, body) for i, (name, (body, _)) in enumerate(LEAKS.items())], FUNCTIONS)
+    found = {name: set() for name in LEAKS}
+    for r in leaks(rows).collect():
+        found[list(LEAKS)[r.function_id]].add((r["var"], r.kind, r.line))
+    assert found == {name: expected for name, (_, expected) in LEAKS.items()}
