@@ -20,12 +20,12 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import column_or_null
 
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript|textarea|svg|iframe|select|title)\b.*?(?:</\1\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript|textarea|svg|iframe|select|button|title)\b.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-z][a-z0-9]*)\b((?:\"[^\"]*\"|'[^']*'|[^'\">])*+)>|<[!?][^>]*>",
     re.I | re.S,
 )
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-HIDDEN = re.compile(r"""\bhidden\b(?!\s*=\s*["']?false)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
+HIDDEN = re.compile(r"""(?:^|\s)hidden(?=\s|=|$)(?!\s*=\s*["']?false)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 PARTS = re.compile(r"[a-z]+")
 #: Containers, whose open ones are kept on a stack; other block tags only end a block.
 CONTAINERS = frozenset("article aside body div dialog dl fieldset figure footer form header main menu nav ol section table ul".split())
@@ -36,6 +36,8 @@ BAD_NAMES = frozenset(
     "newsletter notice notification pagination popup promo promoted recommended related reply replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription "
     "toolbar tracking widget".split()
 )
+#: An article's own classes may name its layout; these say that it is none.
+NO_ARTICLE = frozenset("ad ads advert adverts advertisement comment comments promo promoted recommended related reply replies respond sponsor sponsored".split())
 GOOD_NAMES = frozenset(["article", "content", "main", "post", "story"])
 STOP_WORDS = {
     "en": "a about after all also an and are as at be been but by can for from had has have he her his i if in into is it its more not of on one or our she so that the their there they this to was we were which who will with you",
@@ -65,18 +67,18 @@ def blocks_of(page: str) -> list[Block]:
     # name, in an article, barred, region
     stack: list[tuple[str, bool, bool, int]] = [("", False, False, 0)]
     pieces: list[tuple[str, bool]] = []
-    links, regions, at = 0, 0, 0
+    links, regions, at, marked = 0, 0, 0, False
 
     def end() -> None:
-        nonlocal links
+        nonlocal links, marked
         if pieces:
             text = " ".join("".join(p for p, _ in pieces).split())
             if text:
                 linked = sum(len(" ".join(p.split())) for p, link in pieces if link)
                 _, inside, barred, region = stack[-1]
-                found.append(Block(text, linked, inside, barred, region))
+                found.append(Block(text, linked, inside, barred or marked, -1 if marked else region))
             pieces.clear()
-        links = 0
+        links, marked = 0, False
 
     def add(raw: str) -> None:
         if raw:
@@ -95,6 +97,9 @@ def blocks_of(page: str) -> list[Block]:
         elif tag in BREAKS:
             end()
             if tag not in CONTAINERS:
+                # A paragraph or heading may say of itself that it is an advert or the like.
+                if not m[2] and m[4]:
+                    marked = bool(names_of(m[4]) & BAD_NAMES - ({"header"} if stack[-1][1] else set())) or bool(HIDDEN.search(m[4]))
                 continue
             if m[2]:
                 opened = [i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag][:1]
@@ -104,7 +109,7 @@ def blocks_of(page: str) -> list[Block]:
             elif not m[4].rstrip().endswith("/"):
                 _, inside, barred, region = stack[-1]
                 names = names_of(m[4])
-                bad = (names & BAD_NAMES) - ({"header"} if inside else set())
+                bad = names & (NO_ARTICLE if tag in ("article", "main") else BAD_NAMES) - ({"header"} if inside else set())
                 barred = barred or (tag in BAD_TAGS and not (tag == "header" and inside)) or (bool(bad) and tag != "body") or bool(HIDDEN.search(m[4]))
                 regions += 1
                 inside_now = inside or tag in ("article", "main") or bool(names & GOOD_NAMES and tag in ("div", "section"))

@@ -25,6 +25,11 @@ def test_article_only():
     assert H.main_text(PAGE) == "A title\n\nFirst & best words of the text.\n\nShort.\n\none\n\ntwo"
 
 
+def test_marked_blocks():
+    page = '<article class="post has-sidebar"><p class="sponsored-link">Buy</p><p style="overflow: hidden">Kept here.</p><p hidden>Not seen</p><button>Press</button><h2 class="entry-header">Head</h2></article><article class="comment"><p>I say no.</p></article>'
+    assert H.main_text(page) == "Kept here.\n\nHead"
+
+
 def test_pages_without_article():
     good = "This is a text that is long enough to be read by the people who like to read, and it has many of the words that they use. " * 2
     page = f"<body><div class='menu'><a>x</a></div><h1>Head</h1><p>{good}</p><p>Short one.</p><p>{good}</p><p><a href=x>all of it is a link</a></p></body>"
