@@ -420,21 +420,83 @@ def matches(spark, sf):
     return rows.select(F.lpad(F.col("match_id").cast("string"), 12, "0").alias("match_id"), F.concat(F.lit("src/f"), F.col("f").cast("string"), F.lit(".c")).alias("path"), "line", "check_id", F.lit("m").alias("message"), F.create_map(F.lit("$PTR"), F.col("v"), F.lit("$CALLEE"), F.col("check_id")).alias("metavars"))
 
 
-FROM_MATCHES = f"""
-WITH m AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY match_id ORDER BY l_partkey, l_suppkey, check_id, v) AS n FROM ({MATCHES})) WHERE n = 1),
+FROM_MATCHES = """
+WITH m AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY match_id ORDER BY l_partkey, l_suppkey, check_id, v) AS n FROM ({matches})) WHERE n = 1),
 fn AS (SELECT DISTINCT l_orderkey % 300 AS f FROM lineitem WHERE l_orderkey % 300 < 200),
-r AS (SELECT m.*, CASE WHEN fn.f IS NULL THEN 'unknown' WHEN line <= 3 THEN concat('low', CAST(m.f AS STRING)) ELSE concat('all', CAST(m.f AS STRING)) END AS function FROM m LEFT JOIN fn ON fn.f = m.f)
-SELECT file, function, callee, ptr, line FROM (SELECT concat('src/f', CAST(f AS STRING), '.c') AS file, function, check_id AS callee, v AS ptr, line, row_number() OVER (PARTITION BY f, function, check_id, v ORDER BY match_id) AS n2 FROM r) WHERE n2 = 1"""
-
-
-@Q.add("det_matches_npd_funcret", FROM_MATCHES)
-def from_matches(spark, sf):
-    names = table(spark, sf, "lineitem").select((F.col("l_orderkey") % 300).alias("f")).filter("f < 200").distinct()
-    path = F.concat(F.lit("f"), F.col("f").cast("string"), F.lit(".c"))
-    low = names.select(F.col("f").alias("function_id"), F.concat(F.lit("low"), F.col("f").cast("string")).alias("name"), path.alias("file_path"), F.lit(1).alias("start_line"), F.lit(3).alias("end_line"))
-    every = names.select((F.col("f") + 1000).alias("function_id"), F.concat(F.lit("all"), F.col("f").cast("string")).alias("name"), path.alias("file_path"), F.lit(1).alias("start_line"), F.lit(99).alias("end_line"))
-    found = D.from_matches(matches(spark, sf), low.unionByName(every), "npd_funcret")
-    return found.select("file", "function", F.col("metadata")["callee"].alias("callee"), F.col("metadata")["ptr"].alias("ptr"), "line")
+r AS (SELECT m.*, concat('src/f', CAST(m.f AS STRING), '.c') AS file, split_part(check_id, '.', 2) AS rule, CASE WHEN fn.f IS NULL THEN 'unknown' WHEN line <= 3 THEN concat('low', CAST(m.f AS STRING)) ELSE concat('all', CAST(m.f AS STRING)) END AS function FROM m LEFT JOIN fn ON fn.f = m.f)
+SELECT file, function, rule, subject, line FROM (SELECT file, function, rule, {subject} AS subject, line, row_number() OVER (PARTITION BY {key} ORDER BY match_id) AS n2 FROM r) WHERE n2 = 1"""
+
+
+def _from_matches(detector):
+    places, variables = D.MATCH_DETECTORS[detector]
+
+    def query(spark, sf):
+        names = table(spark, sf, "lineitem").select((F.col("l_orderkey") % 300).alias("f")).filter("f < 200").distinct()
+        path = F.concat(F.lit("f"), F.col("f").cast("string"), F.lit(".c"))
+        low = names.select(F.col("f").alias("function_id"), F.concat(F.lit("low"), F.col("f").cast("string")).alias("name"), path.alias("file_path"), F.lit(1).alias("start_line"), F.lit(3).alias("end_line"))
+        every = names.select((F.col("f") + 1000).alias("function_id"), F.concat(F.lit("all"), F.col("f").cast("string")).alias("name"), path.alias("file_path"), F.lit(1).alias("start_line"), F.lit(99).alias("end_line"))
+        held = F.map_from_entries(F.array(*[F.struct(F.lit(f"${v}"), F.col("metavars")["$PTR"]) for v in variables])) if variables else F.create_map().cast("map<string,string>")
+        found = D.from_matches(matches(spark, sf).withColumn("metavars", held), low.unionByName(every), detector)
+        return found.select("file", "function", F.col("metadata")["rule"].alias("rule"), F.col("metadata")["subject"].alias("subject"), "line")
+
+    # All variables hold the same value here, so one stands for them in the key.
+    key = ", ".join([*places, *(["v"] if variables else [])])
+    Q.add(f"det_matches_{detector}", FROM_MATCHES.format(matches=MATCHES, subject="v" if variables else "rule", key=key))(query)
+
+
+for _detector in D.MATCH_DETECTORS:
+    _from_matches(_detector)
+
+
+@Q.add("src03_ignored_path", "SELECT page_id, contains(url, '/example/') AS ignored FROM (SELECT page_id, concat('a/', CASE WHEN page_id % 3 = 0 THEN 'example/' ELSE '' END, 'x.c') AS url FROM pages)")
+def ignored_path(spark, sf):
+    from ..sources.readers import in_skipped_dir
+
+    path = F.concat(F.lit("a\\"), F.when(F.col("page_id") % 3 == 0, "example\\").otherwise(""), F.lit("x.c"))
+    return table(spark, sf, "pages").select("page_id", in_skipped_dir(path, ["example"], ()).alias("ignored"))
+
+
+@Q.add("set06_tree_concatenation", "SELECT c_custkey AS id, 'customer' AS kind FROM customer WHERE c_acctbal < 0 UNION ALL SELECT s_suppkey, 'supplier' FROM supplier WHERE s_acctbal < 0")
+def tree_concatenation(spark, sf):
+    from ..operators.candidates import concatenate
+
+    parts = [table(spark, sf, name).filter(f"{name[0]}_acctbal < 0").select(F.col(f"{name[0]}_{key}").alias("id"), F.lit(name).alias("kind")) for name, key in (("customer", "custkey"), ("supplier", "suppkey"))]
+    return concatenate(parts)
+
+
+@Q.add("srt02_innermost", "SELECT function_id FROM functions WHERE file_path = 'root/src2/en.c' AND 5000 BETWEEN start_line AND end_line ORDER BY end_line - start_line, file_path, function_id LIMIT 1")
+def innermost(spark, sf):
+    found = view(spark, sf, "functions").filter((F.col("file_path") == "root/src2/en.c") & F.lit(5000).between(F.col("start_line"), F.col("end_line")))
+    return found.orderBy(F.col("end_line") - F.col("start_line"), "file_path", "function_id").limit(1).select("function_id")
+
+
+@Q.add("str24_path_variants", "SELECT page_id, (page_id % 3 <> 2) AS hit FROM pages")
+def path_variants(spark, sf):
+    from ..operators.lookup import path_suffix_equal
+
+    m = F.col("page_id") % 3
+    path = F.when(m == 0, "SRC\\Lib\\a.c").when(m == 1, "/work/src/lib/A.c").otherwise("xsrc/lib/a.c")
+    return table(spark, sf, "pages").select("page_id", path_suffix_equal(F.lower(path), F.lit("src/lib/a.c")).alias("hit"))
+
+
+@Q.add("st11_resume_outputs", "SELECT p_partkey, CASE WHEN l IS NULL THEN 'run' ELSE 'reuse' END AS action FROM part LEFT JOIN (SELECT DISTINCT l_partkey AS l FROM lineitem WHERE l_quantity > 45) x ON l = p_partkey")
+def resume_outputs(spark, sf):
+    from ..operators.candidates import without_processed
+
+    tasks = table(spark, sf, "part").select("p_partkey")
+    done = table(spark, sf, "lineitem").filter("l_quantity > 45").select(F.col("l_partkey").alias("p_partkey")).distinct()
+    reuse = tasks.join(done, "p_partkey", "left_semi").withColumn("action", F.lit("reuse"))
+    return reuse.unionByName(without_processed(tasks, done, ["p_partkey"]).withColumn("action", F.lit("run")))
+
+
+OWNERS = "SELECT o_orderkey AS function_id, concat('fn', CAST(o_orderkey AS STRING)) AS name, concat('f', CAST(o_orderkey AS STRING), '.c') AS file_path, CAST(1 AS BIGINT) AS start_line, concat('void fn(void) {', chr(10), '  t', CAST(o_custkey % 4 AS STRING), ' *s = get();', chr(10), '  session_free(s); }') AS body FROM orders"
+
+
+@Q.add("jon19_released_structs", f"SELECT name AS function, CAST(3 AS INT) AS line, 's' AS subject FROM ({OWNERS}) WHERE contains(body, ' t1 ') OR contains(body, ' t3 ')")
+def released_structs(spark, sf):
+    structs = spark.range(4).select(F.col("id").alias("struct_id"), F.concat(F.lit("s"), F.col("id").cast("string")).alias("name"), F.concat(F.lit("typedef struct { char *a; "), F.when(F.col("id") % 2 == 1, "char *b; ").otherwise("int b; "), F.lit("} t"), F.col("id").cast("string"), F.lit(";")).alias("definition"))
+    found = D.released_structs(over(spark, sf, OWNERS, "orders"), structs)
+    return found.select("function", "line", F.col("metadata")["subject"].alias("subject"))
 
 
 LEAKY = "SELECT o_orderkey AS function_id, concat('fn', CAST(o_orderkey AS STRING)) AS name, concat('f', CAST(o_orderkey AS STRING), '.c') AS file_path, CAST(1 AS BIGINT) AS start_line, concat('int fn(int n) {', chr(10), 'char *p = malloc(n);', chr(10), CASE o_orderkey % 4 WHEN 0 THEN 'if (p == NULL) { return 1; }' WHEN 1 THEN 'if (n) { return 2; }' WHEN 2 THEN 'if (n) { free(p); } else { free(p); return 3; }' ELSE 'log(\"}\"); free(p);' END, chr(10), CASE WHEN o_orderkey % 4 = 2 THEN '' ELSE 'free(p);' END, chr(10), 'return 0; }', chr(10), 'int after;') AS body FROM orders"
