@@ -56,13 +56,14 @@ def resolve_names(requests: DataFrame, functions: DataFrame) -> DataFrame:
     return best.drop("_best", "_short", "short", "qualified")
 
 
-def path_suffix_join(left: DataFrame, right: DataFrame, left_path: str, right_path: str) -> DataFrame:
-    """Rows whose paths are equal or one ends in ``/`` and the other: an equi-join on the file name, then the test."""
+def path_suffix_join(left: DataFrame, right: DataFrame, left_path: str, right_path: str, also: tuple[str, ...] = ()) -> DataFrame:
+    """Rows whose paths are equal or one ends in ``/`` and the other: an equi-join on the file name (and the columns
+    ``also``), then the test."""
     a, b = normal_path(F.col(left_path)), normal_path(F.col(right_path))
     left = left.withColumn("_base", F.substring_index(a, "/", -1))
     right = right.withColumn("_base", F.substring_index(b, "/", -1))
     test = (a == b) | a.endswith(F.concat(F.lit("/"), b)) | b.endswith(F.concat(F.lit("/"), a))
-    return left.join(right, "_base").filter(test).drop("_base")
+    return left.join(right, ["_base", *also]).filter(test).drop("_base")
 
 
 def path_suffix_equal(a: Column, b: Column) -> Column:
@@ -93,19 +94,27 @@ def first_body(functions: DataFrame, requests: DataFrame) -> DataFrame:
     return functions.join(requests.select("name").distinct(), "name", "left_semi").withColumn("_n", rank).filter("_n = 1").drop("_n")
 
 
+#: Lines of a bin of the interval join: a function has a row for each bin that it reaches into.
+LINE_BIN = 4096
+
+
 def containing_function(requests: DataFrame, functions: DataFrame, by_suffix: bool = False) -> DataFrame:
     """The innermost function that holds each ``requests(request_id, path, line)``: least extent, then path, then start.
 
-    An equi-join on the path (on the file name where paths match by suffix), then the interval test.
+    An equi-join on the path (on the file name where paths match by suffix) and on bins of lines, then the interval test,
+    so a large file's requests meet only the functions near them.
     """
-    ranges = functions.select("function_id", "name", F.col("file_path"), "start_line", "end_line")
+    bin_of = lambda line: F.floor(line / LINE_BIN).cast("long")
+    ranges = functions.select("function_id", "name", "file_path", "start_line", "end_line").filter("start_line <= end_line")
+    ranges = ranges.withColumn("_bin", F.explode(F.sequence(bin_of(F.col("start_line")), bin_of(F.col("end_line")))))
+    requests = requests.withColumn("_bin", bin_of(F.col("line")))
     inside = F.col("line").between(F.col("start_line"), F.col("end_line"))
     if by_suffix:
-        found = path_suffix_join(requests, ranges, "path", "file_path").filter(inside)
+        found = path_suffix_join(requests, ranges, "path", "file_path", ("_bin",)).filter(inside)
     else:
-        found = requests.join(ranges, (F.col("path") == F.col("file_path")) & inside)
+        found = requests.join(ranges.withColumn("path", F.col("file_path")), ["path", "_bin"]).filter(inside)
     order = Window.partitionBy("request_id").orderBy(F.col("end_line") - F.col("start_line"), "file_path", "start_line", "function_id")
-    return found.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n")
+    return found.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n", "_bin")
 
 
 def resolve_calls(calls: DataFrame, functions: DataFrame) -> DataFrame:
