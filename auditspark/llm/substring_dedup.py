@@ -208,12 +208,36 @@ def runs_of(doc: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return doc[start], first[start], np.diff(np.append(start, len(doc)))
 
 
-def mark_rows(ids, tags, doc, first, length):
-    """(id, tag, runs) of each marked document; doc is sorted."""
-    cuts = np.flatnonzero(np.diff(doc)) + 1
-    for d, f, n in zip(np.split(doc, cuts), np.split(first, cuts), np.split(length, cuts)):
-        if len(d):
-            yield int(ids[d[0]]), int(tags[d[0]]), np.stack([f, n], axis=1).astype(np.uint32).tobytes()
+def pack_marks(ids: np.ndarray, tags: np.ndarray, first: np.ndarray, length: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes]]:
+    """(bucket of documents, all its marks): sorted columns, which press well."""
+    bucket = (mix64(ids.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+    order = np.lexsort((first, tags, ids, bucket))
+    ids, tags, first, length, bucket = (x[order] for x in (ids, tags, first, length, bucket))
+    pressed = zstandard.ZstdCompressor(level=1)
+    bounds = np.searchsorted(bucket, np.arange(buckets + 1))
+    for b in np.flatnonzero(np.diff(bounds)).tolist():
+        part = slice(bounds[b], bounds[b + 1])
+        columns = (np.diff(ids[part], prepend=0), tags[part].astype(np.uint32), np.diff(first[part], prepend=0).astype(np.int32), length[part].astype(np.uint32))
+        yield b, int(bounds[b + 1] - bounds[b]).to_bytes(8, "little") + pressed.compress(b"".join(c.tobytes() for c in columns))
+
+
+def unpack_marks(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    parts = []
+    for blob in blobs:
+        n, data = int.from_bytes(blob[:8], "little"), zstandard.ZstdDecompressor().decompress(blob[8:])
+        parts.append((np.cumsum(np.frombuffer(data, np.int64, n)), np.frombuffer(data, np.uint32, n, 8 * n).astype(np.int64), np.cumsum(np.frombuffer(data, np.int32, n, 12 * n).astype(np.int64)), np.frombuffer(data, np.uint32, n, 16 * n).astype(np.int64)))
+    return tuple(np.concatenate([p[i] for p in parts]) for i in range(4))
+
+
+def marks_by_document(table: pa.Table) -> pa.Table:
+    """One row a document of a bucket: (id, tag, runs)."""
+    ids, tags, first, length = unpack_marks(table.column("data").to_pylist())
+    order = np.lexsort((first, tags, ids))
+    ids, tags, first, length = (x[order] for x in (ids, tags, first, length))
+    runs = np.stack([first, length], axis=1).astype(np.uint32)
+    start = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (tags[1:] != tags[:-1])]))
+    ends = np.append(start[1:], len(ids))
+    return pa.table({"doc_id": pa.array(ids[start]), "tag": pa.array(tags[start]), "runs": pa.array([runs[a:b].tobytes() for a, b in zip(start.tolist(), ends.tolist())], pa.binary())})
 
 
 MARKS = "doc_id long, tag long, runs binary"
@@ -222,7 +246,7 @@ MARKS = "doc_id long, tag long, runs binary"
 def find_marks(rows: DataFrame, sketch: np.ndarray, width: int, bits: int, shards: int) -> DataFrame:
     """Rows ``(doc_id, tag, runs)``: windows (first words and lengths of runs) that start in a smaller document too."""
     shared = rows.sparkSession.sparkContext.broadcast(sketch)
-    schema = pa.schema([("shard", pa.int32()), ("doc_id", pa.int64()), ("tag", pa.int64()), ("data", pa.binary())])
+    schema = pa.schema([("shard", pa.int32()), ("bucket", pa.int32()), ("data", pa.binary())])
 
     def combine(parts) -> Iterator[pa.RecordBatch]:
         """Decide what the chunk alone shows, and send the rest, the least document's windows, to their shards."""
@@ -237,11 +261,11 @@ def find_marks(rows: DataFrame, sketch: np.ndarray, width: int, bits: int, shard
         decided = ids[doc] > least
         # Marked already: by document, as runs.
         d, f = doc[decided], first[decided]
-        by = np.lexsort((f, d))
-        marked = list(mark_rows(ids, tags, *runs_of(d[by], f[by]))) if len(d) else []
-        for at in range(0, len(marked), 4096):
-            part = marked[at : at + 4096]
-            yield pa.RecordBatch.from_arrays([pa.array([hash(m[0]) % shards for m in part], pa.int32()), pa.array([m[0] for m in part], pa.int64()), pa.array([m[1] for m in part], pa.int64()), pa.array([m[2] for m in part], pa.binary())], schema=schema)
+        if len(d):
+            by = np.lexsort((f, d))
+            d, f, n = runs_of(d[by], f[by])
+            for b, blob in pack_marks(ids[d], tags[d], f, n, shards):
+                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([b], pa.int32()), pa.array([blob], pa.binary())], schema=schema)
         # Equal windows of one document at consecutive places become one run.
         doc, first, h1, h2 = doc[~decided], first[~decided], h1[~decided], h2[~decided]
         start = np.flatnonzero(np.concatenate([[True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1]) | (doc[1:] != doc[:-1]) | (first[1:] != first[:-1] + 1)]))
@@ -263,7 +287,7 @@ def find_marks(rows: DataFrame, sketch: np.ndarray, width: int, bits: int, shard
             head = np.array([b - a, len(used)], np.int64)
             packed = [x.tobytes() for x in (ids[used], tags[used].astype(np.uint32), step.astype(np.uint32), place.astype(np.int32), length[a:b].astype(np.uint32))]
             data = head.tobytes() + h1[a:b].tobytes() + h2[a:b].astype(np.uint32).tobytes() + pressed.compress(b"".join(packed))
-            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([data], pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([None], pa.int32()), pa.array([data], pa.binary())], schema=schema)
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
@@ -284,12 +308,12 @@ def find_marks(rows: DataFrame, sketch: np.ndarray, width: int, bits: int, shard
             yield from combine(parts)
 
     def group(table: pa.Table) -> pa.Table:
-        out = [[], [], []]
-        parts = []
-        for doc, tag, data in zip(table.column("doc_id").to_pylist(), table.column("tag").to_pylist(), table.column("data").to_pylist()):
-            if doc is not None:
-                for x, v in zip(out, (doc, tag, data)):
-                    x.append(v)
+        """Marks of a shard's windows, packed by bucket; marks that tasks decided pass through."""
+        buckets, blobs, parts = [], [], []
+        for bucket, data in zip(table.column("bucket").to_pylist(), table.column("data").to_pylist()):
+            if bucket is not None:
+                buckets.append(bucket)
+                blobs.append(data)
                 continue
             n, m = np.frombuffer(data, np.int64, 2)
             h1, h2 = np.frombuffer(data, np.uint64, n, 16), np.frombuffer(data, np.uint32, n, 16 + 8 * n)
@@ -306,15 +330,14 @@ def find_marks(rows: DataFrame, sketch: np.ndarray, width: int, bits: int, shard
             doc, first, h1, h2, length = (x[order] for x in (doc, first, h1, h2, length))
             new = np.flatnonzero(np.concatenate([[True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])]))
             marked = ids[doc] > np.repeat(ids[doc[new]], np.diff(np.append(new, len(doc))))
-            doc, first, length = doc[marked], first[marked], length[marked]
-            order = np.lexsort((first, doc))
-            for row in mark_rows(ids, tags, doc[order], first[order], length[order]):
-                for x, v in zip(out, row):
-                    x.append(v)
-        return pa.table({"doc_id": pa.array(out[0], pa.int64()), "tag": pa.array(out[1], pa.int64()), "runs": pa.array(out[2], pa.binary())})
+            doc = doc[marked]
+            for bucket, blob in pack_marks(ids[doc], tags[doc], first[marked], length[marked], shards):
+                buckets.append(bucket)
+                blobs.append(blob)
+        return pa.table({"bucket": pa.array(buckets, pa.int32()), "data": pa.array(blobs, pa.binary())})
 
-    probed = rows.mapInArrow(probe, "shard int, doc_id long, tag long, data binary")
-    return probed.groupBy("shard").applyInArrow(group, MARKS)
+    probed = rows.mapInArrow(probe, "shard int, bucket int, data binary")
+    return probed.groupBy("shard").applyInArrow(group, "bucket int, data binary").groupBy("bucket").applyInArrow(marks_by_document, MARKS)
 
 
 def doc_bits(marks: DataFrame, bits: int) -> np.ndarray:
@@ -392,11 +415,11 @@ def dedup_substrings(docs: DataFrame, width: int = WIDTH, with_text: bool = Fals
                     kept = batch.column(4)[row].as_py()
                     found.append((*(batch.column(i)[row].as_py() for i in (1, 2, 3)), kept if kept is None else kept.encode()))
                 else:
-                    found.append(digest(rest, np.concatenate([np.frombuffer(x, np.uint32).reshape(-1, 2) for x in runs]) if runs else none))
+                    found.append(digest(rest, np.frombuffer(runs, np.uint32).reshape(-1, 2) if runs else none))
             yield pa.RecordBatch.from_arrays([batch.column(0), *arrays(found)], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
 
     left = rows.mapInArrow(plain, f"doc_id long, tag long, {result}, rest binary")
-    by_doc = marks.groupBy(F.col("doc_id").alias("d"), F.col("tag").alias("t")).agg(F.collect_list("runs").alias("runs"))
+    by_doc = marks.select(F.col("doc_id").alias("d"), F.col("tag").alias("t"), "runs")
     joined = left.join(by_doc, (F.col("doc_id") == F.col("d")) & (F.col("tag") == F.col("t")), "left")
     out = joined.select("doc_id", "n_words", "n_removed", "kept_sha256", "kept", "rest", "runs").mapInArrow(cut, f"doc_id long, {result}")
     return out if with_text else out.drop("kept")
