@@ -109,18 +109,17 @@ def grouped(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[np.
 
 
 def pack(cells: np.ndarray) -> bytes:
-    """Sorted distinct numbers as gaps: a byte each, wider ones apart."""
+    """Sorted distinct numbers as gaps, a byte each: a byte of 255 adds 255 and leads to the next byte."""
     gaps = np.diff(cells, prepend=0)
-    wide = gaps >= 255
-    return len(gaps).to_bytes(4, "little") + np.where(wide, 255, gaps).astype(np.uint8).tobytes() + gaps[wide].astype(np.uint32).tobytes()
+    steps = gaps // 255
+    out = np.full(len(gaps) + int(steps.sum()), 255, np.uint8)
+    out[np.arange(len(gaps)) + np.cumsum(steps)] = gaps % 255
+    return out.tobytes()
 
 
 def unpack(data: bytes) -> np.ndarray:
-    n = int.from_bytes(data[:4], "little")
-    small = np.frombuffer(data, np.uint8, n, 4)
-    gaps = small.astype(np.int64)
-    gaps[small == 255] = np.frombuffer(data, np.uint32, -1, 4 + n) if (small == 255).any() else 0
-    return np.cumsum(gaps)
+    steps = np.frombuffer(data, np.uint8)
+    return np.cumsum(steps, dtype=np.int64)[steps != 255]
 
 
 def sketch_rows(cells: np.ndarray) -> Iterator[tuple[int, bytes, bytes]]:
@@ -392,7 +391,8 @@ def dedup_substrings(docs: DataFrame, width: int = WIDTH, with_text: bool = Fals
         return [pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(sha, pa.string()), pa.array(kept, pa.binary()).cast(pa.string())]
 
     def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Finish documents without marks; pass on the text of the others."""
+        """Finish documents without marks; pass on the text of the others, compressed."""
+        pressed = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             ids = batch.column(0)
             known = np.array(ids.is_valid().to_pylist(), bool)
@@ -403,7 +403,7 @@ def dedup_substrings(docs: DataFrame, width: int = WIDTH, with_text: bool = Fals
                 data = text.as_py() or b""
                 tags.append(xxh64_intdigest(data, 42) & 0xFFFFFFFF)
                 found.append((None, None, None, None) if maybe else digest(data, none))
-                texts.append(data if maybe else None)
+                texts.append(pressed.compress(data) if maybe else None)
             yield pa.RecordBatch.from_arrays([ids, pa.array(tags, pa.int64()), *arrays(found), pa.array(texts, pa.binary())], ["doc_id", "tag", "n_words", "n_removed", "kept_sha256", "kept", "rest"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -415,7 +415,7 @@ def dedup_substrings(docs: DataFrame, width: int = WIDTH, with_text: bool = Fals
                     kept = batch.column(4)[row].as_py()
                     found.append((*(batch.column(i)[row].as_py() for i in (1, 2, 3)), kept if kept is None else kept.encode()))
                 else:
-                    found.append(digest(rest, np.frombuffer(runs, np.uint32).reshape(-1, 2) if runs else none))
+                    found.append(digest(zstandard.ZstdDecompressor().decompress(rest), np.frombuffer(runs, np.uint32).reshape(-1, 2) if runs else none))
             yield pa.RecordBatch.from_arrays([batch.column(0), *arrays(found)], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
 
     left = rows.mapInArrow(plain, f"doc_id long, tag long, {result}, rest binary")
