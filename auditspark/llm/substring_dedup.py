@@ -3,7 +3,7 @@
 First pass: each task counts its windows in a sparse count-min sketch (two rows of cells, counters that stop at two);
 the tasks' sketches are merged by blocks of cells. Counts are never underestimated, so a window that occurs twice always
 lies in cells of two or more. The merged sketch, one bit a cell, has a fixed size bound and goes to all tasks. Second pass:
-only windows estimated repeated are grouped exactly, by 96-bit hashes, and those whose words also start in a document with
+only windows estimated repeated are grouped exactly, by 80-bit hashes, and those whose words also start in a document with
 a smaller id are marked; tasks combine before the shuffle, so a window that a third of all documents share is one row a
 task. Marks meet their documents by a join on the id that moves the text of documents with marks only.
 
@@ -183,7 +183,7 @@ def build_sketch(rows: DataFrame, width: int, bits: int) -> np.ndarray:
         for _, _, _, _, words, at in grouped(batches, width):
             held.append(window_hashes(words, width, 1)[at])
             n += len(at)
-            if n >= CHUNK:
+            if n >= 2 * CHUNK:
                 yield from emit(held)
                 held, n = [], 0
         if held:
@@ -285,7 +285,7 @@ def find_marks(rows: DataFrame, sketch: np.ndarray, width: int, bits: int, shard
             place = np.diff(first[a:b], prepend=0)
             head = np.array([b - a, len(used)], np.int64)
             packed = [x.tobytes() for x in (ids[used], tags[used].astype(np.uint32), step.astype(np.uint32), place.astype(np.int32), length[a:b].astype(np.uint32))]
-            data = head.tobytes() + h1[a:b].tobytes() + h2[a:b].astype(np.uint32).tobytes() + pressed.compress(b"".join(packed))
+            data = head.tobytes() + h1[a:b].tobytes() + h2[a:b].astype(np.uint16).tobytes() + pressed.compress(b"".join(packed))
             yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([None], pa.int32()), pa.array([data], pa.binary())], schema=schema)
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -297,7 +297,7 @@ def find_marks(rows: DataFrame, sketch: np.ndarray, width: int, bits: int, shard
             for row in range(1, ROWS):
                 keep = keep[has_bit(table, cells_of(h1[keep], row, bits))]
             if len(keep):
-                h2 = window_hashes(words, width, 2)[at[keep]] >> np.uint64(32)
+                h2 = window_hashes(words, width, 2)[at[keep]] >> np.uint64(48)
                 parts.append((ids, tags, doc[keep], first[keep], h1[keep], h2))
                 n += len(keep)
             if n >= CHUNK // 2:
@@ -315,8 +315,8 @@ def find_marks(rows: DataFrame, sketch: np.ndarray, width: int, bits: int, shard
                 blobs.append(data)
                 continue
             n, m = np.frombuffer(data, np.int64, 2)
-            h1, h2 = np.frombuffer(data, np.uint64, n, 16), np.frombuffer(data, np.uint32, n, 16 + 8 * n)
-            rest = zstandard.ZstdDecompressor().decompress(data[16 + 12 * n :])
+            h1, h2 = np.frombuffer(data, np.uint64, n, 16), np.frombuffer(data, np.uint16, n, 16 + 8 * n)
+            rest = zstandard.ZstdDecompressor().decompress(data[16 + 10 * n :])
             ids, tags = np.frombuffer(rest, np.int64, m), np.frombuffer(rest, np.uint32, m, 8 * m)
             index, first, length = (np.frombuffer(rest, t, n, 12 * m + 4 * n * i) for i, t in enumerate((np.uint32, np.int32, np.uint32)))
             parts.append((ids, tags.astype(np.int64), np.cumsum(index.astype(np.int64)), np.cumsum(first.astype(np.int64)), h1, h2, length.astype(np.int64)))
