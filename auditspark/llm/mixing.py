@@ -117,6 +117,7 @@ def mix(docs: DataFrame, sources: Column, size: Column | None = None, share: flo
     sources: an array column, the sources that a document belongs to; source_size and target are those of its first.
     """
     spark = docs.sparkSession
+    docs = docs.drop("pattern_size", "source_size", "target", "taken")
     rows = docs.withColumns({"_pattern": F.array_sort(sources, lambda a, b: F.when(a.isNull() & b.isNull(), 0).when(a.isNull(), 1).when(b.isNull(), -1).when(a < b, -1).when(a > b, 1).otherwise(0)), "_first": F.get(sources, F.lit(0)), "size": word_count(F.col("text")) if size is None else size})
     rows = rows.withColumn("_order", F.xxhash64(F.lit(seed), "doc_id", "text"))
     # By pattern and by bin of the seeded order: sums that are combined before the shuffle.
@@ -153,7 +154,7 @@ def mix(docs: DataFrame, sources: Column, size: Column | None = None, share: flo
     inside = Window.partitionBy("_pattern", "_bin").orderBy("_order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     cutting = rows.filter(at_edge).withColumn("_before", F.sum("size").over(inside) - F.col("size"))
     cutting = cutting.withColumn("taken", (whole + F.greatest(F.lit(0), F.least(F.col("size"), F.col("_edge._room") - F.col("_before")))).cast("long"))
-    return plain.unionByName(cutting.drop("_before")).select(*[f"`{c}`" for c in docs.columns if c not in ("size", "pattern_size", "source_size", "target", "taken")], "size", "pattern_size", "source_size", "target", "taken")
+    return plain.unionByName(cutting.drop("_before")).select(*[f"`{c}`" for c in docs.columns if c != "size"], "size", "pattern_size", "source_size", "target", "taken")
 
 
 def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
