@@ -84,11 +84,14 @@ CHAIN_CHECKS = (
 
 
 def _any_template(text: Column, templates, mark: str, value: Column) -> Column:
-    parts = [F.concat(*[x for piece in t.split(mark) for x in (value, F.lit(piece))][1:]) for t in templates]
-    found = F.lit(False)
-    for pattern in parts:
-        found = found | F.regexp_like(text, pattern)
-    return found
+    """Whether any template, with the value in place of the mark, matches: one pattern a row. All need an if, an assert or
+    a disjunction, which is looked for first."""
+    pieces: list[Column] = []
+    for n, t in enumerate(templates):
+        first, *rest = t.split(mark)
+        pieces += [F.lit(("|(?:" if n else "(?:") + first), *[x for r in rest[:-1] for x in (value, F.lit(r))], value, F.lit(rest[-1] + ")")]
+    hinted = text.contains("if") | text.contains("assert") | text.contains("||")
+    return F.when(hinted, F.regexp_like(text, F.concat(*pieces))).otherwise(F.lit(False))
 
 
 def null_guarded(body: Column, name: Column) -> Column:
@@ -116,6 +119,14 @@ def first_matching_line(text: Column, pattern: Column, start_line: Column) -> Co
     return F.coalesce(F.array_min(hits), start_line)
 
 
+def line_of_match(text: Column, pattern: Column, start_line: Column) -> Column:
+    """As first_matching_line, by one search of the whole text, for patterns that do not match across lines."""
+    at = F.regexp_instr(text, pattern)
+    before = F.substring(text, F.lit(1), at)
+    newlines = F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit("")))
+    return F.when(at > 0, start_line + newlines).otherwise(start_line)
+
+
 def keyword_at_boundary(name: Column, keyword: str) -> Column:
     """The keyword, in either case, after the start, a ``_`` or a small letter, before the end, a ``_`` or a capital."""
     return F.regexp_like(name, F.lit(r"(?:^|_|(?<=[a-z]))(?i:" + keyword + r")(?=$|_|[A-Z])"))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from ..functions.text import call_names, chain_guarded, first_matching_line, escape_regex, normal_expression, null_guarded, pair_name, role_hint, short_name, stable_id, terms_in
+from ..functions.text import call_names, chain_guarded, escape_regex, line_of_match, normal_expression, null_guarded, pair_name, role_hint, short_name, stable_id, terms_in
 from .candidates import keep_first
 from .lookup import containing_function
 
@@ -92,8 +92,8 @@ def npd(functions: DataFrame) -> DataFrame:
     functions = functions.filter(F.col("body").rlike(r"->|\*|\[|\bg_\w+\s*\(")).withColumn("code", blank_comments("body"))
     found = dereferenced(functions).filter(~null_guarded(F.col("code"), F.col("variable")))
     v = escape_regex(F.col("variable"))
-    pattern = F.concat(v, F.lit(r"\s*->|\*\s*"), v, F.lit(r"\b|"), v, F.lit(r"\s*\[|\b"), v, F.lit(r"\s*\("))
-    line = first_matching_line(F.col("code"), pattern, F.col("start_line"))
+    pattern = F.concat(v, F.lit(r"[ \t]*->|\*[ \t]*"), v, F.lit(r"\b|"), v, F.lit(r"[ \t]*\[|\b"), v, F.lit(r"[ \t]*\("))
+    line = line_of_match(F.col("code"), pattern, F.col("start_line"))
     return found.select(*candidate(F.col("file_path"), line, F.col("name"), "npd", F.col("variable"), F.concat(F.lit("May "), F.col("variable"), F.lit(" be null where it is dereferenced?"))))
 
 
@@ -109,8 +109,8 @@ def chain_npd(functions: DataFrame) -> DataFrame:
     inner = inner.withColumn("expression", F.concat(F.regexp_extract("chain", r"^([A-Za-z_]\w*)", 1), F.array_join(F.slice("links", F.lit(1), F.col("_k")), "")))
     open_ = inner.filter(F.col("expression").contains("->") & ~chain_guarded(F.col("code"), F.col("expression")))
     first = keep_first(open_, ["function_id"], ["nth", "depth"])
-    pattern = F.replace(F.replace(escape_regex(F.col("expression")), F.lit(r"\->"), F.lit(r"\s*->\s*")), F.lit(r"\["), F.lit(r"\s*\["))
-    line = first_matching_line(F.col("code"), pattern, F.col("start_line"))
+    pattern = F.replace(F.replace(escape_regex(F.col("expression")), F.lit(r"\->"), F.lit(r"[ \t]*->[ \t]*")), F.lit(r"\["), F.lit(r"[ \t]*\["))
+    line = line_of_match(F.col("code"), pattern, F.col("start_line"))
     return first.select(*candidate(F.col("file_path"), line, F.col("name"), "chain_npd", F.col("expression"), F.concat(F.lit("May "), F.col("expression"), F.lit(" be null?"))))
 
 
