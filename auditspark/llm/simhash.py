@@ -30,23 +30,31 @@ TILE = 512
 LEAF = 16
 
 
-def fingerprint(text: bytes | None, words: int = 3) -> int:
-    """A bit is 1 if set in over half of the shingles' hashes."""
+def shingle_hashes(text: bytes | None, words: int = 3) -> np.ndarray:
+    """Hashes of the runs of so many words, in order; of all words if there are fewer."""
     found = (text or b"").lower().split()  # bytes.lower() changes A-Z only
     if not found:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(found)
     ends = np.cumsum([len(w) + 1 for w in found]) - 1
     starts = [0, *(ends[:-1] + 1).tolist()]
-    last = min(words, len(found)) - 1
-    ends = ends[last:].tolist()
-    counts, n = np.zeros(64, np.int64), len(ends)
+    ends = ends[min(words, len(found)) - 1 :].tolist()
+    return np.array([xxh64_intdigest(joined[s:e], SEED) for s, e in zip(starts, ends)], np.uint64)
+
+
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """A bit is 1 if set in over half of the hashes."""
+    counts, n = np.zeros(64, np.int64), len(hashes)
     for at in range(0, n, PIECE):
-        hashes = np.array([xxh64_intdigest(joined[s:e], SEED) for s, e in zip(starts[at : min(at + PIECE, n)], ends[at : at + PIECE])], np.uint64)
-        counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        counts += np.unpackbits(hashes[at : at + PIECE].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(counts * 2 > n, bitorder="little").tobytes(), "little")
 
 
+def fingerprint(text: bytes | None, words: int = 3) -> int:
+    """A bit is 1 if set in over half of the shingles' hashes."""
+    return fingerprint_of(shingle_hashes(text, words))
+
+
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = np.array([fingerprint(x) for x in batch.column(1).cast(pa.binary()).to_pylist()], np.uint64).view(np.int64)

@@ -11,7 +11,7 @@ from conftest import DATA
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from auditspark.llm import decontaminate, langid, licenses, mixing, pii, secret_scan, simhash, substring_dedup
+from auditspark.llm import decontaminate, langid, licenses, mixing, near_copies, pii, secret_scan, simhash, substring_dedup
 from auditspark.llm.common import components_of_pairs, connected_components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row int, size string, tag int, taken int, candidate string"
@@ -150,6 +150,33 @@ def test_components(spark):
     assert got == {n: label[n] for n in nodes}
 
 
+def test_near_copies_at_the_similarity(spark, docs, odd):
+    """Copies from Jaccard 0.8 up go, though their fingerprints differ in more than three bits; those below stay."""
+    rng = random.Random(6)
+    rows, gone = [], set()
+    for g in range(40):
+        w = [f"v{rng.randrange(10**6)}" for _ in range(304)]
+        n = (2, 3, 5, 6, 8, 9)[g % 6]
+        spots = rng.sample(range(10, 290, 10), n)
+        copy = [x if i not in spots else "zz" for i, x in enumerate(w)]
+        rows += [(2 * g, " ".join(w)), (2 * g + 1, " ".join(copy))]
+        a, b = ({tuple(x[i : i + 5]) for i in range(len(x) - 4)} for x in (w, copy))
+        if len(a & b) / len(a | b) >= 0.8:
+            gone.add(2 * g + 1)
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert 10 <= len(gone) < 40
+    kept = {r.doc_id for r in near_copies.drop_copies(table).collect()}
+    assert kept == {d for d, _ in rows} - gone
+    assert any((fingerprint(rows[d - 1][1]) ^ fingerprint(rows[d][1])).bit_count() > 3 for d in gone)
+    # On the driver's documents no two that stay are near copies, and each that goes has one.
+    data = {r.doc_id: r.text for r in docs.collect()}
+    sets = {d: set(near_copies.shingle_set((t or "").encode(), 5).tolist()) for d, t in data.items()}
+    near = {(a, b) for a in sets for b in sets if a != b and (sets[a] == sets[b] or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))}
+    kept = {r.doc_id for r in near_copies.drop_copies(docs).collect()}
+    assert not any(a in kept and b in kept for a, b in near) and set(data) - kept <= {a for a, _ in near}
+    assert near_copies.drop_copies(odd).columns == odd.columns and near_copies.drop_copies(odd.limit(0)).count() == 0
+
+
 # --- personal data
 
 
