@@ -169,8 +169,8 @@ def search(texts: list[str | None], items: Items) -> list[tuple[int, int, int, i
     get = items.vocabulary.get
     lists = [[get(w, -1) for w in TOKEN.findall((t or "").lower())] for t in texts]
     gap = max((len(w) for w in items.words), default=0) + 1
-    # All texts in one array, apart by more unknown words than any window has.
-    bounds = np.cumsum([0] + [len(x) + gap for x in lists])
+    # All texts in one array, apart by more unknown words than any window has; a window may begin before the first text too.
+    bounds = gap + np.cumsum([0] + [len(x) + gap for x in lists])
     words = np.full(bounds[-1] + gap, -1, np.int64)
     for x, at in zip(lists, bounds.tolist()):
         words[at : at + len(x)] = x

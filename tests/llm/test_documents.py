@@ -325,6 +325,20 @@ def test_edited_items_are_found(spark, docs):
     assert hit >= 0.95 * trials
 
 
+def test_first_text_may_lack_the_first_words(spark):
+    """An item less its first word or two opens a text: found wherever the text stands in its slice."""
+    item = "quartz lantern bishop meadow copper thistle harbor velvet saffron ember juniper walnut"
+    block = decontaminate.prepare([(7, item)], 0.2, 0.95)
+    for cut in (1, 2):
+        text = " ".join(item.split()[cut:]) + " and then some other words follow here"
+        found = decontaminate.search([text, "nothing here", text], block)
+        assert [(t, i, cost) for t, i, cost, *_ in found] == [(0, 0, cut), (2, 0, cut)] and all(start == 0 for *_, start, _ in found)
+    alone = spark.createDataFrame([(1, " ".join(item.split()[1:]))], "doc_id long, text string")
+    benchmark = spark.createDataFrame([(7, item)], "item_id long, text string")
+    assert [r.item_id for r in decontaminate.find_leaks(alone, benchmark).collect()] == [7]
+    assert decontaminate.drop_contaminated(alone, benchmark).count() == 0
+
+
 def test_exact_leaks_and_clean_documents(spark, docs, odd):
     benchmark = spark.read.parquet(f"{DATA}/benchmark.parquet")
     items = {r.item_id: r.text for r in benchmark.collect()}
