@@ -32,7 +32,7 @@ ISSUED = re.compile(
     r"|AIza[A-Za-z0-9_-]{35}|eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})"
 )
 PEM = re.compile(r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----")
-MIXED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,512}+(?![A-Za-z0-9+/_-])")
+MIXED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,}+")
 KINDS = ("assign", "access", "hex", "issued", "pem", "mixed")
 PLACEHOLDER = re.compile(r"example|sample|dummy|placeholder|changeme|xxxx|1234567|abcdef", re.I)
 

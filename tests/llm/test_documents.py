@@ -252,6 +252,18 @@ def test_owned_and_copied_secrets(spark):
     assert found == {1: [("issued", "live", 1)], 2: [], 3: [], 4: [], 5: [("assign", "weak", 1), ("hex", "weak", 1)]}
 
 
+def test_long_tokens(spark):
+    """A key in one base64 line of any length is a span; a long run of one letter is not."""
+    rng = random.Random(8)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    tokens = ["".join(rng.choices(alphabet, k=n)) for n in (24, 500, 512, 513, 1600, 40_000)]
+    for t in tokens:
+        assert [x[:3] for x in secret_scan.added_spans(f"key {t} end", [])] == [(4, 5, 4 + len(t))]
+    assert secret_scan.added_spans("aB1" + "x" * 100_000, []) == []
+    docs = spark.createDataFrame([(1, f"key {tokens[4]}", "r", "o")], "doc_id long, text string, repo string, owner string")
+    assert [(f["kind"], f["verdict"]) for f in secret_scan.scan_secrets(docs, "repo", "owner").first().findings] == [("mixed", "live")]
+
+
 # --- mixing
 
 
