@@ -1,13 +1,16 @@
 """Personal data: patterns, and information-theoretic sanitisation of the terms that reveal it.
 
-Base patterns find protected entities. Every entity is a concept of the corpus; words within ``REACH`` words of it are
-its context. With positions of words as the sample space, E the positions near entity e and T those of term t,
+Base patterns find protected entities. Every entity is a concept of the corpus, and so are each kind of entity and all of
+them together; words within ``REACH`` words of it are its context. With positions of words as the sample space, E the
+positions near concept e and T those of term t,
 
-    disclosure(t, e) = PMI(T; E) / IC(E) = log(P(T, E) / (P(T) P(E))) / -log P(E)
+    disclosure(t, e) = PMI(T; E) / IC(E) = log(P(E | T) / P(E)) / -log P(E)
 
-is the share of the entity's information that the term gives away: 1 if the term occurs near that entity only, 0 if it is
-independent of it. Terms that exceed the threshold and are supported by several distinct contexts (copies of one passage
-count once) are spans too, wherever they occur; sanitising generalises them to the kind of what they reveal.
+is the share of the concept's information that the term gives away: 1 if the term occurs near it only, 0 if it is
+independent of it. P(E | T) is the lower confidence bound (Wilson) of the share of the term's occurrences that are near e,
+where equal contexts (copies of one passage) count once: few occurrences lower the disclosure, but no entity is too rare to
+have any. Terms that exceed the threshold are spans too, wherever they occur; sanitising generalises them to the kind of
+what they reveal.
 
 Defined results: a null text is empty; repeated rows each get a row; an empty table gives an empty result; other columns
 are ignored or passed through. Long texts are scanned whole, in linear time.
@@ -88,18 +91,20 @@ def signed(value: int) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-def context(text: str, start: int, end: int) -> list[str]:
-    """Up to REACH words of letters on either side, lower-cased."""
-    before = [m.lower() for m in TERM.findall(text[max(0, start - 24 * REACH) : start])][-REACH:]
-    after = [m.lower() for m in TERM.findall(text[end : end + 24 * REACH])][:REACH]
+def context(text: str, start: int, end: int) -> list[tuple[int, str]]:
+    """Up to REACH words of letters on either side, lower-cased, with their places."""
+    first = max(0, start - 24 * REACH)
+    before = [(first + m.start(), m[0].lower()) for m in TERM.finditer(text[first:start])][-REACH:]
+    after = [(end + m.start(), m[0].lower()) for m in TERM.finditer(text[end : end + 24 * REACH])][:REACH]
     return before + after
 
 
-SCAN = "doc_id long, text_key long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base string, words long, near array<struct<entity:long,kind:int,context:long,terms:array<string>>>"
+#: fresh: bits of the levels (entity, kind, all) of which no earlier span has counted this occurrence of the term.
+SCAN = "doc_id long, text_key long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base string, words long, near array<struct<entity:long,kind:int,context:long,terms:array<struct<term:string,fresh:int>>>>"
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    near_type = pa.list_(pa.struct([("entity", pa.int64()), ("kind", pa.int32()), ("context", pa.int64()), ("terms", pa.list_(pa.string()))]))
+    near_type = pa.list_(pa.struct([("entity", pa.int64()), ("kind", pa.int32()), ("context", pa.int64()), ("terms", pa.list_(pa.struct([("term", pa.string()), ("fresh", pa.int32())])))]))
     for batch in batches:
         keys, counts, shas, bases, words, near = [], [[], [], [], []], [], [], [], []
         for text in batch.column(1).to_pylist():
@@ -112,11 +117,17 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             shas.append(hashlib.sha256(bases[-1].encode()).hexdigest())
             keys.append(signed(xxh64_intdigest(text.encode(), 42)))
             words.append(text.count(" ") + 1 if text else 0)
-            found = []
+            found, seen = [], set()
             for s, k, e in spans:
-                terms = context(text, s, e)
+                around = context(text, s, e)
                 value = re.sub(r"[^0-9a-z@.]", "", text[s:e].lower())
-                found.append({"entity": signed(xxh64_intdigest(f"{k}:{value}".encode())), "kind": k, "context": signed(xxh64_intdigest(" ".join(terms).encode())), "terms": terms})
+                entity = signed(xxh64_intdigest(f"{k}:{value}".encode()))
+                terms = []
+                for place, term in around:
+                    marks = [(0, entity, place), (1, k, place), (2, 0, place)]
+                    terms.append({"term": term, "fresh": sum(1 << m[0] for m in marks if m not in seen)})
+                    seen.update(marks)
+                found.append({"entity": entity, "kind": k, "context": signed(xxh64_intdigest(" ".join(t for _, t in around).encode())), "terms": terms})
             near.append(found)
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.int64()), *(pa.array(c, pa.int64()) for c in counts), pa.array(shas, pa.string()), pa.array(bases, pa.string()), pa.array(words, pa.int64()), pa.array(near, near_type)],
             ["doc_id", "text_key", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base", "words", "near"])
@@ -177,31 +188,48 @@ def find_terms(rows: DataFrame, terms: DataFrame) -> DataFrame:
     return found.distinct().join(terms.select("term", "kind").distinct(), "term").select("doc_id", "text_key", "start", "end", "kind")
 
 
-def disclosing_terms(rows: DataFrame, scanned: DataFrame, threshold: float, support: int) -> DataFrame | None:
+def disclosing_terms(rows: DataFrame, scanned: DataFrame, threshold: float, z: float) -> DataFrame | None:
     """Rows ``(term, kind, disclosure)`` of the terms over the threshold; None if there are none."""
     near = scanned.filter(F.size("near") > 0).select(F.inline("near"))
-    one = near.select("entity", "kind", "context", F.explode("terms").alias("term")).groupBy("entity", "kind", "term", "context").agg(F.count(F.lit(1)).alias("n"))
-    pairs = one.groupBy("entity", "kind", "term").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("contexts")).filter(F.col("contexts") >= support)
-    pairs = materialize(pairs, "pii-pairs")
+    level = lambda n, of: F.struct(F.lit(n).alias("level"), of.cast("long").alias("of"))
+    levels = F.array(level(0, F.col("entity")), level(1, F.col("kind")), level(2, F.lit(0)))
+    counted = near.select("entity", "kind", "context", F.inline("terms")).select("kind", "context", "term", "fresh", F.inline(levels)).filter("shiftright(fresh, level) & 1 = 1")
+    one = counted.groupBy("level", "of", "kind", "term", "context").agg(F.count(F.lit(1)).alias("n"))
+    kinds = one.groupBy("level", "of", "kind", "term").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("contexts"))
+    pairs = kinds.groupBy("level", "of", "term").agg(F.sum("n").alias("n"), F.sum("contexts").alias("contexts"), F.max_by("kind", F.struct("contexts", "kind")).alias("kind"))
+    words = max(2, scanned.agg(F.sum("words")).first()[0] or 0)
+    # Kinds and the whole are five rows at most; only entities are joined.
+    by_kind = {r[0]: r[1] for r in near.groupBy("kind").count().collect()}
+    cover = F.when(F.col("level") == 2, sum(by_kind.values()))
+    for kind, spans in by_kind.items():
+        cover = cover.when((F.col("level") == 1) & (F.col("of") == kind), spans)
+    entities = near.groupBy(F.col("entity").alias("of")).agg(F.count(F.lit(1)).alias("cover"))
+    pairs = pairs.filter("level = 0").join(entities, "of").unionByName(pairs.filter("level > 0").withColumn("cover", cover.cast("long")))
+
+    def disclosure(outside):
+        """From the contexts that hold the term and its occurrences elsewhere."""
+        trials, z2 = F.col("contexts") + outside, z * z
+        share = F.col("contexts") / trials
+        bound = (share + z2 / (2 * trials) - z * F.sqrt(share * (1 - share) / trials + z2 / (4 * trials * trials))) / (1 + z2 / trials)
+        of = F.least(F.lit(1.0), F.col("cover") * (2 * REACH) / words)
+        return F.log(bound / of) / F.greatest(F.lit(1e-9), -F.log(of))
+
+    # Those that could not reach the threshold if all their occurrences were near need no count.
+    pairs = materialize(pairs.filter(disclosure(F.lit(0)) >= threshold), "pii-pairs")
     if is_empty(pairs):
         return None
     totals = count_terms(rows, pairs)
-    covered = near.groupBy("entity").agg((F.count(F.lit(1)) * 2 * REACH).alias("cover"))
-    words = max(2, scanned.agg(F.sum("words")).first()[0] or 0)
-    joint = F.least("n", "total") / words
-    pmi = F.log(joint / (F.col("total") / words * F.col("cover") / words))
-    disclosure = pmi / F.greatest(F.lit(1e-9), -F.log(F.least(F.lit(1.0), F.col("cover") / words)))
-    found = pairs.join(totals, "term").join(covered, "entity").withColumn("disclosure", disclosure).filter(F.col("disclosure") >= threshold)
+    found = pairs.join(totals, "term").withColumn("disclosure", disclosure(F.greatest(F.lit(0), F.col("total") - F.col("n")))).filter(F.col("disclosure") >= threshold)
     best = materialize(found.groupBy("term").agg(F.max_by("kind", F.struct("disclosure", "kind")).alias("kind"), F.max("disclosure").alias("disclosure")), "pii-terms")
     return None if is_empty(best) else best
 
 
-def scan_pii(docs: DataFrame, threshold: float = 0.9, support: int = 3) -> DataFrame:
+def scan_pii(docs: DataFrame, threshold: float = 0.9, z: float = 1.96) -> DataFrame:
     """One row per row of ``docs(doc_id, text)``: doc_id, text_key, counts, base_sha256, base, terms (array of start, end,
     kind of what the term reveals)."""
     rows = docs.select(column_or_null(docs, "doc_id", "long").alias("doc_id"), column_or_null(docs, "text", "string").alias("text"))
     scanned = materialize(rows.mapInArrow(_scan, SCAN), "pii")
-    found = disclosing_terms(rows, scanned, threshold, support)
+    found = disclosing_terms(rows, scanned, threshold, z)
     keep = scanned.select("doc_id", "text_key", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base")
     empty = F.expr("cast(array() as array<struct<start:int,end:int,kind:int>>)")
     if found is None:
@@ -228,11 +256,11 @@ def sanitise(text: str, base: list[tuple[int, int, int]], terms: list[tuple[int,
     return "".join(out) + text[at:]
 
 
-def sanitise_documents(docs: DataFrame, threshold: float = 0.9, support: int = 3) -> DataFrame:
+def sanitise_documents(docs: DataFrame, threshold: float = 0.9, z: float = 1.96) -> DataFrame:
     """``docs`` with personal data and disclosing terms of the text replaced, and n_chars (if there) counted again."""
     rows = docs.select(column_or_null(docs, "doc_id", "long").alias("doc_id"), column_or_null(docs, "text", "string").alias("text"))
     scanned = materialize(rows.mapInArrow(_scan, SCAN), "pii")
-    found = disclosing_terms(rows, scanned, threshold, support)
+    found = disclosing_terms(rows, scanned, threshold, z)
     names, schema = docs.columns, docs.schema
     at = names.index("text")
     if found is not None:

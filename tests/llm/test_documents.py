@@ -225,6 +225,19 @@ def test_disclosing_terms(spark):
     assert pii.scan_pii(copies, threshold=0.1).filter(F.size("terms") > 0).count() == 0
 
 
+def test_terms_of_rare_entities(spark):
+    """A name beside an address that occurs once or twice is a span; so is a word that only stands beside many of them."""
+    rng = random.Random(5)
+    filler = [f"{a}{b}" for a in ("alpha", "beta", "gamma", "delta", "omega") for b in ("son", "ton", "mark", "field", "wood", "dale")]
+    pick = lambda n: " ".join(rng.choices(filler, k=n))
+    rows = [(i, pick(400)) for i in range(150)]
+    rows += [(1000, f"{pick(8)} Zorblat z@corp.example.org {pick(8)}"), (1001, f"{pick(8)} Quendrin q@corp.example.org {pick(8)}"), (1002, f"{pick(8)} q@corp.example.org {pick(2)} Quendrin {pick(8)}"), (1003, f"{pick(20)} quendrin {pick(20)}")]
+    rows += [(2000 + i, f"{pick(8)} correspondence p{i}@corp.example.org {pick(8)}") for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {(r.doc_id, dict(rows)[r.doc_id][t["start"] : t["end"]].lower()) for r in pii.scan_pii(docs, threshold=0.7).collect() for t in r.terms}
+    assert found == {(1000, "zorblat"), (1001, "quendrin"), (1002, "quendrin"), (1003, "quendrin"), *((2000 + i, "correspondence") for i in range(30))}
+
+
 def test_sanitise_overlaps():
     text = "call +1 702 555 0742 now"
     assert pii.sanitise(text, pii.base_spans(text), []) == "call [PHONE] now"
