@@ -93,31 +93,53 @@ def components_of_pairs(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarr
     return label
 
 
+#: A key with so many rows is heavy; of a table of n rows at most n / max(HUB, n / MAX_HUBS) keys are, so at most MAX_HUBS.
+HUB = 256
+MAX_HUBS = 4096
+
+
+def join_split(rows: DataFrame, facts: DataFrame, keys: list[str], total: int) -> DataFrame:
+    """Inner join of ``rows`` with ``facts``, which has one row a key and in ``copies`` how many of the ``total`` rows hold it.
+
+    Rows of heavy keys stay where they are and meet their few facts, at most MAX_HUBS, by a broadcast; the rest is shuffled.
+    """
+    hub = max(HUB, total // MAX_HUBS)
+    heavy = F.broadcast(facts.filter(F.col("copies") >= hub))
+    light = rows.join(heavy.select(*keys), keys, "left_anti").join(facts.filter(F.col("copies") < hub), keys)
+    return rows.join(heavy, keys).unionByName(light)
+
+
+def with_least(edges: DataFrame, total: int) -> DataFrame:
+    """``edges(u, v)`` with m, the least v of each u."""
+    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("copies"))
+    return join_split(edges, least, ["u"], total).select("u", "v", "m")
+
+
 def connected_components(edges: DataFrame, name: str = "components") -> DataFrame:
     """Rows ``(node, component)``, component being the least node reachable, of every node in ``edges(a, b)``.
 
     Large-star and small-star rounds as joins and grouped minima; each round is a written table, so the lineage stays
-    short, and no group is ever gathered into one task. Ends when a round changes nothing.
+    short. No group is gathered into one task: minima are combined before the shuffle, and hubs are joined by a broadcast
+    of bounded size. Ends when a round changes nothing.
     """
     pairs = edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     pairs = materialize(pairs, name)
-    if is_empty(pairs):
+    n = pairs.count()
+    if not n:
         return pairs.select(F.col("a").alias("node"), F.col("b").alias("component"))
     state = None
     while True:
         # Large star: each node links its larger neighbours to the least of its neighbourhood.
         both = pairs.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(pairs.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("m").alias("a"), F.col("v").alias("b")).distinct()
+        large = with_least(both, 2 * n).filter("v > u").select(F.least("m", "u").alias("a"), F.col("v").alias("b")).distinct()
         # Small star: each node links its smaller neighbours, and itself, to the least of them.
-        large = materialize(large.filter("a <> b"), name)
-        least = large.groupBy(F.col("b").alias("u")).agg(F.min("a").alias("m"))
-        small = large.join(least, large.b == least.u)
-        small = small.select(F.col("m").alias("x"), F.col("a").alias("y")).unionAll(least.select(F.col("m").alias("x"), F.col("u").alias("y")))
+        large = materialize(large, name)
+        small = with_least(large.select(F.col("b").alias("u"), F.col("a").alias("v")), large.count())
+        small = small.select(F.col("m").alias("x"), F.col("v").alias("y")).unionAll(small.select(F.col("m").alias("x"), F.col("u").alias("y")))
         after = materialize(small.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), name)
         found = after.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         forget(pairs, large)
-        pairs = after
+        pairs, n = after, found[0]
         if state == found:
             return pairs.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("component")).unionByName(pairs.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())
         state = found

@@ -4,14 +4,17 @@ Each unit vector x is stored as x = s q + e with int8 components q, a scale s an
 <x, y> differs from s_x s_y <q_x, q_y> by at most |s_x q_x| |e_y| + |e_x|, so a tile product of int8 matrices gives an
 upper bound of every cosine; only pairs whose bound reaches the threshold are computed again in double precision.
 
-Equal vectors are folded into one first. The rest is sorted by label and by the angle to a fixed direction by a range
-shuffle, which also splits a hot label over many tasks, and cut into tiles; tiles of one label whose balls (centre and
-angular radius) lie too far apart to hold a link are never multiplied. Each product returns link counts and a spanning
+Equal vectors are folded into one node first, by label and a 128-bit hash. Nodes are sorted by label and by the angle to a
+fixed direction by a range shuffle, which also splits a hot label over many tasks, and cut into tiles and groups of tiles;
+tiles of one label whose balls (centre and angular radius) lie too far apart to hold a link are never multiplied. Pairs of
+groups are the units of work: a unit's task holds the tiles of one group and streams those of the other past them, so a
+tile is moved once for each group that it may meet, not for each tile. Each product returns link counts and a spanning
 forest, never all pairs.
 
 Defined results: a vector that is null, empty, zero or holds a null or non-finite component, and one with a null label,
-links with nothing. Vectors of different lengths never link. Rows that repeat a vec_id are vectors of their own. A null
-vec_id never names a component. Repeated rows each get a row; an empty table gives an empty result.
+links with nothing. Vectors of different lengths never link. Rows that repeat a vec_id are vectors of their own, and
+such an id joins nothing. A null vec_id never names a component. Repeated rows each get a row; an empty table gives an
+empty result; other columns are ignored. A cosine equal to the threshold links.
 """
 
 from __future__ import annotations
@@ -23,9 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column_or_null, components_of_pairs, connected_components, materialize
+from .common import column_or_null, components_of_pairs, connected_components, join_split, materialize
 
 TILE = 2048
+#: Tiles of a group, so many bytes of vectors at most, and rows and columns over which the pairs of a label's groups are dealt.
+GROUP = 16
+GROUP_BYTES = 1 << 26
+DEALS = 8
 EPS = 1e-9
 
 
@@ -69,10 +76,10 @@ def unpacked(data: bytes, dim: int) -> np.ndarray:
 
 
 def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Tiles of at most TILE consecutive vectors of one label and length."""
-    names = ["label", "dim", "tile", "centre", "radius", "ids", "copies", "vectors"]
+    """Tiles of at most TILE consecutive vectors of one label and length; a group is named by its first vector's node."""
+    names = ["label", "dim", "grp", "tile", "centre", "radius", "ids", "copies", "vectors"]
 
-    def record(label, dim, ids, copies, vectors):
+    def record(label, dim, grp, ids, copies, vectors):
         x = np.frombuffer(b"".join(vectors), np.float64).reshape(-1, dim)
         unit = x / np.linalg.norm(x, axis=1)[:, None]
         centre = unit.mean(axis=0)
@@ -80,45 +87,109 @@ def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centre = centre / length if length > 1e-12 else unit[0]
         radius = float(np.arccos(np.clip((unit @ centre).min(), -1, 1))) + 1e-6
         return pa.RecordBatch.from_arrays([
-            pa.array([label], pa.int64()), pa.array([dim], pa.int32()), pa.array([ids[0]], pa.int64()), pa.array([centre.tolist()], pa.list_(pa.float64())), pa.array([radius]),
+            pa.array([label], pa.int64()), pa.array([dim], pa.int32()), pa.array([grp], pa.int64()), pa.array([ids[0]], pa.int64()), pa.array([centre.tobytes()], pa.binary()), pa.array([radius]),
             pa.array([np.array(ids, np.int64).tobytes()], pa.binary()), pa.array([np.array(copies, np.int64).tobytes()], pa.binary()), pa.array([packed(x)], pa.binary()),
         ], names)
 
-    key, ids, copies, vectors = None, [], [], []
+    key, grp, tiles, ids, copies, vectors = None, None, 0, [], [], []
     for batch in batches:
         lists = batch.column(4)
-        for label, dim, rep, n, row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), lists):
+        for label, dim, node, n, row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), lists):
             if ids and (key != (label, dim) or len(ids) == TILE):
-                yield record(*key, ids, copies, vectors)
+                yield record(*key, grp, ids, copies, vectors)
+                tiles += 1
                 ids, copies, vectors = [], [], []
+            if key != (label, dim) or tiles >= max(1, min(GROUP, GROUP_BYTES // (8 * TILE * dim))):
+                grp, tiles = node, 0
             key = (label, dim)
-            ids.append(rep)
+            ids.append(node)
             copies.append(n)
             vectors.append(row.values.to_numpy(zero_copy_only=False).astype(np.float64).tobytes())
     if ids:
-        yield record(*key, ids, copies, vectors)
+        yield record(*key, grp, ids, copies, vectors)
+
+
+TILES = "label long, dim int, grp long, tile long, centre binary, radius double, ids binary, copies binary, vectors binary"
+
+
+def far(angle: float, a: dict, b: dict) -> bool:
+    """Whether no vector of a tile (or group) can lie within the angle of one of the other."""
+    x, y = np.frombuffer(a["centre"]), np.frombuffer(b["centre"])
+    return float(np.arccos(np.clip(x @ y, -1.0, 1.0))) > a["radius"] + b["radius"] + angle + 1e-6
+
+
+def _group_pairs(angle: float):
+    """(label, dim, a, b) of the groups in a cell that may hold links: those of side 0 are held, those of side 1 go past."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, held = None, []
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                here = (row["label"], row["dim"], row["i"], row["j"])
+                if cell != here:
+                    cell, held = here, []
+                if row["side"] == 0:
+                    held.append(row)
+                if row["side"] == 1 or row["i"] == row["j"]:
+                    out += [(*here[:2], x["grp"], row["grp"]) for x in held if x["grp"] == row["grp"] or not far(angle, x, row)]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out), (pa.int64(), pa.int32(), pa.int64(), pa.int64()))], ["label", "dim", "a", "b"])
+
+    return run
+
+
+def groups_of(tiles: DataFrame) -> DataFrame:
+    """One row a group: a ball around its first tile's centre that holds the balls of all its tiles."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        centre = np.frombuffer(rows[0]["centre"])
+        radius = max(float(np.arccos(np.clip(np.frombuffer(r["centre"]) @ centre, -1.0, 1.0))) + r["radius"] for r in rows) + 1e-6
+        return pa.table({"label": [rows[0]["label"]], "dim": pa.array([rows[0]["dim"]], pa.int32()), "grp": [rows[0]["grp"]], "centre": pa.array([centre.tobytes()], pa.binary()), "radius": [radius]})
+
+    # GROUP rows a group at most.
+    return tiles.select("label", "dim", "grp", "centre", "radius").groupBy("label", "dim", "grp").applyInArrow(run, "label long, dim int, grp long, centre binary, radius double")
 
 
 def _multiply(threshold: float):
+    """Units of work, sorted: the tiles of a unit's group a come before those of its group b. Within one group each tile
+    meets itself and those before it."""
+    angle = float(np.arccos(threshold))
+
+    def links(a: dict, b: dict, same: bool) -> pa.RecordBatch | None:
+        i, j = linked(a["x"], b["x"], threshold)
+        if same:
+            keep = i != j
+            degree = np.bincount(i[keep], a["n"][j[keep]], len(a["x"])).astype(np.int64)
+            ids = a["nodes"]
+        else:
+            ids, n, j = np.concatenate([a["nodes"], b["nodes"]]), np.concatenate([a["n"], b["n"]]), j + len(a["x"])
+            degree = (np.bincount(i, n[j], len(ids)) + np.bincount(j, n[i], len(ids))).astype(np.int64)
+        some = np.flatnonzero(degree)
+        if not len(some):
+            return None
+        root = components_of_pairs(len(ids), i, j)
+        return pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(ids[root[some]]), pa.array(degree[some])], ["id", "root", "degree"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit, held = None, []
         for batch in batches:
-            for n in range(batch.num_rows):
-                row = {name: batch.column(i)[n].as_py() for i, name in enumerate(batch.schema.names)}
-                dim = row["dim"]
-                a, b = (unpacked(row[k], dim) for k in ("x", "y"))
-                i, j = linked(a, b, threshold)
-                ids, copies = (np.frombuffer(row[k + "_a"] + row[k + "_b"], np.int64) for k in ("ids", "copies"))
-                if row["same"]:
-                    keep = i != j
-                    degree = np.bincount(i[keep], copies[j[keep]], len(a)).astype(np.int64)
-                    ids = ids[: len(a)]
-                else:
-                    j = j + len(a)
-                    degree = (np.bincount(i, copies[j], len(a) + len(b)) + np.bincount(j, copies[i], len(a) + len(b))).astype(np.int64)
-                some = np.flatnonzero(degree)
-                if len(some):
-                    root = components_of_pairs(len(ids), i, j)
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(ids[root[some]]), pa.array(degree[some])], ["id", "root", "degree"])
+            for at in range(batch.num_rows):
+                row = batch.slice(at, 1).to_pylist()[0]
+                here = (row["a"], row["b"])
+                if unit != here:
+                    unit, held = here, []
+                row["x"] = unpacked(row.pop("vectors"), row["dim"])
+                row["nodes"], row["n"] = (np.frombuffer(row.pop(c), np.int64) for c in ("ids", "copies"))
+                own = row["a"] == row["b"]
+                if row["side"] == 0:
+                    held.append(row)
+                if row["side"] == 1 or own:
+                    for other in held:
+                        same = other is row
+                        if (same or not far(angle, other, row)) and (found := links(other, row, same)) is not None:
+                            yield found
 
     return run
 
@@ -128,32 +199,36 @@ def embedding_components(rows: DataFrame, threshold: float = 0.98) -> DataFrame:
     rows = rows.select(column_or_null(rows, "vec_id", "long").alias("vec_id"), column_or_null(rows, "embedding", "array<double>").alias("embedding"), column_or_null(rows, "label", "long").alias("label"))
     fine = F.exists("embedding", lambda x: x != 0) & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     usable = F.coalesce(F.col("label").isNotNull() & fine, F.lit(False))
-    # Where all copies lack an id, a number derived from the vector stands for them.
-    folded = rows.filter(usable).groupBy("label", "embedding").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("copies"))
-    folded = materialize(folded.withColumn("node", F.coalesce("least", F.xxhash64("label", "embedding"))), "embedding-folded")
+    keys = ["k1", "k2"]
+    keyed = rows.withColumns({"k1": F.xxhash64("label", "embedding"), "k2": F.xxhash64(F.lit(77), "label", F.size("embedding"), "embedding")})
+    folded = keyed.filter(usable).groupBy(*keys).agg(F.first("label").alias("label"), F.first("embedding").alias("embedding"), F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("copies"))
+    # The numbers of the nodes become fixed as the table is written.
+    folded = materialize(folded.withColumn("node", F.monotonically_increasing_id()), "embedding-folded")
     # A fixed direction: the first components' sum orders near vectors near each other.
     length = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x))
     along = F.aggregate(F.transform("embedding", lambda x, i: x * F.when(i % 2 == 0, 1.0).otherwise(-1.0)), F.lit(0.0), lambda s, x: s + x) / length
     dealt = folded.select("label", F.size("embedding").alias("dim"), "node", "copies", "embedding", along.alias("along"))
     dealt = dealt.repartitionByRange("label", "dim", "along", "node").sortWithinPartitions("label", "dim", "along").drop("along")
-    tiles = materialize(dealt.mapInArrow(_tiles, "label long, dim int, tile long, centre array<double>, radius double, ids binary, copies binary, vectors binary"), "embedding-tiles")
-    heads = tiles.select("label", "dim", "tile", "centre", "radius")
-    t, u = heads.alias("t"), heads.alias("u")
-    dot = F.aggregate(F.zip_with("t.centre", "u.centre", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    near = F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), dot))) <= F.col("t.radius") + F.col("u.radius") + float(np.arccos(threshold)) + 1e-6
-    pairs = t.join(u, (F.col("t.label") == F.col("u.label")) & (F.col("t.dim") == F.col("u.dim")) & (F.col("t.tile") <= F.col("u.tile")) & ((F.col("t.tile") == F.col("u.tile")) | near))
-    pairs = materialize(pairs.select(F.col("t.label").alias("label"), F.col("t.dim").alias("dim"), F.col("t.tile").alias("a"), F.col("u.tile").alias("b")), "embedding-pairs")
-    keys = ["label", "dim"]
-    side = lambda name, at: tiles.select(*keys, F.col("tile").alias(at), F.col("vectors").alias(name), F.col("ids").alias(f"ids_{at}"), F.col("copies").alias(f"copies_{at}"))
-    work = pairs.join(side("x", "a"), [*keys, "a"]).join(side("y", "b"), [*keys, "b"]).withColumn("same", F.col("a") == F.col("b"))
+    tiles = materialize(dealt.mapInArrow(_tiles, TILES), "embedding-tiles")
+    # Pairs of groups of one label, dealt over DEALS x DEALS cells: a group stands in one row and one column of them.
+    groups = groups_of(tiles).withColumns({"own": F.pmod(F.xxhash64("grp"), F.lit(DEALS)).cast("int"), "other": F.explode(F.sequence(F.lit(0), F.lit(DEALS - 1)))})
+    side = F.when(F.col("own") <= F.col("other"), 0).otherwise(1)
+    cells = groups.select("label", "dim", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), side.alias("side"), "grp", "centre", "radius")
+    cells = cells.repartition("label", "dim", "i", "j").sortWithinPartitions("label", "dim", "i", "j", "side")
+    pairs = materialize(cells.mapInArrow(_group_pairs(float(np.arccos(threshold))), "label long, dim int, a long, b long"), "embedding-pairs")
+    roles = pairs.select("a", "b", F.lit(0).alias("side"), F.col("a").alias("grp")).unionAll(pairs.filter("a <> b").select("a", "b", F.lit(1), "b"))
+    work = roles.join(tiles.drop("tile"), "grp").select("a", "b", "side", "dim", "centre", "radius", "ids", "copies", "vectors")
+    work = work.repartition("a", "b").sortWithinPartitions("a", "b", "side")
     links = materialize(work.mapInArrow(_multiply(threshold), "id long, root long, degree long"), "embedding-links")
     parts = connected_components(links.select(F.col("id").alias("a"), F.col("root").alias("b")), "embedding-parts")
     degrees = links.groupBy(F.col("id").alias("node")).agg(F.sum("degree").alias("degree"))
-    nodes = folded.join(degrees, "node", "left").join(parts, "node", "left")
-    nodes = materialize(nodes.select("label", "embedding", "least", F.coalesce("component", "node").alias("part"), (F.coalesce("degree", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "embedding-nodes")
-    names = nodes.groupBy("part").agg(F.min("least").alias("component_id"))
-    nodes = nodes.join(names, "part").select(F.col("label").alias("l"), F.col("embedding").alias("e"), "n_links", "component_id")
-    tied = rows.filter(usable).join(nodes, (F.col("label") == F.col("l")) & (F.col("embedding") == F.col("e")))
+    nodes = folded.select(*keys, "node", "least", "copies").join(degrees, "node", "left").join(parts, "node", "left")
+    n_links = F.coalesce("degree", F.lit(0)) + F.col("copies") - 1
+    nodes = materialize(nodes.select(*keys, "least", F.col("copies").alias("rows"), F.coalesce("component", "node").alias("part"), n_links.alias("n_links")), "embedding-nodes")
+    n_nodes, n_rows = nodes.agg(F.count(F.lit(1)), F.sum("rows")).first()
+    names = nodes.groupBy("part").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("copies"))
+    named = join_split(nodes, names, ["part"], n_nodes).select(*keys, F.col("rows").alias("copies"), "n_links", "component_id")
+    tied = join_split(keyed.filter(usable).select("vec_id", *keys), materialize(named, "embedding-names"), keys, n_rows or 0)
     alone = rows.filter(~usable).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     both = tied.select("vec_id", "n_links", "component_id").unionByName(alone)
     return both.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))

@@ -22,12 +22,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import column_or_null, components_of_pairs, connected_components, materialize
+from .common import column_or_null, components_of_pairs, connected_components, join_split, materialize
 
 SEED = 42
 PIECE = 1 << 15
 TILE = 512
 LEAF = 16
+#: Tiles on each side of a cell, where one block value has many tiles.
+CELL = 64
 
 
 def shingle_hashes(text: bytes | None, words: int = 3) -> np.ndarray:
@@ -155,28 +157,71 @@ def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield record(block, fps, spans[i : i + 4096])
 
 
-def _compare(k: int):
+def small_pairs(parts: list[bytes], k: int) -> np.ndarray:
+    """Links within tiles of one leaf each, which have no upper node to prune by: all such tiles at once, by distance in
+    Gray order."""
+    fps = np.frombuffer(b"".join(parts), np.uint64)
+    tile = np.repeat(np.arange(len(parts)), [len(p) // 8 for p in parts])
+    left, right = [], []
+    for step in range(1, min(LEAF, len(fps))):
+        at = np.flatnonzero((tile[step:] == tile[:-step]) & (np.bitwise_count(fps[step:] ^ fps[:-step]) <= k))
+        left.append(fps[at])
+        right.append(fps[at + step])
+    return np.stack([np.concatenate(left), np.concatenate(right)]) if left else np.zeros((2, 0), np.uint64)
+
+
+def forest(a: np.ndarray, b: np.ndarray | None, k: int) -> np.ndarray:
+    """Spanning links of those within a tile (b is None) or between two."""
+    left, right = search(a, a if b is None else b, k)
+    if b is None:
+        keep = left < right
+        left, right = left[keep], right[keep]
+    else:
+        right = right + len(a)
+    both = a if b is None else np.concatenate([a, b])
+    label = components_of_pairs(len(both), left, right)
+    tied = np.flatnonzero(label != np.arange(len(both)))
+    return np.stack([both[label[tied]], both[tied]])
+
+
+def _edges(found: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    if found:
+        edges = np.unique(np.concatenate(found, axis=1), axis=1).view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(edges[0]), pa.array(edges[1])], ["a", "b"])
+
+
+def _within(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tiles = batch.column(0).to_pylist()
+            found = [small_pairs([t for t in tiles if len(t) <= 8 * LEAF], k)]
+            found += [forest(np.frombuffer(t, np.uint64), None, k) for t in tiles if len(t) > 8 * LEAF]
+            yield from _edges(found)
+
+    return run
+
+
+def _across(k: int):
+    """Cells of the grid, sorted: a cell's rows of side 0, which are held, come before those of side 1. In a cell on the
+    diagonal all are of side 0, and each meets those before it."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, held, masks, patterns = None, [], [], []
         for batch in batches:
-            found: list[np.ndarray] = []
-            for same, x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                a = np.frombuffer(x, np.uint64)
-                b = a if same else np.frombuffer(y, np.uint64)
-                left, right = search(a, b, k)
-                if same:
-                    keep = left < right
-                    left, right = left[keep], right[keep]
-                else:
-                    right = right + len(a)
-                if not len(left):
-                    continue
-                both = a if same else np.concatenate([a, b])
-                label = components_of_pairs(len(both), left, right)
-                tied = np.flatnonzero(label != np.arange(len(both)))
-                found.append(np.stack([both[label[tied]], both[tied]]).view(np.int64))
-            if found:
-                edges = np.unique(np.concatenate(found, axis=1), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(edges[0]), pa.array(edges[1])], ["a", "b"])
+            found = []
+            for block, i, j, side, mask, pattern, fps in zip(*(c.to_pylist() for c in batch.columns)):
+                if cell != (block, i, j):
+                    cell, held, masks, patterns = (block, i, j), [], [], []
+                mine = np.frombuffer(fps, np.uint64)
+                mask, pattern = np.array([mask, pattern], np.int64).view(np.uint64)
+                if side == 1 or i == j:
+                    apart = np.bitwise_count(np.array(masks, np.uint64) & mask & (np.array(patterns, np.uint64) ^ pattern))
+                    found += [forest(held[n], mine, k) for n in np.flatnonzero(apart <= k).tolist()]
+                if side == 0:
+                    held.append(mine)
+                    masks.append(mask)
+                    patterns.append(pattern)
+            yield from _edges(found)
 
     return run
 
@@ -189,8 +234,9 @@ def near_links(fps: DataFrame, k: int = 3, blocks: int | None = None) -> DataFra
     """
     from itertools import combinations
 
+    n_fps = fps.count()
     if blocks is None:
-        blocks = k + 1 if fps.count() < 1 << 27 else k + 2
+        blocks = k + 1 if n_fps < 1 << 27 else k + 2
     edges_of = [round(64 * i / blocks) for i in range(blocks + 1)]
     keys = []
     for n, chosen in enumerate(combinations(range(blocks), blocks - k)):
@@ -204,28 +250,35 @@ def near_links(fps: DataFrame, k: int = 3, blocks: int | None = None) -> DataFra
     dealt = fps.select(F.explode(F.array(*keys)).alias("block"), "fp", rank.alias("rank"))
     dealt = dealt.repartitionByRange("block", "rank").sortWithinPartitions("block", "rank").select("block", "fp")
     tiles = materialize(dealt.mapInArrow(_tiles, "block long, tile long, mask long, pattern long, fps binary"), "simhash-tiles")
-    within = tiles.filter(F.length("fps") > 8).select(F.lit(True).alias("same"), F.col("fps").alias("x"), F.lit(None).cast("binary").alias("y"))
-    # Block values of several tiles: pairs of tiles whose shared patterns do not differ too much already.
-    several = tiles.groupBy("block").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("block")
-    many = materialize(tiles.join(several, "block", "left_semi"), "simhash-many")
-    t, u = many.alias("t"), many.alias("u")
-    apart = F.bit_count(F.col("t.mask").bitwiseAND(F.col("u.mask")).bitwiseAND(F.col("t.pattern").bitwiseXOR(F.col("u.pattern")))) <= k
-    across = t.join(u, (F.col("t.block") == F.col("u.block")) & (F.col("t.tile") < F.col("u.tile")) & apart).select(F.lit(False).alias("same"), F.col("t.fps").alias("x"), F.col("u.fps").alias("y"))
-    links = within.mapInArrow(_compare(k), "a long, b long").unionAll(across.repartition(F.xxhash64("x", "y")).mapInArrow(_compare(k), "a long, b long"))
-    return links
+    links = tiles.filter(F.length("fps") > 8).select("fps").mapInArrow(_within(k), "a long, b long")
+    # Block values of several tiles: their tiles are dealt over a grid, whose cells hold about CELL tiles a side. A tile is
+    # sent to one row and one column of cells, and whole groups go where their shared patterns differ too much already.
+    several = tiles.groupBy("block").agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1")
+    size = several.agg(F.sum("copies")).first()[0]
+    if not size:
+        return links
+    many = join_split(tiles, several, ["block"], size).withColumn("k", F.ceil(F.col("copies") / CELL).cast("int"))
+    own = F.pmod(F.xxhash64("tile"), F.col("k")).cast("int")
+    cells = many.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    ahead = F.col("own") <= F.col("other")
+    cells = cells.select("block", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(ahead, 0).otherwise(1).alias("side"), "mask", "pattern", "fps")
+    cells = cells.repartition("block", "i", "j").sortWithinPartitions("block", "i", "j", "side")
+    return links.unionAll(cells.mapInArrow(_across(k), "a long, b long"))
 
 
 def simhash_components(docs: DataFrame, k: int = 3) -> DataFrame:
     """One row per row of ``docs``: doc_id, fp (signed), component_id, the least doc_id reachable by links."""
     rows = docs.select(column_or_null(docs, "doc_id", "long").alias("doc_id"), F.coalesce(column_or_null(docs, "text", "string"), F.lit("")).alias("text"))
     prints = materialize(rows.mapInArrow(_fingerprints, "doc_id long, fp long"), "simhash-prints")
-    groups = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-groups")
+    groups = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("rows")), "simhash-groups")
     parts = connected_components(near_links(groups.select("fp"), k), "simhash-parts")
-    labelled = groups.join(parts, groups.fp == parts.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
+    labelled = groups.join(parts, groups.fp == parts.node, "left").select("fp", "least", "rows", F.coalesce("component", "fp").alias("component"))
     labelled = materialize(labelled, "simhash-labelled")
-    names = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
-    of_print = labelled.join(names, "component").select("fp", "component_id")
-    return prints.join(of_print, "fp").select("doc_id", "fp", "component_id")
+    # Fingerprints of large components, then rows of hot fingerprints, are joined by a broadcast of bounded size.
+    n_fps, n_rows = labelled.agg(F.count(F.lit(1)), F.sum("rows")).first()
+    names = labelled.groupBy("component").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("copies"))
+    of_print = join_split(labelled, names, ["component"], n_fps).select("fp", "component_id", F.col("rows").alias("copies"))
+    return join_split(prints, materialize(of_print, "simhash-names"), ["fp"], n_rows or 0).select("doc_id", "fp", "component_id")
 
 
 def drop_near_copies(docs: DataFrame, k: int = 3) -> DataFrame:

@@ -139,6 +139,33 @@ def test_five_blocks_find_the_same(spark):
     assert found[0] == found[1] != set()
 
 
+def test_hot_block(spark, monkeypatch):
+    """One block value that fills 50 tiles: dealt over a grid, links of all tiles are found."""
+    import numpy as np
+
+    monkeypatch.setattr(simhash, "TILE", 32)
+    monkeypatch.setattr(simhash, "CELL", 8)
+    rng = np.random.default_rng(9)
+    low = np.unique(rng.integers(0, 1 << 48, 1400, np.int64))
+    low = np.unique(np.concatenate([low, low[:300] ^ (np.int64(1) << rng.integers(0, 48, 300)) ^ (np.int64(1) << rng.integers(0, 48, 300))]))
+    fps = low | np.int64(0x1234 << 48)
+    pairs = np.nonzero(np.triu(np.bitwise_count(fps[:, None] ^ fps[None]) <= 3, 1))
+    label = components_of_pairs(len(fps), *pairs)
+    expected = {int(fps[i]): int(fps[label[i]]) for i in np.unique(np.concatenate(pairs))}
+    found = connected_components(simhash.near_links(spark.createDataFrame([(int(f),) for f in fps], "fp long"))).collect()
+    assert len(fps) > 50 * 32 and {r.node: r.component for r in found} == expected and len(expected) > 500
+
+
+def test_hubs_in_components(spark, monkeypatch):
+    """A node with more neighbours than HUB is joined by a broadcast; the components are the same."""
+    from auditspark.llm import common
+
+    monkeypatch.setattr(common, "HUB", 8)
+    edges = [(5, 100 + i) for i in range(300)] + [(100 + i, 1000 + i % 7) for i in range(0, 300, 9)] + [(2, 1003), (7, 8), (8, 9)]
+    got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {n: 7 if n in (7, 8, 9) else 2 for e in edges for n in e}
+
+
 def test_components(spark):
     random.seed(1)
     edges = [(i, i + 1) for i in range(0, 60)] + [(100 + random.randrange(9), 100 + random.randrange(30)) for _ in range(40)] + [(500, 499)]
