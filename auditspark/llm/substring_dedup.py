@@ -1,14 +1,18 @@
 """Substring dedup: repeated word windows are removed, behind a count-min prefilter.
 
-First pass: each task counts its windows in a sparse count-min sketch (two rows of cells, counters that stop at two);
-the tasks' sketches are merged by blocks of cells. Counts are never underestimated, so a window that occurs twice always
-lies in cells of two or more. The merged sketch, one bit a cell, has a fixed size bound and goes to all tasks. Second pass:
-only windows estimated repeated are grouped exactly, by 80-bit hashes, and those whose words also start in a document with
-a smaller id are marked; tasks combine before the shuffle, so a window that a third of all documents share is one row a
-task. Marks meet their documents by a join on the id that moves the text of documents with marks only.
+Texts are packed into chunks of bounded size, written once as a table that is bucketed by part (some chunks of one task), so
+the passes below read it again without moving a text.
 
-The sketch has two cells a window up to MAX_CELLS a row (2 x 32 MB); beyond that more windows are grouped needlessly, and
-the result stays the same.
+First pass: each chunk counts its windows in a sparse count-min sketch (ROWS rows of cells, counters that stop at two). A row
+has at least CELLS cells a window of the whole corpus, however large it is; cells lie in shards by ranges of their numbers.
+A chunk sends each shard the cells that it hits as a compact sorted list (some ten bits a window); the shard merges the lists
+and answers each with one bit a cell: whether two or more hits reached it. Neither a shard nor an answer grows with the
+corpus, and no task or driver ever holds the whole sketch. Counts are never underestimated, so no repeated window is lost,
+and the share of single windows that pass stays the same at any size.
+
+Second pass: a chunk's answers meet it again; only windows estimated repeated in all rows are grouped exactly, by 128-bit
+hashes, and those whose words also start in a document with a smaller id are marked. Chunks combine before the shuffle, so a
+window that a third of all documents share is one row a chunk. Marks go back to their parts by number.
 
 Defined results: a null text has no words; a null doc_id is smaller than nothing and nothing is smaller than it; of rows
 that repeat a doc_id none removes words of another; an empty table gives an empty result; other columns are ignored. Texts
@@ -19,27 +23,29 @@ from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import column_or_null, is_empty, materialize, mix64
+from .common import column_or_null, materialize, mix64, shared_folder
 
 WIDTH = 13
 PIECE = 1 << 22
 SPACE = re.compile(rb"[\x20\x09-\x0D]")
-MAX_CELLS = 1 << 28
-BLOCK = 1 << 20
 ROWS = 2
-#: Windows that a task holds before it combines and emits them, and words that it hashes at once.
-CHUNK = 2_000_000
-BATCH_WORDS = 400_000
-DOC_BITS = 1 << 27
+#: Cells a window and row, at least; and cells of a shard.
+CELLS = 3
+SHARD_BITS = 25
+#: Bytes of text in a chunk, unless one text is longer, and chunks of a part.
+CHUNK_BYTES = 12_000_000
+PART_CHUNKS = 16
 
 
 def pieces(data: bytes) -> Iterator[bytes]:
@@ -74,185 +80,175 @@ def window_hashes(words: np.ndarray, width: int, salt: int) -> np.ndarray:
     return mix64(out)
 
 
-def grouped(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Windows of many documents at once: ids and tags of the documents, then for each window its document's index, its
-    first word and all word hashes with the windows' places among them."""
-    ids, tags, hashes, held = [], [], [], 0
-
-    def out():
-        words = np.concatenate(hashes)
-        lengths = np.array([len(h) for h in hashes])
-        ends = np.cumsum(lengths)
-        counts = np.maximum(lengths - width + 1, 0)
-        doc = np.repeat(np.arange(len(ids)), counts)
-        first = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-        return np.array(ids, np.int64), np.array(tags, np.int64), doc, first, words, (ends - lengths)[doc] + first
-
-    for batch in batches:
-        texts = batch.column(1).cast(pa.binary())
-        for doc, text in zip(batch.column(0).to_pylist(), texts):
-            data = text.as_py()
-            if doc is None or not data:
-                continue
-            found = word_hashes(data)
-            if len(found) < width:
-                continue
-            ids.append(doc)
-            tags.append(xxh64_intdigest(data, 42) & 0xFFFFFFFF)
-            hashes.append(found)
-            held += len(found)
-            if held >= BATCH_WORDS:
-                yield out()
-                ids, tags, hashes, held = [], [], [], 0
-    if ids:
-        yield out()
-
-
-def pack(cells: np.ndarray) -> bytes:
-    """Sorted distinct numbers as gaps, a byte each: a byte of 255 adds 255 and leads to the next byte."""
-    gaps = np.diff(cells, prepend=0)
-    steps = gaps // 255
-    out = np.full(len(gaps) + int(steps.sum()), 255, np.uint8)
-    out[np.arange(len(gaps)) + np.cumsum(steps)] = gaps % 255
-    return out.tobytes()
+def grouped(ids: list[int | None], texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Windows of a chunk: for each its document's index and first word, and all word hashes with the windows' places among
+    them. Documents without an id have none."""
+    hashes = [np.zeros(0, np.uint64) if i is None or not t else word_hashes(t) for i, t in zip(ids, texts)]
+    lengths = np.array([len(h) for h in hashes], np.int64)
+    words = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
+    counts = np.maximum(lengths - width + 1, 0)
+    doc = np.repeat(np.arange(len(ids)), counts)
+    first = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    return doc, first, words, (np.cumsum(lengths) - lengths)[doc] + first
 
 
-def unpack(data: bytes) -> np.ndarray:
-    steps = np.frombuffer(data, np.uint8)
-    return np.cumsum(steps, dtype=np.int64)[steps != 255]
+def pack(numbers: np.ndarray, universe: int) -> bytes:
+    """Sorted distinct numbers below ``universe`` in about 2 + log2(universe / n) bits each: low bits as they are, the rest in
+    unary (Elias-Fano)."""
+    n = len(numbers)
+    low = max(0, (universe // max(n, 1)).bit_length() - 1)
+    high = np.zeros(n + (universe >> low) + 1, np.uint8)
+    high[(numbers >> low) + np.arange(n)] = 1
+    bits = ((numbers[:, None] >> np.arange(low)) & 1).astype(np.uint8)
+    return n.to_bytes(4, "little") + bytes([low]) + np.packbits(bits).tobytes() + np.packbits(high).tobytes()
 
 
-def sketch_rows(cells: np.ndarray) -> Iterator[tuple[int, bytes, bytes]]:
-    """(block, cells hit, cells hit twice or more) of any cells."""
-    found, counts = np.unique(cells, return_counts=True)
-    block = found // BLOCK
-    cuts = np.flatnonzero(np.diff(block)) + 1
-    for part, n in zip(np.split(found, cuts), np.split(counts, cuts)):
-        if len(part):
-            base = int(part[0]) // BLOCK
-            yield base, pack(part - base * BLOCK), pack(part[n > 1] - base * BLOCK)
+def unpack(data: bytes) -> np.ndarray:
+    n, low = int.from_bytes(data[:4], "little"), data[4]
+    end = 5 + (n * low + 7) // 8
+    bits = np.unpackbits(np.frombuffer(data, np.uint8, end - 5, 5), count=n * low).reshape(n, low)
+    high = np.flatnonzero(np.unpackbits(np.frombuffer(data, np.uint8, offset=end)))[:n] - np.arange(n)
+    return (high << low) + bits @ (1 << np.arange(low, dtype=np.int64))
 
 
-SKETCH = "block int, hit binary, twice binary"
+def press_chunk(ids: list[int | None], texts: list[bytes]) -> bytes:
+    """A chunk's documents: how many, their ids (0 for none), which have one, lengths, texts."""
+    known = np.array([i is not None for i in ids], np.uint8)
+    columns = (np.array([i or 0 for i in ids], np.int64), known, np.array([len(t) for t in texts], np.int64))
+    return len(ids).to_bytes(8, "little") + zstandard.ZstdCompressor(level=1).compress(b"".join([*(c.tobytes() for c in columns), *texts]))
 
 
-def sketch_batches(rows: list[tuple[int, bytes, bytes]]) -> Iterator[pa.RecordBatch]:
-    for at in range(0, len(rows), 256):
-        part = rows[at : at + 256]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.int32()), pa.array([r[1] for r in part], pa.binary()), pa.array([r[2] for r in part], pa.binary())], ["block", "hit", "twice"])
+def read_chunk(data: bytes) -> tuple[list[int | None], list[bytes]]:
+    n, rest = int.from_bytes(data[:8], "little"), zstandard.ZstdDecompressor().decompress(data[8:])
+    ids, known, lengths = np.frombuffer(rest, np.int64, n), np.frombuffer(rest, np.uint8, n, 8 * n), np.frombuffer(rest, np.int64, n, 9 * n)
+    ends = np.cumsum(lengths) + 17 * n
+    return [i if k else None for i, k in zip(ids.tolist(), known.tolist())], [rest[a:b] for a, b in zip((ends - lengths).tolist(), ends.tolist())]
 
 
-def collect_bits(sketches: DataFrame, cells: int, least: int) -> np.ndarray:
-    """One bit for each cell that ``least`` (1 or 2) or more hits reached: merged by block, then as many bits as ``cells``."""
+def chunk_table(rows: DataFrame) -> DataFrame:
+    """``rows(doc_id, text)`` as written chunks ``(part, chunk, data)``, bucketed by part; a chunk is numbered within its part."""
 
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, once, twice = None, np.zeros(BLOCK, bool), np.zeros(BLOCK, bool)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, chunk, size = TaskContext.get().partitionId() << 24, 0, 0
+        ids, texts, held = [], [], 0
 
         def out():
-            return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([np.packbits(once if least == 1 else twice, bitorder="little").tobytes()], pa.binary())], ["block", "bits"])
+            nonlocal part, chunk, size, ids, texts, held
+            record = pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([chunk], pa.int32()), pa.array([press_chunk(ids, texts)], pa.binary())], ["part", "chunk", "data"])
+            chunk, size = chunk + 1, size + held
+            if size >= PART_CHUNKS * CHUNK_BYTES:
+                part, chunk, size = part + 1, 0, 0
+            ids, texts, held = [], [], 0
+            return record
 
         for batch in batches:
-            for b, hit, two in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                if b != block:
-                    if block is not None:
-                        yield out()
-                    block = b
-                    once[:], twice[:] = False, False
-                at = unpack(hit)
-                twice[at[once[at]]] = True
-                twice[unpack(two)] = True
-                once[at] = True
-        if block is not None:
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary())):
+                ids.append(doc)
+                texts.append(text.as_py() or b"")
+                held += len(texts[-1]) + 17
+                if held >= CHUNK_BYTES:
+                    yield out()
+        if ids:
             yield out()
 
-    merged = sketches.repartition("block").sortWithinPartitions("block").mapInArrow(merge, "block int, bits binary")
-    table = np.zeros(max(cells, BLOCK) // 8, np.uint8)
-    for row in merged.toLocalIterator():
-        table[row["block"] * (BLOCK // 8) : (row["block"] + 1) * (BLOCK // 8)] = np.frombuffer(row["bits"], np.uint8)
-    return table
+    spark = rows.sparkSession
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = min(100_000, max(4 * spark.sparkContext.defaultParallelism, 2 * total // (PART_CHUNKS * CHUNK_BYTES)))
+    name = f"substring_chunks_{uuid.uuid4().hex}"
+    chunks = rows.mapInArrow(run, "part long, chunk int, data binary")
+    chunks.write.option("compression", "none").option("path", f"{shared_folder(spark)}/{name}").bucketBy(buckets, "part").format("parquet").saveAsTable(name)
+    return spark.table(name)
 
 
 def cells_of(hashes: np.ndarray, row: int, bits: int) -> np.ndarray:
-    """The cell of each hash in a row of the sketch; rows lie one after the other."""
-    return (mix64(hashes + np.uint64(row * 0x632BE5AB + row)) >> np.uint64(64 - bits)).astype(np.int64) + (row << bits)
+    """The cell of each hash in a row of the sketch, which has 2**bits of them."""
+    return (mix64(hashes + np.uint64(row * 0x632BE5AB + row)) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def build_sketch(rows: DataFrame, width: int, bits: int) -> np.ndarray:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
-        for _, _, _, _, words, at in grouped(batches, width):
-            held.append(window_hashes(words, width, 1)[at])
-            n += len(at)
-            if n >= 2 * CHUNK:
-                yield from emit(held)
-                held, n = [], 0
-        if held:
-            yield from emit(held)
-
-    def emit(held):
-        hashes = np.concatenate(held)
-        for row in range(ROWS):
-            yield from sketch_batches(list(sketch_rows(cells_of(hashes, row, bits))))
-
-    return collect_bits(rows.mapInArrow(run, SKETCH), ROWS << bits, 2)
+def shard_cuts(cells: np.ndarray, shard_bits: int) -> Iterator[tuple[int, int, int]]:
+    """(shard, from, to) of sorted cells."""
+    shard = cells >> shard_bits
+    cuts = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(cells)]
+    for a, b in zip(cuts, cuts[1:]):
+        if a < b:
+            yield int(shard[a]), a, b
 
 
-def has_bit(table: np.ndarray, cells: np.ndarray) -> np.ndarray:
-    return (table[cells >> 3] >> (cells & 7).astype(np.uint8) & 1).astype(bool)
+def send_sketches(chunks: DataFrame, width: int, bits: int, shard_bits: int) -> DataFrame:
+    """Rows ``(line, shard, part, chunk, hit, twice)``: the cells of a row that a chunk hits, and which of them it hits twice."""
+    schema = pa.schema([("line", pa.int32()), ("shard", pa.int64()), ("part", pa.int64()), ("chunk", pa.int32()), ("hit", pa.binary()), ("twice", pa.binary())])
 
-
-def runs_of(doc: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted (document, place) pairs as runs: document, first place, length."""
-    start = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (first[1:] != first[:-1] + 1)]))
-    return doc[start], first[start], np.diff(np.append(start, len(doc)))
-
-
-def pack_marks(ids: np.ndarray, tags: np.ndarray, first: np.ndarray, length: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes]]:
-    """(bucket of documents, all its marks): sorted columns, which press well."""
-    bucket = (mix64(ids.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
-    order = np.lexsort((first, tags, ids, bucket))
-    ids, tags, first, length, bucket = (x[order] for x in (ids, tags, first, length, bucket))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, chunk, data in zip(*(c.to_pylist() for c in batch.columns)):
+                _, _, words, at = grouped(*read_chunk(data), width)
+                hashes = window_hashes(words, width, 1)[at]
+                for line in range(ROWS):
+                    cells, counts = np.unique(cells_of(hashes, line, bits), return_counts=True)
+                    out = [(line, shard, part, chunk, pack(cells[a:b] - (shard << shard_bits), 1 << shard_bits), pack(np.flatnonzero(counts[a:b] > 1), b - a)) for shard, a, b in shard_cuts(cells, shard_bits)]
+                    for lo in range(0, len(out), 256):
+                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out[lo : lo + 256]), schema)], schema=schema)
+
+    return chunks.select("part", "chunk", "data").mapInArrow(run, "line int, shard long, part long, chunk int, hit binary, twice binary")
+
+
+def answer_sketches(sent: DataFrame, shard_bits: int) -> DataFrame:
+    """Rows ``(part, answer)``: for each list of cells one bit a cell, whether two or more hits of all chunks reached it."""
+
+    def merge(table: pa.Table) -> pa.Table:
+        once, twice = np.zeros(1 << shard_bits, bool), np.zeros(1 << shard_bits, bool)
+        lists = []
+        for hit, two in zip(table.column("hit"), table.column("twice")):
+            at = unpack(hit.as_py()).astype(np.uint32)
+            twice[at[once[at]]] = True
+            twice[at[unpack(two.as_py())]] = True
+            once[at] = True
+            lists.append(at)
+        bits = [np.packbits(twice[at]).tobytes() for at in lists]
+        return pa.table([table.column("line"), table.column("shard"), table.column("part"), table.column("chunk"), pa.array(bits, pa.binary())], ["line", "shard", "part", "chunk", "bits"])
+
+    return sent.groupBy("line", "shard").applyInArrow(merge, "line int, shard long, part long, chunk int, bits binary")
+
+
+def repeated(hashes: np.ndarray, answers: dict[tuple[int, int], bytes], bits: int, shard_bits: int) -> np.ndarray:
+    """Which windows of a chunk the sketch estimates repeated."""
+    keep = np.ones(len(hashes), bool)
+    for line in range(ROWS):
+        cells, inverse = np.unique(cells_of(hashes, line, bits), return_inverse=True)
+        hot = np.zeros(len(cells), bool)
+        for shard, a, b in shard_cuts(cells, shard_bits):
+            hot[a:b] = np.unpackbits(np.frombuffer(answers[line, shard], np.uint8), count=b - a)
+        keep &= hot[inverse]
+    return keep
+
+
+def pack_marks(part: np.ndarray, chunk: np.ndarray, doc: np.ndarray, first: np.ndarray, length: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """(part, its marks): sorted columns, which press well."""
+    order = np.lexsort((first, doc, chunk, part))
+    part, chunk, doc, first, length = (x[order] for x in (part, chunk, doc, first, length))
     pressed = zstandard.ZstdCompressor(level=1)
-    bounds = np.searchsorted(bucket, np.arange(buckets + 1))
-    for b in np.flatnonzero(np.diff(bounds)).tolist():
-        part = slice(bounds[b], bounds[b + 1])
-        columns = (np.diff(ids[part], prepend=0), tags[part].astype(np.uint32), np.diff(first[part], prepend=0).astype(np.int32), length[part].astype(np.uint32))
-        yield b, int(bounds[b + 1] - bounds[b]).to_bytes(8, "little") + pressed.compress(b"".join(c.tobytes() for c in columns))
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
+    for a, b in zip(cuts, cuts[1:]):
+        if a < b:
+            columns = (np.diff(chunk[a:b], prepend=0), np.diff(doc[a:b], prepend=0), np.diff(first[a:b], prepend=0), length[a:b])
+            yield int(part[a]), (b - a).to_bytes(8, "little") + pressed.compress(b"".join(c.astype(np.int32).tobytes() for c in columns))
 
 
 def unpack_marks(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    parts = []
+    parts = [np.zeros((4, 0), np.int64)]
     for blob in blobs:
-        n, data = int.from_bytes(blob[:8], "little"), zstandard.ZstdDecompressor().decompress(blob[8:])
-        parts.append((np.cumsum(np.frombuffer(data, np.int64, n)), np.frombuffer(data, np.uint32, n, 8 * n).astype(np.int64), np.cumsum(np.frombuffer(data, np.int32, n, 12 * n).astype(np.int64)), np.frombuffer(data, np.uint32, n, 16 * n).astype(np.int64)))
-    return tuple(np.concatenate([p[i] for p in parts]) for i in range(4))
-
-
-def marks_by_document(table: pa.Table) -> pa.Table:
-    """One row a document of a bucket: (id, tag, runs)."""
-    ids, tags, first, length = unpack_marks(table.column("data").to_pylist())
-    order = np.lexsort((first, tags, ids))
-    ids, tags, first, length = (x[order] for x in (ids, tags, first, length))
-    runs = np.stack([first, length], axis=1).astype(np.uint32)
-    start = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (tags[1:] != tags[:-1])]))
-    ends = np.append(start[1:], len(ids))
-    return pa.table({"doc_id": pa.array(ids[start]), "tag": pa.array(tags[start]), "runs": pa.array([runs[a:b].tobytes() for a, b in zip(start.tolist(), ends.tolist())], pa.binary())})
-
-
-MARKS = "doc_id long, tag long, runs binary"
+        found = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[8:]), np.int32).reshape(4, -1).astype(np.int64)
+        found[:3] = np.cumsum(found[:3], axis=1)
+        parts.append(found)
+    return tuple(np.concatenate(parts, axis=1))
 
 
-def find_marks(rows: DataFrame, sketch: np.ndarray, width: int, bits: int, shards: int) -> DataFrame:
-    """Rows ``(doc_id, tag, runs)``: windows (first words and lengths of runs) that start in a smaller document too."""
-    shared = rows.sparkSession.sparkContext.broadcast(sketch)
-    schema = pa.schema([("shard", pa.int32()), ("bucket", pa.int32()), ("data", pa.binary())])
+def send_windows(chunks: DataFrame, answers: DataFrame, width: int, bits: int, shard_bits: int, shards: int) -> DataFrame:
+    """Rows ``(shard, part, data)``: windows estimated repeated, for their shards; and, with their part, marks decided here."""
+    schema = pa.schema([("shard", pa.int32()), ("part", pa.int64()), ("data", pa.binary())])
 
-    def combine(parts) -> Iterator[pa.RecordBatch]:
+    def combine(part: int, chunk: int, ids: np.ndarray, doc, first, h1, h2) -> Iterator[tuple[int, int | None, bytes]]:
         """Decide what the chunk alone shows, and send the rest, the least document's windows, to their shards."""
-        base = np.cumsum([0] + [len(p[0]) for p in parts])
-        ids, tags = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-        doc = np.concatenate([p[2] + b for p, b in zip(parts, base)])
-        first, h1, h2 = (np.concatenate([p[i] for p in parts]) for i in (3, 4, 5))
         order = np.lexsort((first, doc, ids[doc], h2, h1))
         doc, first, h1, h2 = doc[order], first[order], h1[order], h2[order]
         new = np.flatnonzero(np.concatenate([[True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])]))
@@ -263,8 +259,8 @@ def find_marks(rows: DataFrame, sketch: np.ndarray, width: int, bits: int, shard
         if len(d):
             by = np.lexsort((f, d))
             d, f, n = runs_of(d[by], f[by])
-            for b, blob in pack_marks(ids[d], tags[d], f, n, shards):
-                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([b], pa.int32()), pa.array([blob], pa.binary())], schema=schema)
+            for p, blob in pack_marks(np.full(len(d), part), np.full(len(d), chunk), d, f, n):
+                yield p % shards, p, blob
         # Equal windows of one document at consecutive places become one run.
         doc, first, h1, h2 = doc[~decided], first[~decided], h1[~decided], h2[~decided]
         start = np.flatnonzero(np.concatenate([[True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1]) | (doc[1:] != doc[:-1]) | (first[1:] != first[:-1] + 1)]))
@@ -275,78 +271,71 @@ def find_marks(rows: DataFrame, sketch: np.ndarray, width: int, bits: int, shard
         order = np.lexsort((first, doc, shard))
         doc, first, h1, h2, length, shard = (x[order] for x in (doc, first, h1, h2, length, shard))
         pressed = zstandard.ZstdCompressor(level=1)
-        bounds = np.searchsorted(shard, np.arange(shards + 1))
-        for s in range(shards):
-            a, b = bounds[s], bounds[s + 1]
-            if a == b:
-                continue
+        cuts = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(shard)]
+        for a, b in zip(cuts, cuts[1:]):
             used, index = np.unique(doc[a:b], return_inverse=True)
-            step = np.diff(index, prepend=0)
-            place = np.diff(first[a:b], prepend=0)
-            head = np.array([b - a, len(used)], np.int64)
-            packed = [x.tobytes() for x in (ids[used], tags[used].astype(np.uint32), step.astype(np.uint32), place.astype(np.int32), length[a:b].astype(np.uint32))]
-            data = head.tobytes() + h1[a:b].tobytes() + h2[a:b].astype(np.uint16).tobytes() + pressed.compress(b"".join(packed))
-            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([None], pa.int32()), pa.array([data], pa.binary())], schema=schema)
-
-    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shared.value
-        parts, n = [], 0
-        for ids, tags, doc, first, words, at in grouped(batches, width):
+            packed = (ids[used], used.astype(np.int32), np.diff(index, prepend=0).astype(np.int32), np.diff(first[a:b], prepend=0).astype(np.int32), length[a:b].astype(np.int32))
+            head = np.array([b - a, len(used), part, chunk], np.int64)
+            yield int(shard[a]), None, head.tobytes() + h1[a:b].tobytes() + h2[a:b].tobytes() + pressed.compress(b"".join(c.tobytes() for c in packed))
+
+    def probe(left: pa.Table, right: pa.Table) -> pa.Table:
+        found: dict[int, dict[tuple[int, int], bytes]] = {}
+        for line, shard, chunk, hot in zip(*(right.column(c).to_pylist() for c in ("line", "shard", "chunk", "bits"))):
+            found.setdefault(chunk, {})[line, shard] = hot
+        out: list[tuple[int, int | None, bytes]] = []
+        for part, chunk, data in zip(left.column("part").to_pylist(), left.column("chunk").to_pylist(), left.column("data")):
+            ids, texts = read_chunk(data.as_py())
+            doc, first, words, at = grouped(ids, texts, width)
+            if not len(doc):
+                continue
             h1 = window_hashes(words, width, 1)[at]
-            keep = np.flatnonzero(has_bit(table, cells_of(h1, 0, bits)))
-            for row in range(1, ROWS):
-                keep = keep[has_bit(table, cells_of(h1[keep], row, bits))]
+            keep = np.flatnonzero(repeated(h1, found[chunk], bits, shard_bits))
             if len(keep):
-                h2 = window_hashes(words, width, 2)[at[keep]] >> np.uint64(48)
-                parts.append((ids, tags, doc[keep], first[keep], h1[keep], h2))
-                n += len(keep)
-            if n >= CHUNK // 2:
-                yield from combine(parts)
-                parts, n = [], 0
-        if n:
-            yield from combine(parts)
+                h2 = window_hashes(words, width, 2)[at[keep]]
+                out += combine(part, chunk, np.array([i or 0 for i in ids], np.int64), doc[keep], first[keep], h1[keep], h2)
+        columns = zip(*out) if out else ((), (), ())
+        return pa.table([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
+    # Chunks are read by buckets of parts: only the answers are shuffled.
+    return chunks.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(probe, "shard int, part long, data binary")
+
+
+def group_windows(sent: DataFrame) -> DataFrame:
+    """Rows ``(part, data)``: packed marks of each part's windows that start in a smaller document too."""
 
     def group(table: pa.Table) -> pa.Table:
-        """Marks of a shard's windows, packed by bucket; marks that tasks decided pass through."""
-        buckets, blobs, parts = [], [], []
-        for bucket, data in zip(table.column("bucket").to_pylist(), table.column("data").to_pylist()):
-            if bucket is not None:
-                buckets.append(bucket)
+        marked_parts, blobs, parts = [], [], []
+        for part, cell in zip(table.column("part").to_pylist(), table.column("data")):
+            data = cell.as_py()
+            if part is not None:
+                marked_parts.append(part)
                 blobs.append(data)
                 continue
-            n, m = np.frombuffer(data, np.int64, 2)
-            h1, h2 = np.frombuffer(data, np.uint64, n, 16), np.frombuffer(data, np.uint16, n, 16 + 8 * n)
-            rest = zstandard.ZstdDecompressor().decompress(data[16 + 10 * n :])
-            ids, tags = np.frombuffer(rest, np.int64, m), np.frombuffer(rest, np.uint32, m, 8 * m)
-            index, first, length = (np.frombuffer(rest, t, n, 12 * m + 4 * n * i) for i, t in enumerate((np.uint32, np.int32, np.uint32)))
-            parts.append((ids, tags.astype(np.int64), np.cumsum(index.astype(np.int64)), np.cumsum(first.astype(np.int64)), h1, h2, length.astype(np.int64)))
+            n, m, part, chunk = np.frombuffer(data, np.int64, 4).tolist()
+            h1, h2 = np.frombuffer(data, np.uint64, n, 32), np.frombuffer(data, np.uint64, n, 32 + 8 * n)
+            rest = zstandard.ZstdDecompressor().decompress(data[32 + 16 * n :])
+            ids, used = np.frombuffer(rest, np.int64, m), np.frombuffer(rest, np.int32, m, 8 * m)
+            index, first, length = (np.frombuffer(rest, np.int32, n, 12 * m + 4 * n * i) for i in range(3))
+            index = np.cumsum(index)
+            parts.append((ids[index], h1, h2, np.full(n, part), np.full(n, chunk, np.int32), used[index], np.cumsum(first, dtype=np.int32), length))
         if parts:
-            base = np.cumsum([0] + [len(p[0]) for p in parts])
-            ids, tags = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-            doc = np.concatenate([p[2] + b for p, b in zip(parts, base)])
-            first, h1, h2, length = (np.concatenate([p[i] for p in parts]) for i in (3, 4, 5, 6))
-            order = np.lexsort((ids[doc], h2, h1))
-            doc, first, h1, h2, length = (x[order] for x in (doc, first, h1, h2, length))
+            ids, h1, h2, *place = (np.concatenate(c) for c in zip(*parts))
+            order = np.lexsort((ids, h2, h1))
+            ids, h1, h2 = ids[order], h1[order], h2[order]
             new = np.flatnonzero(np.concatenate([[True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])]))
-            marked = ids[doc] > np.repeat(ids[doc[new]], np.diff(np.append(new, len(doc))))
-            doc = doc[marked]
-            for bucket, blob in pack_marks(ids[doc], tags[doc], first[marked], length[marked], shards):
-                buckets.append(bucket)
+            marked = order[ids > np.repeat(ids[new], np.diff(np.append(new, len(ids))))]
+            for part, blob in pack_marks(*(c[marked] for c in place)):
+                marked_parts.append(part)
                 blobs.append(blob)
-        return pa.table({"bucket": pa.array(buckets, pa.int32()), "data": pa.array(blobs, pa.binary())})
-
-    probed = rows.mapInArrow(probe, "shard int, bucket int, data binary")
-    return probed.groupBy("shard").applyInArrow(group, "bucket int, data binary").groupBy("bucket").applyInArrow(marks_by_document, MARKS)
+        return pa.table({"part": pa.array(marked_parts, pa.int64()), "data": pa.array(blobs, pa.binary())})
 
+    return sent.groupBy("shard").applyInArrow(group, "part long, data binary")
 
-def doc_bits(marks: DataFrame, bits: int) -> np.ndarray:
-    """A table of the marked documents, of fixed size."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield from sketch_batches(list(sketch_rows((mix64(batch.column(0).to_numpy().view(np.uint64)) % np.uint64(bits)).astype(np.int64))))
-
-    return collect_bits(marks.select("doc_id").mapInArrow(run, SKETCH), bits, 1)
+def runs_of(doc: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted (document, place) pairs as runs: document, first place, length."""
+    start = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (first[1:] != first[:-1] + 1)]))
+    return doc[start], first[start], np.diff(np.append(start, len(doc)))
 
 
 def kept_text(data: bytes, runs: np.ndarray, width: int) -> tuple[int, int, bytes]:
@@ -367,61 +356,61 @@ def kept_text(data: bytes, runs: np.ndarray, width: int) -> tuple[int, int, byte
     return words_seen, removed, b" ".join(k for k in kept if k)
 
 
+def sketch_of(chunks: DataFrame, n_bytes: int, width: int, cells: int = CELLS, shard_bits: int = SHARD_BITS) -> tuple[DataFrame, int, int]:
+    """The answers to all chunks, the bits of a row's size and of a shard's. A word and its space take six bytes or so."""
+    bits = max(16, (cells * max(1, n_bytes // 6)).bit_length())
+    shard_bits = min(shard_bits, bits)
+    return answer_sketches(send_sketches(chunks, width, bits, shard_bits), shard_bits), bits, shard_bits
+
+
+def passed_share(docs: DataFrame, width: int = WIDTH, cells: int = CELLS, shard_bits: int = SHARD_BITS) -> DataFrame:
+    """Rows ``(part, windows, passed)``: how many windows the prefilter passes to the second pass."""
+    rows = docs.select(column_or_null(docs, "doc_id", "long").alias("doc_id"), column_or_null(docs, "text", "string").alias("text"))
+    chunks = chunk_table(rows)
+    answers, bits, shard_bits = sketch_of(chunks, rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0, width, cells, shard_bits)
+
+    def count(left: pa.Table, right: pa.Table) -> pa.Table:
+        windows, passed, part = 0, 0, None
+        for part, chunk, data in zip(left.column("part").to_pylist(), left.column("chunk").to_pylist(), left.column("data").to_pylist()):
+            found = {(line, shard): hot for line, shard, c, hot in zip(*(right.column(c).to_pylist() for c in ("line", "shard", "chunk", "bits"))) if c == chunk}
+            _, _, words, at = grouped(*read_chunk(data), width)
+            windows += len(at)
+            passed += int(repeated(window_hashes(words, width, 1)[at], found, bits, shard_bits).sum()) if len(at) else 0
+        return pa.table({"part": [part], "windows": [windows], "passed": [passed]})
+
+    return chunks.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(count, "part long, windows long, passed long")
+
+
 def dedup_substrings(docs: DataFrame, width: int = WIDTH, with_text: bool = False) -> DataFrame:
     """One row per row of ``docs(doc_id, text)``: doc_id, n_words, n_removed, kept_sha256, and with_text the kept text."""
     spark = docs.sparkSession
     rows = docs.select(column_or_null(docs, "doc_id", "long").alias("doc_id"), column_or_null(docs, "text", "string").alias("text"))
-    chars, n_docs = rows.agg(F.sum(F.octet_length("text")), F.count(F.lit(1))).first()
-    windows = max(1, (chars or 0) // 6)
-    bits = max(BLOCK.bit_length() - 1, min((2 * windows).bit_length(), MAX_CELLS.bit_length() - 1))
-    sketch = build_sketch(rows, width, bits)
-    shards = max(1, windows // 4_000_000)
-    marks = materialize(find_marks(rows, sketch, width, bits, max(shards, spark.sparkContext.defaultParallelism * 2)), "substring-marks")
-    n_bits = min(DOC_BITS, max(BLOCK, 1 << (16 * n_docs).bit_length()))
-    marked = spark.sparkContext.broadcast(doc_bits(marks, n_bits) if not is_empty(marks) else np.zeros(n_bits // 8, np.uint8))
-    none = np.zeros((0, 2), np.uint32)
-    result = "n_words long, n_removed long, kept_sha256 string, kept string"
-
-    def digest(data: bytes, runs: np.ndarray) -> tuple:
-        n, removed, kept = kept_text(data, runs, width)
-        return n, removed, hashlib.sha256(kept).hexdigest(), kept if with_text else None
-
-    def arrays(found):
-        n, removed, sha, kept = zip(*found) if found else ((), (), (), ())
-        return [pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(sha, pa.string()), pa.array(kept, pa.binary()).cast(pa.string())]
-
-    def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Finish documents without marks; pass on the text of the others, compressed."""
-        pressed = zstandard.ZstdCompressor(level=3)
-        for batch in batches:
-            ids = batch.column(0)
-            known = np.array(ids.is_valid().to_pylist(), bool)
-            cells = (mix64(ids.fill_null(0).to_numpy().view(np.uint64)) % np.uint64(n_bits)).astype(np.int64)
-            known &= has_bit(marked.value, cells)
-            found, tags, texts = [], [], []
-            for maybe, text in zip(known.tolist(), batch.column(1).cast(pa.binary())):
-                data = text.as_py() or b""
-                tags.append(xxh64_intdigest(data, 42) & 0xFFFFFFFF)
-                found.append((None, None, None, None) if maybe else digest(data, none))
-                texts.append(pressed.compress(data) if maybe else None)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(tags, pa.int64()), *arrays(found), pa.array(texts, pa.binary())], ["doc_id", "tag", "n_words", "n_removed", "kept_sha256", "kept", "rest"])
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+    chunks = chunk_table(rows)
+    n_bytes = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    answers, bits, shard_bits = sketch_of(chunks, n_bytes, width)
+    shards = max(2 * spark.sparkContext.defaultParallelism, n_bytes // 24_000_000)
+    marks = materialize(group_windows(send_windows(chunks, answers, width, bits, shard_bits, shards)), "substring-marks")
+    none = np.zeros((0, 2), np.int64)
+
+    def finish(left: pa.Table, right: pa.Table) -> pa.Table:
+        in_chunk, doc, first, length = unpack_marks(right.column("data").to_pylist())
+        order = np.lexsort((first, doc, in_chunk))
+        in_chunk, doc, runs = in_chunk[order], doc[order], np.stack([first[order], length[order]], axis=1)
+        tables = []
+        for chunk, data in zip(left.column("chunk").to_pylist(), left.column("data")):
+            ids, texts = read_chunk(data.as_py())
+            a, b = np.searchsorted(in_chunk, [chunk, chunk + 1])
+            bounds = a + np.searchsorted(doc[a:b], np.arange(len(ids) + 1))
             found = []
-            for row in range(batch.num_rows):
-                rest, runs = batch.column(5)[row].as_py(), batch.column(6)[row].as_py()
-                if rest is None:
-                    kept = batch.column(4)[row].as_py()
-                    found.append((*(batch.column(i)[row].as_py() for i in (1, 2, 3)), kept if kept is None else kept.encode()))
-                else:
-                    found.append(digest(zstandard.ZstdDecompressor().decompress(rest), np.frombuffer(runs, np.uint32).reshape(-1, 2) if runs else none))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays(found)], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
-
-    left = rows.mapInArrow(plain, f"doc_id long, tag long, {result}, rest binary")
-    by_doc = marks.select(F.col("doc_id").alias("d"), F.col("tag").alias("t"), "runs")
-    joined = left.join(by_doc, (F.col("doc_id") == F.col("d")) & (F.col("tag") == F.col("t")), "left")
-    out = joined.select("doc_id", "n_words", "n_removed", "kept_sha256", "kept", "rest", "runs").mapInArrow(cut, f"doc_id long, {result}")
+            for i, text in enumerate(texts):
+                lo, hi = int(bounds[i]), int(bounds[i + 1])
+                n, removed, kept = kept_text(text, runs[lo:hi] if hi > lo else none, width)
+                found.append((n, removed, hashlib.sha256(kept).hexdigest(), kept if with_text else None))
+            n, removed, sha, kept = zip(*found)
+            tables.append(pa.table({"doc_id": pa.array(ids, pa.int64()), "n_words": pa.array(n, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_sha256": pa.array(sha, pa.string()), "kept": pa.array(kept, pa.binary()).cast(pa.string())}))
+        return pa.concat_tables(tables)
+
+    out = chunks.groupBy("part").cogroup(marks.groupBy("part")).applyInArrow(finish, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
     return out if with_text else out.drop("kept")
 
 

@@ -66,6 +66,37 @@ def test_substrings(request, which):
     assert got == expected_cuts([(r.doc_id, r.text) for r in rows.collect()])
 
 
+def test_packed_numbers():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for n, universe in ((0, 16), (1, 1), (1, 1 << 25), (16, 16), (5000, 1 << 16), (5000, 1 << 25)):
+        numbers = np.sort(rng.choice(universe, n, replace=False)).astype(np.int64)
+        assert (substring_dedup.unpack(substring_dedup.pack(numbers, universe)) == numbers).all()
+    assert substring_dedup.read_chunk(substring_dedup.press_chunk([5, None, 7], [b"a b", b"", b"c"])) == ([5, None, 7], [b"a b", b"", b"c"])
+
+
+def test_many_chunks_and_shards(spark, odd, monkeypatch):
+    """Small chunks, parts and shards give the same result."""
+    monkeypatch.setattr(substring_dedup, "CHUNK_BYTES", 2000)
+    monkeypatch.setattr(substring_dedup, "PART_CHUNKS", 2)
+    monkeypatch.setattr(substring_dedup.sketch_of, "__defaults__", (1, 8))
+    got = Counter(map(tuple, substring_dedup.dedup_substrings(odd).collect()))
+    assert got == expected_cuts([(r.doc_id, r.text) for r in odd.collect()])
+
+
+def test_prefilter_does_not_saturate(spark):
+    """The share of single windows that the prefilter passes stays the same as rows grow, in shards of fixed size."""
+    shares = []
+    for n in (40, 640):
+        rng = random.Random(n)
+        rows = [(i, " ".join(f"{rng.getrandbits(48):x}" for _ in range(250))) for i in range(n)]
+        found = substring_dedup.passed_share(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), shard_bits=12).agg(F.sum("windows"), F.sum("passed")).first()
+        assert found[0] == n * 238
+        shares.append(found[1] / found[0])
+    assert max(shares) < 0.1
+
+
 def test_substrings_in_pieces(spark, docs, monkeypatch):
     text = docs.filter("n_chars > 2000").first().text
     monkeypatch.setattr(substring_dedup, "PIECE", 64)
@@ -414,12 +445,93 @@ def test_occurrence_is_edit_distance():
 # --- licences
 
 
-def test_licenses(spark, odd):
-    rows = [("a/LICENSE", "Released under the MIT License."), ("a/b/x.c", "int x;"), ("a/b/c/y.c", "code\nLicensed under the Apache License, Version 2.0.\n" + "z " * 100), ("q/z.c", None), ("a/b/c/COPYING", "This work is licensed under the GNU General Public License, version 3."), ("a/b/c/d/e.c", "x"), (None, "x")]
-    docs = spark.createDataFrame([(i, t, p) for i, (p, t) in enumerate(rows)], "doc_id long, text string, path string")
-    found = {r.doc_id: (r.license, r.origin, r.license_dir, r.depth) for r in licenses.scan_licenses(docs).collect()}
-    assert found == {0: ("MIT", "own", None, None), 1: ("MIT", "inherited", "a", 1), 2: ("Apache-2.0", "own", None, None), 3: (None, "none", None, None), 4: ("GPL-3.0", "own", None, None), 5: ("GPL-3.0", "inherited", "a/b/c", 1), 6: (None, "none", None, None)}
-    assert licenses.scan_licenses(odd.withColumn("path", F.col("source"))).count() == odd.count()
+BSD_TEXT = """Copyright (c) 2019, Jane Roe\nAll rights reserved.\n
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:\n
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.\n
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.\n
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.\n
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE."""
+
+
+def gnu(version, mark):
+    text = f"""Copyright (C) 2020 Jane Roe\n\nThis program is free software; you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by
+the Free Software Foundation; either version {version} of the License, or\n(at your option) any later version.\n\nThis program is distributed in the hope that it will be useful,\nbut WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the\nGNU General Public License for more details."""
+    return "\n".join(f"{mark} {line}" for line in text.split("\n")) + "\n\nint main() { return compute(7); }\n" * 20
+
+
+LICENSE_FILES = [
+    ("a/LICENSE", "Released under the MIT License."), ("a/b/x.c", "int x;"), ("a/b/c/y.c", "code\nLicensed under the Apache License, Version 2.0.\n" + "z " * 100), ("q/z.c", None), ("a/b/c/COPYING", "This work is licensed under the GNU General Public License, version 3."), ("a/b/c/d/e.c", "x"), (None, "x"),
+    ("m/LICENSE", licenses.MIT_GRANT.replace("\n", " ") + "\n\n" + licenses.MIT_REST), ("n/LICENSE", BSD_TEXT), ("o/LICENSE", "                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/\n\n   TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION\n\n   1. Definitions.\n"),
+    ("p/three.c", gnu(3, " *")), ("p/two.py", gnu(2, "#")), ("o/sub/deep/f.c", "int f;"), ("r/both.txt", "Released under the MIT License.\nother words stand here\nLicensed under CC BY-NC 4.0."),
+]
+
+
+def test_licenses(spark):
+    docs = spark.createDataFrame([(i, t, p, 7, "x") for i, (p, t) in enumerate(LICENSE_FILES)], "doc_id long, text string, path string, score int, row string").repartition(3)
+    got = {r.doc_id: r for r in licenses.scan_licenses(docs).collect()}
+    assert {i: (r.license, r.origin, r.license_dir, r.depth) for i, r in got.items()} == {
+        0: ("MIT", "own", None, None), 1: ("MIT", "inherited", "a", 1), 2: ("Apache-2.0", "own", None, None), 3: (None, "none", None, None), 4: ("GPL-3.0", "own", None, None), 5: ("GPL-3.0", "inherited", "a/b/c", 1), 6: (None, "none", None, None),
+        7: ("MIT", "own", None, None), 8: ("BSD-3-Clause", "own", None, None), 9: ("Apache-2.0", "own", None, None), 10: ("GPL-3.0", "own", None, None), 11: ("GPL-2.0", "own", None, None), 12: ("Apache-2.0", "inherited", "o", 2), 13: (got[13].license, "own", None, None),
+    }
+    assert sorted(x.license for x in got[13].own_licenses) == ["CC-BY-NC-4.0", "MIT"] and got[13].own_licenses[0].license == got[13].license
+
+
+@pytest.mark.parametrize("which", ["docs", "odd", "files"])
+def test_license_scores_equal_brute_force(request, spark, which):
+    """Every block of every text against every template, with dense vectors over all words of the corpus."""
+    import numpy as np
+
+    if which == "files":
+        rows = spark.createDataFrame([(i, t, p) for i, (p, t) in enumerate(LICENSE_FILES)], "doc_id long, text string, path string")
+    else:
+        rows = request.getfixturevalue(which).withColumn("path", F.col("source"))
+    texts = [r.text or "" for r in rows.collect()]
+    every = sorted({w for t in texts for w in licenses.words_of(t)} | {w for _, t in licenses.TEMPLATES for w in licenses.words_of(t)})
+    place = {w: i for i, w in enumerate(every)}
+    df = np.zeros(len(every))
+    for t in texts:
+        df[[place[w] for w in set(licenses.words_of(t))]] += 1
+    idf = 1 + np.log((len(texts) + 1) / (df + 1))
+
+    def unit(words):
+        v = np.zeros(len(every))
+        for w, tf in Counter(words).items():
+            v[place[w]] = (1 + np.log(tf)) * idf[place[w]]
+        return v / (np.linalg.norm(v) or 1)
+
+    columns = np.stack([unit(licenses.words_of(t)) for _, t in licenses.TEMPLATES], axis=1)
+    expected, done = Counter(), {}
+    for t in texts:
+        if t not in done:
+            lines = t.splitlines()
+            head = next((i for i, x in enumerate(lines) if not re.match(r"\s*(//|/\*|\*|#|--|;|%|<!--|!|$|\"\"\"|''')", x)), len(lines))
+            parts = re.split(r"\n(?:[\W_]*\n)+", "\n".join(lines))
+            best = {}
+            for block in {t, "\n".join(lines[:head]), *parts, *lines}:
+                if words_ := licenses.words_of(block):
+                    score, name = max((round(float(x), 9), name) for (name, _), x in zip(licenses.TEMPLATES, unit(words_) @ columns))
+                    if score >= 0.6:
+                        best[name] = max(best.get(name, 0), round(score, 6))
+            done[t] = tuple(sorted(best.items()))
+        expected[done[t]] += 1
+    got = Counter(tuple(sorted((x.license, round(x.score, 6)) for x in r.own_licenses)) for r in licenses.scan_licenses(rows).collect())
+    assert got == expected and (which == "odd" or sum(n for k, n in got.items() if k) > 0)
+
+
+def test_long_line_license(spark):
+    rows = [(1, "word " * 150_000 + "Released under the MIT License. " + "other " * 50_000), (2, ("# " + licenses.MIT_GRANT.replace("\n", " ") + " ") + "\n" + "q " * 500_000)]
+    found = {r.doc_id: r.license for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {1: None, 2: "MIT"}
 
 
 # --- all of them
