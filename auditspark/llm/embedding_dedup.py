@@ -75,38 +75,42 @@ def unpacked(data: bytes, dim: int) -> np.ndarray:
     return np.frombuffer(data, np.float32 if data[:1] == b"4" else np.float64, offset=1).astype(np.float64).reshape(-1, dim)
 
 
-def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Tiles of at most TILE consecutive vectors of one label and length; a group is named by its first vector's node."""
-    names = ["label", "dim", "grp", "tile", "centre", "radius", "ids", "copies", "vectors"]
-
-    def record(label, dim, grp, ids, copies, vectors):
-        x = np.frombuffer(b"".join(vectors), np.float64).reshape(-1, dim)
-        unit = x / np.linalg.norm(x, axis=1)[:, None]
-        centre = unit.mean(axis=0)
-        length = np.linalg.norm(centre)
-        centre = centre / length if length > 1e-12 else unit[0]
-        radius = float(np.arccos(np.clip((unit @ centre).min(), -1, 1))) + 1e-6
-        return pa.RecordBatch.from_arrays([
-            pa.array([label], pa.int64()), pa.array([dim], pa.int32()), pa.array([grp], pa.int64()), pa.array([ids[0]], pa.int64()), pa.array([centre.tobytes()], pa.binary()), pa.array([radius]),
-            pa.array([np.array(ids, np.int64).tobytes()], pa.binary()), pa.array([np.array(copies, np.int64).tobytes()], pa.binary()), pa.array([packed(x)], pa.binary()),
-        ], names)
-
-    key, grp, tiles, ids, copies, vectors = None, None, 0, [], [], []
-    for batch in batches:
-        lists = batch.column(4)
-        for label, dim, node, n, row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), lists):
-            if ids and (key != (label, dim) or len(ids) == TILE):
-                yield record(*key, grp, ids, copies, vectors)
-                tiles += 1
-                ids, copies, vectors = [], [], []
-            if key != (label, dim) or tiles >= max(1, min(GROUP, GROUP_BYTES // (8 * TILE * dim))):
-                grp, tiles = node, 0
-            key = (label, dim)
-            ids.append(node)
-            copies.append(n)
-            vectors.append(row.values.to_numpy(zero_copy_only=False).astype(np.float64).tobytes())
-    if ids:
-        yield record(*key, grp, ids, copies, vectors)
+def _tiles(size: int, group: int):
+    """Tiles of at most ``size`` consecutive vectors of one label and length; a group is named by its first vector's node."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["label", "dim", "grp", "tile", "centre", "radius", "ids", "copies", "vectors"]
+
+        def record(label, dim, grp, ids, copies, vectors):
+            x = np.frombuffer(b"".join(vectors), np.float64).reshape(-1, dim)
+            unit = x / np.linalg.norm(x, axis=1)[:, None]
+            centre = unit.mean(axis=0)
+            length = np.linalg.norm(centre)
+            centre = centre / length if length > 1e-12 else unit[0]
+            radius = float(np.arccos(np.clip((unit @ centre).min(), -1, 1))) + 1e-6
+            return pa.RecordBatch.from_arrays([
+                pa.array([label], pa.int64()), pa.array([dim], pa.int32()), pa.array([grp], pa.int64()), pa.array([ids[0]], pa.int64()), pa.array([centre.tobytes()], pa.binary()), pa.array([radius]),
+                pa.array([np.array(ids, np.int64).tobytes()], pa.binary()), pa.array([np.array(copies, np.int64).tobytes()], pa.binary()), pa.array([packed(x)], pa.binary()),
+            ], names)
+
+        key, grp, tiles, ids, copies, vectors = None, None, 0, [], [], []
+        for batch in batches:
+            lists = batch.column(4)
+            for label, dim, node, n, row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), lists):
+                if ids and (key != (label, dim) or len(ids) == size):
+                    yield record(*key, grp, ids, copies, vectors)
+                    tiles += 1
+                    ids, copies, vectors = [], [], []
+                if key != (label, dim) or tiles >= max(1, min(group, GROUP_BYTES // (8 * size * dim))):
+                    grp, tiles = node, 0
+                key = (label, dim)
+                ids.append(node)
+                copies.append(n)
+                vectors.append(row.values.to_numpy(zero_copy_only=False).astype(np.float64).tobytes())
+        if ids:
+            yield record(*key, grp, ids, copies, vectors)
+
+    return run
 
 
 TILES = "label long, dim int, grp long, tile long, centre binary, radius double, ids binary, copies binary, vectors binary"
@@ -209,7 +213,7 @@ def embedding_components(rows: DataFrame, threshold: float = 0.98) -> DataFrame:
     along = F.aggregate(F.transform("embedding", lambda x, i: x * F.when(i % 2 == 0, 1.0).otherwise(-1.0)), F.lit(0.0), lambda s, x: s + x) / length
     dealt = folded.select("label", F.size("embedding").alias("dim"), "node", "copies", "embedding", along.alias("along"))
     dealt = dealt.repartitionByRange("label", "dim", "along", "node").sortWithinPartitions("label", "dim", "along").drop("along")
-    tiles = materialize(dealt.mapInArrow(_tiles, TILES), "embedding-tiles")
+    tiles = materialize(dealt.mapInArrow(_tiles(TILE, GROUP), TILES), "embedding-tiles")
     # Pairs of groups of one label, dealt over DEALS x DEALS cells: a group stands in one row and one column of them.
     groups = groups_of(tiles).withColumns({"own": F.pmod(F.xxhash64("grp"), F.lit(DEALS)).cast("int"), "other": F.explode(F.sequence(F.lit(0), F.lit(DEALS - 1)))})
     side = F.when(F.col("own") <= F.col("other"), 0).otherwise(1)

@@ -119,42 +119,46 @@ def ma_groups(leaves: np.ndarray) -> np.ndarray:
     return padded.reshape(-1, LEAF * LEAF)
 
 
-def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Cut a partition, sorted by block and Gray rank, into tiles: at most TILE consecutive fingerprints of one block."""
-    block, fps = np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def cut(block, fps, final):
-        starts = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]])) if len(block) else np.zeros(0, np.int64)
-        ends = np.append(starts[1:], len(block))
-        out, done = [], 0
-        for s, e in zip(starts.tolist(), ends.tolist()):
-            if e == len(block) and not final:
-                stop = s + (e - s) // TILE * TILE
-                out += [(s + i, s + i + TILE) for i in range(0, stop - s, TILE)]
-                done = stop
-            else:
-                out += [(i, min(i + TILE, e)) for i in range(s, e, TILE)]
-                done = e
-        return out, done
-
-    def record(block, fps, spans):
-        mask, pattern = zip(*((int(m[0]), int(p[0])) for m, p in (shared(fps[s:e].view(np.uint64)[None, :]) for s, e in spans)))
-        return pa.RecordBatch.from_arrays([
-            pa.array([int(block[s]) for s, _ in spans], pa.int64()), pa.array([int(fps[s]) for s, _ in spans], pa.int64()),
-            pa.array(np.array(mask, np.uint64).view(np.int64)), pa.array(np.array(pattern, np.uint64).view(np.int64)),
-            pa.array([fps[s:e].tobytes() for s, e in spans], pa.binary()),
-        ], ["block", "tile", "mask", "pattern", "fps"])
+def _tiles(size: int):
+    """Cut a partition, sorted by block and Gray rank, into tiles: at most ``size`` consecutive fingerprints of one block."""
 
-    for batch in batches:
-        block = np.concatenate([block, batch.column(0).to_numpy()])
-        fps = np.concatenate([fps, batch.column(1).to_numpy()])
-        spans, done = cut(block, fps, False)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, fps = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+        def cut(block, fps, final):
+            starts = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]])) if len(block) else np.zeros(0, np.int64)
+            ends = np.append(starts[1:], len(block))
+            out, done = [], 0
+            for s, e in zip(starts.tolist(), ends.tolist()):
+                if e == len(block) and not final:
+                    stop = s + (e - s) // size * size
+                    out += [(s + i, s + i + size) for i in range(0, stop - s, size)]
+                    done = stop
+                else:
+                    out += [(i, min(i + size, e)) for i in range(s, e, size)]
+                    done = e
+            return out, done
+
+        def record(block, fps, spans):
+            mask, pattern = zip(*((int(m[0]), int(p[0])) for m, p in (shared(fps[s:e].view(np.uint64)[None, :]) for s, e in spans)))
+            return pa.RecordBatch.from_arrays([
+                pa.array([int(block[s]) for s, _ in spans], pa.int64()), pa.array([int(fps[s]) for s, _ in spans], pa.int64()),
+                pa.array(np.array(mask, np.uint64).view(np.int64)), pa.array(np.array(pattern, np.uint64).view(np.int64)),
+                pa.array([fps[s:e].tobytes() for s, e in spans], pa.binary()),
+            ], ["block", "tile", "mask", "pattern", "fps"])
+
+        for batch in batches:
+            block = np.concatenate([block, batch.column(0).to_numpy()])
+            fps = np.concatenate([fps, batch.column(1).to_numpy()])
+            spans, done = cut(block, fps, False)
+            for i in range(0, len(spans), 4096):
+                yield record(block, fps, spans[i : i + 4096])
+            block, fps = block[done:], fps[done:]
+        spans, _ = cut(block, fps, True)
         for i in range(0, len(spans), 4096):
             yield record(block, fps, spans[i : i + 4096])
-        block, fps = block[done:], fps[done:]
-    spans, _ = cut(block, fps, True)
-    for i in range(0, len(spans), 4096):
-        yield record(block, fps, spans[i : i + 4096])
+
+    return run
 
 
 def small_pairs(parts: list[bytes], k: int) -> np.ndarray:
@@ -249,7 +253,7 @@ def near_links(fps: DataFrame, k: int = 3, blocks: int | None = None) -> DataFra
     # An equal hash of two block values only adds comparisons.
     dealt = fps.select(F.explode(F.array(*keys)).alias("block"), "fp", rank.alias("rank"))
     dealt = dealt.repartitionByRange("block", "rank").sortWithinPartitions("block", "rank").select("block", "fp")
-    tiles = materialize(dealt.mapInArrow(_tiles, "block long, tile long, mask long, pattern long, fps binary"), "simhash-tiles")
+    tiles = materialize(dealt.mapInArrow(_tiles(TILE), "block long, tile long, mask long, pattern long, fps binary"), "simhash-tiles")
     links = tiles.filter(F.length("fps") > 8).select("fps").mapInArrow(_within(k), "a long, b long")
     # Block values of several tiles: their tiles are dealt over a grid, whose cells hold about CELL tiles a side. A tile is
     # sent to one row and one column of cells, and whole groups go where their shared patterns differ too much already.
