@@ -1,11 +1,13 @@
 """Main text of web pages by two-pass block rules.
 
 First pass: each block is judged alone by its length, its stop-word density, its link density and the kind of container
-that it stands in: good, bad or undecided. Second pass: undecided blocks, mostly short ones, inherit the label of the
+that it stands in: good, bad or undecided. Where the stop words do not cover a page's language, sentences, length and links
+decide. Second pass: undecided blocks, mostly short ones, inherit the label of the
 nearest decided neighbours in the same region of the page.
 
 Defined results: a null or empty page has an empty text; repeated rows each get a row; an empty table gives an empty
-result; other columns are ignored. Unclosed tags, comments and scripts end where the page ends. Pages are read whole.
+result; other columns are ignored. Comments and scripts that are never closed end where the page ends; a < that begins
+no complete tag is text. Of two decided neighbours equally near the good one counts. Pages are read whole, in linear time.
 """
 
 from __future__ import annotations
@@ -19,11 +21,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import column_or_null
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript|textarea|svg|iframe|select|button|title)\b.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-z][a-z0-9]*)\b((?:\"[^\"]*\"|'[^']*'|[^'\">])*+)>|<[!?][^>]*>",
-    re.I | re.S,
-)
+#: Where markup may begin: a comment, a tag or a declaration.
+OPEN = re.compile(r"<(?:(!--)|(/?)([a-zA-Z][a-zA-Z0-9]*)(?![a-zA-Z0-9])|[!?])")
+#: The rest of a tag up to its end; an unquoted < stops it, so a tag that never ends costs no more than its own length.
+ATTRIBUTES = re.compile(r"""(?:[^"'<>]|"[^"]*"|'[^']*')*+""")
+#: Elements whose content is no markup, up to their closing tag.
+RAW = frozenset("iframe noscript script style template textarea title".split())
+#: Elements within a line whose text is no text of the page.
+CONTROLS = frozenset("button select svg".split())
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 HIDDEN = re.compile(r"""(?:^|\s)hidden(?=\s|=|$)(?!\s*=\s*["']?false)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 PARTS = re.compile(r"[a-z]+")
@@ -46,6 +51,9 @@ STOP_WORDS = {
     "es": "a al como con de del el ella en entre era es esta este ha la las le lo los más me no o para pero por que se sin sobre son su sus también un una y ya",
 }
 ALL_STOP_WORDS = frozenset(w for words in STOP_WORDS.values() for w in words.split())
+#: Ends of sentences, and scripts without spaces between words.
+SENTENCE = re.compile(r"[.!?…:;。！？；؟۔।॥։።](?=\s|$|[\"'”’»)\]]|[^\x00-\x7f])|[。！？]")
+DENSE = re.compile(r"[\u0e00-\u0eff\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af]")
 SHORT, LONG, LOW, HIGH, LINKS = 70, 200, 0.12, 0.25, 0.5
 GOOD, BAD, SHORT_BLOCK, NEAR_GOOD = 1, 0, -1, -2
 
@@ -61,13 +69,45 @@ def names_of(attributes: str) -> set[str]:
     return {w for m in NAMES.finditer(attributes) for w in PARTS.findall((m[1] or m[2] or m[3] or "").lower())}
 
 
+def markup(page: str) -> Iterator[tuple[int, int, bool, str, str]]:
+    """(start, end, closing, name, attributes) of each piece of markup; the name is empty where there is nothing to do. A <
+    that begins no complete tag is text. Linear: what is not found once is not looked for again."""
+    at, last = 0, page.rfind(">")
+    low = page.lower() if len(page.lower()) == len(page) else page
+    while m := OPEN.search(page, at):
+        start, tag = m.start(), (m[3] or "").lower()
+        if m[1]:
+            stop = page.find("-->", m.end())
+            at = len(page) if stop < 0 else stop + 3
+            yield start, at, False, "", ""
+        elif start > last:
+            return
+        elif not tag:
+            at = page.find(">", m.end()) + 1
+            yield start, at, False, "", ""
+        else:
+            stop = ATTRIBUTES.match(page, m.end()).end()
+            if page[stop : stop + 1] != ">":
+                at = m.end()
+                continue
+            attributes, at = page[m.end() : stop], stop + 1
+            if tag in RAW:
+                if not m[2] and not attributes.rstrip().endswith("/"):
+                    close = low.find(f"</{tag}", at)
+                    stop = page.find(">", close) if close >= 0 else -1
+                    at = len(page) if stop < 0 else stop + 1
+                yield start, at, False, "", ""
+            else:
+                yield start, at, bool(m[2]), tag, attributes
+
+
 def blocks_of(page: str) -> list[Block]:
     """Blocks of text in page order, with the characters of them that are links, and the state of their containers."""
     found: list[Block] = []
     # name, in an article, barred, region
     stack: list[tuple[str, bool, bool, int]] = [("", False, False, 0)]
     pieces: list[tuple[str, bool]] = []
-    links, regions, at, marked = 0, 0, 0, False
+    links, controls, regions, at, marked = 0, 0, 0, 0, False
 
     def end() -> None:
         nonlocal links, marked
@@ -81,36 +121,40 @@ def blocks_of(page: str) -> list[Block]:
         links, marked = 0, False
 
     def add(raw: str) -> None:
-        if raw:
+        if raw and not controls:
             pieces.append((html.unescape(raw) if "&" in raw else raw, links > 0))
 
-    for m in TOKEN.finditer(page):
-        add(page[at : m.start()])
-        at = m.end()
-        tag = (m[3] or "").lower()
+    for start, stop, closing, tag, attributes in markup(page):
+        add(page[at:start])
+        at = stop
         if not tag:
             continue
+        if tag in CONTROLS:
+            controls = max(0, controls - 1) if closing else controls + (not attributes.rstrip().endswith("/"))
+            continue
         if tag == "a":
-            links = max(0, links - 1) if m[2] else links + 1
+            links = max(0, links - 1) if closing else links + 1
         elif tag == "br":
             pieces.append((" ", False))
         elif tag in BREAKS:
             end()
+            # A control that was left open ends with the container around it.
+            controls = 0 if tag in CONTAINERS else controls
             if tag not in CONTAINERS:
                 # A paragraph or heading may say of itself that it is an advert or the like.
-                if not m[2] and m[4]:
-                    marked = bool(names_of(m[4]) & BAD_NAMES - ({"header"} if stack[-1][1] else set())) or bool(HIDDEN.search(m[4]))
+                if not closing and attributes:
+                    marked = bool(names_of(attributes) & BAD_NAMES - ({"header"} if stack[-1][1] else set())) or bool(HIDDEN.search(attributes))
                 continue
-            if m[2]:
+            if closing:
                 opened = [i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag][:1]
                 # A closing tag without an opening one is ignored; else all that was left open within it ends too.
                 if opened:
                     del stack[opened[0] :]
-            elif not m[4].rstrip().endswith("/"):
+            elif not attributes.rstrip().endswith("/"):
                 _, inside, barred, region = stack[-1]
-                names = names_of(m[4])
+                names = names_of(attributes)
                 bad = names & (NO_ARTICLE if tag in ("article", "main") else BAD_NAMES) - ({"header"} if inside else set())
-                barred = barred or (tag in BAD_TAGS and not (tag == "header" and inside)) or (bool(bad) and tag != "body") or bool(HIDDEN.search(m[4]))
+                barred = barred or (tag in BAD_TAGS and not (tag == "header" and inside)) or (bool(bad) and tag != "body") or bool(HIDDEN.search(attributes))
                 regions += 1
                 inside_now = inside or tag in ("article", "main") or bool(names & GOOD_NAMES and tag in ("div", "section"))
                 # An article is one region with all it holds but barred containers; elsewhere each container is a region.
@@ -125,24 +169,40 @@ def stop_density(text: str, stop_words: frozenset[str]) -> float:
     return sum(w in stop_words for w in words) / len(words) if words else 0.0
 
 
-def first_pass(block: Block, article: bool, stop_words: frozenset[str]) -> int:
-    """article: the page marks an article, which then holds the main text."""
+def first_pass(block: Block, article: bool, density: float, known: bool) -> int:
+    """article: the page marks an article, which then holds the main text. known: the stop words cover the page's language."""
     if block.barred or (article and not block.inside):
         return BAD
     n = len(block.text)
     if block.linked > LINKS * n:
         return BAD
-    if n < SHORT:
+    # A character of a script without spaces says about as much as three letters.
+    weight = n + 2 * len(DENSE.findall(block.text))
+    if weight < SHORT:
         return SHORT_BLOCK if block.inside or not block.linked else BAD
-    density = stop_density(block.text, stop_words)
-    if density >= HIGH:
-        return GOOD if n > LONG or block.inside else NEAR_GOOD
-    if density >= LOW:
+    if known:
+        if density >= HIGH:
+            return GOOD if weight > LONG or block.inside else NEAR_GOOD
+        if density >= LOW:
+            return NEAR_GOOD
+    # Without stop words length, punctuation and links decide. Prose has sentences; tables and lists have few.
+    sentences = len(SENTENCE.findall(block.text))
+    if sentences and weight > LONG:
+        return NEAR_GOOD if known else GOOD
+    if sentences and not known:
         return NEAR_GOOD
-    # Tables and lists have few stop words: in an article they are undecided, elsewhere bad.
     return SHORT_BLOCK if block.inside else BAD
 
 
+def first_passes(blocks: list[Block], stop_words: frozenset[str]) -> list[int]:
+    article = any(b.inside and not b.barred for b in blocks)
+    densities = [stop_density(b.text, stop_words) if len(b.text) >= SHORT // 3 and not b.barred else 0.0 for b in blocks]
+    prose = [(len(b.text), d) for b, d in zip(blocks, densities) if not b.barred and b.linked <= LINKS * len(b.text) and len(b.text) >= SHORT // 3 and SENTENCE.search(b.text)]
+    # Over all that looks like prose: few stop words mean a language that they do not cover.
+    known = sum(n * d for n, d in prose) >= LOW / 2 * sum(n for n, _ in prose)
+    return [first_pass(b, article, d, known) for b, d in zip(blocks, densities)]
+
+
 def second_pass(blocks: list[Block], labels: list[int]) -> list[int]:
     """Labels without undecided ones."""
     out = list(labels)
@@ -160,7 +220,7 @@ def second_pass(blocks: list[Block], labels: list[int]) -> list[int]:
             continue
         near = [(abs(j - i), j) for j in (before[i], last.get(b.region)) if j is not None]
         if not near:
-            out[i] = GOOD if b.inside else BAD
+            out[i] = GOOD if b.inside or labels[i] == NEAR_GOOD else BAD
         elif len({labels[j] for _, j in near}) == 1:
             out[i] = labels[near[0][1]]
         elif labels[i] == NEAR_GOOD or b.inside or near[0][0] == near[1][0]:
@@ -172,8 +232,7 @@ def second_pass(blocks: list[Block], labels: list[int]) -> list[int]:
 
 def main_text(page: str | None, stop_words: frozenset[str] = ALL_STOP_WORDS) -> str:
     blocks = blocks_of(page or "")
-    article = any(b.inside and not b.barred for b in blocks)
-    labels = second_pass(blocks, [first_pass(b, article, stop_words) for b in blocks])
+    labels = second_pass(blocks, first_passes(blocks, stop_words))
     return "\n\n".join(b.text for b, label in zip(blocks, labels) if label == GOOD)
 
 
