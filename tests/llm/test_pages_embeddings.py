@@ -42,6 +42,37 @@ def test_odd_pages(page):
     H.main_text(page)
 
 
+RUSSIAN = "Старый мост через реку построили ещё в прошлом веке, и с тех пор по нему ходят пешком все жители города. Весной его закрывают на ремонт, а летом там сидят рыбаки и смотрят на воду. Никто уже не помнит имени мастера. "
+CHINESE = "这座古老的桥建于上个世纪，从那时起城里的居民每天都步行经过这里。春天桥会关闭维修，夏天渔夫们坐在桥上看着河水。没有人记得那位工匠的名字，但每个人都喜欢他的作品。孩子们在桥下玩耍，老人们在桥头下棋，日子一天天过去。"
+POLISH = "Stary most nad rzeką zbudowano jeszcze w ubiegłym wieku, odtąd chodzą tamtędy pieszo wszyscy mieszkańcy miasta. Wiosną bywa zamykany, latem siedzą tam rybacy, patrzą spokojnie. Nikt już nie pamięta imienia mistrza. "
+ENGLISH = "The old bridge over the river was built in the last century, and since then all the people of the town have walked over it. In spring it is closed, and in summer there are anglers who look at the water. No one knows the name of its builder. "
+
+
+@pytest.mark.parametrize("text", [RUSSIAN * 2, CHINESE, POLISH * 2, ENGLISH * 2])
+@pytest.mark.parametrize("frame", [
+    "<body><div class=menu><ul><li><a href=/>{m}</a></li></ul></div><div>{t}</div><div>{t}</div><div class='footer'>{m}</div>",
+    "<body><nav>{m}</nav><main><h1>{m}</h1><p>{t}</p><p>{t}</p></main><aside>{t}</aside><footer>{m}</footer>",
+    "<body><table><tr><td><a href=/1>{m}</a><a href=/2>{m}</a></td><td><p>{t}</p><p>{t}</p></td></tr></table>",
+    "<body><div id=sidebar><p>{t}</p></div><div id=content><p>{t}</p><button>{m}</button><p>{t}</p></div><form>{t}</form><script>var a = '{t}';</script>",
+    "<body><p>{t}<p>{t}<div class=comments><p>{t}</div><p class='cookie-notice'>{t}</p>",
+])
+def test_templates_and_scripts(text, frame):
+    body = " ".join(text.split())
+    page = frame.format(t=text, m="Menü 12")
+    parts = H.main_text(page).split("\n\n")
+    assert [p for p in parts if p != "Menü 12"] == [body, body]
+    assert len(parts) == (3 if "<h1>" in frame else 2)
+
+
+@pytest.mark.parametrize("part", ["<a ", '<a "', "<a '\"", "<!", "<div", "</", "<a b='", "<p><a ", "&", "<script", "<!--", '<a x="<b y=\'<c ', "<button>"])
+def test_long_odd_pages(part):
+    import time
+
+    began = time.process_time()
+    H.main_text("<p>before</p>" + part * (1_000_000 // len(part)))
+    assert time.process_time() - began < 10
+
+
 def test_pages_table(spark):
     pages = spark.read.parquet(f"{DATA}/pages.parquet")
     for r in H.extract_text(pages).join(pages.select("page_id", "html"), "page_id").collect():
