@@ -1,27 +1,31 @@
 """Personal data: patterns, and information-theoretic sanitisation of the terms that reveal it.
 
 Base patterns find protected entities. Every entity is a concept of the corpus, and so are each kind of entity and all of
-them together; words within ``REACH`` words of it are its context. With positions of words as the sample space, E the
-positions near concept e and T those of term t,
+them together; the ``REACH`` terms (words of three letters or more) on either side of it are its context, however far they
+are. With positions of words as the sample space, E the positions near concept e and T those of term t,
 
     disclosure(t, e) = PMI(T; E) / IC(E) = log(P(E | T) / P(E)) / -log P(E)
 
 is the share of the concept's information that the term gives away: 1 if the term occurs near it only, 0 if it is
 independent of it. P(E | T) is the lower confidence bound (Wilson) of the share of the term's occurrences that are near e,
 where equal contexts (copies of one passage) count once: few occurrences lower the disclosure, but no entity is too rare to
-have any. Terms that exceed the threshold are spans too, wherever they occur; sanitising generalises them to the kind of
-what they reveal.
+have any. As IC grows with the corpus, the bound must reach ``least_share`` too, which means the same at every size. Terms
+that exceed both are spans too, wherever they occur; sanitising generalises them to the kind of what they reveal.
 
 Defined results: a null text is empty; repeated rows each get a row; an empty table gives an empty result; other columns
-are ignored or passed through. Long texts are scanned whole, in linear time.
+are ignored or passed through. Of several kinds that a term reveals equally the later in KINDS counts. Of spans that
+overlap the leftmost names the replacement, then the shortest. Terms that touch a base span are no spans. Long texts are
+scanned whole, in linear time.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import column_or_null, is_empty, materialize
+from .common import column_or_null, is_empty, join_split, materialize
 
 KINDS = ("email", "ip", "card", "phone", "term")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -40,8 +44,13 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 TERM = re.compile(r"[^\W\d_]{3,}")
 REACH = 6
-#: Bits of the table of candidate terms that tasks get: its size is fixed, whatever the corpus.
-TABLE_BITS = 20
+THRESHOLD, LEAST_SHARE = 0.8, 0.2
+#: Bits for each term in the table of disclosing terms that tasks get, and its greatest size (64 MB): what it passes is
+#: joined exactly, so a fuller table only passes more.
+TERM_BITS = 16
+MAX_BITS = 1 << 29
+#: Terms that a task counts before it emits them.
+HELD = 500_000
 
 
 def luhn(digits: str) -> bool:
@@ -91,12 +100,24 @@ def signed(value: int) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-def context(text: str, start: int, end: int) -> list[tuple[int, str]]:
-    """Up to REACH words of letters on either side, lower-cased, with their places."""
-    first = max(0, start - 24 * REACH)
-    before = [(first + m.start(), m[0].lower()) for m in TERM.finditer(text[first:start])][-REACH:]
-    after = [(end + m.start(), m[0].lower()) for m in TERM.finditer(text[end : end + 24 * REACH])][:REACH]
-    return before + after
+def entity_of(kind: int, text: str) -> str:
+    """One value, however it is written: an address in lower case, an IP's numbers, a number's digits."""
+    if kind == 0:
+        return text.lower()
+    if kind == 1:
+        return ".".join(str(int(x[-4:])) for x in text.split("."))
+    return "".join(filter(str.isdigit, text))
+
+
+def contexts(text: str, spans: list[tuple[int, int, int]]) -> list[list[tuple[int, str]]]:
+    """For each span up to REACH terms on either side, in lower case, with their places; terms that overlap it are none."""
+    terms = [(m.start(), m.end(), m[0].lower()) for m in TERM.finditer(text)] if spans else []
+    starts, ends = [t[0] for t in terms], [t[1] for t in terms]
+    found = []
+    for start, _, end in spans:
+        before, after = bisect_right(ends, start), bisect_left(starts, end)
+        found.append([(t[0], t[2]) for t in terms[max(0, before - REACH) : before] + terms[after : after + REACH]])
+    return found
 
 
 #: fresh: bits of the levels (entity, kind, all) of which no earlier span has counted this occurrence of the term.
@@ -116,12 +137,10 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bases.append(digest(spans))
             shas.append(hashlib.sha256(bases[-1].encode()).hexdigest())
             keys.append(signed(xxh64_intdigest(text.encode(), 42)))
-            words.append(text.count(" ") + 1 if text else 0)
+            words.append(len(text.encode().split()))
             found, seen = [], set()
-            for s, k, e in spans:
-                around = context(text, s, e)
-                value = re.sub(r"[^0-9a-z@.]", "", text[s:e].lower())
-                entity = signed(xxh64_intdigest(f"{k}:{value}".encode()))
+            for (s, k, e), around in zip(spans, contexts(text, spans)):
+                entity = signed(xxh64_intdigest(f"{k}:{entity_of(k, text[s:e])}".encode()))
                 terms = []
                 for place, term in around:
                     marks = [(0, entity, place), (1, k, place), (2, 0, place)]
@@ -134,62 +153,91 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def table_of(terms: DataFrame) -> np.ndarray:
-    """One bit for each hash value of the terms' table: at most 2**TABLE_BITS numbers reach the driver."""
-    cells = terms.select(F.pmod(F.xxhash64("term"), F.lit(1 << TABLE_BITS)).cast("int").alias("cell")).distinct().collect()
-    table = np.zeros(1 << TABLE_BITS, bool)
-    table[[r[0] for r in cells]] = True
+    """A bit for each hash value of ``terms(term)``, TERM_BITS bits a term up to MAX_BITS; merged on the driver by blocks."""
+    bits = min(MAX_BITS, max(1 << 16, 1 << (TERM_BITS * terms.count()).bit_length()))
+    table = np.zeros(bits // 8, np.uint8)
+    cell = F.pmod(F.xxhash64("term"), F.lit(bits)).cast("int")
+    # One number a byte of the table at most.
+    for row in terms.select((cell / 8).cast("int").alias("at"), (cell % 8).alias("bit")).groupBy("at").agg(F.bit_or(F.expr("shiftleft(1, bit)")).alias("byte")).toLocalIterator():
+        table[row["at"]] = row["byte"]
     return table
 
 
 def listed(terms, table: np.ndarray) -> list[str]:
     """Those terms that the table may hold."""
-    return [t for t in terms if table[signed(xxh64_intdigest(t.encode(), 42)) % (1 << TABLE_BITS)]]
+    cells = [(t, signed(xxh64_intdigest(t.encode(), 42)) % (8 * len(table))) for t in terms]
+    return [t for t, cell in cells if table[cell >> 3] >> (cell & 7) & 1]
 
 
 def count_terms(rows: DataFrame, terms: DataFrame) -> DataFrame:
-    """Rows ``(term, total)``: occurrences of the given terms in all texts of ``rows(doc_id, text)``."""
-    table = rows.sparkSession.sparkContext.broadcast(table_of(terms))
+    """Rows ``(term, total)``: occurrences of the given terms in all texts of ``rows(doc_id, text)``. All words are counted,
+    combined by task, so no list of terms is sent to the tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, bool] = {}
+        held: Counter[str] = Counter()
+
+        def out():
+            return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], ["term", "total"])
+
         for batch in batches:
-            counts: Counter[str] = Counter()
-            for text in batch.column(1).to_pylist():
-                counts.update(TERM.findall((text or "").lower()))
-            if len(known) > 1_000_000:
-                known.clear()
-            new = [t for t in counts if t not in known]
-            known.update(dict.fromkeys(new, False) | dict.fromkeys(listed(new, table.value), True))
-            hit = [t for t in counts if known[t]]
-            if hit:
-                yield pa.RecordBatch.from_arrays([pa.array(hit, pa.string()), pa.array([counts[t] for t in hit], pa.int64())], ["term", "total"])
+            for text in batch.column(1):
+                held.update(TERM.findall((text.as_py() or "").lower()))
+                if len(held) >= HELD:
+                    yield out()
+                    held.clear()
+        if held:
+            yield out()
 
     found = rows.mapInArrow(run, "term string, total long")
     return found.groupBy("term").agg(F.sum("total").alias("total")).join(terms.select("term").distinct(), "term", "left_semi")
 
 
+def free_of(hits: list[tuple[int, int]], base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """Of sorted hits those that touch no base span; both are walked once."""
+    ends = accumulate((e for _, _, e in base), max)
+    reach = list(ends)
+    starts = [s for s, _, _ in base]
+    kept = []
+    for start, end in hits:
+        # All base spans that begin before the hit's end: the farthest end among them decides.
+        n = bisect_left(starts, end)
+        if not n or reach[n - 1] <= start:
+            kept.append((start, end))
+    return kept
+
+
 def find_terms(rows: DataFrame, terms: DataFrame) -> DataFrame:
     """Rows ``(doc_id, text_key, start, end, kind)``: where the terms of ``terms(term, kind)`` occur, outside base spans."""
     table = rows.sparkSession.sparkContext.broadcast(table_of(terms))
+    schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("term", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, bool] = {}
         for batch in batches:
             out = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                hits = set(listed({t.lower() for t in TERM.findall(text or "")}, table.value))
+                found = {t.lower() for t in TERM.findall(text or "")}
+                if len(known) > 1_000_000:
+                    known.clear()
+                new = [t for t in found if t not in known]
+                known.update(dict.fromkeys(new, False) | dict.fromkeys(listed(new, table.value), True))
+                hits = {t for t in found if known[t]}
                 if hits:
-                    base = base_spans(text)
+                    spans = free_of([m.span() for m in TERM.finditer(text) if m[0].lower() in hits], base_spans(text))
                     key = signed(xxh64_intdigest(text.encode(), 42))
-                    out += [(doc, key, m[0].lower(), m.start(), m.end()) for m in TERM.finditer(text) if m[0].lower() in hits and not any(s < m.end() and m.start() < e for s, _, e in base)]
+                    out += [(doc, key, text[s:e].lower(), s, e) for s, e in spans]
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out), (pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32()))], schema=pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("term", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 
-    found = rows.mapInArrow(run, "doc_id long, text_key long, term string, start int, end int")
-    return found.distinct().join(terms.select("term", "kind").distinct(), "term").select("doc_id", "text_key", "start", "end", "kind")
+    found = rows.mapInArrow(run, "doc_id long, text_key long, term string, start int, end int").distinct()
+    # A term may occur in a third of all documents: hot terms are joined by a broadcast of bounded size.
+    found = materialize(found, "pii-found")
+    uses = found.groupBy("term").agg(F.count(F.lit(1)).alias("copies"))
+    return join_split(found, terms.select("term", "kind").distinct().join(uses, "term"), ["term"], found.count()).select("doc_id", "text_key", "start", "end", "kind")
 
 
-def disclosing_terms(rows: DataFrame, scanned: DataFrame, threshold: float, z: float) -> DataFrame | None:
-    """Rows ``(term, kind, disclosure)`` of the terms over the threshold; None if there are none."""
+def disclosing_terms(rows: DataFrame, scanned: DataFrame, threshold: float, z: float, least_share: float) -> DataFrame | None:
+    """Rows ``(term, kind, disclosure)`` of the terms that reach the threshold and the least share; None if there are none."""
     near = scanned.filter(F.size("near") > 0).select(F.inline("near"))
     level = lambda n, of: F.struct(F.lit(n).alias("level"), of.cast("long").alias("of"))
     levels = F.array(level(0, F.col("entity")), level(1, F.col("kind")), level(2, F.lit(0)))
@@ -206,30 +254,36 @@ def disclosing_terms(rows: DataFrame, scanned: DataFrame, threshold: float, z: f
     entities = near.groupBy(F.col("entity").alias("of")).agg(F.count(F.lit(1)).alias("cover"))
     pairs = pairs.filter("level = 0").join(entities, "of").unionByName(pairs.filter("level > 0").withColumn("cover", cover.cast("long")))
 
-    def disclosure(outside):
-        """From the contexts that hold the term and its occurrences elsewhere."""
+    def share(outside):
+        """Lower bound of P(E | T) from the contexts that hold the term and its occurrences elsewhere."""
         trials, z2 = F.col("contexts") + outside, z * z
-        share = F.col("contexts") / trials
-        bound = (share + z2 / (2 * trials) - z * F.sqrt(share * (1 - share) / trials + z2 / (4 * trials * trials))) / (1 + z2 / trials)
+        at = F.col("contexts") / trials
+        return (at + z2 / (2 * trials) - z * F.sqrt(at * (1 - at) / trials + z2 / (4 * trials * trials))) / (1 + z2 / trials)
+
+    def discloses(outside):
+        return (disclosure(outside) >= threshold) & (share(outside) >= least_share)
+
+    def disclosure(outside):
         of = F.least(F.lit(1.0), F.col("cover") * (2 * REACH) / words)
-        return F.log(bound / of) / F.greatest(F.lit(1e-9), -F.log(of))
+        return F.log(share(outside) / of) / F.greatest(F.lit(1e-9), -F.log(of))
 
     # Those that could not reach the threshold if all their occurrences were near need no count.
-    pairs = materialize(pairs.filter(disclosure(F.lit(0)) >= threshold), "pii-pairs")
+    pairs = materialize(pairs.filter(discloses(F.lit(0))), "pii-pairs")
     if is_empty(pairs):
         return None
     totals = count_terms(rows, pairs)
-    found = pairs.join(totals, "term").withColumn("disclosure", disclosure(F.greatest(F.lit(0), F.col("total") - F.col("n")))).filter(F.col("disclosure") >= threshold)
+    outside = F.greatest(F.lit(0), F.col("total") - F.col("n"))
+    found = pairs.join(totals, "term").filter(discloses(outside)).withColumn("disclosure", disclosure(outside))
     best = materialize(found.groupBy("term").agg(F.max_by("kind", F.struct("disclosure", "kind")).alias("kind"), F.max("disclosure").alias("disclosure")), "pii-terms")
     return None if is_empty(best) else best
 
 
-def scan_pii(docs: DataFrame, threshold: float = 0.9, z: float = 1.96) -> DataFrame:
+def scan_pii(docs: DataFrame, threshold: float = THRESHOLD, z: float = 1.96, least_share: float = LEAST_SHARE) -> DataFrame:
     """One row per row of ``docs(doc_id, text)``: doc_id, text_key, counts, base_sha256, base, terms (array of start, end,
     kind of what the term reveals)."""
     rows = docs.select(column_or_null(docs, "doc_id", "long").alias("doc_id"), column_or_null(docs, "text", "string").alias("text"))
     scanned = materialize(rows.mapInArrow(_scan, SCAN), "pii")
-    found = disclosing_terms(rows, scanned, threshold, z)
+    found = disclosing_terms(rows, scanned, threshold, z, least_share)
     keep = scanned.select("doc_id", "text_key", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base")
     empty = F.expr("cast(array() as array<struct<start:int,end:int,kind:int>>)")
     if found is None:
@@ -256,11 +310,11 @@ def sanitise(text: str, base: list[tuple[int, int, int]], terms: list[tuple[int,
     return "".join(out) + text[at:]
 
 
-def sanitise_documents(docs: DataFrame, threshold: float = 0.9, z: float = 1.96) -> DataFrame:
+def sanitise_documents(docs: DataFrame, threshold: float = THRESHOLD, z: float = 1.96, least_share: float = LEAST_SHARE) -> DataFrame:
     """``docs`` with personal data and disclosing terms of the text replaced, and n_chars (if there) counted again."""
     rows = docs.select(column_or_null(docs, "doc_id", "long").alias("doc_id"), column_or_null(docs, "text", "string").alias("text"))
     scanned = materialize(rows.mapInArrow(_scan, SCAN), "pii")
-    found = disclosing_terms(rows, scanned, threshold, z)
+    found = disclosing_terms(rows, scanned, threshold, z, least_share)
     names, schema = docs.columns, docs.schema
     at = names.index("text")
     if found is not None:
