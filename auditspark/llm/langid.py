@@ -2,17 +2,19 @@
 
 Bytes are embedded, filters of several widths slide over fixed-length windows, each filter's maximum over a window goes
 through a softmax layer, and a document's prediction is the mean of its windows' log probabilities, weighted by their
-letters. Training uses a bounded sample of labelled rows, spread over all labels; application covers every window of every
-text.
+letters. Training uses whole texts of a bounded sample of labelled rows, spread evenly over all labels (each has one row at
+least), and draws a fixed number of batches from all of their windows; application covers every window of every text.
 
 Defined results: a null text, and one without a letter, is ``und`` with score 0; without any labelled row every text is
 ``und``; a null doc_id is neither held out nor learned from; repeated rows each get a row; an empty table gives an empty
-result.
+result. Of labels equally likely the least name counts. Other columns are passed through; columns of the input named
+lang_pred and score are replaced by the prediction. Long texts are read whole, in batches of bounded size.
 """
 
 from __future__ import annotations
 
 import functools
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import column_or_null
 
@@ -27,10 +30,9 @@ WINDOW = 256
 WIDTHS = (2, 3, 4)
 EMBED = 6
 FILTERS = 12
-#: Bounds of the training sample: rows in all, and bytes of each row, cut at a seeded place.
-TRAIN_ROWS = 4000
-TRAIN_CHARS = 384
-MAX_LABELS = 200
+#: Bound of the training sample, in rows, and steps of training with windows of each.
+TRAIN_ROWS = 1000
+STEPS, BATCH = 900, 64
 UND = "und"
 
 
@@ -75,7 +77,7 @@ def windows_of(text: bytes) -> np.ndarray:
     return np.concatenate([data, np.zeros(-len(data) % WINDOW, np.uint8)]).reshape(-1, WINDOW)
 
 
-def train(texts: list[str], labels: list[str], epochs: int = 8, seed: int = 3) -> ByteConv:
+def train(texts: list[str], labels: list[str], steps: int = STEPS, seed: int = 3) -> ByteConv:
     """Adam on cross entropy over the windows of the texts."""
     rng = np.random.default_rng(seed)
     names = sorted(set(labels))
@@ -90,59 +92,60 @@ def train(texts: list[str], labels: list[str], epochs: int = 8, seed: int = 3) -
     }
     p["embed"][0] = 0
     moment = {name: (np.zeros_like(v), np.zeros_like(v)) for name, v in p.items()}
-    weight = np.array([len(y) / (k * max(1, (y == c).sum())) for c in range(k)], np.float32)
-    step, batch = 0, 64
-    for _ in range(epochs):
-        order = rng.permutation(len(x))
-        for at in range(0, len(x), batch):
-            rows = order[at : at + batch]
-            model = ByteConv(names, **p)
-            pooled, response = model.pooled(x[rows])
-            where = response.argmax(axis=1)
-            hidden = np.maximum(pooled, 0)
-            z = hidden @ p["out"] + p["out_bias"]
-            z -= z.max(axis=1, keepdims=True)
-            prob = np.exp(z)
-            prob /= prob.sum(axis=1, keepdims=True)
-            dz = prob
-            dz[np.arange(len(rows)), y[rows]] -= 1
-            dz *= (weight[y[rows]] / len(rows))[:, None]
-            dh = (dz @ p["out"].T) * (pooled > 0)
-            # Only the winning place of each filter carries gradient.
-            n, f = dh.shape
-            padded = np.concatenate([x[rows], np.zeros((n, max(WIDTHS) - 1), np.uint8)], axis=1)
-            spots = where[:, :, None] + np.arange(max(WIDTHS))
-            seen = padded[np.arange(n)[:, None, None], spots]
-            patches = p["embed"][seen].reshape(n, f, width)
-            grad = {"out": hidden.T @ dz, "out_bias": dz.sum(axis=0), "bias": dh.sum(axis=0), "filters": np.einsum("nfw,nf->wf", patches, dh) * mask, "embed": np.zeros_like(p["embed"])}
-            back = (dh[:, :, None] * p["filters"].T[None]).reshape(n, f, max(WIDTHS), EMBED)
-            np.add.at(grad["embed"], seen.ravel(), back.reshape(-1, EMBED))
-            grad["embed"][0] = 0
-            step += 1
-            for name, g in grad.items():
-                m, v = moment[name]
-                m += 0.1 * (g - m)
-                v += 0.001 * (g * g - v)
-                p[name] -= (0.01 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
+    rows_of = Counter(labels)
+    weight = np.array([len(labels) / (k * rows_of[name]) for name in names], np.float32)
+    # Each row's windows are as likely as another row's, whatever its length.
+    chance = np.concatenate([np.full(len(q), 1 / len(q)) for q in parts])
+    chance /= chance.sum()
+    for step in range(1, steps + 1):
+        rows = rng.choice(len(x), BATCH, p=chance)
+        model = ByteConv(names, **p)
+        pooled, response = model.pooled(x[rows])
+        where = response.argmax(axis=1)
+        hidden = np.maximum(pooled, 0)
+        z = hidden @ p["out"] + p["out_bias"]
+        z -= z.max(axis=1, keepdims=True)
+        prob = np.exp(z)
+        prob /= prob.sum(axis=1, keepdims=True)
+        dz = prob
+        dz[np.arange(len(rows)), y[rows]] -= 1
+        dz *= (weight[y[rows]] / len(rows))[:, None]
+        dh = (dz @ p["out"].T) * (pooled > 0)
+        # Only the winning place of each filter carries gradient.
+        n, f = dh.shape
+        padded = np.concatenate([x[rows], np.zeros((n, max(WIDTHS) - 1), np.uint8)], axis=1)
+        spots = where[:, :, None] + np.arange(max(WIDTHS))
+        seen = padded[np.arange(n)[:, None, None], spots]
+        patches = p["embed"][seen].reshape(n, f, width)
+        grad = {"out": hidden.T @ dz, "out_bias": dz.sum(axis=0), "bias": dh.sum(axis=0), "filters": np.einsum("nfw,nf->wf", patches, dh) * mask, "embed": np.zeros_like(p["embed"])}
+        back = (dh[:, :, None] * p["filters"].T[None]).reshape(n, f, max(WIDTHS), EMBED)
+        np.add.at(grad["embed"], seen.ravel(), back.reshape(-1, EMBED))
+        grad["embed"][0] = 0
+        for name, g in grad.items():
+            m, v = moment[name]
+            m += 0.1 * (g - m)
+            v += 0.001 * (g * g - v)
+            p[name] -= (0.01 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
     return ByteConv(names, **p)
 
 
 def fit(rows: DataFrame, label: str = "lang", train_rows: int = TRAIN_ROWS, seed: int = 3) -> ByteConv | None:
-    """Train on ``rows(doc_id, text, label)``: about ``train_rows`` rows, spread evenly over the labels."""
+    """Train on ``rows(doc_id, text, label)``: at most ``train_rows`` rows, as many of each label, or one of each label if
+    there are more labels than that."""
     known = rows.filter(F.col(label).isNotNull() & F.coalesce(F.col("text"), F.lit("")).rlike(r"\p{L}"))
-    counts = known.groupBy(label).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), label).limit(MAX_LABELS).collect()
-    if not counts:
+    known = known.select(F.col(label).alias("label"), "text", F.xxhash64("doc_id", F.lit(seed)).alias("_at"), "doc_id", F.xxhash64("text").alias("_text"))
+    n_labels = known.agg(F.count_distinct("label")).first()[0]
+    if not n_labels:
         return None
-    each = max(1, train_rows // len(counts))
-    share = F.create_map(*[F.lit(v) for r in counts for v in (r[0], min(1.0, each / r["n"]))])
-    unit = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    room = F.greatest(F.lit(1), F.length("text") - TRAIN_CHARS + 1)
-    start = 1 + F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), room)
-    cut = F.substring("text", start.cast("int"), F.lit(TRAIN_CHARS))
-    # The share bounds the rows in expectation, the limit always; the least hashes first, so reruns agree.
-    sample = known.withColumn("_unit", unit).filter(F.col("_unit") < share[F.col(label)]).select(F.col(label).alias("label"), cut.alias("piece"), "_unit", "doc_id")
-    sample = sample.orderBy("_unit", "doc_id", "piece").limit(2 * train_rows).collect()
-    return train([r["piece"] for r in sample], [r["label"] for r in sample], seed=seed) if sample else None
+    # The least hashes of each label, so reruns agree. Ranks are limited in each task before the shuffle, and without texts;
+    # only rows that come as early as a label's last one are read with theirs.
+    each = max(1, train_rows // n_labels)
+    first = Window.partitionBy("label").orderBy("_at", "doc_id", "_text")
+    ranked = lambda df: df.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= each)
+    last = ranked(known.drop("text")).groupBy("label").agg(F.max("_at").alias("_last"))
+    chosen = ranked(known.join(last, "label").filter(F.col("_at") <= F.col("_last")))
+    sample = sorted(chosen.select("label", "text").collect())
+    return train([r["text"] for r in sample], [r["label"] for r in sample], seed=seed)
 
 
 @functools.lru_cache(maxsize=1)
