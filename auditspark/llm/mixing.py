@@ -6,12 +6,13 @@ to ``max_repeats``: a convex cost, so the flow repeats text only where fresh tex
 target. The flow's words for each pattern are then dealt to its documents in a seeded order.
 
 Defined results: a null text has size 0; a null source is a source of its own, last in order; repeated rows are documents
-of their own; an empty table gives an empty result. At most one document of a pattern is taken in part in each repeat.
+of their own; an empty table gives an empty result; columns of the input that the result has too are replaced. Documents
+that tie in the seeded order follow by id, then size. At most one document of a pattern is taken in part in each repeat.
 """
 
 from __future__ import annotations
 
-import heapq
+from collections import deque
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,8 +22,9 @@ from pyspark.sql.window import Window
 from .common import WORD, column_or_null, materialize
 
 WEIGHTS = (5, 2, 1)
-#: Patterns and sources are summed up before they reach the driver; beyond this many the job stops with an error.
-MAX_PATTERNS = 200_000
+#: Patterns are summed up before they reach the driver. Beyond this many the job stops with an error: the flow has one node
+#: a pattern, and a part of them would not give the least cost.
+MAX_PATTERNS = 2_000_000
 BINS = 4096
 
 
@@ -52,58 +54,64 @@ def min_cost_flow(supply: list[int], members: list[list[int]], quota: list[int],
     supply: words of each pattern; members: its sources; quota: words that each source takes. Successive shortest paths:
     the r-th use of a pattern costs r, so flow is added level by level, each level being a maximum flow that may reroute
     what earlier levels placed. Costs depend on the pattern's level only, which makes the greedy levels optimal.
+
+    Paths run over sources, of which there are few: for each pair of sources the patterns that send words to the one and
+    could send them to the other are kept, so a search looks at pairs, not at patterns.
     """
     flow: list[dict[int, int]] = [dict() for _ in supply]
-    holders: list[set[int]] = [set() for _ in quota]
+    # movable[s][t]: patterns that send to s and are members of t (a dict keeps their order).
+    movable: list[dict[int, dict[int, None]]] = [{} for _ in quota]
     left, quota = [0] * len(supply), list(quota)
+
+    def send(p: int, s: int, amount: int) -> None:
+        had = flow[p].get(s, 0)
+        flow[p][s] = had + amount
+        if not flow[p][s]:
+            del flow[p][s]
+        if bool(had) != bool(had + amount):
+            for t in members[p]:
+                if t != s:
+                    of = movable[s].setdefault(t, {})
+                    if had:
+                        del of[p]
+                        if not of:
+                            del movable[s][t]
+                    else:
+                        of[p] = None
+
     for _ in range(max_repeats):
         left = [a + b for a, b in zip(left, supply, strict=True)]
         # Rarest memberships first leaves the least to reroute; the result is the same.
         for p in sorted(range(len(supply)), key=lambda p: (len(members[p]), p)):
-            while left[p] > 0:
-                path = _augmenting(p, members, quota, flow, holders)
-                if path is None:
-                    break
-                amount = min(left[p], quota[path[-1][1]], *(flow[q].get(s, 0) for q, s in ((path[i + 1][0], path[i][1]) for i in range(len(path) - 1))), left[p])
-                for i, (q, s) in enumerate(path):
-                    flow[q][s] = flow[q].get(s, 0) + amount
-                    holders[s].add(q)
-                    if i:
-                        before = path[i - 1][1]
-                        flow[q][before] -= amount
-                        if not flow[q][before]:
-                            del flow[q][before]
-                            holders[before].discard(q)
+            while left[p] > 0 and (path := _augmenting(members[p], quota, movable)):
+                moves = [(next(iter(movable[s][t])), s, t) for s, t in zip(path, path[1:])]
+                amount = min(left[p], quota[path[-1]], *(flow[q][s] for q, s, _ in moves))
+                for q, s, t in moves:
+                    send(q, s, -amount)
+                    send(q, t, amount)
+                send(p, path[0], amount)
                 left[p] -= amount
-                quota[path[-1][1]] -= amount
+                quota[path[-1]] -= amount
         if not any(quota):
             break
     return flow
 
 
-def _augmenting(p, members, quota, flow, holders):
-    """Shortest list of (pattern, source) steps from pattern p to a source with quota left; each later pattern gives up
-    what it sends to the step before."""
-    came, heap, seen_patterns = {}, [], {p}
-    for s in members[p]:
-        came.setdefault(s, (p, None))
-        heapq.heappush(heap, (0, s))
-    while heap:
-        depth, s = heapq.heappop(heap)
+def _augmenting(starts: list[int], quota: list[int], movable: list[dict[int, dict[int, None]]]) -> list[int] | None:
+    """Shortest list of sources from one of the starts to one with quota left, each giving up words to be sent to the next."""
+    came: dict[int, int | None] = dict.fromkeys(starts)
+    queue = deque(starts)
+    while queue:
+        s = queue.popleft()
         if quota[s] > 0:
-            path = []
-            while s is not None:
-                q, before = came[s]
-                path.append((q, s))
-                s = before
+            path = [s]
+            while (before := came[path[-1]]) is not None:
+                path.append(before)
             return path[::-1]
-        for q in sorted(holders[s]):
-            if q not in seen_patterns:
-                seen_patterns.add(q)
-                for t in members[q]:
-                    if t not in came:
-                        came[t] = (q, s)
-                        heapq.heappush(heap, (depth + 1, t))
+        for t in sorted(movable[s]):
+            if t not in came:
+                came[t] = s
+                queue.append(t)
     return None
 
 
@@ -111,15 +119,16 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def mix(docs: DataFrame, sources: Column, size: Column | None = None, share: float = 1.5, weights=WEIGHTS, max_repeats: int = 2, seed: int = 17) -> DataFrame:
+def mix(docs: DataFrame, sources: Column, size: Column | None = None, share: float = 1.5, weights=WEIGHTS, max_repeats: int = 2, seed: int = 17, content: Column | None = None) -> DataFrame:
     """``docs`` with size, pattern_size, source_size, target and taken (words of the document that the mix takes).
 
-    sources: an array column, the sources that a document belongs to; source_size and target are those of its first.
+    sources: an array column, the sources that a document belongs to; source_size and target are those of its first. content:
+    what the seeded order tells documents apart by, beside their id; by default a hash of the text.
     """
     spark = docs.sparkSession
     docs = docs.drop("pattern_size", "source_size", "target", "taken")
     rows = docs.withColumns({"_pattern": F.array_sort(sources, lambda a, b: F.when(a.isNull() & b.isNull(), 0).when(a.isNull(), 1).when(b.isNull(), -1).when(a < b, -1).when(a > b, 1).otherwise(0)), "_first": F.get(sources, F.lit(0)), "size": word_count(F.col("text")) if size is None else size})
-    rows = rows.withColumn("_order", F.xxhash64(F.lit(seed), "doc_id", "text"))
+    rows = rows.withColumn("_order", F.xxhash64(F.lit(seed), "doc_id", F.xxhash64("text") if content is None else content))
     # By pattern and by bin of the seeded order: sums that are combined before the shuffle.
     bins = materialize(rows.groupBy("_pattern", F.pmod("_order", F.lit(BINS)).alias("_bin")).agg(F.sum("size").alias("words")), "mix-bins")
     totals = bins.groupBy("_pattern").agg(F.sum("words").alias("words")).limit(MAX_PATTERNS + 1).collect()
@@ -159,5 +168,7 @@ def mix(docs: DataFrame, sources: Column, size: Column | None = None, share: flo
 
 def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    docs = docs.select(column_or_null(docs, "doc_id", "long").alias("doc_id"), column_or_null(docs, "text", "string").alias("text"), column_or_null(docs, "source", "string").alias("source"))
-    return mix(docs, F.array("source")).select("doc_id", "source", "size", "source_size", "target", "taken")
+    text = column_or_null(docs, "text", "string")
+    # Words are counted once; what follows reads ids, sources and sizes only.
+    rows = docs.select(column_or_null(docs, "doc_id", "long").alias("doc_id"), column_or_null(docs, "source", "string").alias("source"), word_count(text).alias("size"), F.xxhash64(text).alias("content"))
+    return mix(materialize(rows, "mix-sizes"), F.array("source"), F.col("size"), content=F.col("content")).select("doc_id", "source", "size", "source_size", "target", "taken")
