@@ -12,7 +12,9 @@ length, and with as many such runs in reach, can match; this drops no match.
 
 Defined results: null or empty texts and items match nothing; repeated rows each are searched; an empty table gives an
 empty result; other columns are passed through. Words are runs of letters and digits, lower-cased; an item without any is
-ignored. Texts are searched whole. Items reach the tasks in blocks of bounded size, each block against all documents.
+ignored. Of occurrences of an item in a text the one with fewest edits counts, then the first to begin. Items that repeat
+an id are items of their own. Texts are searched whole, in slices of bounded size. Items reach the tasks in blocks of
+bounded size, each block against all documents.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -89,22 +92,46 @@ def sampled_keys(words: np.ndarray, starts: np.ndarray, n: int, tables: int, see
 
 
 def occurrence(item: list[int], words: list[int], limit: int) -> tuple[int, int, int] | None:
-    """(edits, start, end) of the best approximate occurrence of the item in the words, if within the limit."""
-    before = [(0, j) for j in range(len(words) + 1)]
+    """(edits, start, end) of the best approximate occurrence of the item in the words, if within the limit; of equal ones
+    the first to end, then the first to start. Only places that a path within the limit can reach are computed."""
+    n, m, far = len(item), len(words), (limit + 1, 0)
+    before = [(0, j) for j in range(m + 1)]
     for i, x in enumerate(item, 1):
-        now = [(i, 0)]
-        for j, y in enumerate(words, 1):
+        # The first words of the item may be deleted; the last ones must still fit in.
+        lo, hi = max(1, i - limit), min(m, m - n + i + limit)
+        now = [far] * (m + 1)
+        now[0] = (i, 0)
+        best_here = i
+        for j in range(lo, hi + 1):
             a, b, c = before[j - 1], before[j], now[j - 1]
-            same = (a[0] + (x != y), a[1])
-            best = same if same[0] <= b[0] + 1 else (b[0] + 1, b[1])
-            now.append(best if best[0] <= c[0] + 1 else (c[0] + 1, c[1]))
-        if min(v[0] for v in now) > limit:
+            best = (a[0] + (x != words[j - 1]), a[1])
+            if b[0] + 1 < best[0]:
+                best = (b[0] + 1, b[1])
+            if c[0] + 1 < best[0]:
+                best = (c[0] + 1, c[1])
+            now[j] = best
+            if best[0] < best_here:
+                best_here = best[0]
+        if best_here > limit:
             return None
         before = now
     cost, end, start = min((v[0], j, v[1]) for j, v in enumerate(before))
     return (cost, start, end) if cost <= limit else None
 
 
+def slices(batch: pa.RecordBatch, column: int, rows: int = 1024, size: int = 1 << 23) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of at most so many rows and, unless one text is longer, so many bytes of text."""
+    lengths = [0 if x is None else x for x in pc.binary_length(batch.column(column)).to_pylist()]
+    at, held = 0, 0
+    for i, n in enumerate(lengths):
+        if i > at and (i - at == rows or held + n > size):
+            yield batch.slice(at, i - at)
+            at, held = i, 0
+        held += n
+    if at < len(lengths):
+        yield batch.slice(at)
+
+
 @dataclass
 class Items:
     """A block of benchmark items, prepared for the search."""
@@ -255,8 +282,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, share: float = 0.2, recall
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             items = shared.value
             for batch in batches:
-                for at in range(0, batch.num_rows, step):
-                    part = batch.slice(at, step)
+                for part in slices(batch, 1, step):
                     ids = part.column(0).to_pylist()
                     found = search(part.column(1).to_pylist(), items)
                     if found:
@@ -278,8 +304,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.2,
     def keeper(shared):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for lo in range(0, batch.num_rows, 1024):
-                    part = batch.slice(lo, 1024)
+                for part in slices(batch, at):
                     keep = np.ones(part.num_rows, bool)
                     keep[[t for t, *_ in search(part.column(at).to_pylist(), shared.value)]] = False
                     yield part.filter(pa.array(keep))
