@@ -296,6 +296,58 @@ def test_terms_of_rare_entities(spark):
     assert found == {(1000, "zorblat"), (1001, "quendrin"), (1002, "quendrin"), (1003, "quendrin"), *((2000 + i, "correspondence") for i in range(30))}
 
 
+def test_contexts_are_whole_terms():
+    text = "internationalisation " + "x " * 300 + "w" * 200 + " one1two q@a.example " + "- " * 400 + "afterwards ab abc"
+    (s, _, e), = pii.base_spans(text)
+    assert [t for _, t in pii.contexts(text, [(s, 0, e)])[0]] == ["internationalisation", "w" * 200, "one", "two", "afterwards", "abc"]
+    assert pii.entity_of(0, "A+b@x.org") != pii.entity_of(0, "ab@x.org") and pii.entity_of(1, "01.2.3.4") == pii.entity_of(1, "1.2.3.4") and pii.entity_of(3, "+1 (2)") == "12"
+    assert pii.free_of([(0, 3), (4, 9), (12, 15)], [(3, 0, 4), (8, 0, 20)]) == [(0, 3)]
+
+
+@pytest.mark.parametrize("which", ["docs", "odd"])
+def test_disclosure_equals_brute_force(request, spark, which):
+    """At the operator's own threshold, from positions counted one by one."""
+    import math
+
+    rows = request.getfixturevalue(which)
+    if which == "odd":
+        rows = rows.unionByName(spark.createDataFrame([(70 + i, f"{LONG} Zorblat{'x' * i} a{i % 2}@b.example {LONG}", None, None, 1, 7, "clash", 7, 7, "clash") for i in range(3)], rows.schema))
+    data = [(r.doc_id, r.text or "") for r in rows.collect()]
+    term = re.compile(r"[^\W\d_]{3,}")
+    near, cover, totals = defaultdict(lambda: [set(), 0, Counter()]), Counter(), Counter()
+    for _, t in data:
+        totals.update(term.findall(t.lower()))
+        spans, seen = pii_spans(t), set()
+        all_terms = [(m.start(), m.end(), m[0].lower()) for m in term.finditer(t)] if spans else []
+        for s, k, e in spans:
+            around = [x for x in all_terms if x[1] <= s][-6:] + [x for x in all_terms if x[0] >= e][:6]
+            for concept in ((0, k, pii.entity_of(k, t[s:e])), (1, k), (2,)):
+                cover[concept] += 1
+                for a, _, w in around:
+                    found = near[concept, w]
+                    found[0].add((k, tuple(x[2] for x in around)))
+                    if (concept, a) not in seen:
+                        seen.add((concept, a))
+                        found[1] += 1
+                        found[2][k, tuple(x[2] for x in around)] += 1
+    size = sum(len(words(t)) for _, t in data)
+    found = {}
+    for (concept, w), (_, _, counts) in near.items():
+        n, c = sum(counts.values()), len(counts)
+        trials, z = c + max(0, totals[w] - n), 1.96
+        p = c / trials
+        bound = (p + z * z / (2 * trials) - z * math.sqrt(p * (1 - p) / trials + z * z / (4 * trials * trials))) / (1 + z * z / trials)
+        of = min(1.0, cover[concept] * 12 / size)
+        if bound >= 0.2 and math.log(bound / of) / max(1e-9, -math.log(of)) >= 0.8:
+            found[w] = True
+    expected = Counter()
+    for d, t in data:
+        base = pii_spans(t)
+        expected[(d, tuple(m.span() for m in term.finditer(t) if m[0].lower() in found and not any(s < m.end() and m.start() < e for s, _, e in base)))] += 1
+    got = Counter((r.doc_id, tuple((x["start"], x["end"]) for x in r.terms)) for r in pii.scan_pii(rows).collect())
+    assert got == expected and found
+
+
 def test_sanitise_overlaps():
     text = "call +1 702 555 0742 now"
     assert pii.sanitise(text, pii.base_spans(text), []) == "call [PHONE] now"
@@ -423,6 +475,43 @@ def test_targets():
     assert got[0] == 20 and got[2] == 0 and sum(got) == pytest.approx(1.5 * 1510) and got[3] == 1000
 
 
+def test_flow_is_maximal_and_cheapest():
+    """Random small problems: the flow equals the best of a plain search over levels (a max-flow for each level)."""
+    from itertools import product
+
+    rng = random.Random(12)
+    for _ in range(60):
+        n_sources, n = rng.randint(1, 3), rng.randint(1, 4)
+        members = [sorted(rng.sample(range(n_sources), rng.randint(1, n_sources))) for _ in range(n)]
+        supply, quota = [rng.randint(0, 3) for _ in range(n)], [rng.randint(0, 5) for _ in range(n_sources)]
+        found = mixing.min_cost_flow(supply, members, quota, 2)
+
+        def cost(used):
+            return sum(max(0, u - s) for u, s in zip(used, supply))
+
+        best = None
+        for used in product(*(range(2 * s + 1) for s in supply)):
+            # Whether the patterns can send exactly so much: Hall's condition over all sets of patterns.
+            fits = all(sum(used[p] for p in chosen) <= sum(quota[s] for s in {s for p in chosen for s in members[p]}) for k in range(1 << n) if (chosen := [p for p in range(n) if k >> p & 1]))
+            if fits and (best is None or (-sum(used), cost(used)) < best):
+                best = (-sum(used), cost(used))
+        used = [sum(f.values()) for f in found]
+        assert (-sum(used), cost(used)) == best
+        assert all(s in members[p] and v > 0 for p, f in enumerate(found) for s, v in f.items())
+        assert all(sum(f.get(s, 0) for f in found) <= quota[s] for s in range(n_sources))
+
+
+def test_flow_over_many_patterns():
+    import time
+
+    rng = random.Random(1)
+    members = [sorted(rng.sample(range(40), rng.randint(1, 4))) for _ in range(60_000)]
+    supply = [rng.randint(1, 1000) for _ in members]
+    began = time.process_time()
+    found = mixing.min_cost_flow(supply, members, [sum(supply) * 3 // 80] * 40, 2)
+    assert sum(sum(f.values()) for f in found) == sum(supply) * 3 // 80 * 40 and time.process_time() - began < 60
+
+
 def test_flow_serves_overlapping_sources(spark):
     # Source 0 can only be served by the shared pattern, source 1 by either: the shared words must go to 0.
     assert mixing.min_cost_flow([10, 10], [[0, 1], [1]], [10, 10], 1) == [{0: 10}, {1: 10}]
@@ -437,7 +526,7 @@ def test_flow_serves_overlapping_sources(spark):
 
 
 def test_language(spark, docs, odd):
-    model = langid.fit(docs.filter(~langid.held_out(F.col("doc_id"))), train_rows=600)
+    model = langid.fit(docs.filter(~langid.held_out(F.col("doc_id"))))
     found = langid.identify(docs, model)
     assert found.select(docs.columns).exceptAll(docs).count() == 0
     hit = found.filter(langid.held_out(F.col("doc_id"))).agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0]
@@ -496,6 +585,24 @@ def test_exact_leaks_and_clean_documents(spark, docs, odd):
     assert {r.item_id for r in decontaminate.find_leaks(odd, tiny).collect()} == {1}
 
 
+def test_occurrence_equals_all_substrings():
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(last + (x != y), row[j] + 1, row[j - 1] + 1)
+        return row[-1]
+
+    rng = random.Random(7)
+    for _ in range(300):
+        item, words_ = [rng.randrange(4) for _ in range(rng.randint(1, 7))], [rng.randrange(4) for _ in range(rng.randint(0, 12))]
+        limit = rng.randint(0, 3)
+        best = min(distance(item, words_[a:b]) for a in range(len(words_) + 1) for b in range(a, len(words_) + 1))
+        found = decontaminate.occurrence(item, words_, limit)
+        assert (found is None) == (best > limit) and (found is None or (found[0] == best == distance(item, words_[found[1] : found[2]])))
+
+
 def test_occurrence_is_edit_distance():
     assert decontaminate.occurrence([1, 2, 3, 4], [9, 1, 2, 3, 4, 9], 0) == (0, 1, 5)
     assert decontaminate.occurrence([1, 2, 3, 4], [1, 2, 9, 3, 4], 1)[0] == 1
