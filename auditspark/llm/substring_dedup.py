@@ -45,7 +45,7 @@ CELLS = 3
 SHARD_BITS = 25
 #: Bytes of text in a chunk, unless one text is longer, and chunks of a part.
 CHUNK_BYTES = 12_000_000
-PART_CHUNKS = 16
+PART_CHUNKS = 4
 
 
 def pieces(data: bytes) -> Iterator[bytes]:
@@ -153,7 +153,8 @@ def chunk_table(rows: DataFrame) -> DataFrame:
 
     spark = rows.sparkSession
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = min(100_000, max(4 * spark.sparkContext.defaultParallelism, 2 * total // (PART_CHUNKS * CHUNK_BYTES)))
+    # Some buckets for each part, so few hold several of them; Spark allows no more than 100,000.
+    buckets = min(100_000, max(4 * spark.sparkContext.defaultParallelism, total // CHUNK_BYTES))
     name = f"substring_chunks_{uuid.uuid4().hex}"
     chunks = rows.mapInArrow(run, "part long, chunk int, data binary")
     chunks.write.option("compression", "none").option("path", f"{shared_folder(spark)}/{name}").bucketBy(buckets, "part").format("parquet").saveAsTable(name)
