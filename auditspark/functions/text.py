@@ -83,27 +83,51 @@ CHAIN_CHECKS = (
 )
 
 
-def _any_template(text: Column, templates, mark: str, value: Column) -> Column:
-    """Whether any template, with the value in place of the mark, matches: one pattern a row. All need an if, an assert or
-    a disjunction, which is looked for first."""
-    pieces: list[Column] = []
-    for n, t in enumerate(templates):
-        first, *rest = t.split(mark)
-        pieces += [F.lit(("|(?:" if n else "(?:") + first), *[x for r in rest[:-1] for x in (value, F.lit(r))], value, F.lit(rest[-1] + ")")]
+#: An identifier or chain of identifiers and subscripts in a check.
+_NAME = r"[A-Za-z_]\w*(?:(?:->|\.)\w+)*"
+_CHAIN = r"[A-Za-z_]\w*(?:\s*->\s*\w+|\s*\.\s*\w+|\s*\[[^\[\]]*\])*"
+
+
+def _checked(text: Column, templates, mark: str, name: str) -> Column:
+    """What stands at the mark of any template, in all of the text: one constant pattern a template. Checks may overlap (a
+    chain checked in a call within a check), so a pattern looks ahead and takes no text."""
+    found = [F.regexp_extract_all(text, F.lit("(?=(?:" + t.replace(mark, f"({name})", 1) + "))"), F.lit(1)) for t in templates]
     hinted = text.contains("if") | text.contains("assert") | text.contains("||")
-    return F.when(hinted, F.regexp_like(text, F.concat(*pieces))).otherwise(F.lit(False))
+    return F.when(hinted, F.array_distinct(F.concat(*found))).otherwise(F.array().cast("array<string>"))
+
+
+def checked_names(body: Column) -> Column:
+    """All names that the body checks for null. A template without an end at the name also holds for what the name begins
+    with, up to a place where a word ends."""
+    found = _checked(body, NULL_CHECKS, "{v}", _NAME)
+    open_ended = _checked(body, [t for t in NULL_CHECKS if t.endswith(r"{v}\b")], "{v}", _NAME)
+    # A name as far as each of its members.
+    heads = F.flatten(F.transform(open_ended, _prefixes))
+    return F.array_distinct(F.concat(found, heads))
+
+
+def _prefixes(chain: Column) -> Column:
+    """a->b.c as a, a->b, a->b.c."""
+    steps = F.regexp_extract_all(chain, F.lit(r"((?:->|\.)?\w+)"), F.lit(1))
+    return F.transform(F.sequence(F.lit(1), F.size(steps)), lambda i: F.array_join(F.slice(steps, F.lit(1), i), ""))
 
 
 def null_guarded(body: Column, name: Column) -> Column:
-    return _any_template(body, NULL_CHECKS, "{v}", escape_regex(name))
+    return F.array_contains(checked_names(body), name)
+
+
+def checked_chains(body: Column) -> Column:
+    """All chains that the body checks for null, without blanks around ``->`` and brackets."""
+    found = _checked(body, CHAIN_CHECKS, "{e}", _CHAIN)
+    open_ended = _checked(body, [t for t in CHAIN_CHECKS if t.endswith(r"{e}\b")], "{e}", _CHAIN)
+    steps = lambda c: F.regexp_extract_all(c, F.lit(r"((?:->|\.)?\w+|\[[^\[\]]*\])"), F.lit(1))
+    prefixes = F.flatten(F.transform(F.transform(open_ended, normal_expression), lambda c: F.transform(F.sequence(F.lit(1), F.size(steps(c))), lambda i: F.array_join(F.slice(steps(c), F.lit(1), i), ""))))
+    return F.array_distinct(F.concat(F.transform(found, normal_expression), prefixes))
 
 
 def chain_guarded(body: Column, expression: Column) -> Column:
     """Null checks of a chain; blanks are allowed around ``->`` and brackets."""
-    e = escape_regex(expression)
-    for token, pattern in ((r"\->", r"\s*->\s*"), (r"\[", r"\s*\[\s*"), (r"\]", r"\s*\]\s*")):
-        e = F.replace(e, F.lit(token), F.lit(pattern))
-    return _any_template(body, CHAIN_CHECKS, "{e}", e)
+    return F.array_contains(checked_chains(body), normal_expression(expression))
 
 
 def normal_expression(text: Column) -> Column:

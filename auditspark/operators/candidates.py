@@ -20,7 +20,7 @@ def keep_first(rows: DataFrame, key, order) -> DataFrame:
 
 
 def keep_last(rows: DataFrame, key, order) -> DataFrame:
-    return keep_first(rows, key, [F.desc(c) if isinstance(c, str) else c for c in order])
+    return keep_first(rows, key, [F.desc(c) if isinstance(c, str) else c.desc() for c in order])
 
 
 def merge_families(candidates: DataFrame, order) -> DataFrame:
@@ -34,14 +34,21 @@ def without_processed(candidates: DataFrame, processed: DataFrame, key=CANDIDATE
     return candidates.join(processed, list(key), "left_anti")
 
 
-def continuable(candidates: DataFrame, processed: DataFrame, stored: DataFrame, key=CANDIDATE_KEY, order=("seq",)) -> DataFrame:
-    """Candidates not processed yet and those whose stored result may be retried; the stored row is preferred."""
-    key = list(key)
-    retry = stored.filter(retryable(F.col("ai_verdict")))
-    open_ = without_processed(candidates, processed, key).withColumn("_rank", F.lit(1))
-    again = candidates.join(retry.select(*key).distinct(), key, "left_semi").withColumn("_rank", F.lit(0))
-    both = open_.unionByName(again)
-    return keep_first(both, key, ["_rank", *order]).drop("_rank")
+def continuable(stored: DataFrame, processed: DataFrame, retries: DataFrame, key=CANDIDATE_KEY, order=("seq",)) -> DataFrame:
+    """What a scan goes on with: stored candidates that are not processed yet, the first of each key, and ``retries`` (rows
+    of results that may be retried) of other keys.
+
+    A retry stands as the last stored candidate of its key, or as itself, the first of its key, where none is stored.
+    Placeholders of threat analysis among the stored candidates are left out.
+    """
+    from .results import static_candidates
+
+    key, stored = list(key), static_candidates(stored)
+    open_ = keep_first(without_processed(stored, processed, key), key, order)
+    again = keep_first(retries, key, order).join(open_.select(*key), key, "left_anti")
+    known = keep_last(stored.join(again.select(*key), key, "left_semi"), key, order)
+    new = again.join(known.select(*key), key, "left_anti")
+    return open_.unionByName(known).unionByName(new, allowMissingColumns=True)
 
 
 def retryable(verdict: Column) -> Column:
@@ -74,6 +81,11 @@ def concatenate(parts: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
+def difference(rows: DataFrame, *others: DataFrame) -> DataFrame:
+    """Distinct rows that none of the others has."""
+    return reduce(DataFrame.subtract, others, rows)
+
+
 def unknown_names(selected: DataFrame, known: DataFrame, name: str = "name") -> DataFrame:
     """Selected names that are not known: must be empty."""
     return selected.select(name).distinct().join(known.select(name), name, "left_anti")

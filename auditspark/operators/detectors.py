@@ -13,9 +13,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from ..functions.text import call_names, chain_guarded, escape_regex, line_of_match, normal_expression, null_guarded, pair_name, role_hint, short_name, stable_id, terms_in
+from ..functions.text import call_names, checked_chains, checked_names, escape_regex, line_of_match, normal_expression, pair_name, role_hint, short_name, stable_id, terms_in
 from .candidates import keep_first
 from .lookup import containing_function
+from .results import arithmetic, memory_place, metavar, sink
 
 _NOISE = re.compile(r"/\*.*?(?:\*/|\Z)|//[^\n]*|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'", re.S)
 #: Names that are never pointers of interest.
@@ -71,50 +72,78 @@ def atoi_calls(functions: DataFrame) -> DataFrame:
     return found.select(*candidate(F.col("file_path"), F.col("line"), F.col("name"), "atoi_read_oob", subject, F.concat(F.lit("May atoi read past the end of "), subject, F.lit("?")), call=F.col("call"), argument=F.col("argument")))
 
 
-def dereferenced(functions: DataFrame) -> DataFrame:
-    """Rows of the function and ``variable``: names used as pointers, and g_ names called that are no function."""
-    code = F.col("code")
+def dereferenced(code: Column) -> tuple[Column, Column]:
+    """Two arrays: names used as pointers, and g_ names that are called."""
     one = lambda pattern: F.regexp_extract_all(code, F.lit(pattern), F.lit(1))
     arrows, stars = one(r"([A-Za-z_]\w*(?:(?:->|\.)\w+)*)\s*->"), one(r"(?<![\w)\]]\s?)\*\s*\(?\s*([A-Za-z_]\w*)\b(?!\s*[(*])")
     subscripts, hooks = one(r"([A-Za-z_]\w*(?:(?:->|\.)\w+)*)\s*\["), one(r"(?:->|\.|::)?\b(g_\w+)\s*\(")
-    known = functions.select(F.col("name").alias("variable")).distinct()
-    # a->b->c dereferences a and a->b.
+    names = F.array_distinct(F.concat(_steps(arrows), stars, subscripts))
+    skipped = F.array(*map(F.lit, (*SKIPPED, *KEYWORDS)))
+    return F.array_except(names, skipped), F.array_except(F.array_distinct(hooks), names)
+
+
+def _steps(chains: Column) -> Column:
+    """a->b->c dereferences a and a->b, and so on: each chain as far as each of its arrows."""
     steps = lambda chain: F.split(chain, "->")
-    arrows = F.flatten(F.transform(arrows, lambda chain: F.transform(F.sequence(F.lit(1), F.size(steps(chain))), lambda i: F.array_join(F.slice(steps(chain), F.lit(1), i), "->"))))
-    names = F.array_distinct(F.concat(arrows, stars, subscripts))
-    used = functions.select("*", F.explode(names).alias("variable"))
-    called = functions.select("*", F.explode(F.array_distinct(hooks)).alias("variable")).join(known, "variable", "left_anti")
-    return used.unionByName(called).filter(~F.col("variable").isin(*SKIPPED, *KEYWORDS)).distinct()
+    return F.flatten(F.transform(chains, lambda chain: F.transform(F.sequence(F.lit(1), F.size(steps(chain))), lambda i: F.array_join(F.slice(steps(chain), F.lit(1), i), "->"))))
+
+
+def _shown_on(text: Column) -> Column:
+    """Names that a line shows where they are used as pointers or called."""
+    one = lambda pattern: F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
+    chain = r"([A-Za-z_]\w*(?:(?:->|\.)\w+)*)"
+    return F.concat(_steps(one(chain + r"[ \t]*->")), one(r"\*[ \t]*([A-Za-z_]\w*)"), one(chain + r"[ \t]*\["), one(chain + r"[ \t]*\("), one(r"\b(g_\w+)[ \t]*\("))
 
 
 def npd(functions: DataFrame) -> DataFrame:
-    """Names that a function uses as pointers and never checks."""
-    functions = functions.filter(F.col("body").rlike(r"->|\*|\[|\bg_\w+\s*\(")).withColumn("code", blank_comments("body"))
-    found = dereferenced(functions).filter(~null_guarded(F.col("code"), F.col("variable")))
-    v = escape_regex(F.col("variable"))
-    pattern = F.concat(v, F.lit(r"[ \t]*->|\*[ \t]*"), v, F.lit(r"\b|"), v, F.lit(r"[ \t]*\[|\b"), v, F.lit(r"[ \t]*\("))
-    line = line_of_match(F.col("code"), pattern, F.col("start_line"))
-    return found.select(*candidate(F.col("file_path"), line, F.col("name"), "npd", F.col("variable"), F.concat(F.lit("May "), F.col("variable"), F.lit(" be null where it is dereferenced?"))))
+    """Names that a function uses as pointers and never checks, at the first line that shows them.
+
+    Names, checks and lines come from constant patterns, once a function or line; only names and numbers are shuffled.
+    """
+    keys = ["function_id", "file_path", "name", "start_line"]
+    rows = functions.filter(F.col("body").rlike(r"->|\*|\[|\bg_\w+\s*\(")).withColumn("code", blank_comments("body"))
+    names, hooks = dereferenced(F.col("code"))
+    rows = rows.select(*keys, "code", names.alias("names"), hooks.alias("hooks"), checked_names(F.col("code")).alias("checked"))
+    open_ = lambda c: F.array_except(c, "checked")
+    rows = rows.select(*keys, "code", open_("names").alias("names"), open_("hooks").alias("hooks")).filter((F.size("names") > 0) | (F.size("hooks") > 0))
+    every = rows.select(*keys, F.explode(F.concat("names", "hooks")).alias("variable"), F.lit(None).cast("long").alias("line"))
+    shown = lines_of(rows).select(*keys, F.explode(F.array_intersect(_shown_on(F.col("text")), F.concat("names", "hooks"))).alias("variable"), F.col("line").cast("long").alias("line"))
+    found = every.unionByName(shown).groupBy(*keys, "variable").agg(F.coalesce(F.min("line"), "start_line").alias("line"))
+    # A g_ name that is called may be a function of the index; one that is dereferenced is none.
+    known = functions.filter(F.col("name").startswith("g_")).select("name").distinct()
+    called = rows.select("function_id", F.explode("hooks").alias("variable")).join(known.withColumnRenamed("name", "variable"), "variable", "left_semi")
+    found = found.join(called, ["function_id", "variable"], "left_anti")
+    return found.select(*candidate(F.col("file_path"), F.col("line"), F.col("name"), "npd", F.col("variable"), F.concat(F.lit("May "), F.col("variable"), F.lit(" be null where it is dereferenced?"))))
 
 
 def chain_npd(functions: DataFrame) -> DataFrame:
-    """The first inner expression of a member chain, of over three members or with a subscript, that is never checked."""
-    functions = functions.filter(F.col("body").contains("->")).withColumn("code", blank_comments("body"))
+    """The first inner expression of a member chain, of over three members or with a subscript, that is never checked.
+
+    All of it is expressions over a function's own row; nothing is shuffled.
+    """
+    rows = functions.filter(F.col("body").contains("->")).withColumn("code", blank_comments("body"))
     chain = r"([A-Za-z_]\w*(?:\s*->\s*[A-Za-z_]\w*|\s*\[[^\[\]]*\])+)"
-    chains = functions.select("*", F.posexplode(F.regexp_extract_all("code", F.lit(chain), F.lit(1))).alias("nth", "chain")).withColumn("chain", normal_expression(F.col("chain")))
-    links = F.regexp_extract_all("chain", F.lit(r"(->[A-Za-z_]\w*|\[[^\[\]]*\])"), F.lit(1))
-    chains = chains.withColumn("links", links).filter((F.size("links") >= 2) & ((F.size("links") > 3) | F.col("chain").contains("[")))
-    root = F.regexp_extract("chain", r"^([A-Za-z_]\w*)", 1)
-    inner = chains.filter(~root.isin(*SKIPPED)).select("*", F.posexplode(F.sequence(F.lit(1), F.size("links") - 1)).alias("depth", "_k"))
-    inner = inner.withColumn("expression", F.concat(F.regexp_extract("chain", r"^([A-Za-z_]\w*)", 1), F.array_join(F.slice("links", F.lit(1), F.col("_k")), "")))
-    open_ = inner.filter(F.col("expression").contains("->") & ~chain_guarded(F.col("code"), F.col("expression")))
-    first = keep_first(open_, ["function_id"], ["nth", "depth"])
+    root = lambda c: F.regexp_extract(c, r"^([A-Za-z_]\w*)", 1)
+    links = lambda c: F.regexp_extract_all(c, F.lit(r"(->[A-Za-z_]\w*|\[[^\[\]]*\])"), F.lit(1))
+    chains = F.transform(F.regexp_extract_all("code", F.lit(chain), F.lit(1)), normal_expression)
+    long = F.filter(chains, lambda c: (F.size(links(c)) >= 2) & ((F.size(links(c)) > 3) | c.contains("[")) & ~root(c).isin(*SKIPPED))
+    inner = F.flatten(F.transform(long, lambda c: F.transform(F.sequence(F.lit(1), F.size(links(c)) - 1), lambda k: F.concat(root(c), F.array_join(F.slice(links(c), F.lit(1), k), "")))))
+    rows = rows.withColumn("inner", inner).filter(F.size("inner") > 0).withColumn("checked", checked_chains(F.col("code")))
+    rows = rows.withColumn("expression", F.get(F.filter(F.array_except("inner", "checked"), lambda e: e.contains("->")), F.lit(0))).filter("expression is not null")
     pattern = F.replace(F.replace(escape_regex(F.col("expression")), F.lit(r"\->"), F.lit(r"[ \t]*->[ \t]*")), F.lit(r"\["), F.lit(r"[ \t]*\["))
     line = line_of_match(F.col("code"), pattern, F.col("start_line"))
-    return first.select(*candidate(F.col("file_path"), line, F.col("name"), "chain_npd", F.col("expression"), F.concat(F.lit("May "), F.col("expression"), F.lit(" be null?"))))
+    return rows.select(*candidate(F.col("file_path"), line, F.col("name"), "chain_npd", F.col("expression"), F.concat(F.lit("May "), F.col("expression"), F.lit(" be null?"))))
+
 
+#: What names of sensitive data hold.
+SENSITIVE_TERMS = (
+    "accesskey accesssecret accesstoken aes apikey appkey appsecret auth bearer cert certificate chacha cipher cookie cred credential crypt crypto decrypt derivedkey des digest drbg dsa ecdh ecdsa ed25519 encrypt entropy hash "
+    "handshake hkdf hmac jwt kdf key keybag keychain keyfile keyid keymaterial keyring keystore kms mac masterkey md5 mfa nonce otp pass passcode passphrase passwd password pbkdf pem pin pkcs pkey poly1305 premaster private "
+    "privatekey privkey psk pwd random refresh refreshtoken rng rsa salt secret seed session sessionid sha sharedkey signature signingkey skey ssl ticket tls token totp trafficsecret vault x509"
+).split()
 
-def sensitive_clear(functions: DataFrame, terms: list[str]) -> DataFrame:
+
+def sensitive_clear(functions: DataFrame, terms: list[str] = SENSITIVE_TERMS) -> DataFrame:
     """Declared variables and parameters whose name or declaration holds a sensitive term, one row a function."""
     functions = functions.withColumn("code", blank_comments("body"))
     declaration = r"(?m)((?:[A-Za-z_]\w*[ \t*]+)+\**[A-Za-z_]\w*[ \t]*(?:\[[^\]]*\])?)[ \t]*(?=[;,=)])"
@@ -159,6 +188,24 @@ def external_leaks(errors: DataFrame, ids=LEAK_IDS) -> DataFrame:
     return keep_first(errors.filter(F.col("id").isin(*ids)), ["file", "function"], ["line"])
 
 
+def resource_leaks(errors: DataFrame, functions: DataFrame) -> DataFrame:
+    """``resleak``: leaks that an external checker reports, then functions that acquire a lock; of one file and function the
+    first stays.
+
+    errors(id, severity, file, line, message[, function]): an error without a function gets the innermost that holds its
+    line, else ``<unknown>``.
+    """
+    rows = errors.filter(F.col("id").isin(*LEAK_IDS)).withColumn("request_id", F.concat_ws("\0", "file", F.col("line").cast("string")))
+    located = containing_function(rows.select("request_id", F.col("file").alias("path"), "line").distinct(), functions, by_suffix=True)
+    rows = rows.join(located.select("request_id", F.col("name").alias("_held")), "request_id", "left")
+    given = F.col("function") if "function" in errors.columns else F.lit(None).cast("string")
+    rows = rows.withColumn("function", F.coalesce(F.nullif(F.trim(given), F.lit("")), "_held", F.lit("<unknown>")))
+    external = external_leaks(rows.select("id", "severity", "file", "line", "function", "message"))
+    external = external.select(*candidate(F.col("file"), F.col("line"), F.col("function"), "resleak", F.col("id"), F.coalesce("message", F.lit(""))))
+    locks = lock_leaks(functions).join(external.select("file", "function"), ["file", "function"], "left_anti").select(*external.columns)
+    return external.unionByName(keep_first(locks, ["file", "function"], ["line"]))
+
+
 def wrapper_allocators(functions: DataFrame, allocators: list[str], releasers: list[str]) -> DataFrame:
     """Names of functions that call an allocator, without those whose name says otherwise."""
     calls = F.arrays_overlap(call_names(F.col("body")), F.array(*map(F.lit, allocators)))
@@ -184,31 +231,66 @@ def name_pairs(allocators: DataFrame, releasers: DataFrame) -> DataFrame:
     return allocators.select(F.col("name").alias("alloc_name"), pair_name(F.col("name"), "alloc").alias("_k")).join(free, "_k").drop("_k").distinct()
 
 
-#: For the detectors that read matches: the metavariables that, with file and line or function, tell matches apart.
+#: How a message names its function.
+QUOTED, NAMED_ZH = r"Function=`([^`]+)`", r"函数\s+([A-Za-z_][A-Za-z0-9_:]*)\s+中"
+NAMED, EITHER = r"Function\s+([A-Za-z_][A-Za-z0-9_:]*)", r"(?:函数\s+|Function(?:\s*=\s*|\s+))`?([A-Za-z_][A-Za-z0-9_:]*)`?"
+ASSIGNED = r"Function\s*=\s*`([A-Za-z_][A-Za-z0-9_:]*)`"
+
+#: For each detector that reads matches: where its function's name comes from, in order (a metavariable, a pattern over the
+#: message, or the index), and what tells its matches apart.
 MATCH_DETECTORS = {
-    "intoverflow": (("file", "line"), ("SOURCE", "ARITH", "SINK")),
-    "safe_mem_oob": (("file", "line", "rule"), ("DST", "DSTSZ")),
-    "loop_mut_idx_oob": (("file", "line"), ("SOURCE", "IDX", "MEM")),
-    "bufoverflow": (("file", "function", "rule"), ("TYPE", "PTR", "FIELD")),
-    "double_free": (("file", "function", "rule"), ("TYPE", "RESOURCE", "RELEASE")),
-    "inf_loop": (("file", "function", "rule"), ()),
-    "mp_npd": (("file", "function", "rule"), ("EXPR", "ROOT")),
-    "mp_resouce_leak": (("file", "function", "rule"), ("FIELD", "ACQUIRE")),
-    "npd_funcret": (("file", "function"), ("CALLEE", "PTR")),
+    "intoverflow": (("index",), ("file", "line", "rule", "arith", "sink")),
+    "safe_mem_oob": (("$FUNC", QUOTED), ("file", "line", "rule", "dst", "dst_size")),
+    "loop_mut_idx_oob": (("index",), ("file", "line", "rule", "idx", "memory")),
+    "bufoverflow": (("$FUNC", NAMED_ZH, "index"), ("file", "function", "rule", "type", "ptr", "field")),
+    "double_free": (("$FUNC", NAMED, "index"), ("file", "function", "rule", "type", "resource", "release")),
+    "inf_loop": (("$F", QUOTED, "index"), ("file", "function", "rule")),
+    "mp_npd": ((EITHER, "index"), ("file", "function", "rule", "expr", "root")),
+    "mp_resouce_leak": (("$FUNC", EITHER, "index"), ("file", "function", "rule", "field", "acquire")),
+    "npd_funcret": (("$FUNC", ASSIGNED, "index"), ("file", "function", "callee", "ptr")),
 }
+#: What the parts of a key are made of: the first metavariable that has a value.
+CAPTURED = {
+    "dst": ("DST", "BUF", "ARR", "OBJ", "P", "PTR"), "dst_size": ("DSTSZ", "SZ"), "idx": ("IDX",), "type": ("CLASS", "TYPE"), "ptr": ("P",), "field": ("FIELD", "LENFIELD", "PAYLOAD"), "resource": ("P", "OBJ", "FIELD", "SP1", "OWNER"),
+    "release": ("REL1", "REL2", "REL", "PUT1", "PUT2", "ALLOC"), "expr": ("EXPR", "P", "PTR"), "root": ("ROOT",), "acquire": ("ACQ", "ACQ1", "REALLOC", "TMP"), "callee": ("CALL",),
+}
+
+
+def function_name(value: Column) -> Column:
+    """A name that says something: not blank, not ``unknown``, not a metavariable that was left open."""
+    value = F.trim(value)
+    return F.when((value != "") & (value != "unknown") & ~value.startswith("$"), value)
 
 
-def from_matches(matches: DataFrame, functions: DataFrame, detector: str) -> DataFrame:
-    """Candidates of ``matches(match_id, path, line, check_id, message, metavars map)``: each gets its function (named by
-    the match, else the innermost that holds the line, else ``unknown``), and of equal ones the first stays."""
-    places, variables = MATCH_DETECTORS[detector]
-    located = containing_function(matches.select(F.col("match_id").alias("request_id"), "path", "line"), functions, by_suffix=True)
-    located = located.select(F.col("request_id").alias("match_id"), F.col("name").alias("indexed"))
-    rows = matches.join(located, "match_id", "left").withColumns({"file": F.col("path"), "rule": F.substring_index("check_id", ".", -1), "function": F.coalesce(F.nullif(F.col("metavars")["$FUNC"], F.lit("")), F.col("indexed"), F.lit("unknown"))})
-    rows = rows.withColumns({v: F.coalesce(F.col("metavars")[f"${v}"], F.lit("")) for v in variables})
-    first = keep_first(rows, [*places, *variables], ["match_id"])
-    subject = F.coalesce(*[F.nullif(F.col(v), F.lit("")) for v in variables], F.col("rule"))
-    return first.select(*candidate(F.col("file"), F.greatest(F.lit(1), F.col("line")), F.col("function"), detector, subject, F.coalesce("message", F.lit("")), rule=F.col("rule"), **{v.lower(): F.col(v) for v in variables}))
+def from_matches(matches: DataFrame, functions: DataFrame, detector: str, null_returners: DataFrame | None = None) -> DataFrame:
+    """Candidates of ``matches(match_id, path, line, check_id, message, metavars map[, metadata map])``: each gets its
+    function in the order of its detector (the innermost of the index that holds the line, where it asks the index), and of
+    equal ones the first stays.
+
+    null_returners(name, can_return_null): for ``npd_funcret``, matches of a return value whose callee cannot return null
+    are left out; a callee that it does not know may.
+    """
+    order, key = MATCH_DETECTORS[detector]
+    rows = matches
+    if "index" in order:
+        located = containing_function(matches.select(F.col("match_id").alias("request_id"), "path", "line"), functions, by_suffix=True)
+        rows = matches.join(located.select(F.col("request_id").alias("match_id"), F.col("name").alias("_indexed")), "match_id", "left")
+    source = lambda o: F.col("_indexed") if o == "index" else F.col("metavars")[o] if o.startswith("$") else F.regexp_extract(F.coalesce("message", F.lit("")), o, 1)
+    function = F.coalesce(*[function_name(source(o)) for o in order], F.lit("unknown"))
+    rule = F.coalesce(F.nullif(F.substring_index("check_id", ".", -1), F.lit("")), F.lit("unknown"))
+    if "metadata" in matches.columns:
+        rule = F.coalesce(F.nullif(F.trim(F.col("metadata")["source_kind"]), F.lit("")), rule) if detector in ("intoverflow", "loop_mut_idx_oob") else rule
+    rows = rows.withColumns({"file": F.col("path"), "rule": rule, "function": function})
+    made = {"arith": lambda: arithmetic(F.col("rule")), "sink": sink, "memory": memory_place}
+    parts = [k for k in key if k not in ("file", "line", "function", "rule")]
+    rows = rows.withColumns({k: F.coalesce(made[k]() if k in made else F.coalesce(*[metavar(v) for v in CAPTURED[k]]), F.lit("")) for k in parts})
+    if detector == "npd_funcret" and null_returners is not None:
+        never = null_returners.filter(~F.col("can_return_null")).select(F.col("name").alias("callee"))
+        returned = ~F.col("check_id").contains("param-assign")
+        rows = rows.filter(~returned).unionByName(rows.filter(returned).join(never, "callee", "left_anti"))
+    first = keep_first(rows, key, ["match_id"])
+    subject = F.coalesce(*[F.nullif(F.col(k), F.lit("")) for k in parts], F.col("rule"))
+    return first.select(*candidate(F.col("file"), F.greatest(F.lit(1), F.col("line")), F.col("function"), detector, subject, F.coalesce("message", F.lit("")), rule=F.col("rule"), **{k: F.col(k) for k in parts}))
 
 
 def released_structs(functions: DataFrame, structs: DataFrame, release: str = r"free|release|destroy|clean_?up|dispose|unref|deinit|fini|delete|put_") -> DataFrame:

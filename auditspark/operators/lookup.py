@@ -8,13 +8,14 @@ from pyspark.sql.window import Window
 
 from ..functions.text import escape_like, normal_path, short_name
 
-#: A dimension of at most so many rows is sent to all tasks; a larger one is joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
+#: A dimension whose plan is estimated at no more bytes than this is sent to all tasks; a larger one is joined by a shuffle.
+BROADCAST_BYTES = 32 << 20
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``rows`` rows; counting stops there."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint if the optimizer's estimate of its size, which files bound, is at most ``most`` bytes."""
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return F.broadcast(df) if int(size.toString()) <= most else df
 
 
 def with_files(entities: DataFrame, files: DataFrame, key: str = "file_id") -> DataFrame:
@@ -39,6 +40,17 @@ def by_short_name(functions: DataFrame, wanted: str) -> DataFrame:
     return found.orderBy(F.when(F.col("name") == wanted, 0).otherwise(1), "file_path", "start_line")
 
 
+def by_short_names(functions: DataFrame, requests: DataFrame) -> DataFrame:
+    """As by_short_name for many ``requests(request)`` at once, by two joins on a name, with the place of each function among
+    those of a request."""
+    named = functions.withColumn("_short", F.lower(short_name(F.col("name"))))
+    asked = requests.select("request").distinct()
+    exact = named.join(asked, F.col("name") == F.col("request"))
+    suffix = named.filter(F.col("name").contains("::")).join(asked, F.col("_short") == F.lower("request")).filter(F.col("name") != F.col("request"))
+    order = Window.partitionBy("request").orderBy(F.when(F.col("name") == F.col("request"), 0).otherwise(1), "file_path", "start_line", "function_id")
+    return exact.unionByName(suffix).withColumn("place", F.row_number().over(order).cast("long")).drop("_short")
+
+
 def resolve_names(requests: DataFrame, functions: DataFrame) -> DataFrame:
     """Functions for each row of ``requests(request)``, from the best tier that has any.
 

@@ -81,11 +81,16 @@ def checker_dashboard(checkers: DataFrame, scans: DataFrame, findings: DataFrame
     return names.withColumns({"accuracy": ratio(F.col("human_confirmed_count"), basis), "ticket_accuracy": ratio(F.col("ticket_submitted_count"), basis)}).orderBy("user_created", F.col("scan_count") == 0, "checker")
 
 
+def effective_count(llm: Column, reviewed_fp: Column) -> Column:
+    """Issues less those that a review called false; these need not be issues of the model, so it may be negative."""
+    return llm - reviewed_fp
+
+
 def dashboard_summary(dashboard: DataFrame) -> DataFrame:
     """Totals over built-in checkers."""
     own = dashboard.filter(~F.col("user_created"))
     total = own.agg(F.count(F.lit(1)).alias("checker_count"), *[F.sum(c).alias(c) for c in ("static_issue_count", "llm_issue_count", "fp_review_false_positive_count", "human_confirmed_count", "ticket_submitted_count", "accuracy_basis_count")])
-    return total.withColumn("total_issue_count", F.col("llm_issue_count") - F.col("fp_review_false_positive_count")).withColumn("accuracy", ratio(F.col("human_confirmed_count"), F.col("accuracy_basis_count")))
+    return total.withColumn("total_issue_count", effective_count(F.col("llm_issue_count"), F.col("fp_review_false_positive_count"))).withColumn("accuracy", ratio(F.col("human_confirmed_count"), F.col("accuracy_basis_count")))
 
 
 def pool_stats(leases: DataFrame, key=("model_id",)) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import candidates as C
+from ..operators import results as R
 from ..schemas import CANDIDATE_KEY
 from .views import Queries, table, view
 
@@ -35,19 +36,33 @@ def resume(spark, sf):
     return C.without_processed(rows, rows.filter("quantity > 30").select(*KEY)).select(*KEY, "seq")
 
 
+#: Candidates with more than 20 units are processed; of those whose key is no multiple of 4 the result may be retried. Some
+#: retries have no stored candidate (their rows are left out of what is stored), some candidates are placeholders.
 CONTINUABLE = """
-WITH stored AS (SELECT *, CASE WHEN quantity > 40 THEN 'timeout' ELSE 'confirmed' END AS ai_verdict FROM candidates WHERE quantity > 20),
-open_ AS (SELECT c.*, 1 AS r FROM candidates c WHERE NOT EXISTS (SELECT 1 FROM stored p WHERE p.file = c.file AND p.line = c.line AND p.function = c.function AND p.vuln_type = c.vuln_type)),
-again AS (SELECT c.*, 0 AS r FROM candidates c WHERE EXISTS (SELECT 1 FROM stored p WHERE p.ai_verdict = 'timeout' AND p.file = c.file AND p.line = c.line AND p.function = c.function AND p.vuln_type = c.vuln_type)),
-u AS (SELECT *, row_number() OVER (PARTITION BY file, line, function, vuln_type ORDER BY r, seq) AS n FROM (SELECT * FROM open_ UNION ALL SELECT * FROM again))
-SELECT file, line, function, vuln_type, seq FROM u WHERE n = 1"""
+WITH c AS (SELECT *, CASE WHEN seq % 9 = 0 THEN ' Threat_Audit' ELSE vuln_type END AS kind FROM candidates WHERE l_orderkey % 10 <> 0 OR quantity <= 20),
+all_ AS (SELECT file, line, function, CASE WHEN seq % 9 = 0 THEN ' Threat_Audit' ELSE vuln_type END AS kind, seq, l_orderkey, quantity FROM candidates),
+s AS (SELECT * FROM c WHERE lower(trim(kind)) <> 'threat_audit'),
+p AS (SELECT DISTINCT file, line, function, kind FROM all_ WHERE quantity > 20),
+open_ AS (SELECT file, line, function, kind, min(seq) AS seq FROM s WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.file = s.file AND p.line = s.line AND p.function = s.function AND p.kind = s.kind) GROUP BY ALL),
+r AS (SELECT file, line, function, kind, min(seq) AS seq FROM all_ WHERE quantity > 20 AND l_orderkey % 4 <> 0 AND NOT EXISTS (SELECT 1 FROM open_ o WHERE o.file = all_.file AND o.line = all_.line AND o.function = all_.function AND o.kind = all_.kind) GROUP BY ALL),
+last_ AS (SELECT file, line, function, kind, max(seq) AS seq FROM s GROUP BY ALL)
+SELECT file, line, function, kind AS vuln_type, seq FROM open_ UNION ALL SELECT r.file, r.line, r.function, r.kind, coalesce(l.seq, r.seq) FROM r LEFT JOIN last_ l ON l.file = r.file AND l.line = r.line AND l.function = r.function AND l.kind = r.kind"""
+
+
+def _continuable(spark, sf):
+    rows = view(spark, sf, "candidates").withColumn("vuln_type", F.when(F.col("seq") % 9 == 0, " Threat_Audit").otherwise(F.col("vuln_type")))
+    processed = rows.filter("quantity > 20")
+    return C.continuable(rows.filter("l_orderkey % 10 <> 0 OR quantity <= 20"), processed.select(*KEY), processed.filter("l_orderkey % 4 <> 0").select(*KEY, "seq"))
 
 
 @Q.add("jon09_continuable", CONTINUABLE)
 def continuable(spark, sf):
-    rows = view(spark, sf, "candidates")
-    stored = rows.filter("quantity > 20").withColumn("ai_verdict", F.when(F.col("quantity") > 40, "timeout").otherwise("confirmed"))
-    return C.continuable(rows, stored.select(*KEY), stored).select(*KEY, "seq")
+    return _continuable(spark, sf).select(*KEY, "seq")
+
+
+@Q.add("set07_preferred_union", f"SELECT vuln_type, count(*) AS n, CAST(sum(seq) AS BIGINT) AS total FROM ({CONTINUABLE}) GROUP BY vuln_type")
+def preferred_union(spark, sf):
+    return _continuable(spark, sf).groupBy("vuln_type").agg(F.count(F.lit(1)).alias("n"), F.sum("seq").alias("total"))
 
 
 @Q.add("flt14_retryable", "SELECT finding_id, coalesce(ai_verdict, '') IN ('timeout', 'error', 'failed', 'cancelled', '') AS retryable FROM findings")
@@ -154,22 +169,25 @@ def concatenate(spark, sf):
     return C.concatenate([a, b])
 
 
-@Q.add("set02_union_names", "SELECT p_brand AS name FROM part UNION SELECT c_mktsegment FROM customer")
+@Q.add("set02_union_names", "SELECT p_brand AS name FROM part UNION SELECT c_mktsegment FROM customer UNION SELECT s_name FROM supplier")
 def union_names(spark, sf):
-    return table(spark, sf, "part").select(F.col("p_brand").alias("name")).union(table(spark, sf, "customer").select("c_mktsegment")).distinct()
+    parts = [table(spark, sf, name).select(F.col(column).alias("name")) for name, column in (("part", "p_brand"), ("customer", "c_mktsegment"), ("supplier", "s_name"))]
+    return R.union_of_names(parts)
 
 
-@Q.add("set03_intersection", "SELECT DISTINCT l_orderkey FROM lineitem WHERE l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 5000)")
+@Q.add("set03_intersection", "SELECT DISTINCT l_orderkey AS function_id FROM lineitem WHERE l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 5000)")
 def intersection(spark, sf):
-    wanted = table(spark, sf, "supplier").filter("s_acctbal > 5000").select(F.col("s_suppkey").alias("l_suppkey"))
-    return table(spark, sf, "lineitem").join(wanted, "l_suppkey", "left_semi").select("l_orderkey").distinct()
+    names = table(spark, sf, "supplier").filter("s_acctbal > 5000").select(F.concat(F.lit("alloc_"), F.col("s_suppkey").cast("string")).alias("name"))
+    call = F.concat(F.lit("p = alloc_"), F.col("l_suppkey").cast("string"), F.lit(" (n);"))
+    functions = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("function_id")).agg(F.array_join(F.collect_set(call), "\n").alias("body"))
+    return R.calling_any(functions, names).select("function_id")
 
 
-@Q.add("set04_difference", "SELECT l_partkey AS name FROM lineitem WHERE l_returnflag = 'A' EXCEPT SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' EXCEPT SELECT l_partkey FROM lineitem WHERE l_quantity > 48")
+@Q.add("set04_difference", "SELECT l_partkey AS name FROM lineitem WHERE l_returnflag = 'A' AND l_linenumber = 1 EXCEPT SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_linenumber = 2 EXCEPT SELECT l_partkey FROM lineitem WHERE l_quantity > 49")
 def difference(spark, sf):
     rows = table(spark, sf, "lineitem")
     name = F.col("l_partkey").alias("name")
-    return rows.filter("l_returnflag = 'A'").select(name).subtract(rows.filter("l_returnflag = 'R'").select(name)).subtract(rows.filter("l_quantity > 48").select(name))
+    return C.difference(rows.filter("l_returnflag = 'A' AND l_linenumber = 1").select(name), rows.filter("l_returnflag = 'R' AND l_linenumber = 2").select(name), rows.filter("l_quantity > 49").select(name))
 
 
 @Q.add("set05_unknown_names", "SELECT DISTINCT l_partkey AS name FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size < 40)")
@@ -180,23 +198,22 @@ def unknown_names(spark, sf):
 
 @Q.add("jon22_task_findings", "SELECT c_custkey AS task, coalesce(string_agg(CAST(o_orderkey AS STRING), ',' ORDER BY o_orderkey), '') AS findings FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_totalprice > 300000 GROUP BY c_custkey")
 def task_findings(spark, sf):
-    own = table(spark, sf, "orders").filter("o_totalprice > 300000").groupBy(F.col("o_custkey").alias("task")).agg(F.array_sort(F.collect_list("o_orderkey")).alias("ids"))
-    tasks = table(spark, sf, "customer").select(F.col("c_custkey").alias("task"))
-    return tasks.join(own, "task", "left").select("task", F.coalesce(F.array_join(F.col("ids").cast("array<string>"), ","), F.lit("")).alias("findings"))
+    findings = table(spark, sf, "orders").filter("o_totalprice > 300000").select(F.col("o_custkey").alias("source_task_id"), F.col("o_orderkey").alias("idx"))
+    found = R.findings_of_tasks(table(spark, sf, "customer").select(F.col("c_custkey").alias("task_id")), findings)
+    return found.select(F.col("task_id").alias("task"), F.array_join(F.col("finding_ids").cast("array<string>"), ",").alias("findings"))
 
 
-@Q.add("prj01_normalise_finding", "SELECT finding_id, greatest(1, CAST(idx AS BIGINT)) AS line, coalesce(nullif(ai_verdict, ''), CASE WHEN confirmed THEN 'confirmed' ELSE 'not_confirmed' END) AS ai_verdict, coalesce(nullif(severity, ''), 'unknown') AS severity FROM findings")
+@Q.add("prj01_normalise_finding", "SELECT finding_id, greatest(1, CAST(idx AS BIGINT)) AS line, coalesce(nullif(ai_verdict, ''), CASE WHEN confirmed THEN 'confirmed' ELSE 'not_confirmed' END) AS ai_verdict, CASE WHEN finding_id % 4 = 0 THEN 'unknown' ELSE severity END AS severity FROM findings")
 def normalise_finding(spark, sf):
-    default = F.when(F.col("confirmed"), "confirmed").otherwise("not_confirmed")
-    return view(spark, sf, "findings").select("finding_id", F.greatest(F.lit(1), F.col("idx").cast("long")).alias("line"), F.coalesce(F.nullif("ai_verdict", F.lit("")), default).alias("ai_verdict"), F.coalesce(F.nullif("severity", F.lit("")), F.lit("unknown")).alias("severity"))
+    rows = view(spark, sf, "findings").withColumns({"line": F.col("idx"), "severity": F.when(F.col("finding_id") % 4 != 0, F.col("severity")).otherwise(" ")})
+    return R.normalised(rows).select("finding_id", "line", "ai_verdict", "severity")
 
 
 @Q.add("prj02_fallback_rows", "SELECT c.l_orderkey, c.l_linenumber, CASE WHEN o_orderkey IS NULL THEN 'failed' WHEN o_orderstatus = 'P' THEN 'timeout' ELSE 'ok' END AS verdict FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem) c LEFT JOIN (SELECT * FROM orders WHERE o_orderkey % 4 <> 0) o ON o_orderkey = c.l_orderkey")
 def fallback_rows(spark, sf):
     results = table(spark, sf, "orders").filter("o_orderkey % 4 <> 0").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderstatus")
-    rows = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber").distinct().join(results, "l_orderkey", "left")
-    verdict = F.when(F.col("o_orderstatus").isNull(), "failed").when(F.col("o_orderstatus") == "P", "timeout").otherwise("ok")
-    return rows.select("l_orderkey", "l_linenumber", verdict.alias("verdict"))
+    rows = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber").distinct()
+    return R.with_fallback(rows, results, ["l_orderkey"], F.col("o_orderstatus") == "P").select("l_orderkey", "l_linenumber", F.col("outcome").alias("verdict"))
 
 
 @Q.add("prj04_stable_id", "SELECT o_orderkey, substr(sha1(concat(CAST(o_custkey AS STRING), chr(0), CAST(o_orderkey AS STRING))), 1, 20) AS id FROM orders")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import events as E
+from ..operators import results as R
 from .views import Queries, table, view
 
 Q = Queries()
@@ -23,16 +24,15 @@ def status_history(spark, sf):
     return E.status_history(view(spark, sf, "scan_events")).select("seq", "status_rank")
 
 
-@Q.add("st01_replay", "SELECT scan_id, seq, row_number() OVER (PARTITION BY scan_id ORDER BY ts, seq) AS place FROM scan_events")
+@Q.add("st01_replay", "SELECT scan_id, seq, row_number() OVER (PARTITION BY scan_id ORDER BY seq) AS place FROM scan_events WHERE seq > 20")
 def replay(spark, sf):
-    from pyspark.sql.window import Window
-
-    return view(spark, sf, "scan_events").select("scan_id", "seq", F.row_number().over(Window.partitionBy("scan_id").orderBy("ts", "seq")).cast("long").alias("place"))
+    events = view(spark, sf, "scan_events")
+    return R.replay(events.unionByName(events.filter("seq % 5 = 0")), "scan_id", 20).select("scan_id", "seq", "place")
 
 
 @Q.add("flt20_phase_filter", "SELECT seq FROM scan_events WHERE phase IN ('auditing', 'error')")
 def phase_filter(spark, sf):
-    return view(spark, sf, "scan_events").filter(F.col("phase").isin("auditing", "error")).select("seq")
+    return R.in_phases(view(spark, sf, "scan_events"), ["auditing", "error"]).select("seq")
 
 
 @Q.add("st04_processed_counts", "SELECT c_custkey AS scan_id, greatest(coalesce(n, 0), c_custkey % 5) AS processed FROM customer LEFT JOIN (SELECT user_id, count(DISTINCT event_type) AS n FROM events GROUP BY user_id) e ON user_id = c_custkey")

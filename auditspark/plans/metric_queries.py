@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import events as E
 from ..operators import metrics as M
+from ..operators import results as R
 from ..operators.candidates import keep_first
 from .views import Queries, table, view
 
@@ -76,7 +77,13 @@ def scan_list(spark, sf):
 
 @Q.add("agg03_open_tasks", "SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderstatus <> 'F' GROUP BY o_custkey")
 def open_tasks(spark, sf):
-    return table(spark, sf, "orders").filter("o_orderstatus <> 'F'").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"))
+    return R.open_tasks(table(spark, sf, "orders"), "o_custkey", "o_orderstatus", "F")
+
+
+@Q.add("agg08_effective_count", f"WITH {JUDGED} SELECT scan_id, count(*) FILTER (WHERE llm) - count(*) FILTER (WHERE review_verdict = 'fp') AS effective FROM judged GROUP BY scan_id")
+def effective_count(spark, sf):
+    rows = judged(spark, sf).groupBy("scan_id").agg(F.count_if(M.is_llm_issue(F.col("ai_verdict"), F.col("confirmed"))).alias("llm"), F.count_if(F.col("review_verdict") == "fp").alias("fp"))
+    return rows.select("scan_id", M.effective_count(F.col("llm"), F.col("fp")).alias("effective"))
 
 
 DASHBOARD = f"""
@@ -158,14 +165,14 @@ def merge_assets(spark, sf):
     return rows.select("o_custkey", F.aggregate("all", F.lit(""), lambda text, x: merge_text(text, x["o_orderpriority"])).alias("text"))
 
 
-@Q.add("agg19_option_lists", "SELECT DISTINCT c_mktsegment AS option FROM customer")
+@Q.add("agg19_option_lists", "SELECT DISTINCT product AS option FROM scans WHERE product <> ''")
 def option_lists(spark, sf):
-    return table(spark, sf, "customer").select(F.col("c_mktsegment").alias("option")).distinct().orderBy("option")
+    return R.options(view(spark, sf, "scans"), "product")
 
 
 @Q.add("agg20_group_by_title", "SELECT trim(event_type) AS title, min(event_id) AS place, count(*) AS n FROM events GROUP BY 1")
 def group_by_title(spark, sf):
-    return table(spark, sf, "events").groupBy(F.trim("event_type").alias("title")).agg(F.min("event_id").alias("place"), F.count(F.lit(1)).alias("n")).orderBy("place")
+    return R.grouped_by_title(table(spark, sf, "events").select(F.concat(F.lit(" "), "event_type").alias("title"), "event_id"), "event_id")
 
 
 @Q.add("agg21_percent", "SELECT o_orderkey, CASE WHEN o_orderkey % 10 > 0 THEN least(100.0, greatest(0.0, round(100.0 * (o_orderkey % 13) / (o_orderkey % 10)))) ELSE 0.0 END AS pct FROM orders")
@@ -210,22 +217,19 @@ def last_events(spark, sf):
 
 @Q.add("win12_progress_samples", "SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n, count(*) OVER (PARTITION BY user_id) AS t FROM events) WHERE n % 4 = 0 OR n = t")
 def progress_samples(spark, sf):
-    from pyspark.sql.window import Window
-
-    rows = table(spark, sf, "events").withColumn("n", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))).withColumn("t", F.count(F.lit(1)).over(Window.partitionBy("user_id")))
-    return rows.filter("n % 4 = 0 OR n = t").select("user_id", "event_id")
+    return R.progress_samples(table(spark, sf, "events"), ["user_id"], ["event_id"], 4).select("user_id", "event_id")
 
 
 @Q.add("jon10_findings_with_scan", "SELECT f.finding_id, s.project FROM findings f JOIN scans s ON s.scan_id = f.scan_id WHERE s.project = 'project7'")
 def findings_with_scan(spark, sf):
-    return view(spark, sf, "findings").join(view(spark, sf, "scans").filter("project = 'project7'"), "scan_id").select("finding_id", "project")
+    return R.of_project(view(spark, sf, "findings"), view(spark, sf, "scans"), "project7").select("finding_id", "project")
 
 
-@Q.add("jon11_reviews_with_jobs", "SELECT l_orderkey AS job, l_linenumber AS line, o_orderstatus AS status, l_partkey AS part, l_suppkey AS supp FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_custkey IN (1, 2, 3, 5, 8)")
+@Q.add("jon11_reviews_with_jobs", "SELECT l_orderkey AS job, o_orderstatus AS status, l_linenumber * 10000000000 + l_partkey * 10000 + l_suppkey AS seq, row_number() OVER (PARTITION BY l_orderkey ORDER BY o_orderdate, l_linenumber * 10000000000 + l_partkey * 10000 + l_suppkey) AS place FROM lineitem JOIN orders ON o_orderkey = l_orderkey")
 def reviews_with_jobs(spark, sf):
-    jobs = table(spark, sf, "orders").filter(F.col("o_custkey").isin(1, 2, 3, 5, 8)).select(F.col("o_orderkey").alias("job"), F.col("o_orderstatus").alias("status"), "o_orderdate")
-    rows = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("job"), F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supp"))
-    return rows.join(jobs, "job").orderBy("o_orderdate", "job", "line").select("job", "line", "status", "part", "supp")
+    jobs = table(spark, sf, "orders").select(F.col("o_orderkey").alias("job"), F.col("o_orderstatus").alias("status"), F.col("o_orderdate").alias("created_at"))
+    rows = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("job"), F.expr("l_linenumber * 10000000000L + l_partkey * 10000 + l_suppkey").alias("seq"))
+    return R.reviews_of_jobs(rows, jobs).select("job", "status", "seq", "place")
 
 
 @Q.add("jon12_reconcile_semi", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' AND o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0) THEN 'cancelled' ELSE o_orderstatus END AS status FROM orders")
@@ -260,16 +264,13 @@ def first_name_match(spark, sf):
 
 @Q.add("jon23_review_progress", "SELECT o_custkey, count(*) AS total, count(l) AS done FROM orders LEFT JOIN (SELECT DISTINCT l_orderkey AS l FROM lineitem WHERE l_quantity > 48) x ON l = o_orderkey GROUP BY o_custkey")
 def review_progress(spark, sf):
-    done = table(spark, sf, "lineitem").filter("l_quantity > 48").select(F.col("l_orderkey").alias("o_orderkey"), F.lit(1).alias("l")).distinct()
-    return table(spark, sf, "orders").join(done, "o_orderkey", "left").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("total"), F.count("l").alias("done"))
+    results = table(spark, sf, "lineitem").filter("l_quantity > 48").select(F.col("l_orderkey").alias("o_orderkey"))
+    return R.progress_of_jobs(table(spark, sf, "orders"), results, "o_custkey", ["o_orderkey"])
 
 
 @Q.add("srt04_unreviewed_first", f"WITH {JUDGED}, o AS (SELECT scan_id, finding_id, row_number() OVER (PARTITION BY scan_id ORDER BY review_verdict IS NOT NULL, idx) AS place FROM judged) SELECT finding_id, place FROM o")
 def unreviewed_first(spark, sf):
-    from pyspark.sql.window import Window
-
-    over = Window.partitionBy("scan_id").orderBy(F.col("review_verdict").isNotNull(), "idx")
-    return judged(spark, sf).select("finding_id", F.row_number().over(over).cast("long").alias("place"))
+    return R.placed(judged(spark, sf), R.unreviewed_first("review_verdict", "idx"), ["scan_id"]).select("finding_id", "place")
 
 
 @Q.add("srt08_queue_order", "SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY CASE event_type WHEN 'click' THEN 0 WHEN 'view' THEN 1 WHEN 'purchase' THEN 2 ELSE 3 END, CASE WHEN event_type IN ('click', 'view', 'purchase') THEN epoch(date_trunc('second', ts)) ELSE -epoch(date_trunc('second', ts)) END NULLS LAST, event_id) AS place FROM events")
@@ -282,9 +283,9 @@ def queue_order(spark, sf):
     return rows.select("event_id", F.row_number().over(over).cast("long").alias("place"))
 
 
-@Q.add("srt10_scheduler_pick", "SELECT p_partkey FROM part ORDER BY p_size DESC, p_partkey LIMIT 1")
+@Q.add("srt10_scheduler_pick", "SELECT p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_size DESC, p_partkey) AS place FROM part")
 def scheduler_pick(spark, sf):
-    return table(spark, sf, "part").orderBy(F.desc("p_size"), "p_partkey").limit(1).select("p_partkey")
+    return R.placed(table(spark, sf, "part"), R.scheduler_order("p_size", "p_partkey"), ["p_brand"]).select("p_partkey", "place")
 
 
 @Q.add("srt11_model_pick", "SELECT p_partkey AS id, row_number() OVER (PARTITION BY p_brand ORDER BY p_size % 3, (p_partkey % 7) / (1.0 + p_size % 4), p_partkey % 7, 1 + p_size % 4 DESC, p_retailprice, p_partkey) AS place FROM part")
