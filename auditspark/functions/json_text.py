@@ -104,6 +104,24 @@ def best_json(text: Column, schema: dict | None = None, pattern=None) -> Column:
     return run(text)
 
 
+def fits_schema(text: Column, schema: dict) -> Column:
+    """Whether the text is one JSON value that fits the schema; null for a null text."""
+
+    @F.pandas_udf("boolean")
+    def run(texts: pd.Series) -> pd.Series:
+        def check(t):
+            if t is None:
+                return None
+            try:
+                return fits(json.loads(t), schema)
+            except (ValueError, RecursionError):
+                return False
+
+        return texts.map(check)
+
+    return run(text)
+
+
 def string_list(text: Column) -> Column:
     """An array of strings; whatever does not parse is empty."""
     return F.coalesce(F.from_json(text, "array<string>"), F.array().cast("array<string>"))

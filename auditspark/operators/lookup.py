@@ -15,7 +15,7 @@ BROADCAST_BYTES = 32 << 20
 def small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
     """``df`` with a broadcast hint if the optimizer's estimate of its size, which files bound, is at most ``most`` bytes."""
     size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return F.broadcast(df) if int(size.toString()) <= most else df
+    return F.broadcast(df) if int(str(size)) <= most else df
 
 
 def with_files(entities: DataFrame, files: DataFrame, key: str = "file_id") -> DataFrame:

@@ -3,20 +3,23 @@
 from __future__ import annotations
 
 import re
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 VIEWS = {
-    # Functions: documents as bodies; names repeat, some are qualified; lines are running sums of sizes in each file.
+    # Functions: documents as bodies; names repeat, some are qualified; a function
+    # begins 400 lines after that of the document before, so long ones hold others.
     "functions": """
         SELECT doc_id AS function_id,
                CASE WHEN doc_id % 3 = 0 THEN concat(lang, '_fn_', CAST(doc_id % 90 AS STRING)) ELSE concat('Ns', CAST(doc_id % 7 AS STRING), '::', lang, '_fn_', CAST(doc_id % 90 AS STRING)) END AS name,
                concat('int ', lang, '_fn_', CAST(doc_id % 90 AS STRING), '(void) /* Ns', CAST(doc_id % 5 AS STRING), '::', lang, '_fn_', CAST(doc_id % 90 AS STRING), ' */') AS signature,
                concat('root/', source, '/', lang, '.c') AS file_path,
-               sum(n_chars) OVER (PARTITION BY source, lang ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - n_chars + 1 AS start_line,
-               sum(n_chars) OVER (PARTITION BY source, lang ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) + (doc_id % 4) * 500 AS end_line,
+               doc_id * 400 + 1 AS start_line,
+               doc_id * 400 + 1 + n_chars + (doc_id % 4) * 500 AS end_line,
                doc_id % 2 = 0 AS is_static, text AS body, source, lang
         FROM documents""",
     # Files: one a source and language.
@@ -76,6 +79,17 @@ def with_views(sql: str) -> str:
     return f"WITH RECURSIVE {head}, {sql[len('WITH RECURSIVE '):]}" if sql.startswith("WITH RECURSIVE ") else f"WITH {head}, {sql[5:]}" if sql.startswith("WITH ") else f"WITH {head} {sql}"
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder that driver and executors share, for queries of sinks: below ``spark.checkpoint.dir``, or in local mode a
+    temporary one."""
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="audit-scratch-")
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 class Queries:
     """Collects named queries and their SQL."""
 

@@ -80,9 +80,9 @@ def read_tags(spark: SparkSession, path: str) -> DataFrame:
 MATCHES = "results array<struct<path:string,check_id:string,start:struct<line:int>,extra:struct<severity:string,message:string,lines:string,metavars:map<string,struct<abstract_content:string>>,metadata:map<string,string>>>>"
 
 
-def read_matches(spark: SparkSession, path: str) -> DataFrame:
-    """Matches of a pattern matcher's JSON output, numbered in order of file and place."""
-    rows = spark.read.schema(MATCHES).option("multiLine", "true").json(path).select(F.col("_metadata.file_path").alias("file"), F.posexplode("results").alias("at", "m"))
+def read_matches(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Matches of a pattern matcher's JSON output, numbered in order of file and place; a document a file, or a line."""
+    rows = spark.read.schema(MATCHES).option("multiLine", str(multi_line).lower()).json(path).select(F.col("_metadata.file_path").alias("file"), F.posexplode("results").alias("at", "m"))
     metavars = F.transform_values("m.extra.metavars", lambda _, v: v["abstract_content"])
     number = F.concat_ws("#", "file", F.lpad(F.col("at").cast("string"), 9, "0"))
     shown = F.when(F.col("m.extra.lines").contains("requires login"), "").otherwise(F.col("m.extra.lines"))
@@ -93,14 +93,30 @@ def read_leak_errors(spark: SparkSession, path: str) -> DataFrame:
     """Errors of an external checker's XML output, with their first location."""
     schema = "_id string, _severity string, _msg string, location array<struct<_file:string,_line:int>>"
     rows = spark.read.format("xml").option("rowTag", "error").schema(schema).load(path)
+    rows = rows.filter(F.coalesce("_id", F.lit("")) != "")
     return rows.select(F.col("_id").alias("id"), F.col("_severity").alias("severity"), F.col("_msg").alias("message"), F.get("location", F.lit(0))["_file"].alias("file"), F.get("location", F.lit(0))["_line"].alias("line"))
 
 
-def read_git_log(spark: SparkSession, path: str, limit: int = 200) -> DataFrame:
-    """``(commit, subject)`` of a log written with a unit separator between them, newest first as in the file."""
-    rows = spark.read.text(path).filter(F.col("value").contains("\x1f")).limit(limit)
-    parts = F.split("value", "\x1f", 2)
-    return rows.select(parts[0].alias("commit"), parts[1].alias("subject"))
+def read_git_log(spark: SparkSession, path: str, limit: int = 200, since: str | None = None, paths: list[str] | None = None) -> DataFrame:
+    """``(commit, subject)`` of a log, newest first as in the file, at most ``limit`` (0 for all).
+
+    A line is the commit, a unit separator and the subject; where since or paths are asked for, the commit's time and its
+    changed paths (joined by tabs) stand between them. since: only commits of that time or later. paths: only commits that
+    change one of them or something below it. A line without a commit or separator is dropped. Each file is one row while
+    it is read, so its order holds.
+    """
+    filtered = since is not None or bool(paths)
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("at", "line"))
+    parts = F.split("line", "\x1f", 4 if filtered else 2)
+    rows = files.filter(F.col("line").contains("\x1f")).select("file", "at", F.trim(parts[0]).alias("commit"), F.trim(F.element_at(parts, -1)).alias("subject"), F.get(parts, F.lit(1)).alias("date"), F.split(F.coalesce(F.get(parts, F.lit(2)), F.lit("")), "\t").alias("changed"))
+    rows = rows.filter("commit <> ''")
+    if since is not None:
+        rows = rows.filter(F.try_to_timestamp("date") >= F.to_timestamp(F.lit(since)))
+    if paths:
+        under = [p.strip("/") for p in paths]
+        rows = rows.filter(F.exists("changed", lambda c: F.array_contains(F.array(*[(c == p) | c.startswith(p + "/") for p in under]), True)))
+    rows = rows.orderBy("file", "at")
+    return (rows.limit(limit) if limit else rows).select("commit", "subject")
 
 
 def cut_diff(diff: Column, limit: int = 16_000) -> Column:
@@ -112,14 +128,36 @@ def read_artifacts(spark: SparkSession, root: str, paths: DataFrame) -> DataFram
     bad = paths.filter(F.col("path").startswith("/") | F.arrays_overlap(F.split("path", "/"), F.array(F.lit("..")))).take(1)
     if bad:
         raise ValueError(f"path outside the artifacts: {bad[0]['path']}")
-    docs = spark.read.option("wholetext", "true").text(root, recursiveFileLookup=True).select(relative_path(F.col("_metadata.file_path"), root).alias("path"), F.col("value").alias("json"))
+    docs = spark.read.text(root, wholetext=True, recursiveFileLookup=True).select(relative_path(F.col("_metadata.file_path"), root).alias("path"), F.col("value").alias("json"))
     return paths.join(docs, "path")
 
 
-def read_manifests(spark: SparkSession, root: str, name: str = "checker.json") -> DataFrame:
-    """Enabled rule manifests; of several with a name the first by path stays."""
-    rows = spark.read.schema("name string, label string, family string, description string, enabled boolean, user_created boolean").option("recursiveFileLookup", "true").option("pathGlobFilter", name).option("multiLine", "true").json(root)
-    rows = rows.select("*", F.col("_metadata.file_path").alias("path")).filter(F.coalesce("enabled", F.lit(True)) & (F.coalesce("name", F.lit("")) != ""))
+MANIFEST = "name string, label string, family string, description string, enabled boolean, user_created boolean"
+
+
+def flat_yaml(text: Column, key: str) -> Column:
+    """The scalar of a top-level key of a YAML document: plain, quoted, or a block of indented lines; null without it."""
+    line = F.regexp_extract(text, rf"(?m)^{key}:[ \t]*([^\r\n]*)", 1)
+    block = F.regexp_extract(text, rf"(?m)^{key}:[ \t]*[|>][+-]?[ \t]*\r?\n((?:(?:[ \t]+[^\r\n]*)?(?:\r?\n|$))+)", 1)
+    quoted = F.when(line.rlike(r'^"(?:[^"\\]|\\.)*"'), F.regexp_replace(F.regexp_extract(line, r'^"((?:[^"\\]|\\.)*)"', 1), r'\\(["\\])', "$1")).when(line.rlike(r"^'(?:[^']|'')*'"), F.replace(F.regexp_extract(line, r"^'((?:[^']|'')*)'", 1), F.lit("''"), F.lit("'")))
+    plain = F.trim(F.regexp_replace(line, r"(?:^|[ \t])#.*$", ""))
+    folded = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(block, r"(?m)^[ \t]+", ""), r"\s+$", ""), r"\r?\n", F.when(line.startswith(">"), F.lit(" ")).otherwise(F.lit("\n"))))
+    value = F.when(line.rlike(r"^[|>][+-]?[ \t]*$"), folded).otherwise(F.coalesce(quoted, plain))
+    return F.when(~value.isin("", "~", "null"), value)
+
+
+def read_manifests(spark: SparkSession, root: str, name: str = "checker.{yaml,yml,json}") -> DataFrame:
+    """Enabled rule manifests in YAML or JSON; of several with a name the first by path stays. A manifest without a name is
+    named by its folder; one without ``enabled`` is enabled."""
+    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", name).text(root, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    parsed = F.from_json("text", MANIFEST)
+    is_json = F.lower("path").endswith(".json")
+    truth = lambda c: F.when(F.lower(c).isin("true", "yes", "on"), True).when(F.lower(c).isin("false", "no", "off"), False)
+    fields = [(f.split()[0], f.split()[1]) for f in MANIFEST.split(", ")]
+    value = lambda f, kind: F.when(is_json, parsed[f]).otherwise(truth(flat_yaml(F.col("text"), f)) if kind == "boolean" else flat_yaml(F.col("text"), f))
+    rows = files.select("path", *[value(f, kind).alias(f) for f, kind in fields])
+    folder = F.element_at(F.split("path", "/"), -2)
+    rows = rows.withColumn("name", F.coalesce(F.nullif(F.trim("name"), F.lit("")), folder)).filter(F.coalesce("enabled", F.lit(True)))
     return keep_first(rows, ["name"], ["path"])
 
 

@@ -45,6 +45,46 @@ def test_manifests_and_artifacts(spark, tmp_path):
         R.read_artifacts(spark, str(tmp_path), spark.createDataFrame([("x", "../y")], "key string, path string"))
 
 
+def test_git_log_filters(spark, tmp_path):
+    lines = [f"c{i}\x1f2024-01-{i:02d}\x1f{p}\x1fs{i}\x1fx" for i, p in ((9, "src/a.c\tdoc"), (7, "srcs/a.c"), (5, "src"), (3, "src/b.c"), (1, "doc"))]
+    (tmp_path / "log").write_text("\n".join(lines) + "\n")
+    read = lambda **k: [tuple(r) for r in R.read_git_log(spark, str(tmp_path / "log"), **k).collect()]
+    assert read(since="2024-01-02", paths=["src/"]) == [("c9", "s9\x1fx"), ("c5", "s5\x1fx"), ("c3", "s3\x1fx")]
+    assert read(limit=2, paths=["src"]) == [("c9", "s9\x1fx"), ("c5", "s5\x1fx")] and len(read(limit=0, since="2024-01-05")) == 3
+
+
+def test_yaml_manifests(spark, tmp_path):
+    texts = {"a": "# c\nname: npd  # rule\nlabel: \"x \\\"y\\\"\"\ndescription: >-\n  one\n  two\n\nfamily: 'it''s'\nnested:\n  name: no\n", "b": "name: npd\nlabel: later\n", "c": "name: off\nenabled: No\n", "d": "label: plain\n", "e": "name: null\nuser_created: true\n"}
+    for folder, text in texts.items():
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "checker.yaml").write_text(text)
+    found = {r.name: (r.label, r.description, r.family, r.user_created) for r in R.read_manifests(spark, str(tmp_path)).collect()}
+    assert found == {"npd": ('x "y"', "one two", "it's", None), "d": ("plain", None, None, None), "e": (None, None, None, True)}
+
+
+def test_index_survives_a_crash(spark, tmp_path):
+    path = str(tmp_path / "index")
+    W.write_index({"files": spark.range(3)}, path, "v1")
+    (tmp_path / "index").rename(tmp_path / "index.old")  # as if it had stopped between the two moves
+    W.recover_index(spark, path)
+    assert W.index_complete(spark, path, "v1") and spark.read.parquet(f"{path}/files").count() == 3
+
+
+def test_replacement_may_be_empty(spark, tmp_path):
+    path = str(tmp_path / "findings")
+    rows = spark.createDataFrame([(s, n) for s in "stuv" for n in range(3)], "scan_id string, line int")
+    W.replace_scan(rows, path, ["line"], buckets=2)
+    scans = spark.createDataFrame([("s",), ("t",), ("u",)], "scan_id string")
+    W.replace_scan(rows.filter("scan_id = 't' AND line = 2"), path, ["line"], scans, buckets=2)
+    assert {tuple(r) for r in spark.read.parquet(path).select("scan_id", "line", "idx").collect()} == {("t", 2, 0), ("v", 0, 0), ("v", 1, 1), ("v", 2, 2)}
+
+
+def test_json_array(spark, tmp_path):
+    rows = spark.createDataFrame([(2, 'q "é"\n', ["a", "b"], None), (1, "x", [], {"k": "v"})], "seq int, name string, related array<string>, metadata map<string,string>")
+    text = "\n".join(r.value for r in W.candidates_json(rows).collect())
+    assert json.loads(text) == [{"name": "x", "related": [], "metadata": {"k": "v"}}, {"name": 'q "é"\n', "related": ["a", "b"], "metadata": None}] and "é" in text and '\n    "name"' in text
+
+
 def test_index_and_replacement(spark, tmp_path):
     path = str(tmp_path / "index")
     assert not W.index_complete(spark, path, "v1")

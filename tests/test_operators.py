@@ -186,3 +186,55 @@ def test_leaks(spark):
     for r in leaks(rows).collect():
         found[list(LEAKS)[r.function_id]].add((r["var"], r.kind, r.line))
     assert found == {name: expected for name, (_, expected) in LEAKS.items()}
+
+
+def test_continuation(spark):
+    """A retry without a stored candidate stays; of stored rows with its key the last one stands for it; placeholders go."""
+    from auditspark.operators import candidates as C
+
+    row = lambda n, seq, kind="npd", source=None, text="": (f"f{n}.c", n, f"fn{n}", kind, seq, text, {"source": source} if source else None)
+    schema = "file string, line int, function string, vuln_type string, seq int, description string, metadata map<string,string>"
+    stored = spark.createDataFrame([row(1, 1), row(1, 2), row(2, 3, text="first"), row(2, 4, text="last"), row(3, 5, "Threat_Audit"), row(4, 6, source="Threat_Analysis "), row(5, 7)], schema)
+    processed = spark.createDataFrame([row(2, 0), row(5, 0)], schema).select("file", "line", "function", "vuln_type")
+    retries = spark.createDataFrame([row(2, 1, text="retry"), row(9, 2, text="retry"), row(9, 3, text="again"), row(1, 4, text="retry")], schema).drop("metadata")
+    found = {(r.line, r.seq, r.description) for r in C.continuable(stored, processed, retries).collect()}
+    assert found == {(1, 1, ""), (2, 4, "last"), (9, 2, "retry")}
+
+
+def test_tasks_of_trees(spark):
+    from auditspark.operators import results as R
+
+    tree = ("s1", 0, None, " ", "n0", [("n0", "root goal"), ("n1", "node one")], [
+        ("P", "goal", " about ", [("mod a", "n1", "why"), ("mod b", None, "")], [("T1", "spoof"), ("T1", "spoof"), (None, " ")]),
+        (None, None, None, [(None, "n1", None)], [("T2", "flood")]),
+        ("Q", None, None, [], []),
+    ])
+    trees = spark.createDataFrame([tree], R.TREE)
+    modules = spark.createDataFrame([("mod a", 1, "old", [("x", "d")]), (" mod a ", 2, "steal", [("src/a", "d1"), ("src/b", "d2")]), ("mod b", 3, "steal", [("src/b", "d3"), ("src/c", "d4")])], "name string, seq int, threat string, paths array<struct<path:string,description:string>>")
+    found = {(r.attack_path_id, r.pattern_id): r for r in R.tasks_of(trees, modules).collect()}
+    assert set(found) == {("P", "T1"), ("P", "P-pattern-3"), ("tree-1-path-2", "T2")}
+    one, three = found["P", "T1"], found["tree-1-path-2", "T2"]
+    assert (one.tree_id, one.method_name, one.surface_name, one.attack_goal, one.risk_name, one.code_path, one.asset_name) == ("tree-1", "spoof", "mod a", "goal", "steal", "src/a", "unnamed asset")
+    assert [tuple(p) for p in one.code_paths] == [("src/a", "d1"), ("src/b", "d2"), ("src/c", "d4")] and one.evidence == ["about", "why"]
+    assert (three.surface_name, three.attack_goal, three.risk_name, three.code_path, three.evidence) == ("node one", "root goal", "unnamed risk", "", [])
+
+
+def test_match_functions(spark):
+    """Each detector asks for the function's name in its own order, and tells matches apart by its own captures."""
+    from auditspark.operators import detectors as D
+
+    functions = spark.createDataFrame([(1, "idx_fn", "src/a.c", 1, 50)], "function_id long, name string, file_path string, start_line long, end_line long")
+    row = lambda i, message="", check="r.x", **m: (f"m{i}", "src/a.c", 5, check, message, {f"${k}": v for k, v in m.items()})
+    schema = "match_id string, path string, line int, check_id string, message string, metavars map<string,string>"
+
+    def names(detector, *rows, **k):
+        return [(r.function, r.metadata["subject"]) for r in D.from_matches(spark.createDataFrame(rows, schema), functions, detector, **k).orderBy("function").collect()]
+
+    assert names("intoverflow", row(1, "Function=`m`", FUNC="f", A="a", B="b", CALL="memcpy")) == [("idx_fn", "a +/-/* b")]
+    assert names("safe_mem_oob", row(1, "Function=`msg` x", FUNC="$F", DST="d")) == [("msg", "d")] and names("safe_mem_oob", row(1, "none", DST="d")) == [("unknown", "d")]
+    assert names("bufoverflow", row(1, "函数 zh_fn 中"), row(2, "函数 zh_fn 中", P="p"), row(3, "", FUNC="f"))[0] == ("f", "x")
+    assert names("inf_loop", row(1, "Function=`q`", F="unknown"), row(2, "Function=`q`")) == [("q", "x")] and names("inf_loop", row(1)) == [("idx_fn", "x")]
+    assert names("mp_npd", row(1, "Function `either` z", FUNC="ignored", P="p", ROOT="r")) == [("either", "p")]
+    returners = spark.createDataFrame([("never", False), ("may", True)], "name string, can_return_null boolean")
+    rows = [row(1, CALL="never", P="p"), row(2, CALL="may", P="p"), row(3, CALL="strange", P="p"), row(4, check="r.param-assign", CALL="never", P="q")]
+    assert sorted(s for _, s in names("npd_funcret", *rows, null_returners=returners)) == ["may", "never", "strange"]
