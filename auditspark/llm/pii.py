@@ -269,11 +269,13 @@ def disclosing_terms(rows: DataFrame, scanned: DataFrame, threshold: float, z: f
 
     # Those that could not reach the threshold if all their occurrences were near need no count.
     pairs = materialize(pairs.filter(discloses(F.lit(0))), "pii-pairs")
-    if is_empty(pairs):
+    n_pairs = pairs.count()
+    if not n_pairs:
         return None
-    totals = count_terms(rows, pairs)
+    # A common word may stand near very many entities: hot terms are joined by a broadcast of bounded size.
+    totals = count_terms(rows, pairs).join(pairs.groupBy("term").agg(F.count(F.lit(1)).alias("copies")), "term")
     outside = F.greatest(F.lit(0), F.col("total") - F.col("n"))
-    found = pairs.join(totals, "term").filter(discloses(outside)).withColumn("disclosure", disclosure(outside))
+    found = join_split(pairs, totals, ["term"], n_pairs).filter(discloses(outside)).withColumn("disclosure", disclosure(outside))
     best = materialize(found.groupBy("term").agg(F.max_by("kind", F.struct("disclosure", "kind")).alias("kind"), F.max("disclosure").alias("disclosure")), "pii-terms")
     return None if is_empty(best) else best
 
