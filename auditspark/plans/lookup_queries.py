@@ -24,9 +24,9 @@ def point_lookup(spark, sf):
     return lookup.by_name(view(spark, sf, "functions"), "en_fn_3").select("function_id", "name", "file_path")
 
 
-@Q.add("flt02_suffix_lookup", r"SELECT function_id, name, CASE WHEN name = 'EN_fn_3' THEN 0 ELSE 1 END AS tier FROM functions WHERE name = 'EN_fn_3' OR name ILIKE '%::EN\_fn\_3' ESCAPE '\'")
+@Q.add("flt02_suffix_lookup", r"SELECT function_id, name, CASE WHEN name = 'EN_fn_4' THEN 0 ELSE 1 END AS tier FROM functions WHERE name = 'EN_fn_4' OR name ILIKE '%::EN\_fn\_4' ESCAPE '\'")
 def suffix_lookup(spark, sf):
-    return lookup.by_short_name(view(spark, sf, "functions"), "EN_fn_3").select("function_id", "name", F.when(F.col("name") == "EN_fn_3", 0).otherwise(1).alias("tier"))
+    return lookup.by_short_name(view(spark, sf, "functions"), "EN_fn_4").select("function_id", "name", F.when(F.col("name") == "EN_fn_4", 0).otherwise(1).alias("tier"))
 
 
 TIERS = """

@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("lookup_queries", "candidate_queries", "metric_queries", "event_queries", "text_queries", "io_queries")
+MODULES = ("lookup_queries", "candidate_queries", "metric_queries", "event_queries", "text_queries", "shape_queries", "io_queries")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

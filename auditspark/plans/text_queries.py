@@ -66,12 +66,6 @@ def null_guard(spark, sf):
     return code(spark, sf).select("doc_id", T.null_guarded(F.col("code"), F.col("v")).alias("guarded"))
 
 
-@Q.add("str09_chain_guard", f"SELECT doc_id, doc_id % 2 = 0 AS guarded FROM ({CODE})")
-def chain_guard(spark, sf):
-    checked = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("if ( "), "v", F.lit(" -> a == NULL) "), "code")).otherwise(F.col("code"))
-    return code(spark, sf).select("doc_id", T.chain_guarded(checked, F.concat("v", F.lit("->a"))).alias("guarded"))
-
-
 @Q.add("str10_normal_expression", r"SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '\s*->\s*', '->', 'g'), '\s*\[\s*', '[', 'g'), '\s*\]\s*', ']', 'g'), '\s+', ' ', 'g') AS e FROM (SELECT doc_id, trim(replace(replace(text, ', ', ' -> '), '. ', ' [ 1 ] ')) AS t FROM documents)")
 def normal_expression(spark, sf):
     text = F.replace(F.replace("text", F.lit(", "), F.lit(" -> ")), F.lit(". "), F.lit(" [ 1 ] "))
@@ -194,12 +188,6 @@ def capped_evidence(spark, sf):
     return table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.array_join(R.capped(F.col("l_partkey"), 3).cast("array<string>"), ",").alias("parts"))
 
 
-@Q.add("jsn05_tolerant_decode", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 0 ELSE 1 END AS n FROM events")
-def tolerant_decode(spark, sf):
-    broken = F.when(F.col("event_id") % 3 == 0, F.concat("props", F.lit("}{"))).otherwise(F.concat(F.lit("[\"a\"]")))
-    return table(spark, sf, "events").select("event_id", F.size(J.string_list(broken)).alias("n"))
-
-
 @Q.add("jsn06_encode", "SELECT c_custkey, concat('{\"id\":', CAST(c_custkey AS STRING), ',\"name\":', CASE WHEN c_custkey % 3 = 0 THEN 'null' ELSE concat('\"', c_name, ' é\"') END, '}') AS js FROM customer")
 def encode(spark, sf):
     rows = table(spark, sf, "customer").select("c_custkey", F.col("c_custkey").alias("id"), F.when(F.col("c_custkey") % 3 != 0, F.concat("c_name", F.lit(" é"))).alias("name"))
@@ -217,19 +205,6 @@ def embedded_json(spark, sf):
     return table(spark, sf, "events").select("event_id", F.explode(J.all_json(text)).alias("j")).select("event_id", F.col("j.raw").alias("raw"))
 
 
-@Q.add("jsn02_best_json", "SELECT event_id, concat('{\"k\": 1, \"list\": [', CAST(event_id AS STRING), ']}') AS best FROM events")
-def best_json(spark, sf):
-    text = F.concat(F.lit("first {\"x\": 0} then {\"k\": 1, \"list\": ["), F.col("event_id").cast("string"), F.lit("]} and [1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15, 16]"))
-    schema = {"type": "object", "required": ["k"], "properties": {"k": {"type": "integer"}}}
-    return table(spark, sf, "events").select("event_id", J.best_json(text, schema).alias("best"))
-
-
-@Q.add("jsn04_type_pattern", "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN '{\"k\": 3}' END AS best FROM events")
-def type_pattern(spark, sf):
-    text = F.when(F.col("event_id") % 2 == 0, "a {\"k\": 3} b").otherwise("a {\"k\": \"3\"} b")
-    return table(spark, sf, "events").select("event_id", J.best_json(text, pattern={"k": int}).alias("best"))
-
-
 @Q.add("flt13_optional_filters", "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' AND o_totalprice >= 100000 AND o_custkey < 50")
 def optional_filters(spark, sf):
     return R.where_all(table(spark, sf, "orders"), [F.col("o_orderstatus") == "F", None, F.col("o_totalprice") >= 100000, F.col("o_custkey") < 50]).select("o_orderkey")
@@ -411,36 +386,6 @@ def markdown(spark, sf):
     return found.select(F.regexp_extract(title, r"fn(\d+)$", 1).cast("long").alias("finding_id"), title.alias("title"))
 
 
-DEREF = "SELECT o_orderkey AS function_id, concat('fn', CAST(o_orderkey AS STRING)) AS name, concat('f', CAST(o_orderkey AS STRING), '.c') AS file_path, CAST(10 AS BIGINT) AS start_line, concat('int fn(T *p, T *q) {', chr(10), CASE WHEN o_orderkey % 2 = 0 THEN 'if (!p) return 1;' ELSE '/* if (!p) */' END, chr(10), 'x = p->a + q[3]; y = \"z->w\";', chr(10), 'n = atoi(', CASE WHEN o_orderkey % 3 = 0 THEN 'buf + off' ELSE 's' END, '); return a->b->c->d->e; }') AS body FROM orders"
-
-
-def deref(spark, sf):
-    return over(spark, sf, DEREF, "orders")
-
-
-@Q.add("det_npd", f"SELECT name AS function, file_path AS file, v AS subject, line FROM ({DEREF}) CROSS JOIN (VALUES ('p', 10), ('q', 10), ('a', 13), ('a->b', 13), ('a->b->c', 13), ('a->b->c->d', 13)) AS t(v, line) WHERE v <> 'p' OR function_id % 2 = 1")
-def npd(spark, sf):
-    return D.npd(deref(spark, sf)).select("function", "file", F.col("metadata")["subject"].alias("subject"), "line")
-
-
-@Q.add("det_chain_npd", f"SELECT name AS function, 'a->b' AS subject, 13 AS line FROM ({DEREF})")
-def chain_npd(spark, sf):
-    return D.chain_npd(deref(spark, sf)).select("function", F.col("metadata")["subject"].alias("subject"), "line")
-
-
-@Q.add("det_atoi", f"SELECT name AS function, CASE WHEN function_id % 3 = 0 THEN 'buf + off' ELSE 's' END AS argument, 13 AS line FROM ({DEREF})")
-def atoi(spark, sf):
-    return D.atoi_calls(deref(spark, sf)).select("function", F.col("metadata")["argument"].alias("argument"), "line")
-
-
-SECRET = "SELECT o_orderkey AS function_id, concat('fn', CAST(o_orderkey AS STRING)) AS name, 'f.c' AS file_path, CAST(5 AS BIGINT) AS start_line, concat('void fn(void) {', chr(10), CASE WHEN o_orderkey % 2 = 0 THEN 'char session_key[32];' ELSE 'char name[8];' END, chr(10), 'int n = 0; }') AS body FROM orders"
-
-
-@Q.add("det_sensitive_clear", f"SELECT name AS function, 6 AS line, 'session_key:6' AS subject FROM ({SECRET}) WHERE function_id % 2 = 0")
-def sensitive_clear(spark, sf):
-    return D.sensitive_clear(over(spark, sf, SECRET, "orders")).select("function", "line", F.col("metadata")["subject"].alias("subject"))
-
-
 #: One match a line item. Each metavariable has a value of its own, or none, by the row's keys; a third of the messages name a
 #: function in one of the detectors' ways; names that say nothing are among them.
 MATCHES = """SELECT row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_returnflag, l_linestatus) + l_orderkey * 1000 AS match_id, l_orderkey % 300 AS f, l_linenumber AS line,
@@ -537,15 +482,6 @@ def innermost(spark, sf):
     return found.orderBy(F.col("end_line") - F.col("start_line"), "file_path", "function_id").limit(1).select("function_id")
 
 
-@Q.add("str24_path_variants", "SELECT page_id, (page_id % 3 <> 2) AS hit FROM pages")
-def path_variants(spark, sf):
-    from ..operators.lookup import path_suffix_equal
-
-    m = F.col("page_id") % 3
-    path = F.when(m == 0, "SRC\\Lib\\a.c").when(m == 1, "/work/src/lib/A.c").otherwise("xsrc/lib/a.c")
-    return table(spark, sf, "pages").select("page_id", path_suffix_equal(F.lower(path), F.lit("src/lib/a.c")).alias("hit"))
-
-
 @Q.add("st11_resume_outputs", "SELECT p_partkey, CASE WHEN l IS NULL THEN 'run' ELSE 'reuse' END AS action FROM part LEFT JOIN (SELECT DISTINCT l_partkey AS l FROM lineitem WHERE l_quantity > 45) x ON l = p_partkey")
 def resume_outputs(spark, sf):
     from ..operators.candidates import without_processed
@@ -556,34 +492,3 @@ def resume_outputs(spark, sf):
     return reuse.unionByName(without_processed(tasks, done, ["p_partkey"]).withColumn("action", F.lit("run")))
 
 
-OWNERS = "SELECT o_orderkey AS function_id, concat('fn', CAST(o_orderkey AS STRING)) AS name, concat('f', CAST(o_orderkey AS STRING), '.c') AS file_path, CAST(1 AS BIGINT) AS start_line, concat('void fn(void) {', chr(10), '  t', CAST(o_custkey % 4 AS STRING), ' *s = get();', chr(10), '  session_free(s); }') AS body FROM orders"
-
-
-@Q.add("jon19_released_structs", f"SELECT name AS function, CAST(3 AS INT) AS line, 's' AS subject FROM ({OWNERS}) WHERE contains(body, ' t1 ') OR contains(body, ' t3 ')")
-def released_structs(spark, sf):
-    structs = spark.range(4).select(F.col("id").alias("struct_id"), F.concat(F.lit("s"), F.col("id").cast("string")).alias("name"), F.concat(F.lit("typedef struct { char *a; "), F.when(F.col("id") % 2 == 1, "char *b; ").otherwise("int b; "), F.lit("} t"), F.col("id").cast("string"), F.lit(";")).alias("definition"))
-    found = D.released_structs(over(spark, sf, OWNERS, "orders"), structs)
-    return found.select("function", "line", F.col("metadata")["subject"].alias("subject"))
-
-
-LEAKY = "SELECT o_orderkey AS function_id, concat('fn', CAST(o_orderkey AS STRING)) AS name, concat('f', CAST(o_orderkey AS STRING), '.c') AS file_path, CAST(1 AS BIGINT) AS start_line, concat('int fn(int n) {', chr(10), 'char *p = malloc(n);', chr(10), CASE o_orderkey % 4 WHEN 0 THEN 'if (p == NULL) { return 1; }' WHEN 1 THEN 'if (n) { return 2; }' WHEN 2 THEN 'if (n) { free(p); } else { free(p); return 3; }' ELSE 'log(\"}\"); free(p);' END, chr(10), CASE WHEN o_orderkey % 4 = 2 THEN '' ELSE 'free(p);' END, chr(10), 'return 0; }', chr(10), 'int after;') AS body FROM orders"
-
-
-@Q.add("det_memleak", f"SELECT name AS function, CAST(3 AS INT) AS line FROM ({LEAKY}) WHERE function_id % 4 = 1")
-def memleak(spark, sf):
-    from ..operators.leaks import memleak as detect
-
-    return detect(over(spark, sf, LEAKY, "orders")).select("function", "line")
-
-
-@Q.add("str05_body_end", f"SELECT function_id, CAST(5 AS BIGINT) AS end_line FROM ({LEAKY})")
-def body_end(spark, sf):
-    from ..operators.leaks import body_ends
-
-    return body_ends(over(spark, sf, LEAKY, "orders"))
-
-
-@Q.add("str16_macros", "SELECT o_orderkey, concat('M', CAST(o_orderkey AS STRING), ',LAST') AS names FROM orders")
-def macros(spark, sf):
-    text = F.concat(F.lit("# define M"), F.col("o_orderkey").cast("string"), F.lit("(x) \\\n  #define NOT\nint y;\n  #define LAST 1"))
-    return table(spark, sf, "orders").select("o_orderkey", F.array_join(T.macro_names(text), ",").alias("names"))
