@@ -219,8 +219,10 @@ def keep_identified(rows: DataFrame, least: float = 0.3, label: str = "lang") ->
     model = fit(rows.select(column_or_null(rows, "doc_id", "long").alias("doc_id"), "text", F.col(label).alias("lang")))
     if model is None:
         return rows.filter(F.col("text").rlike(r"\p{L}"))
-    names = [f"`{c}`" for c in rows.columns]
-    return identify(rows, model).filter((F.col("lang_pred") != UND) & (F.col("score") >= least)).select(*names)
+    # The row travels beside its text, so its columns keep their values whatever their names.
+    held = rows.select("text", F.struct(*[f"`{c}`" for c in rows.columns if c != "text"]).alias("row"))
+    kept = identify(held, model).filter((F.col("lang_pred") != UND) & (F.col("score") >= least))
+    return kept.select(*[F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in rows.columns])
 
 
 def held_out(doc_id: Column) -> Column:

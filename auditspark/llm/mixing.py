@@ -127,8 +127,10 @@ def mix(docs: DataFrame, sources: Column, size: Column | None = None, share: flo
     """
     spark = docs.sparkSession
     docs = docs.drop("pattern_size", "source_size", "target", "taken")
-    rows = docs.withColumns({"_pattern": F.array_sort(sources, lambda a, b: F.when(a.isNull() & b.isNull(), 0).when(a.isNull(), 1).when(b.isNull(), -1).when(a < b, -1).when(a > b, 1).otherwise(0)), "_first": F.get(sources, F.lit(0)), "size": word_count(F.col("text")) if size is None else size})
-    rows = rows.withColumn("_order", F.xxhash64(F.lit(seed), "doc_id", F.xxhash64("text") if content is None else content))
+    in_order = F.array_sort(sources, lambda a, b: F.when(a.isNull() & b.isNull(), 0).when(a.isNull(), 1).when(b.isNull(), -1).when(a < b, -1).when(a > b, 1).otherwise(0))
+    order = F.xxhash64(F.lit(seed), "doc_id", F.xxhash64("text") if content is None else content)
+    # The document's own columns travel as one, so their names meet none of those below.
+    rows = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("_docs"), F.col("doc_id").alias("_id"), in_order.alias("_pattern"), F.get(sources, F.lit(0)).alias("_first"), (word_count(F.col("text")) if size is None else size).alias("size"), order.alias("_order"))
     # By pattern and by bin of the seeded order: sums that are combined before the shuffle.
     bins = materialize(rows.groupBy("_pattern", F.pmod("_order", F.lit(BINS)).alias("_bin")).agg(F.sum("size").alias("words")), "mix-bins")
     totals = bins.groupBy("_pattern").agg(F.sum("words").alias("words")).limit(MAX_PATTERNS + 1).collect()
@@ -160,10 +162,10 @@ def mix(docs: DataFrame, sources: Column, size: Column | None = None, share: flo
     at_edge = F.col("_edge").isNotNull() & (F.col("_bin") == F.col("_edge._bin"))
     plain = rows.filter(~at_edge).withColumn("taken", (whole + F.when(F.col("_bin") <= F.col("_full"), F.col("size")).otherwise(0)).cast("long"))
     # One bin of each pattern is cut: its documents, one in BINS, are ordered within it.
-    inside = Window.partitionBy("_pattern", "_bin").orderBy("_order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = Window.partitionBy("_pattern", "_bin").orderBy("_order", "_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     cutting = rows.filter(at_edge).withColumn("_before", F.sum("size").over(inside) - F.col("size"))
     cutting = cutting.withColumn("taken", (whole + F.greatest(F.lit(0), F.least(F.col("size"), F.col("_edge._room") - F.col("_before")))).cast("long"))
-    return plain.unionByName(cutting.drop("_before")).select(*[f"`{c}`" for c in docs.columns if c != "size"], "size", "pattern_size", "source_size", "target", "taken")
+    return plain.unionByName(cutting.drop("_before")).select(*[F.col("_docs")[c].alias(c) for c in docs.columns if c != "size"], "size", "pattern_size", "source_size", "target", "taken")
 
 
 def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

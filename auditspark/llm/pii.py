@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import column_or_null, is_empty, join_split, materialize
+from .common import column_or_null, fresh, is_empty, join_split, materialize
 
 KINDS = ("email", "ip", "card", "phone", "term")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -319,13 +319,14 @@ def sanitise_documents(docs: DataFrame, threshold: float = THRESHOLD, z: float =
     found = disclosing_terms(rows, scanned, threshold, z, least_share)
     names, schema = docs.columns, docs.schema
     at = names.index("text")
+    terms_, d_, k_, key_ = fresh(docs, "_terms", "_d", "_k", "_key")
     if found is not None:
-        spans = find_terms(rows, found).groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("start", "end", "kind")).alias("_terms"))
-        spans = spans.select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_k"), "_terms")
-        keyed = docs.withColumn("_key", F.xxhash64("text"))
-        docs = keyed.join(spans, F.col("_key").eqNullSafe(F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_d")), "left").select(*[f"`{c}`" for c in names], "_terms")
+        spans = find_terms(rows, found).groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("start", "end", "kind")).alias(terms_))
+        spans = spans.select(F.col("doc_id").alias(d_), F.col("text_key").alias(k_), terms_)
+        keyed = docs.withColumn(key_, F.xxhash64("text"))
+        docs = keyed.join(spans, F.col(key_).eqNullSafe(F.col(k_)) & F.col("doc_id").eqNullSafe(F.col(d_)), "left").select(*[f"`{c}`" for c in names], terms_)
     else:
-        docs = docs.withColumn("_terms", F.expr("cast(null as array<struct<start:int,end:int,kind:int>>)"))
+        docs = docs.withColumn(terms_, F.expr("cast(null as array<struct<start:int,end:int,kind:int>>)"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

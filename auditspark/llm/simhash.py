@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import column_or_null, components_of_pairs, connected_components, join_split, materialize
+from .common import column_or_null, components_of_pairs, connected_components, fresh, join_split, materialize
 
 SEED = 42
 PIECE = 1 << 15
@@ -287,23 +287,23 @@ def simhash_components(docs: DataFrame, k: int = 3) -> DataFrame:
 
 def drop_near_copies(docs: DataFrame, k: int = 3) -> DataFrame:
     """``docs`` with one row of each component: that of the least doc_id (a null one last)."""
-    names = [c for c in docs.columns if c not in ("_fp", "_row")]
-    docs = docs.select(*[f"`{c}`" for c in names])
-    at, schema = names.index("text"), docs.withColumn("_fp", F.lit(0).cast("long")).schema
+    names = docs.columns
+    fp_, row_ = fresh(docs, "_fp", "_row")
+    at, schema = names.index("text"), docs.withColumn(fp_, F.lit(0).cast("long")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.array([fingerprint(x) for x in batch.column(at).cast(pa.binary()).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found)], [*names, "_fp"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found)], [*names, fp_])
 
     # The numbers become fixed as the table is written.
-    rows = materialize(docs.mapInArrow(run, schema).withColumn("_row", F.monotonically_increasing_id()), "simhash-rows")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "_row"))
-    groups = materialize(rows.groupBy(F.col("_fp").alias("fp")).agg(first.alias("best")), "simhash-groups")
+    rows = materialize(docs.mapInArrow(run, schema).withColumn(row_, F.monotonically_increasing_id()), "simhash-rows")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", F.col(row_).alias("_row")))
+    groups = materialize(rows.groupBy(F.col(fp_).alias("fp")).agg(first.alias("best")), "simhash-groups")
     parts = connected_components(near_links(groups.select("fp"), k), "simhash-parts")
     labelled = groups.join(parts, groups.fp == parts.node, "left").select("best", F.coalesce("component", "fp").alias("component"))
-    kept = labelled.groupBy("component").agg(F.min("best").alias("best")).select(F.col("best._row").alias("_row"))
-    return rows.join(kept, "_row", "left_semi").select(*[f"`{c}`" for c in names])
+    kept = labelled.groupBy("component").agg(F.min("best").alias("best")).select(F.col("best._row").alias(row_))
+    return rows.join(kept, row_, "left_semi").select(*[f"`{c}`" for c in names])
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
