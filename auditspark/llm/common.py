@@ -107,13 +107,18 @@ def components_of_pairs(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarr
 #: A key with so many rows is heavy; of a table of n rows at most n / max(HUB, n / MAX_HUBS) keys are, so at most MAX_HUBS.
 HUB = 256
 MAX_HUBS = 4096
+#: So many rows are few.
+FEW_ROWS = 100_000
 
 
 def join_split(rows: DataFrame, facts: DataFrame, keys: list[str], total: int) -> DataFrame:
     """Inner join of ``rows`` with ``facts``, which has one row a key and in ``copies`` how many of the ``total`` rows hold it.
 
     Rows of heavy keys stay where they are and meet their few facts, at most MAX_HUBS, by a broadcast; the rest is shuffled.
+    Of few rows there are no more facts than rows: all of them are broadcast, which saves the shuffles.
     """
+    if total <= FEW_ROWS:
+        return rows.join(F.broadcast(facts), keys)
     hub = max(HUB, total // MAX_HUBS)
     heavy = F.broadcast(facts.filter(F.col("copies") >= hub))
     light = rows.join(heavy.select(*keys), keys, "left_anti").join(facts.filter(F.col("copies") < hub), keys)
@@ -126,20 +131,24 @@ def with_least(edges: DataFrame, total: int) -> DataFrame:
     return join_split(edges, least, ["u"], total).select("u", "v", "m")
 
 
+def all_stars(pairs: DataFrame) -> bool:
+    """Whether each node of ``pairs(a, b)`` is either a centre, never a b, or the b of one pair."""
+    roles = pairs.select(F.col("a").alias("node"), F.lit(0).alias("leaf")).unionAll(pairs.select("b", F.lit(1)))
+    both = roles.groupBy("node").agg(F.sum("leaf").alias("n"), F.min("leaf").alias("least")).filter("n > 1 or (n = 1 and least = 0)")
+    return is_empty(both)
+
+
 def connected_components(edges: DataFrame, name: str = "components") -> DataFrame:
     """Rows ``(node, component)``, component being the least node reachable, of every node in ``edges(a, b)``.
 
     Large-star and small-star rounds as joins and grouped minima; each round is a written table, so the lineage stays
     short. No group is gathered into one task: minima are combined before the shuffle, and hubs are joined by a broadcast
-    of bounded size. Ends when a round changes nothing.
+    of bounded size. Ends when all links are stars around the least node.
     """
     pairs = edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     pairs = materialize(pairs, name)
-    n = pairs.count()
-    if not n:
-        return pairs.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    state = None
-    while True:
+    while not all_stars(pairs):
+        n = pairs.count()
         # Large star: each node links its larger neighbours to the least of its neighbourhood.
         both = pairs.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(pairs.select(F.col("b").alias("u"), F.col("a").alias("v")))
         large = with_least(both, 2 * n).filter("v > u").select(F.least("m", "u").alias("a"), F.col("v").alias("b")).distinct()
@@ -148,9 +157,6 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
         small = with_least(large.select(F.col("b").alias("u"), F.col("a").alias("v")), large.count())
         small = small.select(F.col("m").alias("x"), F.col("v").alias("y")).unionAll(small.select(F.col("m").alias("x"), F.col("u").alias("y")))
         after = materialize(small.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), name)
-        found = after.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         forget(pairs, large)
-        pairs, n = after, found[0]
-        if state == found:
-            return pairs.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("component")).unionByName(pairs.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())
-        state = found
+        pairs = after
+    return pairs.select(F.col("b").alias("node"), F.col("a").alias("component")).unionAll(pairs.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())

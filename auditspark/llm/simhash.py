@@ -99,7 +99,7 @@ def search(a: np.ndarray, b: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray
         p, q = np.nonzero(above[i, j].astype(np.int64) + more <= k)
         la.append(p + x.start)
         lb.append(q + y.start)
-    if not la:
+    if not any(map(len, la)):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     la, lb = np.concatenate(la), np.concatenate(lb)
     left, right = [], []

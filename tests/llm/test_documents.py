@@ -192,6 +192,7 @@ def test_hubs_in_components(spark, monkeypatch):
     from auditspark.llm import common
 
     monkeypatch.setattr(common, "HUB", 8)
+    monkeypatch.setattr(common, "FEW_ROWS", 0)
     edges = [(5, 100 + i) for i in range(300)] + [(100 + i, 1000 + i % 7) for i in range(0, 300, 9)] + [(2, 1003), (7, 8), (8, 9)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {n: 7 if n in (7, 8, 9) else 2 for e in edges for n in e}
