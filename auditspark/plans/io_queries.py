@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import json_text as J
-from ..schemas import CANDIDATE_KEY
 from ..sources import readers as R
 from ..sources import writers as W
 from ..streaming import progress as P
