@@ -125,7 +125,7 @@ def read_chunk(data: bytes) -> tuple[list[int | None], list[bytes]]:
     return [i if k else None for i, k in zip(ids.tolist(), known.tolist())], [rest[a:b] for a, b in zip((ends - lengths).tolist(), ends.tolist())]
 
 
-def chunk_table(rows: DataFrame) -> DataFrame:
+def chunk_table(rows: DataFrame, n_bytes: int) -> DataFrame:
     """``rows(doc_id, text)`` as written chunks ``(part, chunk, data)``, bucketed by part; a chunk is numbered within its part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,9 +152,8 @@ def chunk_table(rows: DataFrame) -> DataFrame:
             yield out()
 
     spark = rows.sparkSession
-    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     # Some buckets for each part, so few hold several of them; Spark allows no more than 100,000.
-    buckets = min(100_000, max(4 * spark.sparkContext.defaultParallelism, total // CHUNK_BYTES))
+    buckets = min(100_000, max(4 * spark.sparkContext.defaultParallelism, n_bytes // CHUNK_BYTES))
     name = f"substring_chunks_{uuid.uuid4().hex}"
     chunks = rows.mapInArrow(run, "part long, chunk int, data binary")
     chunks.write.option("compression", "none").option("path", f"{shared_folder(spark)}/{name}").bucketBy(buckets, "part").format("parquet").saveAsTable(name)
@@ -367,8 +366,9 @@ def sketch_of(chunks: DataFrame, n_bytes: int, width: int, cells: int = CELLS, s
 def passed_share(docs: DataFrame, width: int = WIDTH, cells: int = CELLS, shard_bits: int = SHARD_BITS) -> DataFrame:
     """Rows ``(part, windows, passed)``: how many windows the prefilter passes to the second pass."""
     rows = docs.select(column_or_null(docs, "doc_id", "long").alias("doc_id"), column_or_null(docs, "text", "string").alias("text"))
-    chunks = chunk_table(rows)
-    answers, bits, shard_bits = sketch_of(chunks, rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0, width, cells, shard_bits)
+    n_bytes = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    chunks = chunk_table(rows, n_bytes)
+    answers, bits, shard_bits = sketch_of(chunks, n_bytes, width, cells, shard_bits)
 
     def count(left: pa.Table, right: pa.Table) -> pa.Table:
         windows, passed, part = 0, 0, None
@@ -386,8 +386,8 @@ def dedup_substrings(docs: DataFrame, width: int = WIDTH, with_text: bool = Fals
     """One row per row of ``docs(doc_id, text)``: doc_id, n_words, n_removed, kept_sha256, and with_text the kept text."""
     spark = docs.sparkSession
     rows = docs.select(column_or_null(docs, "doc_id", "long").alias("doc_id"), column_or_null(docs, "text", "string").alias("text"))
-    chunks = chunk_table(rows)
     n_bytes = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    chunks = chunk_table(rows, n_bytes)
     answers, bits, shard_bits = sketch_of(chunks, n_bytes, width)
     shards = max(2 * spark.sparkContext.defaultParallelism, n_bytes // 24_000_000)
     marks = materialize(group_windows(send_windows(chunks, answers, width, bits, shard_bits, shards)), "substring-marks")
