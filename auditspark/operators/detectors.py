@@ -104,15 +104,17 @@ def npd(functions: DataFrame) -> DataFrame:
     rows = functions.filter(F.col("body").rlike(r"->|\*|\[|\bg_\w+\s*\(")).withColumn("code", blank_comments("body"))
     names, hooks = dereferenced(F.col("code"))
     rows = rows.select(*keys, "code", names.alias("names"), hooks.alias("hooks"), checked_names(F.col("code")).alias("checked"))
-    open_ = lambda c: F.array_except(c, "checked")
-    rows = rows.select(*keys, "code", open_("names").alias("names"), open_("hooks").alias("hooks")).filter((F.size("names") > 0) | (F.size("hooks") > 0))
-    every = rows.select(*keys, F.explode(F.concat("names", "hooks")).alias("variable"), F.lit(None).cast("long").alias("line"))
-    shown = lines_of(rows).select(*keys, F.explode(F.array_intersect(_shown_on(F.col("text")), F.concat("names", "hooks"))).alias("variable"), F.col("line").cast("long").alias("line"))
-    found = every.unionByName(shown).groupBy(*keys, "variable").agg(F.coalesce(F.min("line"), "start_line").alias("line"))
+    rows = rows.select(*keys, "code", F.array_except("hooks", "checked").alias("hooks"), F.array_except(F.concat("names", "hooks"), "checked").alias("open"))
+    # Each open name once without a line, and once for each line that shows it; a body is read once for all of them.
+    place = lambda v, line: F.struct(v.alias("variable"), line.cast("long").alias("line"))
+    shown = F.transform(F.split("code", "\r?\n"), lambda text, i: F.transform(F.array_intersect(_shown_on(text), F.col("open")), lambda v: place(v, F.col("start_line") + i)))
+    every = F.transform("open", lambda v: place(v, F.lit(None)))
+    found = rows.select(*keys, "hooks", F.inline(F.concat(every, F.flatten(shown))))
+    found = found.select(*keys, "variable", "line", F.array_contains("hooks", F.col("variable")).alias("called"))
+    found = found.groupBy(*keys, "variable").agg(F.coalesce(F.min("line"), "start_line").alias("line"), F.max("called").alias("called"))
     # A g_ name that is called may be a function of the index; one that is dereferenced is none.
-    known = functions.filter(F.col("name").startswith("g_")).select("name").distinct()
-    called = rows.select("function_id", F.explode("hooks").alias("variable")).join(known.withColumnRenamed("name", "variable"), "variable", "left_semi")
-    found = found.join(called, ["function_id", "variable"], "left_anti")
+    known = functions.filter(F.col("name").startswith("g_")).select(F.col("name").alias("variable"), F.lit(True).alias("_known")).distinct()
+    found = found.join(known, "variable", "left").filter(~(F.col("called") & F.coalesce("_known", F.lit(False))))
     return found.select(*candidate(F.col("file_path"), F.col("line"), F.col("name"), "npd", F.col("variable"), F.concat(F.lit("May "), F.col("variable"), F.lit(" be null where it is dereferenced?"))))
 
 
