@@ -17,4 +17,4 @@ def test_query_equals_sql(spark, duck, name):
 
 def test_names():
     assert set(Q.oracle_sql()) <= set(Q.queries())
-    assert [n for i in range(1, 11) for n in Q.queries() if n.startswith(f"op{i}_")] == list(Q.queries())
+    assert [n for i in range(1, 14) for n in Q.queries() if n.startswith(f"op{i}_")] == list(Q.queries())
