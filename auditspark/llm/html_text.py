@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -27,6 +28,7 @@ OPEN = re.compile(r"<(?:(!--)|(/?)([a-zA-Z][a-zA-Z0-9]*)(?![a-zA-Z0-9])|[!?])")
 ATTRIBUTES = re.compile(r"""(?:[^"'<>]|"[^"]*"|'[^']*')*+""")
 #: Elements whose content is no markup, up to their closing tag.
 RAW = frozenset("iframe noscript script style template textarea title".split())
+CLOSES = {tag: re.compile(f"</{tag}", re.I | re.A) for tag in RAW}
 #: Elements within a line whose text is no text of the page.
 CONTROLS = frozenset("button select svg".split())
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -73,7 +75,6 @@ def markup(page: str) -> Iterator[tuple[int, int, bool, str, str]]:
     """(start, end, closing, name, attributes) of each piece of markup; the name is empty where there is nothing to do. A <
     that begins no complete tag is text. Linear: what is not found once is not looked for again."""
     at, last = 0, page.rfind(">")
-    low = page.lower() if len(page.lower()) == len(page) else page
     while m := OPEN.search(page, at):
         start, tag = m.start(), (m[3] or "").lower()
         if m[1]:
@@ -93,8 +94,8 @@ def markup(page: str) -> Iterator[tuple[int, int, bool, str, str]]:
             attributes, at = page[m.end() : stop], stop + 1
             if tag in RAW:
                 if not m[2] and not attributes.rstrip().endswith("/"):
-                    close = low.find(f"</{tag}", at)
-                    stop = page.find(">", close) if close >= 0 else -1
+                    close = CLOSES[tag].search(page, at)
+                    stop = page.find(">", close.end()) if close else -1
                     at = len(page) if stop < 0 else stop + 1
                 yield start, at, False, "", ""
             else:
@@ -106,6 +107,7 @@ def blocks_of(page: str) -> list[Block]:
     found: list[Block] = []
     # name, in an article, barred, region
     stack: list[tuple[str, bool, bool, int]] = [("", False, False, 0)]
+    opened: Counter = Counter()
     pieces: list[tuple[str, bool]] = []
     links, controls, regions, at, marked = 0, 0, 0, 0, False
 
@@ -146,10 +148,12 @@ def blocks_of(page: str) -> list[Block]:
                     marked = bool(names_of(attributes) & BAD_NAMES - ({"header"} if stack[-1][1] else set())) or bool(HIDDEN.search(attributes))
                 continue
             if closing:
-                opened = [i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag][:1]
                 # A closing tag without an opening one is ignored; else all that was left open within it ends too.
-                if opened:
-                    del stack[opened[0] :]
+                if opened[tag]:
+                    name = ""
+                    while name != tag:
+                        name = stack.pop()[0]
+                        opened[name] -= 1
             elif not attributes.rstrip().endswith("/"):
                 _, inside, barred, region = stack[-1]
                 names = names_of(attributes)
@@ -158,6 +162,7 @@ def blocks_of(page: str) -> list[Block]:
                 regions += 1
                 inside_now = inside or tag in ("article", "main") or bool(names & GOOD_NAMES and tag in ("div", "section"))
                 # An article is one region with all it holds but barred containers; elsewhere each container is a region.
+                opened[tag] += 1
                 stack.append((tag, inside_now, barred, region if inside and not barred else regions))
     add(page[at:])
     end()
@@ -175,7 +180,8 @@ def first_pass(block: Block, article: bool, density: float, known: bool) -> int:
         return BAD
     n = len(block.text)
     if block.linked > LINKS * n:
-        return BAD
+        # An article may hold a paragraph that is one link; its neighbours decide.
+        return SHORT_BLOCK if block.inside else BAD
     # A character of a script without spaces says about as much as three letters.
     weight = n + 2 * len(DENSE.findall(block.text))
     if weight < SHORT:
