@@ -50,8 +50,15 @@ def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return a.astype(kind) @ b.astype(kind).T
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times a power of two, so that the greatest component is near one: nothing is rounded, and lengths neither vanish
+    nor overflow."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1))[1][:, None])
+
+
 def linked(x: np.ndarray, y: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs of rows of x and y (doubles, not zero) whose cosine is at least the threshold."""
+    x, y = scaled(x), scaled(y)
     nx, ny = np.linalg.norm(x, axis=1), np.linalg.norm(y, axis=1)
     qx, sx, ex = quantise(x / nx[:, None])
     qy, sy, ey = quantise(y / ny[:, None])
@@ -83,7 +90,8 @@ def _tiles(size: int, group: int):
 
         def record(label, dim, grp, ids, copies, vectors):
             x = np.frombuffer(b"".join(vectors), np.float64).reshape(-1, dim)
-            unit = x / np.linalg.norm(x, axis=1)[:, None]
+            unit = scaled(x)
+            unit = unit / np.linalg.norm(unit, axis=1)[:, None]
             centre = unit.mean(axis=0)
             length = np.linalg.norm(centre)
             centre = centre / length if length > 1e-12 else unit[0]
@@ -209,8 +217,10 @@ def embedding_components(rows: DataFrame, threshold: float = 0.98) -> DataFrame:
     # The numbers of the nodes become fixed as the table is written.
     folded = materialize(folded.withColumn("node", F.monotonically_increasing_id()), "embedding-folded")
     # A fixed direction: the first components' sum orders near vectors near each other.
-    length = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x))
-    along = F.aggregate(F.transform("embedding", lambda x, i: x * F.when(i % 2 == 0, 1.0).otherwise(-1.0)), F.lit(0.0), lambda s, x: s + x) / length
+    most = F.array_max(F.transform("embedding", F.abs))
+    even = F.transform("embedding", lambda x: x / most)
+    length = F.sqrt(F.aggregate(even, F.lit(0.0), lambda s, x: s + x * x))
+    along = F.aggregate(F.transform(even, lambda x, i: x * F.when(i % 2 == 0, 1.0).otherwise(-1.0)), F.lit(0.0), lambda s, x: s + x) / length
     dealt = folded.select("label", F.size("embedding").alias("dim"), "node", "copies", "embedding", along.alias("along"))
     dealt = dealt.repartitionByRange("label", "dim", "along", "node").sortWithinPartitions("label", "dim", "along").drop("along")
     tiles = materialize(dealt.mapInArrow(_tiles(TILE, GROUP), TILES), "embedding-tiles")

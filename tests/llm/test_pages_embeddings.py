@@ -64,7 +64,7 @@ def test_templates_and_scripts(text, frame):
     assert len(parts) == (3 if "<h1>" in frame else 2)
 
 
-@pytest.mark.parametrize("part", ["<a ", '<a "', "<a '\"", "<!", "<div", "</", "<a b='", "<p><a ", "&", "<script", "<!--", '<a x="<b y=\'<c ', "<button>"])
+@pytest.mark.parametrize("part", ["<a ", '<a "', "<a '\"", "<!", "<div", "</", "<a b='", "<p><a ", "&", "<script", "<!--", '<a x="<b y=\'<c ', "<button>", "<div>", "</div>", "<div></p>"])
 def test_long_odd_pages(part):
     import time
 
@@ -73,6 +73,28 @@ def test_long_odd_pages(part):
     assert time.process_time() - began < 10
 
 
+def test_nested_containers():
+    import time
+
+    began = time.process_time()
+    assert H.main_text("<article>" + "<div>" * 100_000 + "<p>Deep words.</p>" + "</div>" * 100_000 + "</article>") == "Deep words."
+    H.main_text("<section>" + "<div></ul>" * 100_000 + "</section>" * 100_000)
+    assert time.process_time() - began < 5
+
+
+def test_raw_elements_in_any_case():
+    page = "<article><p>The İstanbul text.</p><{0}>var x = '<p>no</p>';</{1}><p>More of the text.</p></article>"
+    for a, b in (("script", "SCRIPT"), ("Style", "sTYLE"), ("TEXTAREA", "textarea")):
+        assert H.main_text(page.format(a, b)) == "The İstanbul text.\n\nMore of the text."
+    assert H.main_text(page.format("script", "\u017fcript")) == "The İstanbul text."
+
+
+def test_linked_paragraph_of_an_article():
+    good = "This is a text that is long enough to be read by the people who like to read, and it has many of the words that they use. "
+    page = f"<article><h1>Head</h1><p>{good}</p><h2>See also</h2><p><a href=x>The other page that says more about all of this</a></p><p>{good}</p></article><p><a href=y>Outside link</a></p>"
+    assert H.main_text(page).split("\n\n") == ["Head", good.strip(), "See also", "The other page that says more about all of this", good.strip()]
+
+
 def test_pages_table(spark):
     pages = spark.read.parquet(f"{DATA}/pages.parquet")
     for r in H.extract_text(pages).join(pages.select("page_id", "html"), "page_id").collect():
@@ -96,12 +118,16 @@ ODD = [(900, None, 1), (901, [], 1), (902, [0.0] * 24, 1), (903, [float("nan")]
 ODD += [(950, [1.0, 0.0, 0.0], 1), (952, [1.0, 0.001, 0.0], 1), (950, [0.0, 1.0, 0.0], 1), (940, [0.001, 1.0, 0.0], 1)]
 
 
+#: Lengths whose squares vanish or overflow.
+ODD += [(960, [1e-200, 2e-200, 0.0, 0.0], 1), (961, [1e200, 2e200, 0.0, 0.0], 1), (962, [1e-310, 2e-310, 0.0, 0.0], 1), (963, [1.7e308, -1.7e308, 1.7e308, 0.0], 1), (964, [5e-324, 0.0, 0.0, 0.0], 1), (965, [1.0, 2.0, 0.001, 0.0], 1)]
+
+
 @pytest.mark.parametrize("tile, group, dim", [(16, 2, 24), (4, 3, 24), (1024, 16, 24), (16, 2, 1500)])
 def test_links_equal_brute_force(spark, monkeypatch, tile, group, dim):
     monkeypatch.setattr(E, "TILE", tile)
     monkeypatch.setattr(E, "GROUP", group)
     rows = vectors(d=dim) + ODD
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(4)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(4)
     for clash in ("grp", "k1", "copies", "node", "part", "component_id", "n_links"):
         df = df.withColumn(clash, F.lit("clash"))
     fine = [v is not None and len(v) > 0 and all(x is not None and math.isfinite(x) for x in v) and any(v) and label is not None for _, v, label in rows]
@@ -110,7 +136,7 @@ def test_links_equal_brute_force(spark, monkeypatch, tile, group, dim):
     for i in range(n):
         for j in range(n):
             if i != j and fine[i] and fine[j] and rows[i][2] == rows[j][2] and len(rows[i][1]) == len(rows[j][1]):
-                a, b = np.array(rows[i][1]), np.array(rows[j][1])
+                a, b = (np.array(rows[n][1]) / max(map(abs, rows[n][1])) for n in (i, j))
                 if a @ b / np.linalg.norm(a) / np.linalg.norm(b) >= 0.98 or rows[i][1] == rows[j][1]:
                     links[i].append(j)
     expected = []
