@@ -38,8 +38,8 @@ from pyspark.sql.window import Window
 from .common import column_or_null, forget, join_split, materialize, mix64, shared_folder
 
 #: Bytes of text of a chunk, of all that a task holds back, and chunks of a part.
-CHUNK_BYTES = 12_000_000
-HELD_BYTES = 48_000_000
+CHUNK_BYTES = 4_000_000
+HELD_BYTES = 16_000_000
 PART_CHUNKS = 4
 #: Keys of a range, about; of which one in SAMPLED is in the sample that cuts the ranges; and ranges, at most (16 bytes each).
 RANGE_KEYS = 1 << 20
@@ -110,11 +110,12 @@ def _words_of_part(table: pa.Table) -> pa.Table:
     found: dict[str, Counter] = {}
     for lang, data in zip(table.column("lang").to_pylist(), table.column("data")):
         found.setdefault(lang, Counter()).update(zstandard.ZstdDecompressor().decompress(data.as_py()).split())
-    langs = [lang for lang, c in found.items() for _ in range(len(c))]
-    words = pa.array([w for c in found.values() for w in c], pa.binary()).cast(pa.string())
-    counts = pa.array([n for c in found.values() for n in c.values()], pa.int64())
-    part = table.column("part")[0].as_py() if table.num_rows else 0
-    return pa.table([pa.array(np.full(len(words), part)), pa.array(langs, pa.string()), words, counts], ["part", "lang", "word", "n"])
+    part, tables = table.column("part")[0].as_py(), []
+    for lang in list(found):
+        counts = found.pop(lang)
+        n = len(counts)
+        tables.append(pa.table([pa.repeat(pa.scalar(part, pa.int64()), n), pa.repeat(pa.scalar(lang, pa.string()), n), pa.array(counts, pa.binary(), n).cast(pa.string()), pa.array(counts.values(), pa.int64(), n)], ["part", "lang", "word", "n"]))
+    return pa.concat_tables(tables)
 
 
 def press_ids(ids: np.ndarray) -> bytes:
@@ -383,7 +384,7 @@ def collocations(docs: DataFrame, least: int = 10, top: int = 2000, cover: int =
     """
     rows = docs.select(F.coalesce(column_or_null(docs, "lang", "string"), F.lit("und")).alias("lang"), column_or_null(docs, "text", "string").alias("text"))
     n_bytes = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = min(100_000, max(2 * docs.sparkSession.sparkContext.defaultParallelism, n_bytes // (2 * CHUNK_BYTES)))
+    buckets = min(100_000, max(2 * docs.sparkSession.sparkContext.defaultParallelism, n_bytes // (PART_CHUNKS * CHUNK_BYTES)))
     chunks, chunks_name = bucketed(rows.mapInArrow(_chunks(chunk_bytes), "part long, chunk int, lang string, data binary"), "phrase_chunks", buckets)
     words = materialize(chunks.groupBy("part").applyInArrow(_words_of_part, "part long, lang string, word string, n long"), "phrase-words")
     often = words.groupBy("lang", "word").agg(F.sum("n").alias("f"), F.count(F.lit(1)).alias("copies")).filter(F.col("f") >= least)
