@@ -114,7 +114,7 @@ def _words_of_part(table: pa.Table) -> pa.Table:
     for lang in list(found):
         counts = found.pop(lang)
         n = len(counts)
-        tables.append(pa.table([pa.repeat(pa.scalar(part, pa.int64()), n), pa.repeat(pa.scalar(lang, pa.string()), n), pa.array(counts, pa.binary(), n).cast(pa.string()), pa.array(counts.values(), pa.int64(), n)], ["part", "lang", "word", "n"]))
+        tables.append(pa.table([pa.repeat(pa.scalar(part, pa.int64()), n), pa.repeat(pa.scalar(lang, pa.string()), n), pa.array(counts, pa.binary(), size=n).cast(pa.string()), pa.array(counts.values(), pa.int64(), size=n)], ["part", "lang", "word", "n"]))
     return pa.concat_tables(tables)
 
 
