@@ -6,19 +6,18 @@ expressions over columns: extraction, explode, guards as anti-filters, grouping.
 
 from __future__ import annotations
 
-import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from ..functions.c_code import blanked
 from ..functions.text import call_names, checked_chains, checked_names, escape_regex, line_of_match, normal_expression, pair_name, role_hint, short_name, stable_id, terms_in
 from .candidates import keep_first
 from .lookup import containing_function
 from .results import arithmetic, memory_place, metavar, sink
 
-_NOISE = re.compile(r"/\*.*?(?:\*/|\Z)|//[^\n]*|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'", re.S)
 #: Names that are never pointers of interest.
 SKIPPED = ("this", "NULL", "nullptr", "true", "false", "void")
 KEYWORDS = ("if", "for", "while", "switch", "return", "sizeof", "case", "else", "do", "goto")
@@ -28,11 +27,7 @@ KEYWORDS = ("if", "for", "while", "switch", "return", "sizeof", "case", "else",
 def blank_comments(code: pd.Series) -> pd.Series:
     """The code with comments and the insides of literals as blanks; lines and columns stay."""
 
-    def blank(m: re.Match) -> str:
-        text = re.sub(r"[^\n]", " ", m[0])
-        return text if m[0][0] == "/" else m[0][0] + text[1:-1] + m[0][-1]
-
-    return code.map(lambda c: None if c is None else _NOISE.sub(blank, c))
+    return code.map(lambda c: None if c is None else blanked(c, directives=False))
 
 
 def candidate(file: Column, line: Column, function: Column, vuln_type: str, subject: Column, description: Column, **metadata: Column) -> list[Column]:
