@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import escape_like, normal_path, short_name
+from .joins import join_fact
 
 #: A dimension whose plan is estimated at no more bytes than this is sent to all tasks; a larger one is joined by a shuffle.
 BROADCAST_BYTES = 32 << 20
@@ -106,27 +107,59 @@ def first_body(functions: DataFrame, requests: DataFrame) -> DataFrame:
     return functions.join(requests.select("name").distinct(), "name", "left_semi").withColumn("_n", rank).filter("_n = 1").drop("_n")
 
 
-#: Lines of a bin of the interval join: a function has a row for each bin that it reaches into.
-LINE_BIN = 4096
+def dyadic_nodes(start: str, end: str) -> Column:
+    """The nodes ``(level, node)`` that cover the lines from ``start`` to ``end``: at most two a level, each of 2**level lines.
+
+    At a level whole nodes lie between the first line rounded up and the line after the last rounded down; the one at either
+    end that is no pair with its neighbour is taken, and the rest is left to the level above.
+    """
+    low = f"shiftright({start} + shiftleft(1L, k) - 1, k)"
+    high = f"shiftright({end} + 1, k)"
+    one = lambda node: f"struct(CAST(k AS INT) AS level, {node} AS node)"
+    first = f"IF({low} < {high} AND {low} % 2 = 1, array({one(low)}), array())"
+    last = f"IF({low} < {high} AND {high} % 2 = 1, array({one(f'{high} - 1')}), array())"
+    return F.expr(f"flatten(transform(sequence(0, {LEVELS - 1}), k -> concat({first}, {last})))")
+
+
+#: Lines are below 2**(LEVELS - 1).
+LEVELS = 48
 
 
 def containing_function(requests: DataFrame, functions: DataFrame, by_suffix: bool = False) -> DataFrame:
     """The innermost function that holds each ``requests(request_id, path, line)``: least extent, then path, then start.
 
-    An equi-join on the path (on the file name where paths match by suffix) and on bins of lines, then the interval test,
-    so a large file's requests meet only the functions near them.
+    A function of any length lies in at most 2 log n dyadic nodes, and all lines of a node are held by it: so of each node
+    only the innermost function counts. A request looks at the one node of each level above its line (of the levels that are
+    in use), by joins with one fact a key whose hot keys are split, and takes the least of what it finds. No request meets
+    more than one function a level, however many hold it.
     """
-    bin_of = lambda line: F.floor(line / LINE_BIN).cast("long")
-    ranges = functions.select("function_id", "name", "file_path", "start_line", "end_line").filter("start_line <= end_line")
-    ranges = ranges.withColumn("_bin", F.explode(F.sequence(bin_of(F.col("start_line")), bin_of(F.col("end_line")))))
-    requests = requests.withColumn("_bin", bin_of(F.col("line")))
-    inside = F.col("line").between(F.col("start_line"), F.col("end_line"))
+    ranges = functions.select("function_id", "name", "file_path", "start_line", "end_line").filter("start_line <= end_line AND end_line >= 0")
+    ranges = ranges.withColumns({"_from": F.greatest("start_line", F.lit(0)).cast("long"), "_to": F.col("end_line").cast("long")})
+    order = F.struct((F.col("end_line") - F.col("start_line")).alias("extent"), "file_path", "start_line", "function_id", "name", "end_line")
+    own = F.col("file_path") if not by_suffix else normal_path(F.col("file_path"))
+    cover = ranges.select(own.alias("_path"), order.alias("_best"), F.inline(dyadic_nodes("_from", "_to")))
+    facts = cover.groupBy("_path", "level", "node").agg(F.min("_best").alias("_best"))
+    # At most LEVELS numbers.
+    levels = [r.level for r in cover.select("level").distinct().collect()]
+    total = requests.count() * max(1, len(levels))
+    asked = requests.withColumn("_path", F.col("path") if not by_suffix else normal_path(F.col("path")))
+    above = F.array(*(F.struct(F.lit(k).alias("level"), F.shiftright(F.col("line").cast("long"), k).alias("node")) for k in sorted(levels))) if levels else F.array().cast("array<struct<level:int,node:long>>")
+    asked = asked.filter("line >= 0").select("*", F.inline(above))
     if by_suffix:
-        found = path_suffix_join(requests, ranges, "path", "file_path", ("_bin",)).filter(inside)
+        # Paths of one file name, cut to the last parts that the other has: a path meets each of its own tails.
+        parts = F.split("_path", "/")
+        tails = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.size(parts) - n + 1, n), "/"))
+        short = facts.withColumn("_tail", F.col("_path")).unionByName(facts.select("*", F.explode(tails).alias("_tail")).filter("_tail <> _path"))
+        exact = asked.select("*", F.explode(tails).alias("_tail"))
+        # The request's path ends in the function's, or the function's in the request's.
+        down = join_fact(exact, facts.withColumnRenamed("_path", "_tail"), ["_tail", "level", "node"], total, "inner")
+        up_facts = short.groupBy("_tail", "level", "node").agg(F.min("_best").alias("_best"))
+        up = join_fact(asked.withColumn("_tail", F.col("_path")), up_facts, ["_tail", "level", "node"], total, "inner")
+        found = down.unionByName(up)
     else:
-        found = requests.join(ranges.withColumn("path", F.col("file_path")), ["path", "_bin"]).filter(inside)
-    order = Window.partitionBy("request_id").orderBy(F.col("end_line") - F.col("start_line"), "file_path", "start_line", "function_id")
-    return found.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n", "_bin")
+        found = join_fact(asked, facts, ["_path", "level", "node"], total, "inner")
+    best = found.groupBy(*requests.columns).agg(F.min("_best").alias("_best"))
+    return best.select(*requests.columns, "_best.function_id", "_best.name", "_best.file_path", "_best.start_line", "_best.end_line")
 
 
 def resolve_calls(calls: DataFrame, functions: DataFrame) -> DataFrame:
@@ -143,12 +176,16 @@ def resolve_calls(calls: DataFrame, functions: DataFrame) -> DataFrame:
 
 def resolve_globals(references: DataFrame, variables: DataFrame) -> DataFrame:
     """``references(ref_id, name, file_id)`` with global_id: a static of the same file, else a non-static one, else any;
-    the first of those."""
-    candidates = variables.select("name", "global_id", F.col("file_id").alias("_gf"), "is_static")
-    joined = references.join(candidates, "name", "left")
-    tier = F.when(F.col("is_static") & (F.col("_gf") == F.col("file_id")), 0).when(~F.col("is_static"), 1).otherwise(2)
-    order = Window.partitionBy("ref_id").orderBy(tier, "global_id")
-    return joined.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n", "_gf", "is_static")
+    the first of those. A reference that nothing answers keeps a null.
+
+    Three tables with one variable a key, the first of each file's statics, of the non-static ones and of all, so that a
+    reference meets at most three variables, however many share its name; hot names are split.
+    """
+    total = references.count()
+    statics = variables.filter("is_static").groupBy("name", "file_id").agg(F.min("global_id").alias("_own"))
+    by_name = variables.groupBy("name").agg(F.min(F.when(~F.col("is_static"), F.col("global_id"))).alias("_open"), F.min("global_id").alias("_any"))
+    found = join_fact(join_fact(references, by_name, ["name"], total), statics, ["name", "file_id"], total)
+    return found.withColumn("global_id", F.coalesce("_own", "_open", "_any")).select(*references.columns, "global_id")
 
 
 def reachable_null_returners(functions: DataFrame, returns: DataFrame, known_null: list[str], known_nonnull: list[str], levels: int = 3) -> DataFrame:

@@ -171,15 +171,14 @@ def resolve_calls(spark, sf):
 
 GLOBALS = """
 WITH vars AS (SELECT p_brand AS name, p_partkey AS global_id, p_size % 20 AS file_id, p_partkey % 3 = 0 AS is_static FROM part),
-refs AS (SELECT l_orderkey * 100000000 + l_partkey * 1000 + l_suppkey * 10 + l_linenumber AS ref_id, concat('Brand#', CAST(l_suppkey % 60 AS STRING)) AS name, l_linenumber AS file_id FROM lineitem WHERE l_orderkey <= 300),
-r AS (SELECT ref_id, global_id, row_number() OVER (PARTITION BY ref_id ORDER BY CASE WHEN is_static AND v.file_id = refs.file_id THEN 0 WHEN NOT is_static THEN 1 ELSE 2 END, global_id) AS n FROM refs LEFT JOIN vars v ON v.name = refs.name)
-SELECT ref_id, global_id FROM r WHERE n = 1"""
+refs AS (SELECT l_orderkey * 100000000 + l_partkey * 1000 + l_suppkey * 10 + l_linenumber AS ref_id, concat('Brand#', CAST(l_suppkey % 60 AS STRING)) AS name, l_linenumber AS file_id FROM lineitem)
+SELECT ref_id, coalesce((SELECT min(v.global_id) FROM vars v WHERE v.name = refs.name AND v.file_id = refs.file_id AND v.is_static), (SELECT min(v.global_id) FROM vars v WHERE v.name = refs.name AND NOT v.is_static), (SELECT min(v.global_id) FROM vars v WHERE v.name = refs.name)) AS global_id FROM refs"""
 
 
 @Q.add("jon07_resolve_globals", GLOBALS)
 def resolve_globals(spark, sf):
     variables = table(spark, sf, "part").selectExpr("p_brand AS name", "p_partkey AS global_id", "p_size % 20 AS file_id", "p_partkey % 3 = 0 AS is_static")
-    refs = table(spark, sf, "lineitem").filter("l_orderkey <= 300").selectExpr("l_orderkey * 100000000 + l_partkey * 1000 + l_suppkey * 10 + l_linenumber AS ref_id", "concat('Brand#', l_suppkey % 60) AS name", "l_linenumber AS file_id")
+    refs = table(spark, sf, "lineitem").selectExpr("l_orderkey * 100000000 + l_partkey * 1000 + l_suppkey * 10 + l_linenumber AS ref_id", "concat('Brand#', l_suppkey % 60) AS name", "l_linenumber AS file_id")
     return lookup.resolve_globals(refs, variables).select("ref_id", "global_id")
 
 
