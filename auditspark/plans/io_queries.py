@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import json_text as J
 from ..sources import readers as R
 from ..sources import writers as W
+from ..streaming import ordered as O
 from ..streaming import progress as P
 from .views import Queries, scratch, table, view
 
@@ -134,12 +135,60 @@ def schema(spark, sf):
 
 @Q.add("st05_stream_suppression", "SELECT c.seq, c.l_orderkey, coalesce(c.seq > f.first, FALSE) AS suppressed FROM candidates c LEFT JOIN (SELECT vuln_type, function, min(seq) AS first FROM candidates WHERE quantity = 50 GROUP BY vuln_type, function) f ON f.vuln_type = c.vuln_type AND f.function = c.function")
 def stream_suppression(spark, sf):
-    source, target = scratch(spark, "results"), scratch(spark, "suppressed")
-    rows = view(spark, sf, "candidates").select(F.concat_ws("\0", "vuln_type", "function").alias("pattern"), "seq", (F.col("quantity") == 50).alias("rejected"))
+    rows = view(spark, sf, "candidates").select(F.concat_ws("\0", "vuln_type", "function").alias("pattern"), in_order("seq").alias("at"), "seq", (F.col("quantity") == 50).alias("rejected"))
+    found = streamed(spark, rows, "pattern", "at", O.stream_suppression)
+    return found.select("seq", F.substring_index(F.col("pattern"), "fn", -1).cast("long").alias("l_orderkey"), "suppressed")
+
+
+def in_order(number):
+    """Times in the order of numbers, a day after the epoch and on: a stream's first watermark is the epoch."""
+    return F.timestamp_micros(F.col(number) + F.lit(86_400_000_000))
+
+
+def streamed(spark, rows, key, at, stream, mode="append"):
+    """What a stream makes of the rows, with the batch that each came from. A last row, of a key that sorts after all others
+    and a day later than they, moves the watermark past all of them; its own key is left out."""
+    source, target = scratch(spark, "stream"), scratch(spark, "streamed")
+    late = rows.agg((F.max(at) + F.expr("INTERVAL 1 DAY")).alias("end")).first().end
     rows.write.parquet(source)
-    stream = P.stream_suppression(spark.readStream.schema(rows.schema).parquet(source))
-    stream.writeStream.format("parquet").option("path", target).option("checkpointLocation", scratch(spark, "checkpoint")).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(target).select("seq", F.substring_index(F.col("pattern"), "fn", -1).cast("long").alias("l_orderkey"), "suppressed")
+    last, none = {key: "~", at: late}, {"bigint": 0, "string": "", "boolean": False}
+    end = spark.range(1).select(*(F.lit(last.get(c, none.get(kind))).cast(kind).alias(c) for c, kind in rows.dtypes))
+    end.write.mode("append").parquet(source)
+    written = stream(spark.readStream.schema(rows.schema).parquet(source)).filter(F.col(key) != "~")
+
+    def write(batch, number):
+        batch.withColumn("batch", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{target}/{number:08d}")
+
+    written.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", scratch(spark, "checkpoint")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.option("recursiveFileLookup", True).schema(f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in written.schema.fields)}, batch long").parquet(target)
+
+
+RANK = "CASE WHEN phase IN ('analyzing', 'static_analysis') THEN 1 WHEN phase = 'auditing' THEN 2 WHEN phase IN ('completed', 'error', 'cancelled') THEN 3 ELSE 0 END"
+
+
+@Q.add("st02_stream_states", f"SELECT CAST(scan_id AS VARCHAR) AS scan_id, CASE max(r) WHEN 3 THEN min_by(phase, seq) FILTER (WHERE r = 3) WHEN 2 THEN 'auditing' WHEN 1 THEN 'analyzing' ELSE 'pending' END AS status, bool_or(r >= 2) AS static_done, count(*) AS n_events, max_by(message, seq) AS last_message FROM (SELECT *, {RANK} AS r FROM scan_events) GROUP BY scan_id")
+def stream_states(spark, sf):
+    rows = view(spark, sf, "scan_events").select(F.col("scan_id").cast("string").alias("scan_id"), in_order("seq").alias("ts"), "seq", "phase", "message")
+    found = streamed(spark, rows, "scan_id", "ts", O.stream_states)
+    last = found.groupBy("scan_id").agg(F.max_by(F.struct("status", "static_done", "n_events", "last_message"), "n_events").alias("s"))
+    return last.select("scan_id", "s.*")
+
+
+@Q.add("st12_stream_offline", "WITH s AS (SELECT *, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS next FROM events), gap AS (SELECT *, CASE WHEN next IS NULL OR epoch_us(next) - epoch_us(ts) >= 3600000000 THEN epoch_us(ts) + 3600000000 END AS gone FROM s) SELECT event_id, min(gone) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS ended_micros FROM gap QUALIFY event_type = 'purchase'")
+def stream_offline(spark, sf):
+    bought = F.col("event_type") == "purchase"
+    rows = table(spark, sf, "events").select(F.col("user_id").cast("string").alias("agent"), F.col("ts").cast("timestamp").alias("at"), F.col("event_id").alias("seq"), F.when(bought, F.col("event_id").cast("string")).alias("scan_id"), F.when(bought, "auditing").alias("status"))
+    found = streamed(spark, rows, "agent", "at", lambda stream: O.stream_offline(stream, timeout_seconds=3600))
+    return found.filter("status = 'cancelled'").select(F.col("scan_id").cast("long").alias("event_id"), F.unix_micros("at").alias("ended_micros"))
+
+
+@Q.add("win10_stream_last_events", "SELECT CAST(scan_id AS VARCHAR) AS scan_id, seq, CAST(n AS INT) AS place, phase FROM (SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY ts DESC, seq DESC) AS n FROM scan_events) WHERE n <= 20")
+def stream_last_events(spark, sf):
+    rows = view(spark, sf, "scan_events").select(F.col("scan_id").cast("string").alias("scan_id"), F.col("ts").cast("timestamp").alias("ts"), "seq", "phase")
+    found = streamed(spark, rows, "scan_id", "ts", lambda stream: O.stream_last_events(stream, values=("phase",), n=20), "update")
+    # The ring of the last batch in which a scan had events.
+    last = found.groupBy("scan_id").agg(F.max("batch").alias("batch"))
+    return found.join(last, ["scan_id", "batch"]).select("scan_id", "seq", "place", "phase")
 
 
 @Q.add("st09_fan_out", "SELECT consumer, scan_id, seq, phase FROM scan_events CROSS JOIN (VALUES ('list'), ('detail')) AS t(consumer)")

@@ -1,24 +1,13 @@
-"""Streaming: the phase machine as keyed state, idempotent counting, snapshots, same-pattern suppression and fan-out.
-
-State is kept by key in the state store, a few numbers a key; nothing is dropped from the streams.
-"""
+"""Streaming: the event log, idempotent counting, snapshots and fan-out; what needs order is in ``ordered``."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.candidates import keep_first
-from ..operators.events import TERMINAL
 from ..schemas import EVENT
 
-_RANK = {"pending": 0, "init": 0, "analyzing": 1, "static_analysis": 1, "auditing": 2} | dict.fromkeys(TERMINAL, 3)
-_NAME = ("pending", "analyzing", "auditing")
-
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema(EVENT).parquet(path)
@@ -33,49 +22,12 @@ def replay(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(EVENT).parquet(path).orderBy("scan_id", "timestamp", "seq")
 
 
-def _advance(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    rank, end, done, n = state.get if state.exists else (0, "", False, 0)
-    for part in parts:
-        for phase in part.sort_values("seq")["phase"]:
-            r = _RANK.get(phase, 0)
-            n += 1
-            if r == 3 and rank < 3:
-                end = phase
-            done = done or r >= 2
-            rank = max(rank, r)
-    state.update((rank, end, done, n))
-    yield pd.DataFrame({"scan_id": [key[0]], "status": [end if rank == 3 else _NAME[rank]], "static_done": [done], "n_events": [n]})
-
-
-def stream_states(events: DataFrame) -> DataFrame:
-    """Status of each scan after each batch: forward only, late progress never reopens a scan that ended."""
-    return events.groupBy("scan_id").applyInPandasWithState(_advance, "scan_id string, status string, static_done boolean, n_events long", "rank int, end string, done boolean, n long", "update", GroupStateTimeout.NoTimeout)
-
-
 def stream_processed(processed: DataFrame, key: list[str], at: str | None = None, delay: str = "1 hour") -> DataFrame:
     """Distinct processed keys a scan; with a time column duplicates are remembered within the watermark only."""
     once = processed.dropDuplicates(key) if at is None else processed.withWatermark(at, delay).dropDuplicatesWithinWatermark(key)
     return once.groupBy("scan_id").agg(F.count(F.lit(1)).alias("processed"))
 
 
-def _suppress(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    rejected = state.get[0] if state.exists else False
-    for part in parts:
-        part = part.sort_values("seq")
-        out = []
-        for flag in part["rejected"]:
-            out.append(rejected)
-            rejected = rejected or (bool(flag) and not out[-1])
-        yield part.assign(suppressed=out)
-    state.update((rejected,))
-
-
-def stream_suppression(results: DataFrame) -> DataFrame:
-    """``results(pattern, seq, rejected)`` with suppressed, in order of seq: once a pattern is rejected, what follows is
-    suppressed."""
-    return results.groupBy("pattern").applyInPandasWithState(_suppress, "pattern string, seq long, rejected boolean, suppressed boolean", "rejected boolean", "append", GroupStateTimeout.NoTimeout)
-
-
 def snapshot_sink(path: str, session: str, model: str):
     """A foreachBatch function: the last snapshot of each session replaces the stored one, in a new folder a batch."""
 
