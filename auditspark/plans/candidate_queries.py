@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from ..operators import candidates as C
 from ..operators import results as R
 from ..schemas import CANDIDATE_KEY
-from .views import Queries, table, view
+from ..sources.versions import read_stored, upsert_stored
+from .views import Queries, scratch, table, view
 
 Q = Queries()
 QUERIES, SQL = Q.functions, Q.sql
@@ -114,9 +115,14 @@ def next_index(spark, sf):
 
 @Q.add("snk04_upsert", "SELECT k, max_by(v, s) AS v FROM (SELECT c_custkey AS k, CAST(c_acctbal AS DOUBLE) AS v, -1 AS s FROM customer UNION ALL SELECT o_custkey, CAST(o_totalprice AS DOUBLE), o_orderkey FROM orders) GROUP BY k")
 def upsert(spark, sf):
+    path = scratch(spark, "upsert")
     stored = table(spark, sf, "customer").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("v"), F.lit(-1).cast("long").alias("seq"))
     changes = table(spark, sf, "orders").select(F.col("o_custkey").alias("k"), F.col("o_totalprice").alias("v"), F.col("o_orderkey").alias("seq"))
-    return C.upsert(stored, changes, ["k"]).select("k", "v")
+    upsert_stored(stored, path, ["k"], change_id="base")
+    # The second of these does nothing.
+    for _ in range(2):
+        upsert_stored(changes, path, ["k"], change_id="orders")
+    return read_stored(spark, path).select("k", "v")
 
 
 @Q.add("snk05_insert_or_ignore", "SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem")
