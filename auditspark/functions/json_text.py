@@ -6,7 +6,7 @@ There is no built-in function for values within text; a vectorized Python functi
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+import re
 
 import pandas as pd
 from pyspark.sql import Column
@@ -23,16 +23,77 @@ TYPES = {
 }
 
 
-def values_in(text: str) -> Iterator[tuple[int, str, object]]:
-    """(place, text, value) of each object or array that starts at a bracket and parses."""
-    decoder = json.JSONDecoder()
-    for at, c in enumerate(text):
-        if c in "{[":
+_BRACKET = re.compile(r"[\[{]")
+_TOKEN = re.compile(
+    r"""[ \t\n\r]*(?:([\[\]{},:])|("(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*+")|(-?Infinity|-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][-+]?[0-9]+)?|true|false|null|NaN))"""
+)
+#: What may follow within a container.
+_ITEM, _FIRST_ITEM, _KEY, _FIRST_KEY, _COLON, _NEXT = range(6)
+
+
+def _scan(text: str, start: int, seen: bytearray, found: list[tuple[int, int, object]]) -> None:
+    """Reads on from a bracket with a stack of open containers, and notes each that closes. Brackets that it passes outside
+    of strings are marked: read from any of them the text is the same, so where this ends without a close, they all do."""
+    stack: list[list] = []
+    at, after = start, _ITEM
+    while m := _TOKEN.match(text, at):
+        at, mark = m.end(), m[1]
+        if mark and mark in "[{":
+            if after not in (_ITEM, _FIRST_ITEM):
+                # It is no value here, but may begin one.
+                return
+            seen[at - 1] = 1
+            stack.append([at - 1, [] if mark == "[" else {}, None])
+            after = _FIRST_ITEM if mark == "[" else _FIRST_KEY
+            continue
+        if mark and mark in "]}":
+            if after not in ((_FIRST_ITEM, _NEXT) if mark == "]" else (_FIRST_KEY, _NEXT)) or isinstance(stack[-1][1], list) != (mark == "]"):
+                return
+            begin, value, _ = stack.pop()
+            found.append((begin, at, value))
+            if not stack:
+                return
+        elif mark == ",":
+            if after != _NEXT:
+                return
+            after = _ITEM if isinstance(stack[-1][1], list) else _KEY
+            continue
+        elif mark == ":":
+            if after != _COLON:
+                return
+            after = _ITEM
+            continue
+        elif after in (_KEY, _FIRST_KEY):
+            if not m[2]:
+                return
+            stack[-1][2], after = json.loads(m[2]), _COLON
+            continue
+        elif after in (_ITEM, _FIRST_ITEM):
             try:
-                value, end = decoder.raw_decode(text, at)
-            except (ValueError, RecursionError):
-                continue
-            yield at, text[at:end], value
+                value = m[2][1:-1] if m[2] and "\\" not in m[2] else json.loads(m[2] or m[3])
+            except ValueError:
+                return
+        else:
+            return
+        _, into, key = stack[-1]
+        if key is None:
+            into.append(value)
+        else:
+            into[key], stack[-1][2] = value, None
+        after = _NEXT
+
+
+def values_in(text: str) -> list[tuple[int, int, object]]:
+    """(place, end, value) of each object or array that starts at a bracket and parses, by place.
+
+    One pass for all brackets outside of strings, however deep; brackets within the strings of a value are read by passes of
+    their own.
+    """
+    seen, found = bytearray(len(text)), []
+    for m in _BRACKET.finditer(text):
+        if not seen[m.start()]:
+            _scan(text, m.start(), seen, found)
+    return sorted(found, key=lambda f: f[0])
 
 
 def fits(value, schema) -> bool:
@@ -85,7 +146,7 @@ def all_json(text: Column) -> Column:
 
     @F.pandas_udf("array<struct<pos:int,len:int,raw:string>>")
     def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [{"pos": p, "len": len(r), "raw": r} for p, r, _ in values_in(t or "")])
+        return texts.map(lambda t: [{"pos": p, "len": e - p, "raw": t[p:e]} for p, e, _ in values_in(t or "")])
 
     return run(text)
 
@@ -95,9 +156,19 @@ def best_json(text: Column, schema: dict | None = None, pattern=None) -> Column:
 
     @F.pandas_udf("string")
     def run(texts: pd.Series) -> pd.Series:
+        def suits(v) -> bool:
+            try:
+                return (schema is None or fits(v, schema)) and fits_pattern(v, pattern)
+            except RecursionError:
+                return False
+
         def best(t):
-            found = [(len(r), p, r) for p, r, v in values_in((t or "").strip().lstrip("﻿")) if (schema is None or fits(v, schema)) and fits_pattern(v, pattern)]
-            return max(found)[2] if found else None
+            t = (t or "").strip().lstrip("\ufeff")
+            # The longest, then latest, first: the first that fits is the answer.
+            for p, e, v in sorted(values_in(t), key=lambda f: (f[0] - f[1], -f[0])):
+                if suits(v):
+                    return t[p:e]
+            return None
 
         return texts.map(best)
 
