@@ -174,6 +174,22 @@ LEAKS = {
     "goes_on": ("int f(int n) {\n  for (;;) {\n    char *b = get();\n    if (n) {\n      continue;\n    }\n    free(b);\n  }\n}", {("b", "continue", 5)}),
     "half_a_chain": ("int f(int n) {\n  char *b = get();\n  if (n) {\n    free(b);\n  }\n  return 0;\n}", {("b", "exit", 6)}),
     "whole_chain": ("int f(int n) {\n  char *b = get();\n  if (n) {\n    free(b);\n  } else {\n    free(b);\n  }\n  return 0;\n}", set()),
+    "falls_through": ("int f(int n) {\n  buf *b = get();\n  switch (n) {\n  case 1:\n    use(b);\n  default:\n    return 1;\n  }\n  drop_free(b);\n}", {("b", "exit", 7)}),
+    "all_cases": ("int f(int n, buf **o) {\n  buf *b = get();\n  switch (n) {\n  case 1:\n    free(b);\n    break;\n  case 2:\n    *o = b;\n    break;\n  default:\n    free(b);\n  }\n  return 0;\n}", set()),
+    "no_default": ("int f(int n) {\n  buf *b = get();\n  switch (n) {\n  case 1:\n    free(b);\n    break;\n  }\n  return 0;\n}", {("b", "exit", 8)}),
+    "one_of_two": ("int f(int n) {\n  if (n) {\n    free(a);\n    return 1;\n  }\n  free(a);\n  free(b);\n  return 0;\n}", {("b", "exit", 4)}),
+    "object": ("int f(port *p) {\n  data d;\n  if (!d_init(p, &d)) {\n    return 1;\n  }\n  d.b = get();\n  if (d.b == NULL)\n    return 2;\n  d_cleanup(&d);\n  return 0;\n}", {("d", "exit", 4), ("d", "exit", 8)}),
+    "member_of_null": ("int f(box *o) {\n  if (o == MY_NULL) return 1;\n  close_it(o->b);\n  return 0;\n}", set()),
+    "member": ("int f(box *o, int n) {\n  if (n) return 1;\n  close_it(o->b);\n  return 0;\n}", {("o->b", "exit", 2)}),
+    "loop_then_return": ("int f(int n) {\n  for (int i = 0; i < n; i++) {\n    char *p = get();\n    if (p == 0) continue;\n    free(p);\n  }\n  return 0;\n}", set()),
+    "completed": ("int f(int run_state, int id) {\n  switch (run_state) {\n  case 1:\n    if (bad(id)) {\n      run_state = ALL_DONE;\n    } else {\n      run_state = FAILED;\n      put_id(id);\n    }\n    break;\n  default:\n    break;\n  }\n  put_id(id);\n  return 0;\n}", {("id", "completion", 5)}),
+    "without_argument": ("int f(int n) {\n  if (n) goto out;\n  do_cleanup();\nout:\n  return 0;\n}", {("do_cleanup()", "exit", 2)}),
+    "released_null": ("int f(int n) {\n  if (!b) {\n    free(b);\n  }\n  return 0;\n}", set()),
+    "returned": ("char *f(int n) {\n  char *b = get();\n  if (n)\n    return (char *)b;\n  free(b);\n  return 0;\n}", set()),
+    "else_if": ("int f(int n) {\n  if (n == 1) free(b);\n  else if (n == 2) { free(b); }\n  else use(b);\n  return 0;\n}", {("b", "exit", 5)}),
+    "do_while": ("int f(int n) {\n  do {\n    if (n) { continue; }\n    free(b);\n  } while (n);\n  return 0;\n}", {("b", "continue", 3)}),
+    "initialiser": ("int f(int n) {\n  int a[] = {1, {2}, 3};\n  if (n) { return 1; }\n#define X if (n) return 2;\n  free(b);\n}", {("b", "exit", 3)}),
+    "broken_off": ("int f(int n) {\n  if (n) { return 1;", set()),
     "switch": ("int f(int n) {\n  char *b = get();\n  switch (n) {\n  case 1:\n    return 1;\n  default:\n    free(b);\n    break;\n  }\n  return 0;\n}", {("b", "exit", 5)}),
 }
 
@@ -188,6 +204,31 @@ def test_leaks(spark):
     assert found == {name: expected for name, (_, expected) in LEAKS.items()}
 
 
+def test_leak_candidates(spark):
+    """One candidate a function; a place names what it leaves held and where that is released."""
+    from auditspark.operators.leaks import memleak
+
+    body = "void g(int m) {\n  char *p = get(), *q = get();\n  if (m == 1) {\n    return;\n  }\n  if (m == 2) {\n    return;\n  }\n  release_buffer(p);\n  destroy_buffer(q);\n}"
+    rows = spark.createDataFrame([(1, "g", "", "a.c", 11, 30, body), (2, "none", "", "a.c", 1, 2, None), (3, "h", "", "a.c", 1, 20, LEAKS["early_exit"][0])], FUNCTIONS)
+    found = {r.function: r for r in memleak(rows).collect()}
+    assert set(found) == {"g", "h"} and found["g"].line == 14 and found["g"].related_functions == ["destroy_buffer", "release_buffer"]
+    assert found["g"].description == "2 places to check:\n1. line 14: exit before release: p (released at 19), q (released at 20)\n2. line 17: exit before release: p (released at 19), q (released at 20)"
+
+
+def test_leaks_of_long_functions():
+    """Many branches and deep ones take linear work: states are united, not listed."""
+    import time
+
+    from auditspark.functions.c_code import blanked, tokens
+    from auditspark.operators.leaks import operations, run
+
+    began = time.process_time()
+    for body, found in (("if (x) { g(); }\n" * 20_000 + "return 1; free(p);", 1), ("if (a) {" * 20_000 + "free(p);" + "}" * 20_000 + "return 1;", 1), ("if (a) free(p); else " * 5_000 + "x(); return 1;", 1), ("int a[] = {" + "{1, 2}," * 50_000 + "}; free(p);", 0), ("(" * 50_000 + "; free(p);", 0)):
+        tok, lines, _ = tokens(blanked("int f() {" + body + "}"))
+        assert len(run(operations(tok, lines, [])[0], "p")) == found
+    assert time.process_time() - began < 20
+
+
 def test_continuation(spark):
     """A retry without a stored candidate stays; of stored rows with its key the last one stands for it; placeholders go."""
     from auditspark.operators import candidates as C
@@ -238,3 +279,74 @@ def test_match_functions(spark):
     returners = spark.createDataFrame([("never", False), ("may", True)], "name string, can_return_null boolean")
     rows = [row(1, CALL="never", P="p"), row(2, CALL="may", P="p"), row(3, CALL="strange", P="p"), row(4, check="r.param-assign", CALL="never", P="q")]
     assert sorted(s for _, s in names("npd_funcret", *rows, null_returners=returners)) == ["may", "never", "strange"]
+
+
+def test_registry(spark):
+    """Rules by name: with a detector, of the user's own, and with a manifest only."""
+    import pytest
+
+    from auditspark.operators import registry as G
+
+    functions = spark.createDataFrame([(1, "f", "", "a.c", 1, 20, LEAKS["early_exit"][0]), (2, "g", "", "b.c", 5, 6, "int g(T *p) {\n  return p->a;\n}")], FUNCTIONS)
+    sources = G.Sources(functions)
+    manifests = spark.createDataFrame([("memleak", True), ("npd", True), ("own_rule", True), ("oob", False)], "name string, enabled boolean")
+    found = {(r.vuln_type, r.file, r.function) for r in G.run_manifests(manifests, sources).collect()}
+    assert {("memleak", "a.c", "f"), ("npd", "b.c", "g"), ("own_rule", ".", "<project>")} <= found and not any(v == "oob" for v, *_ in found)
+    assert G.run_rules(["own_rule"], sources).first().line == 1
+    G.register("own_rule", lambda s: s.functions.selectExpr("file_path AS file", "int(start_line) AS line", "name AS function", "'' AS description", "'' AS vuln_type", "array('x') AS related_functions", "map('k', 'v') AS metadata"))
+    try:
+        assert {r.function for r in G.run_rules(["own_rule", "own_rule"], sources).collect()} == {"f", "g"}
+        with pytest.raises(ValueError):
+            G.register("own_rule", lambda s: s.functions)
+    finally:
+        del G.DETECTORS["own_rule"]
+    for name in ("multi_ptr_leak2", "resleak", "mp_npd"):
+        with pytest.raises(ValueError):
+            G.run_rules([name], sources)
+
+
+def test_innermost_of_long_intervals(spark):
+    """A function of 2**31 lines is a few rows of the index; a file of most requests, and lines at the ends of functions."""
+    import random
+
+    from auditspark.operators import lookup as L
+
+    rng = random.Random(6)
+    functions = [(0, "all", "big.c", 0, 2**31 - 1), (1, "none", "big.c", 50, 40), (2, "twin", "big.c", 100, 200), (3, "twin2", "big.c", 100, 200)]
+    functions += [(10 + i, f"f{i}", "big.c" if i % 3 else "src/small.c", a := rng.randrange(2**rng.randrange(1, 32)), a + rng.randrange(2**rng.randrange(1, 31))) for i in range(120)]
+    lines = {rng.randrange(2**rng.randrange(1, 32)) for _ in range(300)} | {x for f in functions for x in f[3:5]}
+    requests = [(i, "big.c" if i % 4 else rng.choice(["src/small.c", "none.c"]), line) for i, line in enumerate(sorted(lines))]
+    fs = spark.createDataFrame(functions, "function_id long, name string, file_path string, start_line long, end_line long")
+    covers = fs.filter("start_line <= end_line").selectExpr("function_id", "start_line", "end_line").withColumn("n", F.explode(L.dyadic_nodes("start_line", "end_line")))
+    spans = {}
+    for r in covers.collect():
+        spans.setdefault(r.function_id, []).append((r.n.node << r.n.level, (r.n.node + 1 << r.n.level) - 1))
+    for number, _, _, a, b in functions:
+        if a <= b:
+            parts = sorted(spans[number])
+            assert parts[0][0] == a and parts[-1][1] == b and all(x[1] + 1 == y[0] for x, y in zip(parts, parts[1:])) and len(parts) <= 64
+    expected = set()
+    for i, path, line in requests:
+        inside = [(b - a, p, a, n) for n, _, p, a, b in functions if p == path and a <= line <= b]
+        expected |= {(i, min(inside)[3])} if inside else set()
+    asked = spark.createDataFrame(requests, "request_id long, path string, line long")
+    assert {(r.request_id, r.function_id) for r in L.containing_function(asked, fs).collect()} == expected
+    prefixed = asked.withColumn("path", F.concat(F.when(F.col("request_id") % 2 == 0, "/build/").otherwise(""), "path"))
+    assert {(r.request_id, r.function_id) for r in L.containing_function(prefixed, fs, by_suffix=True).collect()} == expected
+    short = asked.filter("path = 'src/small.c'").withColumn("path", F.lit("small.c"))
+    assert {(r.request_id, r.function_id) for r in L.containing_function(short, fs, by_suffix=True).collect()} == {e for e in expected if requests[e[0]][1] == "src/small.c"}
+
+
+def test_resolved_globals_of_hot_names(spark):
+    from auditspark.operators import joins, lookup
+
+    variables = [(i, f"v{i % 5}", i % 7, i % 3 == 0) for i in range(60)] + [(900, "only_static", 1, True)]
+    references = [(i, "v0" if i % 2 else f"v{i % 6}", i % 9) for i in range(2_000)] + [(5_000, "only_static", 3), (5_001, None, 1)]
+    expected = {}
+    for i, name, file in references:
+        of = [v for v in variables if v[1] == name]
+        best = min(((0 if s and f == file else 1 if not s else 2), g) for g, _, f, s in of)[1] if of else None
+        expected[i] = best
+    vs, rs = spark.createDataFrame(variables, "global_id long, name string, file_id long, is_static boolean"), spark.createDataFrame(references, "ref_id long, name string, file_id long")
+    assert joins.HUB < 1_000
+    assert {r.ref_id: r.global_id for r in lookup.resolve_globals(rs, vs).collect()} == expected
