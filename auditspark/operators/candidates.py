@@ -131,3 +131,17 @@ def route_results(candidates: DataFrame, results: DataFrame) -> DataFrame:
 def batches(rows: DataFrame, key, order, size: int) -> DataFrame:
     over = Window.partitionBy(*key).orderBy(*order)
     return rows.withColumn("batch", F.floor((F.row_number().over(over) - 1) / size).cast("long"))
+
+
+def resume_tasks(tasks: DataFrame, stored: DataFrame, key: str = "task_id") -> tuple[DataFrame, DataFrame]:
+    """``tasks(position, task_id, ...)`` against ``stored(task_id, output)``: those whose stored output is JSON, with it, and
+    those that are to run. Of several outputs of a task the greatest text counts, so that reruns agree."""
+    good = stored.filter(F.expr("try_parse_json(output) IS NOT NULL")).groupBy(key).agg(F.max("output").alias("output"))
+    return tasks.join(good, key), tasks.join(good.select(key), key, "left_anti")
+
+
+def restored(reused: DataFrame, pending: DataFrame, results: DataFrame, key: str = "task_id") -> DataFrame:
+    """All outputs at the positions of their tasks: stored ones (``reused``), and ``results(task_id, output)`` of what was
+    pending; tasks without a result are left out. ``resumed`` tells which output was stored."""
+    ran = pending.join(results.groupBy(key).agg(F.max("output").alias("output")), key).withColumn("resumed", F.lit(False))
+    return reused.withColumn("resumed", F.lit(True)).unionByName(ran)

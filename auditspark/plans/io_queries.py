@@ -62,14 +62,14 @@ def leak_errors(spark, sf):
     return R.read_leak_errors(spark, path).select("id", "message", "file", "line")
 
 
-@Q.add("src09_git_log", "SELECT commit, subject FROM (SELECT concat('c', CAST(n_nationkey AS STRING)) AS commit, concat('fix ', n_name) AS subject, n_nationkey FROM nation WHERE n_nationkey % 6 <> 0 AND n_nationkey < 20 AND n_regionkey <> 2) ORDER BY n_nationkey LIMIT 10")
+@Q.add("src09_git_log", "SELECT concat('c', CAST(o_orderkey AS VARCHAR)) AS commit, concat('fix ', o_orderpriority) AS subject FROM orders WHERE o_orderkey % 6 <> 0 AND o_custkey % 5 <> 2 AND o_orderdate >= TIMESTAMP '1994-01-06' ORDER BY o_orderkey LIMIT 200")
 def git_log(spark, sf):
-    path, key = scratch(spark, "log"), F.col("n_nationkey")
-    changed = F.when(F.col("n_regionkey") == 2, "docs/a.md\tlibs/x.c").otherwise("docs/a.md\tlib/x.c")
-    line = F.when(key % 6 == 0, F.lit("no separator")).otherwise(F.concat(F.lit("c"), key.cast("string"), F.lit("\x1f2024-01-"), F.lpad((25 - key).cast("string"), 2, "0"), F.lit("\x1f"), changed, F.lit("\x1ffix "), "n_name"))
-    # A log is one file in order; there are as many lines as nations.
-    table(spark, sf, "nation").repartition(1).sortWithinPartitions("n_nationkey").select(line.alias("value")).write.text(path)
-    return R.read_git_log(spark, path, 10, since="2024-01-06", paths=["lib/"])
+    path, key = scratch(spark, "log"), F.col("o_orderkey")
+    changed = F.when(F.col("o_custkey") % 5 == 2, "docs/a.md\tlibs/x.c").otherwise("docs/a.md\tlib/x.c")
+    line = F.when(key % 6 == 0, F.lit("no separator")).otherwise(F.concat(F.lit("c"), key.cast("string"), F.lit("\x1f"), F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss"), F.lit("\x1f"), changed, F.lit("\x1ffix "), "o_orderpriority"))
+    # A log in order over several files, whose names are in order too.
+    table(spark, sf, "orders").repartitionByRange(4, "o_orderkey").sortWithinPartitions("o_orderkey").select(line.alias("value")).write.text(path)
+    return R.read_git_log(spark, path, 200, since="1994-01-06", paths=["lib/"])
 
 
 @Q.add("src11_manifests", "SELECT concat('rule', CAST(n_nationkey % 10 AS STRING)) AS name, concat('it''s \"', n_name, '\"') AS label, concat('first ', n_name, chr(10), 'second') AS description, n_regionkey = 1 AS user_created FROM (SELECT *, row_number() OVER (PARTITION BY n_nationkey % 10 ORDER BY n_nationkey) AS k FROM nation WHERE n_regionkey <> 3) WHERE k = 1")
@@ -191,7 +191,7 @@ def stream_last_events(spark, sf):
     return found.join(last, ["scan_id", "batch"]).select("scan_id", "seq", "place", "phase")
 
 
-@Q.add("st09_fan_out", "SELECT consumer, scan_id, seq, phase FROM scan_events CROSS JOIN (VALUES ('list'), ('detail')) AS t(consumer)")
+@Q.add("st09_fan_out", "SELECT consumer, scan_id, seq, phase, batch FROM scan_events CROSS JOIN (VALUES ('list', CAST(0 AS BIGINT)), ('detail', CAST(0 AS BIGINT))) AS t(consumer, batch)")
 def fan_out(spark, sf):
     source, checkpoint = scratch(spark, "events"), scratch(spark, "checkpoint")
     rows = view(spark, sf, "scan_events").select("scan_id", "seq", "phase")
@@ -200,4 +200,14 @@ def fan_out(spark, sf):
     for writer in P.fan_out(spark.readStream.schema(rows.schema).parquet(source), folders, checkpoint):
         writer.trigger(availableNow=True).start().awaitTermination()
     read = [spark.read.parquet(path).select(F.lit(name).alias("consumer"), "scan_id", "seq", "phase") for name, path in folders.items()]
-    return read[0].unionByName(read[1])
+    return read[0].unionByName(read[1]).join(F.broadcast(P.consumer_progress(spark, checkpoint, list(folders))), "consumer")
+
+
+@Q.add("st09_keepalives", "WITH s AS (SELECT *, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS next FROM events) SELECT CAST(user_id AS VARCHAR) AS consumer, count(*) AS events, CAST(coalesce(sum(CASE WHEN next IS NOT NULL THEN (epoch_us(next) - epoch_us(ts)) // 1800000000 - CASE WHEN (epoch_us(next) - epoch_us(ts)) % 1800000000 = 0 AND epoch_us(next) > epoch_us(ts) THEN 1 ELSE 0 END END), 0) AS BIGINT) AS keepalives FROM s GROUP BY user_id")
+def keepalives(spark, sf):
+    """Keepalives of half an hour between a consumer's first and last event."""
+    rows = table(spark, sf, "events").select(F.col("user_id").cast("string").alias("consumer"), F.col("ts").cast("timestamp").alias("at"), F.col("event_id").alias("seq"), F.col("event_type").alias("payload"))
+    found = streamed(spark, rows, "consumer", "at", lambda stream: O.stream_with_keepalives(stream, seconds=1800))
+    last = found.filter("kind = 'event'").groupBy("consumer").agg(F.max("sent_at").alias("last"))
+    own = found.join(last, "consumer").filter("sent_at <= last")
+    return own.groupBy("consumer").agg(F.count_if(F.col("kind") == "event").alias("events"), F.count_if(F.col("kind") == "keepalive").alias("keepalives"))

@@ -102,20 +102,21 @@ def read_git_log(spark: SparkSession, path: str, limit: int = 200, since: str |
 
     A line is the commit, a unit separator and the subject; where since or paths are asked for, the commit's time and its
     changed paths (joined by tabs) stand between them. since: only commits of that time or later. paths: only commits that
-    change one of them or something below it. A line without a commit or separator is dropped. Each file is one row while
-    it is read, so its order holds.
+    change one of them or something below it. A line without a commit or separator is dropped. Files are read in parts, their
+    lines in the order of file, part and line; a limit keeps the first ones of each task.
     """
     filtered = since is not None or bool(paths)
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("at", "line"))
+    # Lines of a part of a file are read in order by one task, so their numbers rise; the part's offset orders the parts.
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("offset"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"))
     parts = F.split("line", "\x1f", 4 if filtered else 2)
-    rows = files.filter(F.col("line").contains("\x1f")).select("file", "at", F.trim(parts[0]).alias("commit"), F.trim(F.element_at(parts, -1)).alias("subject"), F.get(parts, F.lit(1)).alias("date"), F.split(F.coalesce(F.get(parts, F.lit(2)), F.lit("")), "\t").alias("changed"))
+    rows = lines.filter(F.col("line").contains("\x1f")).select("file", "offset", "at", F.trim(parts[0]).alias("commit"), F.trim(F.element_at(parts, -1)).alias("subject"), F.get(parts, F.lit(1)).alias("date"), F.split(F.coalesce(F.get(parts, F.lit(2)), F.lit("")), "\t").alias("changed"))
     rows = rows.filter("commit <> ''")
     if since is not None:
         rows = rows.filter(F.try_to_timestamp("date") >= F.to_timestamp(F.lit(since)))
     if paths:
         under = [p.strip("/") for p in paths]
         rows = rows.filter(F.exists("changed", lambda c: F.array_contains(F.array(*[(c == p) | c.startswith(p + "/") for p in under]), True)))
-    rows = rows.orderBy("file", "at")
+    rows = rows.orderBy("file", "offset", "at")
     return (rows.limit(limit) if limit else rows).select("commit", "subject")
 
 

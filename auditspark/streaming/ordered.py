@@ -221,6 +221,36 @@ def stream_offline(signs: DataFrame, at: str = "at", timeout_seconds: float = 90
     return found.select("agent", F.timestamp_micros("at_micros").alias("at"), "scan_id", "status")
 
 
+def keepalives(interval: int) -> tuple[Advance, Callable[[dict], int | None]]:
+    """Events as they are, and a keepalive after each ``interval`` microseconds without anything."""
+
+    def due(state: dict) -> int | None:
+        return state["sent_at"] + interval if "sent_at" in state else None
+
+    def fire(state: dict, until: int) -> Iterator[tuple]:
+        while (at := due(state)) is not None and at <= until:
+            state["sent_at"] = at
+            yield at, None, None, "keepalive"
+
+    def advance(state: dict, rows: list[tuple], until: int) -> Iterator[tuple]:
+        for at, seq, payload in rows:
+            # What is due at the same moment gives way to the event.
+            yield from fire(state, at - 1)
+            state["sent_at"] = at
+            yield at, seq, payload, "event"
+        yield from fire(state, until)
+
+    return advance, due
+
+
+def stream_with_keepalives(events: DataFrame, at: str = "at", seconds: float = 30.0, delay: str = "0 seconds", live: bool = False) -> DataFrame:
+    """``events(consumer, at, seq, payload)`` with a keepalive to each consumer that gets nothing for so long: consumer,
+    sent_at, seq, payload, kind. No event is dropped, however slow a consumer is: what it has not read waits in its files."""
+    advance, due = keepalives(int(seconds * 1e6))
+    found = _ordered(events, "consumer", at, "seq", {"payload": "string"}, {"sent": "long", "seq": "long", "payload": "string", "kind": "string"}, advance, due, delay, live)
+    return found.select("consumer", F.timestamp_micros("sent").alias("sent_at"), "seq", "payload", "kind")
+
+
 class LastRows(StatefulProcessor):
     """The last ``n`` rows of a key by time and number: a bounded ring in the state store."""
 

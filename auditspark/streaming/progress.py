@@ -40,3 +40,15 @@ def snapshot_sink(path: str, session: str, model: str):
 def fan_out(events: DataFrame, consumers: dict[str, str], checkpoint: str) -> list:
     """One query a consumer: its name and the folder that it reads."""
     return [append_events(events, path, f"{checkpoint}/{name}").queryName(name) for name, path in consumers.items()]
+
+
+def consumer_progress(spark: SparkSession, checkpoint: str, consumers: list[str]) -> DataFrame:
+    """``(consumer, batch)``: the last batch that each consumer has finished, null before the first; each goes on from there
+    after a restart, whatever the others do."""
+    found = []
+    for name in consumers:
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{checkpoint.rstrip('/')}/{name}/commits")
+        fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        names = [s.getPath().getName() for s in fs.listStatus(folder)] if fs.exists(folder) else []
+        found.append((name, max((int(n) for n in names if n.isdigit()), default=None)))
+    return spark.createDataFrame(found, "consumer string, batch long")

@@ -191,3 +191,23 @@ def test_last_events_at_every_trigger(spark, tmp_path, n):
         seen += batch
         expected = {(k, i, r[2], r[4]) for k in {r[0] for r in batch} for i, r in enumerate(sorted((r for r in seen if r[0] == k), key=lambda r: (r[1], r[2]), reverse=True)[:n], 1)}
         assert {(r.scan_id, r.place, r.seq, r.message) for r in found[number]} == expected
+
+
+def test_keepalives(spark, tmp_path):
+    rng = random.Random(7)
+    rows = [(f"c{k}", at(t), t, f"e{t}") for k in range(4) for t in sorted(rng.sample(range(900), 6 + 20 * k))]
+    stream = files(spark, tmp_path / "in", [*cut(shuffled_within(rows, 50), 4), [(END, at(2_000), 0, "")]], "consumer string, at timestamp, seq long, payload string")
+    found = {}
+    for r in every(collected(O.stream_with_keepalives(stream, delay="50 seconds"), tmp_path)):
+        found.setdefault(r.consumer, []).append((round((r.sent_at.replace(tzinfo=timezone.utc) - START).total_seconds()), r.kind, r.payload))
+    for k in range(4):
+        expected, sent = [], None
+        for now in range(1_500):
+            here = [r for r in rows if r[0] == f"c{k}" and r[1] == at(now)]
+            if here:
+                expected += [(now, "event", r[3]) for r in here]
+                sent = now
+            elif sent is not None and now == sent + 30:
+                expected.append((now, "keepalive", None))
+                sent = now
+        assert [r for r in found[f"c{k}"] if r[0] < 1_500] == expected
