@@ -214,11 +214,12 @@ def candidates(rows: DataFrame, templates: Templates, threshold: float) -> DataF
             for text in batch.column(2):
                 text = text.as_py() or ""
                 out: dict[str, dict] = {}
+                n_words = len(words_of(text))
                 for block in blocks_of(text):
                     if scored := known.score(block, threshold):
                         others = [{"word": w, "tf": tf} for w, tf in sorted(block.items()) if w not in known.idf]
                         key = xxh3_128_hexdigest(repr(sorted(block.items())).encode())
-                        out[key] = {"key": key, "share": block.total() / len(words_of(text)), "inner": scored[0], "dots": scored[1].tolist(), "others": others}
+                        out[key] = {"key": key, "share": block.total() / n_words, "inner": scored[0], "dots": scored[1].tolist(), "others": others}
                 found.append(list(out.values()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, kind)], ["doc_id", "path", "blocks"])
 
