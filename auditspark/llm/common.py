@@ -111,6 +111,15 @@ MAX_HUBS = 4096
 FEW_ROWS = 100_000
 
 
+#: Keys (of 16 bytes or so each) that a task may hold: some 30 MB.
+FEW_KEYS = 1_000_000
+
+
+def few(df: DataFrame, most: int = FEW_KEYS) -> DataFrame:
+    """The written table ``df``, marked to be broadcast if it has at most ``most`` rows; a larger one is left to be shuffled."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def join_split(rows: DataFrame, facts: DataFrame, keys: list[str], total: int) -> DataFrame:
     """Inner join of ``rows`` with ``facts``, which has one row a key and in ``copies`` how many of the ``total`` rows hold it.
 
