@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import column_or_null, fresh, is_empty, join_split, materialize
+from .common import FEW_KEYS, column_or_null, few, fresh, is_empty, join_split, materialize
 
 KINDS = ("email", "ip", "card", "phone", "term")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -280,6 +280,15 @@ def disclosing_terms(rows: DataFrame, scanned: DataFrame, threshold: float, z: f
     return None if is_empty(best) else best
 
 
+def found_spans(rows: DataFrame, terms: DataFrame, doc: str, key: str, name: str) -> DataFrame:
+    """The terms' occurrences as one row a text that has any, under the given names. They come to the texts if they are few, so
+    that texts stay where they are."""
+    found = find_terms(rows, terms).groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_list(F.struct("start", "end", "kind"))).alias(name))
+    found = materialize(found.select(F.col("doc_id").alias(doc), F.col("text_key").alias(key), name), "pii-spans")
+    spans = found.agg(F.sum(F.size(name))).first()[0] or 0
+    return few(found) if spans <= FEW_KEYS else found
+
+
 def scan_pii(docs: DataFrame, threshold: float = THRESHOLD, z: float = 1.96, least_share: float = LEAST_SHARE) -> DataFrame:
     """One row per row of ``docs(doc_id, text)``: doc_id, text_key, counts, base_sha256, base, terms (array of start, end,
     kind of what the term reveals)."""
@@ -290,8 +299,7 @@ def scan_pii(docs: DataFrame, threshold: float = THRESHOLD, z: float = 1.96, lea
     empty = F.expr("cast(array() as array<struct<start:int,end:int,kind:int>>)")
     if found is None:
         return keep.withColumn("terms", empty)
-    spans = find_terms(rows, found).groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_list(F.struct("start", "end", "kind"))).alias("terms"))
-    spans = spans.select(F.col("doc_id").alias("d"), F.col("text_key").alias("k"), "terms")
+    spans = found_spans(rows, found, "d", "k", "terms")
     joined = keep.join(spans, F.col("text_key").eqNullSafe(F.col("k")) & F.col("doc_id").eqNullSafe(F.col("d")), "left")
     return joined.select(*keep.columns, F.coalesce("terms", empty).alias("terms"))
 
@@ -321,8 +329,7 @@ def sanitise_documents(docs: DataFrame, threshold: float = THRESHOLD, z: float =
     at = names.index("text")
     terms_, d_, k_, key_ = fresh(docs, "_terms", "_d", "_k", "_key")
     if found is not None:
-        spans = find_terms(rows, found).groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("start", "end", "kind")).alias(terms_))
-        spans = spans.select(F.col("doc_id").alias(d_), F.col("text_key").alias(k_), terms_)
+        spans = found_spans(rows, found, d_, k_, terms_)
         keyed = docs.withColumn(key_, F.xxhash64("text"))
         docs = keyed.join(spans, F.col(key_).eqNullSafe(F.col(k_)) & F.col("doc_id").eqNullSafe(F.col(d_)), "left").select(*[f"`{c}`" for c in names], terms_)
     else:
