@@ -123,14 +123,14 @@ def json_array(spark, sf):
     return W.candidates_json(rows)
 
 
-JSON = "SELECT event_id, CASE event_id % 10 WHEN 0 THEN '{\"k\": 1}' WHEN 1 THEN '{\"k\": \"1\"}' WHEN 2 THEN '{\"k\": 2, \"x\": 1}' WHEN 3 THEN '{}' WHEN 4 THEN '{\"k\": 3, \"l\": []}' WHEN 5 THEN '{\"k\": 3, \"l\": [\"a\"]}' WHEN 6 THEN '{\"k\": 4, \"l\": [\"a\", \"b\", \"c\"]}' WHEN 7 THEN '{\"k\": true}' WHEN 8 THEN '[1]' ELSE '{\"k\": 1' END AS js FROM events"
+#: An event's own JSON, {"k": number}, as it is and changed in ways that a schema must tell.
+JSON = "CASE event_id % 10 WHEN 0 THEN props WHEN 1 THEN regexp_replace(props, '([0-9]+)', '\"$1\"') WHEN 2 THEN replace(props, '}', ', \"x\": 1}') WHEN 3 THEN '{}' WHEN 4 THEN replace(props, '}', ', \"l\": []}') WHEN 5 THEN replace(props, '}', ', \"l\": [\"a\"]}') WHEN 6 THEN replace(props, '}', ', \"l\": [\"a\", \"b\", \"c\"]}') WHEN 7 THEN regexp_replace(props, '[0-9]+', 'true') WHEN 8 THEN concat('[', props, ']') ELSE replace(props, '}', '') END"
 
 
-@Q.add("jsn03_schema", f"WITH answers AS (SELECT unnest([0, 1, 2, 3, 4, 5, 6, 7, 8, 9]) AS shape, unnest([TRUE, FALSE, FALSE, FALSE, FALSE, TRUE, FALSE, FALSE, FALSE, FALSE]) AS fits) SELECT event_id, fits FROM ({JSON}) JOIN answers ON shape = event_id % 10")
+@Q.add("jsn03_schema", "SELECT event_id, event_id % 10 IN (0, 5) AND CAST(regexp_extract(props, '[0-9]+') AS INT) BETWEEN 1 AND 50 AS fits FROM events")
 def schema(spark, sf):
-    table(spark, sf, "events").createOrReplaceTempView("events")
-    rule = {"type": "object", "required": ["k"], "additionalProperties": False, "properties": {"k": {"allOf": [{"type": "integer"}, {"enum": [1, 2, 3]}]}, "l": {"type": "array", "minItems": 1, "maxItems": 2, "items": {"type": "string"}}}}
-    return spark.sql(JSON).select("event_id", J.fits_schema(F.col("js"), rule).alias("fits"))
+    rule = {"type": "object", "required": ["k"], "additionalProperties": False, "properties": {"k": {"allOf": [{"type": "integer"}, {"enum": list(range(1, 51))}]}, "l": {"type": "array", "minItems": 1, "maxItems": 2, "items": {"type": "string"}}}}
+    return table(spark, sf, "events").select("event_id", F.expr(JSON).alias("js")).select("event_id", J.fits_schema(F.col("js"), rule).alias("fits"))
 
 
 @Q.add("st05_stream_suppression", "SELECT c.seq, c.l_orderkey, coalesce(c.seq > f.first, FALSE) AS suppressed FROM candidates c LEFT JOIN (SELECT vuln_type, function, min(seq) AS first FROM candidates WHERE quantity = 50 GROUP BY vuln_type, function) f ON f.vuln_type = c.vuln_type AND f.function = c.function")

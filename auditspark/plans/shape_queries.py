@@ -32,21 +32,6 @@ def literal(value) -> str:
     return str(value).upper() if isinstance(value, bool) else str(value) if isinstance(value, int) else "'" + value.replace("'", "''") + "'"
 
 
-def shaped(name: str, cases: list[tuple], apply, kind: str = "VARCHAR"):
-    """Registers a query: one answer an order, by the shape of its key. cases: input or inputs, and the answer."""
-    inputs = [c[:-1] for c in cases]
-    answers = ", ".join(f"({i}, {literal(c[-1])})" for i, c in enumerate(cases))
-
-    def query(spark, sf):
-        rows = table(spark, sf, "orders").select("o_orderkey")
-        at = (F.col("o_orderkey") % len(cases) + 1).cast("int")
-        columns = [F.element_at(F.array(*[F.lit(x[i]) for x in inputs]), at) for i in range(len(inputs[0]))]
-        rows = rows.withColumns({f"input{i}": c for i, c in enumerate(columns)})
-        return rows.select("o_orderkey", apply(*[F.col(f"input{i}") for i in range(len(columns))]).alias("answer"))
-
-    Q.add(name, f"WITH answers(shape, answer) AS (VALUES {answers}) SELECT o_orderkey, CAST(answer AS {kind}) AS answer FROM orders JOIN answers ON shape = o_orderkey % {len(cases)}")(query)
-
-
 #: A document's text as what follows the code of a shape: a comment.
 COMMENT = "concat(chr(10), '/* ', replace(replace(coalesce(text, ''), '*/', '* /'), chr(0), ' '), ' */')"
 
@@ -92,10 +77,20 @@ def subject(found):
     return found.withColumn("subject", F.col("metadata")["subject"]).withColumn("line", F.col("line").cast("int"))
 
 
-shaped("str24_path_variants", [
-    ("src/lib/a.c", "lib/a.c", True), ("src\\lib\\a.c", "lib/a.c", True), ("lib/a.c", "/work/src/lib/a.c", True), ("lib/a.c", "lib/a.c", True), ("xlib/a.c", "lib/a.c", False), ("src/lib/a.cc", "lib/a.c", False),
-    ("a.c", "src/lib/a.c", True), ("", "a.c", False), ("src/lib/b/a.c", "lib/a.c", False), ("Src/Lib/a.c", "lib/a.c", False), ("./lib/a.c", "lib/a.c", True), ("b/a.c", "c/a.c", False),
-], path_suffix_equal, "BOOLEAN")
+#: Two paths, in which @ stands for a document's own, and whether they may be one.
+PATHS = [
+    ("src/@", "@", True), ("src\\@", "@", True), ("@", "/work/src/@", True), ("@", "@", True), ("x@", "@", False), ("src/@c", "@", False),
+    ("a.c", "src/lib/a.c", True), ("", "@", False), ("src/@/b/a.c", "@", False), ("Src/@", "src/@", False), ("./@", "@", True), ("b/a.c", "c/a.c", False),
+]
+_MAY = ", ".join(f"({i}, {literal(p[-1])})" for i, p in enumerate(PATHS))
+
+
+@Q.add("str24_path_variants", f"WITH answers(shape, answer) AS (VALUES {_MAY}) SELECT doc_id, answer FROM documents JOIN answers ON shape = doc_id % {len(PATHS)}")
+def path_variants(spark, sf):
+    at, own = (F.col("doc_id") % len(PATHS) + 1).cast("int"), F.concat("source", F.lit("/"), "lang", F.lit(".c"))
+    side = lambda i: F.replace(F.element_at(F.array(*[F.lit(p[i]) for p in PATHS]), at), F.lit("@"), own)
+    return table(spark, sf, "documents").select("doc_id", path_suffix_equal(side(0), side(1)).alias("answer"))
+
 
 in_texts("str16_macros", [
     ("#define A 1", "A"), ("  #  define B(x) (x)\n#define C", "B,C"), ("#define D \\\n#define NOT\n#define E 2", "D,E"), ("int x; #define NO", ""), ("#undef F", ""), ("#define_G 1", ""), ("#define\tH\t1\r\n#define I", "H,I"), ("", ""),
@@ -117,9 +112,15 @@ in_texts("jsn04_type_pattern", [
     ('{"k": 3, "l": ["a"], "m": 1}', '{"k": 3, "l": ["a"], "m": 1}'), ("[3]", None), ('text {"k": 4, "l": ["b", "c"]}', '{"k": 4, "l": ["b", "c"]}'), ("{}", None),
 ], lambda a: J.best_json(a, pattern={"k": (int, type(None)), "l": [str]}), before=NO_BRACKETS)
 
-shaped("jsn05_tolerant_decode", [
-    ('["a", "b"]', 2), ("[]", 0), ("", 0), (None, 0), ('["a"', 0), ('{"a": 1}', 0), ("null", 0), ('["a", null]', 2), ('[" x "]', 1), ("no json", 0), ('["é", "\\u00e9"]', 2), ('"a"', 0),
-], lambda a: F.size(J.string_list(a)), "INT")
+@Q.add("jsn05_tolerant_decode", "SELECT doc_id, CAST(CASE doc_id % 9 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 2 ELSE 0 END AS INT) AS answer FROM documents")
+def tolerant_decode(spark, sf):
+    """Lists of whole texts, and what is none: an object, a list that breaks off, a string, the text as it is, nothing."""
+    text, shape = F.coalesce("text", F.lit("")), F.col("doc_id") % 9
+    whole = F.to_json(F.array(text, F.lit("b")))
+    made = [F.to_json(F.array(text)), whole, F.to_json(F.array(text, F.lit(None).cast("string"))), F.to_json(F.struct(text.alias("a"))), F.substring(whole, F.lit(1), F.length(whole) - 1), F.concat(F.lit('"'), F.to_json(F.array(text)), F.lit('"')), F.concat(F.lit("no json: "), text), F.lit(""), F.lit(None).cast("string")]
+    picked = F.coalesce(*(F.when(shape == i, m) for i, m in enumerate(made)))
+    return table(spark, sf, "documents").select("doc_id", F.size(J.string_list(picked)).alias("answer"))
+
 
 P = "int fn(T *p) {\n"
 
