@@ -50,7 +50,7 @@ THRESHOLD, LEAST_SHARE = 0.8, 0.2
 TERM_BITS = 16
 MAX_BITS = 1 << 29
 #: Terms that a task counts before it emits them.
-HELD = 500_000
+HELD = 100_000
 
 
 def luhn(digits: str) -> bool:
@@ -217,7 +217,7 @@ def find_terms(rows: DataFrame, terms: DataFrame) -> DataFrame:
             out = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 found = {t.lower() for t in TERM.findall(text or "")}
-                if len(known) > 1_000_000:
+                if len(known) > 200_000:
                     known.clear()
                 new = [t for t in found if t not in known]
                 known.update(dict.fromkeys(new, False) | dict.fromkeys(listed(new, table.value), True))
