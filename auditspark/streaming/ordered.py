@@ -2,7 +2,8 @@
 and number, however they arrived and however many batches or Arrow chunks they came in.
 
 What each operator does with a row, or when time passes without one, is a small function of its state; ``InOrder`` holds the
-waiting rows of a key and the state, and calls it. A key's waiting rows are those of the watermark's delay, not its history.
+waiting rows and the states of a shard of the keys, and calls it. Waiting rows are those of the watermark's delay, not the
+history.
 Rows that arrive later than the watermark allows are dropped by Spark, as the delay says; with a delay that covers the
 disorder nothing is. The first watermark is the epoch, so times have to lie after it.
 """
@@ -10,12 +11,16 @@ disorder nothing is. The first watermark is the epoch, so times have to lie afte
 from __future__ import annotations
 
 import heapq
-import json
+import pickle
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.events import TERMINAL
@@ -25,6 +30,8 @@ RANK = {"pending": 0, "init": 0, "analyzing": 1, "static_analysis": 1, "auditing
 NAMES = ("pending", "analyzing", "auditing")
 #: Rows of a frame that goes out.
 FRAME = 10_000
+#: Keys are dealt over so many shards, and the keys of a shard over so many cells of state.
+SHARDS, CELLS = 1024, 8
 
 #: A key's state, its rows (microseconds, number, values ...) in order, and the time up to which it is known, to output rows.
 Advance = Callable[[dict, list[tuple], int], Iterable[tuple]]
@@ -40,78 +47,136 @@ def _frames(rows: Iterable[tuple], columns: list[str]) -> Iterator[pd.DataFrame]
     for row in rows:
         held.append(row)
         if len(held) == FRAME:
-            yield pd.DataFrame(held, columns=columns)
+            yield pd.DataFrame(held, columns=columns, dtype=object)
             held = []
     if held:
-        yield pd.DataFrame(held, columns=columns)
+        yield pd.DataFrame(held, columns=columns, dtype=object)
 
 
 class InOrder(StatefulProcessor):
     """Holds rows back until the watermark, or processing time, has passed them; ``wake`` tells when a state wants to act
-    without a row (microseconds)."""
+    without a row (microseconds).
 
-    def __init__(self, values: list[str], schema: str, output: list[str], advance: Advance, wake: Callable[[dict], int | None] = lambda state: None, live: bool = False):
-        self.values, self.schema, self.output, self.advance, self.wake, self.live = values, schema, output, advance, wake, live
+    One instance serves a shard of the keys: a call of the state store or of Python costs as much as hundreds of rows, so
+    keys are not served one by one. Waiting rows are Arrow chunks; the states of a shard's keys are dealt over cells, and a
+    trigger reads and writes only the cells that its rows, or what is due, are in.
+    """
+
+    def __init__(self, key: str, values: list[str], schema: pa.Schema, output: list[str], advance: Advance, wake: Callable[[dict], int | None] | None = None, live: bool = False):
+        self.key, self.values, self.schema, self.output, self.advance, self.wake, self.live = key, values, schema, output, advance, wake, live
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", self.schema)
-        self.state = handle.getValueState("state", "json string")
-
-    def _go(self, key: tuple, rows: list[tuple], until: int) -> Iterator[pd.DataFrame]:
-        state = json.loads(self.state.get()[0]) if self.state.exists() else {}
-        out = list(self.advance(state, rows, until))
-        self.state.update((json.dumps(state),))
-        if (at := self.wake(state)) is not None:
-            self.handle.registerTimer(max(at // 1000 + 1, until // 1000 + 1))
-        yield from _frames((key + row for row in out), self.output)
+        self.waiting = handle.getListState("waiting", "chunk binary")
+        self.states = handle.getMapState("states", "cell int", "states binary")
+        # The least time of a waiting row, and of each cell the least time at which a state wants to act.
+        self.next = handle.getValueState("next", "least long, wakes binary")
+
+    def _next(self) -> tuple[int | None, dict[int, int]]:
+        held = self.next.get() if self.next.exists() else None
+        return (held[0], pickle.loads(held[1])) if held else (None, {})
+
+    def _go(self, due: pa.Table, until: int, least: int | None, wakes: dict[int, int]) -> Iterator[tuple]:
+        """due: rows in order."""
+        cells: dict[int, dict] = {}
+        for cell, key, *row in zip(*(due.column(c).to_pylist() for c in ["cell", self.key, *self.values])):
+            cells.setdefault(cell, {}).setdefault(key, []).append(tuple(row))
+        for cell, at in wakes.items():
+            if at <= until:
+                cells.setdefault(cell, {})
+        for cell, rows in cells.items():
+            held = self.states.getValue((cell,))
+            states = pickle.loads(held[0]) if held else {}
+            if self.wake:
+                for key, state in states.items():
+                    if key not in rows and (at := self.wake(state)) is not None and at <= until:
+                        rows[key] = []
+            for key, some in rows.items():
+                state = states.get(key, {})
+                for row in self.advance(state, some, until):
+                    yield (key, *row)
+                if state:
+                    states[key] = state
+            self.states.updateValue((cell,), (pickle.dumps(states),))
+            if self.wake:
+                ats = [at for state in states.values() if (at := self.wake(state)) is not None]
+                wakes.pop(cell, None)
+                wakes |= {cell: min(ats)} if ats else {}
+        self.next.update((least, pickle.dumps(wakes)))
+        if wakes:
+            self.handle.registerTimer(max(min(wakes.values()) // 1000 + 1, until // 1000 + 1))
+
+    def _in_order(self, rows: pa.Table) -> pa.Table:
+        return rows.sort_by([(c, "ascending") for c in self.values[:2]])
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        now, latest = timerValues.getCurrentProcessingTimeInMs() * 1000 if self.live else 0, 0
-        arrived = []
-        for part in rows:
-            columns = [part[c].tolist() for c in self.values]
-            some = list(zip(*columns))
-            if self.live:
-                arrived += some
-            else:
-                self.waiting.appendList(some)
-                latest = max(latest, *columns[0])
+        least, wakes = self._next()
+        arrived = [pa.Table.from_pandas(part[self.schema.names], self.schema, preserve_index=False) for part in rows]
         if self.live:
-            # Rows count as of now, in order of their numbers.
-            yield from self._go(key, [(now, *r[1:]) for r in sorted(arrived)], now)
-        else:
-            self.handle.registerTimer(latest // 1000 + 1)
-            yield from ()
+            # Rows count as of now, in order of their times and numbers.
+            now = timerValues.getCurrentProcessingTimeInMs() * 1000
+            due = self._in_order(pa.concat_tables(arrived))
+            at = due.schema.get_field_index(self.values[0])
+            due = due.set_column(at, self.schema.field(at), pa.array(np.full(due.num_rows, now), pa.int64()))
+            yield from _frames(self._go(due, now, least, wakes), self.output)
+            return
+        self.waiting.appendList([(_packed(part),) for part in arrived])
+        first = min(pc.min(part.column(self.values[0])).as_py() for part in arrived)
+        # The shard wakes for its first waiting row, and then for the first of those that are left.
+        if least is None or first < least:
+            self.next.update((first, pickle.dumps(wakes)))
+            self.handle.registerTimer(first // 1000 + 1)
+        yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.live:
-            yield from self._go(key, [], timerValues.getCurrentProcessingTimeInMs() * 1000)
+        least, wakes = self._next()
+        until = (timerValues.getCurrentProcessingTimeInMs() if self.live else timerValues.getCurrentWatermarkInMs()) * 1000
+        due = self.schema.empty_table()
+        if least is not None and least <= until:
+            held = pa.concat_tables(_unpacked(c[0]) for c in self.waiting.get())
+            now = pc.less_equal(held.column(self.values[0]), until)
+            due, rest = self._in_order(held.filter(now)), held.filter(pc.invert(now))
+            least = pc.min(rest.column(self.values[0])).as_py()
+            if rest.num_rows:
+                self.waiting.put([(_packed(pa.Table.from_batches([b])),) for b in rest.combine_chunks().to_batches(FRAME)])
+                self.handle.registerTimer(least // 1000 + 1)
+            else:
+                self.waiting.clear()
+        elif all(at > until for at in wakes.values()):
             return
-        until, due, rest = timerValues.getCurrentWatermarkInMs() * 1000, [], []
-        for row in self.waiting.get():
-            (due if row[0] <= until else rest).append(tuple(row))
-        if due:
-            self.waiting.put(rest) if rest else self.waiting.clear()
-        yield from self._go(key, sorted(due, key=lambda r: r[:2]), until)
+        yield from _frames(self._go(due, until, least, wakes), self.output)
+
+
+def _packed(rows: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema) as out:
+        out.write_table(rows)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(chunk: bytes) -> pa.Table:
+    return pa.ipc.open_stream(chunk).read_all()
 
 
-def _ordered(rows: DataFrame, key: str, at: str, number: str, values: dict[str, str], output: dict[str, str], advance: Advance, wake=lambda state: None, delay: str = "0 seconds", live: bool = False) -> DataFrame:
+def _ordered(rows: DataFrame, key: str, at: str, number: str, values: dict[str, str], output: dict[str, str], advance: Advance, wake: Callable[[dict], int | None] | None = None, delay: str = "0 seconds", live: bool = False) -> DataFrame:
     """The stream of what ``advance`` makes of each key's rows. values, output: names and types."""
     with_ordered_state(rows.sparkSession)
     names = ["micros", number, *values]
-    made = rows.select(key, F.col(at), F.unix_micros(F.col(at)).alias("micros"), number, *values)
+    hashed = F.xxhash64(key)
+    made = rows.select(F.pmod(hashed, F.lit(SHARDS)).cast("int").alias("shard"), F.pmod(F.shiftright(hashed, 32), F.lit(CELLS)).cast("int").alias("cell"), key, F.col(at), F.unix_micros(F.col(at)).alias("micros"), F.col(number).cast("long").alias(number), *(F.col(v).cast(t).alias(v) for v, t in values.items()))
+    schema = to_arrow_schema(made.select("cell", key, *names).schema)
     made = made if live else made.withWatermark(at, delay)
-    schema = ", ".join(f"`{n}` {t}" for n, t in {"micros": "long", number: "long", **values}.items())
     out = {key: made.schema[key].dataType.simpleString(), **output}
-    processor = InOrder(names, schema, list(out), advance, wake, live)
-    return made.groupBy(key).transformWithStateInPandas(processor, ", ".join(f"`{n}` {t}" for n, t in out.items()), "append", "processingtime" if live else "eventtime")
+    processor = InOrder(key, names, schema, list(out), advance, wake, live)
+    return made.groupBy("shard").transformWithStateInPandas(processor, ", ".join(f"`{n}` {t}" for n, t in out.items()), "append", "processingtime" if live else "eventtime")
 
 
 def _suppress(state: dict, rows: list[tuple], until: int) -> Iterator[tuple]:
     for _, seq, rejected in rows:
         suppressed = state.get("rejected", False)
-        state["rejected"] = suppressed or bool(rejected)
+        # A pattern that is not rejected needs no state.
+        if rejected:
+            state["rejected"] = True
         yield seq, rejected, suppressed
 
 

@@ -68,6 +68,21 @@ def test_suppression_in_order(spark, tmp_path):
     assert len(found) == 27_000
 
 
+def test_many_patterns_few_states(spark, tmp_path, monkeypatch):
+    """Patterns of a row or two: the state store holds rows by shard and cell, not by pattern, and a shard whose last row is far
+    ahead lets the others go."""
+    monkeypatch.setattr(O, "SHARDS", 8)
+    monkeypatch.setattr(O, "CELLS", 4)
+    rows = [(f"p{i % 4_000}", at(i / 100), i, i % 7 == 0) for i in range(6_000)]
+    stream = files(spark, tmp_path / "in", [*cut(rows, 2), [(END, at(10_000), 0, False)]], "pattern string, at timestamp, seq long, rejected boolean")
+    found = []
+    query = O.stream_suppression(stream, delay="10 seconds").writeStream.foreachBatch(lambda batch, n: found.extend(batch.collect())).option("checkpointLocation", f"{tmp_path}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    sizes = [o["numRowsTotal"] for p in query.recentProgress for o in p["stateOperators"]]
+    assert {(r.pattern, r.seq): r.suppressed for r in found} == {(p, seq): seq >= 4_000 and (seq - 4_000) % 7 == 0 for p, _, seq, _ in rows}
+    assert len(found) == 6_000 and 0 < max(sizes) < 400
+
+
 def test_states_in_order(spark, tmp_path):
     rng = random.Random(2)
     phases = ["init", "analyzing", "static_analysis", "auditing", "completed", "error", "cancelled", "unknown"]
