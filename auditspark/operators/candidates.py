@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..schemas import CANDIDATE_KEY
+from .joins import join_fact
 
 RETRYABLE = ("timeout", "error", "failed", "cancelled")
 
@@ -63,11 +64,11 @@ def pattern_of(scope: str, vuln_type: str = "vuln_type", function: str = "functi
 def suppressed(candidates: DataFrame, pattern, rejected: Column, order: str = "seq") -> DataFrame:
     """``candidates`` with suppressed: a row earlier in ``order`` of the same pattern was rejected.
 
-    The least rejected place of each pattern is a grouped minimum that is combined before the shuffle and joined back, so
-    a pattern of a third of all rows is never gathered.
+    The least rejected place of each pattern is a grouped minimum that is combined before the shuffle. It comes to the rows of
+    a hot pattern by a broadcast, so a pattern of a third of all rows is never gathered.
     """
     first = candidates.filter(rejected).groupBy(*pattern).agg(F.min(order).alias("_first"))
-    joined = candidates.join(first, list(pattern), "left")
+    joined = join_fact(candidates, first, list(pattern), candidates.count())
     return joined.withColumn("suppressed", F.coalesce(F.col(order) > F.col("_first"), F.lit(False))).drop("_first")
 
 
