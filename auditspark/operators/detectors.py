@@ -6,15 +6,12 @@ expressions over columns: extraction, explode, guards as anti-filters, grouping.
 
 from __future__ import annotations
 
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
-from ..functions.c_code import blanked
 from ..functions.text import call_names, checked_chains, checked_names, escape_regex, line_of_match, normal_expression, pair_name, role_hint, short_name, stable_id, terms_in
 from .candidates import keep_first
+from .joins import join_fact
 from .lookup import containing_function
 from .results import arithmetic, memory_place, metavar, sink
 
@@ -270,8 +267,10 @@ def from_matches(matches: DataFrame, functions: DataFrame, detector: str, null_r
     order, key = MATCH_DETECTORS[detector]
     rows = matches
     if "index" in order:
-        located = containing_function(matches.select(F.col("match_id").alias("request_id"), "path", "line"), functions, by_suffix=True)
-        rows = matches.join(located.select(F.col("request_id").alias("match_id"), F.col("name").alias("_indexed")), "match_id", "left")
+        # Each place is looked up once, however many matches are there.
+        places = matches.select("path", "line").distinct().withColumn("request_id", F.concat_ws("\0", "path", F.col("line").cast("string")))
+        located = containing_function(places, functions, by_suffix=True).select("path", "line", F.col("name").alias("_indexed"))
+        rows = join_fact(matches, located, ["path", "line"], matches.count())
     source = lambda o: F.col("_indexed") if o == "index" else F.col("metavars")[o] if o.startswith("$") else F.regexp_extract(F.coalesce("message", F.lit("")), o, 1)
     function = F.coalesce(*[function_name(source(o)) for o in order], F.lit("unknown"))
     rule = F.coalesce(F.nullif(F.substring_index("check_id", ".", -1), F.lit("")), F.lit("unknown"))
