@@ -20,11 +20,22 @@ SKIPPED = ("this", "NULL", "nullptr", "true", "false", "void")
 KEYWORDS = ("if", "for", "while", "switch", "return", "sizeof", "case", "else", "do", "goto")
 
 
-@F.pandas_udf(StringType())
-def blank_comments(code: pd.Series) -> pd.Series:
+#: Comments, literals, and what lies between; the code is these pieces one after another.
+PIECES = r"""(?s)(/\*.*?(?:\*/|\z)|//[^\n]*+|"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"|'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'|[^/"']++|.)"""
+
+
+def blank_comments(code: Column | str) -> Column:
     """The code with comments and the insides of literals as blanks; lines and columns stay."""
+    blank = lambda c: F.regexp_replace(c, r"[^\n]", " ")
+    quoted = lambda p: (F.length(p) > 1) & (p.startswith('"') | p.startswith("'"))
+    inside = lambda p: F.concat(F.substring(p, 1, 1), blank(F.substring(p, F.lit(2), F.length(p) - 2)), F.substring(p, -1, 1))
+    shown = lambda p: F.when(p.startswith("/*") | p.startswith("//"), blank(p)).when(quoted(p), inside(p)).otherwise(p)
+    return F.array_join(F.transform(F.regexp_extract_all(code, F.lit(PIECES), F.lit(1)), shown), "")
+
 
-    return code.map(lambda c: None if c is None else blanked(c, directives=False))
+def once(value: Column) -> Column:
+    """The value as a generator's only row, so that no filter or later column is made to work it out again."""
+    return F.explode(F.array(value))
 
 
 def candidate(file: Column, line: Column, function: Column, vuln_type: str, subject: Column, description: Column, **metadata: Column) -> list[Column]:
@@ -53,7 +64,7 @@ def lines_of(functions: DataFrame, code: str = "code") -> DataFrame:
 
 def atoi_calls(functions: DataFrame) -> DataFrame:
     """Calls of ``atoi``, also as ``::atoi`` or in a namespace, with their argument."""
-    hinted = functions.filter(F.col("body").contains("atoi")).withColumn("code", blank_comments("body"))
+    hinted = functions.filter(F.col("body").contains("atoi")).withColumn("code", once(blank_comments("body")))
     calls = lines_of(hinted).filter(F.col("text").contains("atoi"))
     # The code before each call that is no member access, to its end: column and argument follow.
     pattern = r"(?<![\w.>])((?:\w*::)*atoi\s*\(([^()]*(?:\([^()]*\)[^()]*)*)\))"
@@ -93,7 +104,7 @@ def npd(functions: DataFrame) -> DataFrame:
     Names, checks and lines come from constant patterns, once a function or line; only names and numbers are shuffled.
     """
     keys = ["function_id", "file_path", "name", "start_line"]
-    rows = functions.filter(F.col("body").rlike(r"->|\*|\[|\bg_\w+\s*\(")).withColumn("code", blank_comments("body"))
+    rows = functions.filter(F.col("body").rlike(r"->|\*|\[|\bg_\w+\s*\(")).withColumn("code", once(blank_comments("body")))
     names, hooks = dereferenced(F.col("code"))
     rows = rows.select(*keys, "code", names.alias("names"), hooks.alias("hooks"), checked_names(F.col("code")).alias("checked"))
     rows = rows.select(*keys, "code", F.array_except("hooks", "checked").alias("hooks"), F.array_except(F.concat("names", "hooks"), "checked").alias("open"))
@@ -115,7 +126,7 @@ def chain_npd(functions: DataFrame) -> DataFrame:
 
     All of it is expressions over a function's own row; nothing is shuffled.
     """
-    rows = functions.filter(F.col("body").contains("->")).withColumn("code", blank_comments("body"))
+    rows = functions.filter(F.col("body").contains("->")).withColumn("code", once(blank_comments("body")))
     chain = r"([A-Za-z_]\w*(?:\s*->\s*[A-Za-z_]\w*|\s*\[[^\[\]]*\])+)"
     root = lambda c: F.regexp_extract(c, r"^([A-Za-z_]\w*)", 1)
     links = lambda c: F.regexp_extract_all(c, F.lit(r"(->[A-Za-z_]\w*|\[[^\[\]]*\])"), F.lit(1))
@@ -139,7 +150,7 @@ SENSITIVE_TERMS = (
 
 def sensitive_clear(functions: DataFrame, terms: list[str] = SENSITIVE_TERMS) -> DataFrame:
     """Declared variables and parameters whose name or declaration holds a sensitive term, one row a function."""
-    functions = functions.withColumn("code", blank_comments("body"))
+    functions = functions.withColumn("code", once(blank_comments("body")))
     declaration = r"(?m)((?:[A-Za-z_]\w*[ \t*]+)+\**[A-Za-z_]\w*[ \t]*(?:\[[^\]]*\])?)[ \t]*(?=[;,=)])"
     found = lines_of(functions).select("*", F.explode(F.regexp_extract_all("text", F.lit(declaration), F.lit(1))).alias("declaration"))
     found = found.withColumn("variable", F.regexp_extract("declaration", r"([A-Za-z_]\w*)[ \t]*(?:\[[^\]]*\])?$", 1)).filter(~F.trim("declaration").rlike(r"^(return|goto|else|case)\b"))
@@ -294,7 +305,7 @@ def released_structs(functions: DataFrame, structs: DataFrame, release: str = r"
 
     structs(name, definition): typedef aliases map to the struct defined first under that name.
     """
-    hinted = functions.filter(F.lower("body").rlike(release)).withColumn("code", blank_comments("body"))
+    hinted = functions.filter(F.lower("body").rlike(release)).withColumn("code", once(blank_comments("body")))
     call = lines_of(hinted).select("*", F.explode(F.regexp_extract_all("text", F.lit(rf"(?i)\b(\w*(?:{release})\w*\s*\(\s*[A-Za-z_]\w*\s*\))"), F.lit(1))).alias("call"))
     call = call.withColumns({"callee": F.regexp_extract("call", r"^(\w+)", 1), "argument": F.regexp_extract("call", r"\(\s*(\w+)\s*\)$", 1)})
     # The argument's declared type, from the code before: struct name or alias, as a pointer.

@@ -350,3 +350,53 @@ def test_resolved_globals_of_hot_names(spark):
     vs, rs = spark.createDataFrame(variables, "global_id long, name string, file_id long, is_static boolean"), spark.createDataFrame(references, "ref_id long, name string, file_id long")
     assert joins.HUB < 1_000
     assert {r.ref_id: r.global_id for r in lookup.resolve_globals(rs, vs).collect()} == expected
+
+
+def test_comments_are_blanked_without_python(spark):
+    """As the tokenizer's own function does it, on odd code too, and by expressions alone."""
+    import random
+
+    from auditspark.functions.c_code import blanked
+    from auditspark.operators import detectors
+
+    rng = random.Random(6)
+    parts = ["/*", "*/", "//", "\n", '"', "'", "\\", "\\\n", "a", " ", "/", "*", "é", "\U0001f600", "x->y"]
+    codes = ["", None, "/* open", '"' + "\\n" * 50_000 + '"', "/*" + "ab\n" * 50_000, *("".join(rng.choices(parts, k=rng.randrange(40))) for _ in range(3_000))]
+    rows = spark.createDataFrame([(c,) for c in codes], "code string").withColumn("found", detectors.blank_comments("code"))
+    assert "Python" not in rows._jdf.queryExecution().executedPlan().toString()
+    assert all(r.found == (None if r.code is None else blanked(r.code, directives=False)) for r in rows.collect())
+
+
+def test_hot_pattern_stays_where_it_is(spark):
+    """The rows of a hot pattern meet its first rejection by a broadcast; a join by the pattern alone would gather them."""
+    from pyspark.sql import functions as F
+
+    from auditspark.operators import candidates
+
+    rows = spark.range(20_000).selectExpr("id AS seq", "CASE WHEN id % 3 = 0 THEN NULL WHEN id % 500 = 1 THEN concat('p', id) ELSE 'hot' END AS vuln_type")
+    found = candidates.suppressed(rows, ["vuln_type"], F.col("seq") == 5_000)
+    assert "_heavy" in found._jdf.queryExecution().optimizedPlan().toString()
+    assert found.filter("suppressed").count() == rows.filter("vuln_type = 'hot' AND seq > 5000").count() > 0 and found.count() == 20_000
+
+
+def test_matches_of_one_place_are_looked_up_once(spark, monkeypatch):
+    from auditspark.operators import detectors
+
+    asked, real = [], detectors.containing_function
+    monkeypatch.setattr(detectors, "containing_function", lambda requests, *a, **k: asked.append(requests.count()) or real(requests, *a, **k))
+    matches = spark.range(3_000).selectExpr("id AS match_id", "concat('src/f', id % 3, '.c') AS path", "CAST(id % 5 AS INT) AS line", "'r.x' AS check_id", "'m' AS message", "CAST(map('$P', concat('p', id)) AS MAP<STRING,STRING>) AS metavars")
+    functions = spark.createDataFrame([(1, "low", "f0.c", 1, 2), (2, "all", "f0.c", 1, 9)], "function_id long, name string, file_path string, start_line int, end_line int")
+    found = {(r.file, r.line, r.function): r["count"] for r in detectors.from_matches(matches, functions, "bufoverflow").groupBy("file", "line", "function").count().collect()}
+    assert asked == [15] and sum(found.values()) == 3_000
+    assert {(line, name) for file, line, name in found if file == "src/f0.c"} == {(1, "unknown"), (1, "low"), (2, "low"), (3, "all"), (4, "all")} and all(n == "unknown" for f, _, n in found if f != "src/f0.c")
+
+
+def test_json_is_cut_before_python(spark):
+    from auditspark.functions import json_text as J
+
+    texts = ["x" * 1_000 + ' {"k": 1} tail', "no brackets", None, "] [", "\ufeff [1] é {\"k\": 2}", "😀é [[1], 2] x ]"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    found = rows.select("t", J.bracketed(rows.t).alias("cut"), J.best_json(rows.t).alias("best"), J.all_json(rows.t).alias("all")).collect()
+    assert [r.cut for r in found] == ['{"k": 1}', "", None, "", '[1] é {"k": 2}', "[[1], 2] x ]"]
+    assert [r.best for r in found] == ['{"k": 1}', None, None, None, '{"k": 2}', "[[1], 2]"]
+    assert all(r["all"] is not None and all(r.t[v.pos : v.pos + v.len] == v.raw for v in r["all"]) for r in found) and len(found[-1]["all"]) == 2
