@@ -273,7 +273,8 @@ def disclosing_terms(rows: DataFrame, scanned: DataFrame, threshold: float, z: f
     if not n_pairs:
         return None
     # A common word may stand near very many entities: hot terms are joined by a broadcast of bounded size.
-    totals = count_terms(rows, pairs).join(pairs.groupBy("term").agg(F.count(F.lit(1)).alias("copies")), "term")
+    # The join reads the totals twice; they are written, so that texts are counted once.
+    totals = materialize(count_terms(rows, pairs).join(pairs.groupBy("term").agg(F.count(F.lit(1)).alias("copies")), "term"), "pii-totals")
     outside = F.greatest(F.lit(0), F.col("total") - F.col("n"))
     found = join_split(pairs, totals, ["term"], n_pairs).filter(discloses(outside)).withColumn("disclosure", disclosure(outside))
     best = materialize(found.groupBy("term").agg(F.max_by("kind", F.struct("disclosure", "kind")).alias("kind"), F.max("disclosure").alias("disclosure")), "pii-terms")

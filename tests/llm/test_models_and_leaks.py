@@ -102,3 +102,26 @@ def test_licence_lines_are_linear():
     began = time.process_time()
     found = [b for b in C.blocks_of(text) if known.score(b, 0.6)]
     assert len(found) >= 20_000 and time.process_time() - began < 20
+
+
+def test_terms_of_texts_are_counted_once(spark, monkeypatch, tmp_path):
+    """Also where the join with the totals is split: each text is read once for them."""
+    import uuid
+
+    from auditspark.llm import common, pii
+
+    monkeypatch.setattr(common, "FEW_ROWS", 0)
+    real, folder = pii.count_terms, str(tmp_path)
+
+    def run(batches):
+        for batch in batches:
+            with open(f"{folder}/{uuid.uuid4().hex}", "w") as out:
+                out.write(str(batch.num_rows))
+            yield batch
+
+    monkeypatch.setattr(pii, "count_terms", lambda rows, terms: real(rows.mapInArrow(run, rows.schema), terms))
+    # Words that occur once, each beside an address of its own, in a corpus large enough for them to disclose it.
+    rows = [(i, f"only{chr(97 + i // 26)}{chr(97 + i % 26)} a{i}@b.example") for i in range(60)] + [(100, "filler " * 60_000)]
+    found = pii.scan_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(found) == 61 and sum(len(r.terms) for r in found) == 60
+    assert sum(int(f.read_text()) for f in tmp_path.iterdir()) == 61
