@@ -8,6 +8,19 @@ from pyspark.sql import functions as F
 #: A key with so many rows is heavy; of n rows at most n / max(HUB, n / MAX_HUBS) keys are, so at most MAX_HUBS.
 HUB = 256
 MAX_HUBS = 4096
+#: Rows that a task sorts, some, where their number is known; and rows that hold arrays.
+ROWS = 1_000_000
+WIDE_ROWS = 250_000
+
+
+def dealt(rows: DataFrame, keys: list[str], total: int, most: int) -> DataFrame:
+    """``rows``, of which there are ``total``, dealt by their keys so that a task gets some ``most`` rows.
+
+    A session has a fixed number of shuffle partitions, so what a task sorts would grow with the input. Where these are enough,
+    rows stay as they are, for Spark to deal and coalesce. A join or window over the keys keeps these partitions.
+    """
+    n = -(-total // most)
+    return rows.repartition(n, *keys) if n > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) else rows
 
 
 def join_fact(rows: DataFrame, facts: DataFrame, keys: list[str], total: int, how: str = "left") -> DataFrame:

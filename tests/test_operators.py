@@ -400,3 +400,18 @@ def test_json_is_cut_before_python(spark):
     assert [r.cut for r in found] == ['{"k": 1}', "", None, "", '[1] é {"k": 2}', "[[1], 2] x ]"]
     assert [r.best for r in found] == ['{"k": 1}', None, None, None, '{"k": 2}', "[[1], 2]"]
     assert all(r["all"] is not None and all(r.t[v.pos : v.pos + v.len] == v.raw for v in r["all"]) for r in found) and len(found[-1]["all"]) == 2
+
+
+def largest_task(rows):
+    return rows.groupBy(F.spark_partition_id().alias("task")).count().agg(F.max("count")).first()[0]
+
+
+def test_reviews_of_jobs_are_dealt_by_their_number(spark, monkeypatch):
+    from auditspark.operators import results as R
+
+    monkeypatch.setattr(R, "ROWS", 100)
+    reviews = spark.range(6_000).selectExpr("id % 1500 AS job", "id AS seq")
+    jobs = spark.range(1_400).selectExpr("id AS job", "'P' AS status", "id AS created_at")
+    found = R.reviews_of_jobs(reviews, jobs)
+    assert largest_task(found) < 400
+    assert {(r.job, r.seq, r.place) for r in found.collect()} == {(i % 1500, i, i // 1500 + 1) for i in range(6_000) if i % 1500 < 1_400}
