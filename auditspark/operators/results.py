@@ -136,13 +136,15 @@ TREE = (
 )
 
 
-def tasks_of(trees: DataFrame, modules: DataFrame) -> DataFrame:
+def tasks_of(trees: DataFrame, modules: DataFrame, total: int | None = None) -> DataFrame:
     """One task a pattern of each path of ``trees`` (see TREE), the first of each identity.
 
     modules(name, seq, threat, paths array<struct<path,description>>): of several with a name the last one counts; a path's
     modules are those its related names name, in order; code paths are theirs without repeats. Identity is tree, path,
-    pattern and pattern name; ids that are missing are numbered by place.
+    pattern and pattern name; ids that are missing are numbered by place. total: how many paths the trees have, else they
+    are counted; what a task sorts is bounded by it.
     """
+    total = trees.agg(F.sum(F.size(F.coalesce("attack_paths", F.array())).cast("long"))).first()[0] or 0 if total is None else total
     number = lambda prefix, at: F.concat(prefix, (at + 1).cast("string"))
     trees = trees.withColumn("tree_id", filled(F.col("tree_id"), number(F.lit("tree-"), F.col("seq"))))
     node_names = F.map_from_entries(F.transform(F.filter(F.coalesce("nodes", F.array()), lambda n: F.coalesce(n["node_id"], F.lit("")) != ""), lambda n: F.struct(n["node_id"], n["node_name"])))
@@ -152,13 +154,13 @@ def tasks_of(trees: DataFrame, modules: DataFrame) -> DataFrame:
     known = keep_first(modules.withColumn("_name", F.trim("name")).filter("_name <> ''"), ["_name"], [F.desc("seq")]).select("_name", "threat", "paths")
     wanted = paths.select("scan_id", "tree_id", "seq", "path_at", F.posexplode(F.transform("p.related", lambda r: F.trim(r["module_name"]))).alias("at", "_name"))
     key = ["scan_id", "tree_id", "seq", "path_at"]
-    matched = wanted.join(known, "_name").groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("at", "threat", "paths"))).alias("m"))
+    matched = dealt(wanted.join(known, "_name"), key, total, WIDE_ROWS).groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("at", "threat", "paths"))).alias("m"))
     # The first description of each path stays.
     flat = F.flatten(F.transform("m", lambda x: F.coalesce(x["paths"], F.array())))
     first_of_each = F.filter(flat, lambda x, i: ~F.exists(F.slice(flat, F.lit(1), i), lambda y: y["path"] == x["path"]))
     risks = F.array_distinct(F.filter(F.transform("m", lambda x: F.trim(x["threat"])), lambda t: F.coalesce(t, F.lit("")) != ""))
     matched = matched.select(*key, first_of_each.alias("code_paths"), F.array_join(risks, "；").alias("risk_name"))
-    paths = paths.join(matched, key, "left")
+    paths = dealt(paths, key, total, WIDE_ROWS).join(matched, key, "left")
     surface = F.get("p.related", F.lit(0))
     patterns = paths.select("*", F.posexplode("p.patterns").alias("pattern_at", "pattern"))
     patterns = patterns.withColumns({
@@ -170,7 +172,11 @@ def tasks_of(trees: DataFrame, modules: DataFrame) -> DataFrame:
         "evidence": F.filter(F.concat(F.array(F.trim("p.path_description")), F.transform("p.related", lambda r: F.trim(r["association"]))), lambda e: F.coalesce(e, F.lit("")) != ""),
     })
     identity = F.concat_ws("\0", "tree_id", "path_id", "pattern_id", "method_name")
-    patterns = keep_first(patterns.withColumn("identity", identity), ["scan_id", "identity"], ["seq", "path_at", "pattern_at"])
+    patterns = patterns.withColumn("identity", identity)
+    # Where patterns are dealt, no rank limit comes before the shuffle: a path's own repeats go where they are.
+    own = keep_first(patterns, [*key, "identity"], ["pattern_at"])
+    spread = dealt(own, ["scan_id", "identity"], total, WIDE_ROWS)
+    patterns = keep_first(patterns if spread is own else spread, ["scan_id", "identity"], ["seq", "path_at", "pattern_at"])
     first = F.get("code_paths", F.lit(0))
     return patterns.select(
         "scan_id", stable_id(F.col("scan_id"), F.col("identity")).alias("task_id"), F.sha1("identity").alias("fingerprint"), "tree_id", F.col("path_id").alias("attack_path_id"), "pattern_id", "method_name", "surface_name", "attack_goal",

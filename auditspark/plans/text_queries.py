@@ -8,6 +8,7 @@ from ..functions import json_text as J
 from ..functions import text as T
 from ..operators import detectors as D
 from ..operators import results as R
+from ..operators.joins import WIDE_ROWS, dealt
 from .views import Queries, table, view
 
 Q = Queries()
@@ -295,11 +296,13 @@ def tasks_per_pattern(spark, sf):
     related = lambda c: F.struct(name(c).alias("module_name"), F.lit(None).cast("string").alias("node_id"), F.lit("").alias("association"))
     patterns = F.array(F.struct(F.lit(None).cast("string").alias("pattern_id"), F.lit(" ").alias("pattern_name")), *[F.struct(F.concat(F.lit("T"), "o_orderstatus").alias("pattern_id"), F.col("o_orderpriority").alias("pattern_name"))] * 2)
     path = F.struct("o_orderkey", F.when(F.col("o_orderkey") % 3 != 0, F.concat(F.lit("P"), F.col("o_orderkey").cast("string"))).alias("path_id"), F.lit("goal").alias("path_name"), F.lit("").alias("path_description"), F.array(related(F.col("o_custkey") % 90), related(F.col("o_orderkey") % 70)).alias("related"), patterns.alias("patterns"))
-    trees = table(spark, sf, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list(path)).alias("attack_paths"))
+    orders = table(spark, sf, "orders")
+    total = orders.count()
+    trees = dealt(orders, ["o_custkey"], total, WIDE_ROWS).groupBy("o_custkey").agg(F.array_sort(F.collect_list(path)).alias("attack_paths"))
     trees = trees.select(F.col("o_custkey").cast("string").alias("scan_id"), (F.col("o_custkey") % 3).alias("seq"), F.lit(None).cast("string").alias("tree_id"), F.lit("asset").alias("asset_name"), F.lit("").alias("root_node_id"), F.expr("cast(array() as array<struct<node_id:string,node_name:string>>)").alias("nodes"), F.transform("attack_paths", lambda p: p.dropFields("o_orderkey")).alias("attack_paths"))
     number = F.col("s_suppkey") % 60
     modules = table(spark, sf, "supplier").select(name(number).alias("name"), F.col("s_suppkey").alias("seq"), F.concat(F.lit("risk"), (number % 4).cast("string")).alias("threat"), F.array(F.struct(F.concat(F.lit("src/m"), (number % 13).cast("string")).alias("path"), F.lit("d").alias("description"))).alias("paths"))
-    return R.tasks_of(trees, modules).select("scan_id", "task_id", "pattern_id", "surface_name", "code_path", "risk_name", F.size("code_paths").cast("long").alias("n_paths"))
+    return R.tasks_of(trees, modules, total).select("scan_id", "task_id", "pattern_id", "surface_name", "code_path", "risk_name", F.size("code_paths").cast("long").alias("n_paths"))
 
 
 @Q.add("jon20_dangling_nodes", "SELECT DISTINCT l_partkey AS node_id FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size > 5)")

@@ -415,3 +415,19 @@ def test_reviews_of_jobs_are_dealt_by_their_number(spark, monkeypatch):
     found = R.reviews_of_jobs(reviews, jobs)
     assert largest_task(found) < 400
     assert {(r.job, r.seq, r.place) for r in found.collect()} == {(i % 1500, i, i // 1500 + 1) for i in range(6_000) if i % 1500 < 1_400}
+
+
+def test_tasks_of_trees_are_dealt_by_their_number(spark, monkeypatch):
+    from auditspark.operators import results as R
+
+    path = "named_struct('path_id', concat('P', {p}), 'path_name', '', 'path_description', '', 'related', array(named_struct('module_name', concat('m', {p} % 5), 'node_id', CAST(NULL AS STRING), 'association', '')), 'patterns', transform(array(0, 1, 0), i -> named_struct('pattern_id', concat('T', i), 'pattern_name', 'n')))"
+    # Paths 0 and 9 of each tree have one id.
+    trees = spark.range(300).selectExpr("concat('s', id) AS scan_id", "0L AS seq", "CAST(NULL AS STRING) AS tree_id", "'' AS asset_name", "'' AS root_node_id", "CAST(array() AS array<struct<node_id:string,node_name:string>>) AS nodes", f"transform(sequence(0, 9), p -> {path.format(p='(p % 9)')}) AS attack_paths")
+    modules = spark.range(4).selectExpr("concat('m', id) AS name", "id AS seq", "'t' AS threat", "array(named_struct('path', concat('c', id), 'description', '')) AS paths")
+    columns = ["scan_id", "attack_path_id", "pattern_id", "code_path", "task_id"]
+    whole = sorted(map(tuple, R.tasks_of(trees, modules).select(*columns).collect()))
+    monkeypatch.setattr(R, "WIDE_ROWS", 100)
+    for found in (R.tasks_of(trees, modules), R.tasks_of(trees, modules, 3_000)):
+        assert largest_task(found) < 600
+        assert sorted(map(tuple, found.select(*columns).collect())) == whole
+    assert {r[:4] for r in whole} == {(f"s{s}", f"P{p}", f"T{i}", f"c{p % 5}" if p % 5 < 4 else "") for s in range(300) for p in range(9) for i in (0, 1)} and len(whole) == 5_400
