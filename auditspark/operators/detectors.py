@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from ..functions.text import call_names, checked_chains, checked_names, escape_regex, line_of_match, normal_expression, pair_name, role_hint, short_name, stable_id, terms_in
 from .candidates import keep_first
-from .joins import join_fact
+from .joins import FEW_FACTS, join_fact
 from .lookup import containing_function
-from .results import arithmetic, memory_place, metavar, sink
+from .results import Values, arithmetic, memory_place, metavar, sink
 
 #: Names that are never pointers of interest.
 SKIPPED = ("this", "NULL", "nullptr", "true", "false", "void")
@@ -276,21 +276,25 @@ def from_matches(matches: DataFrame, functions: DataFrame, detector: str, null_r
     are left out; a callee that it does not know may.
     """
     order, key = MATCH_DETECTORS[detector]
-    rows = matches
+    rows, values = matches, Values()
     if "index" in order:
-        # Each place is looked up once, however many matches are there.
-        places = matches.select("path", "line").distinct().withColumn("request_id", F.concat_ws("\0", "path", F.col("line").cast("string")))
-        located = containing_function(places, functions, by_suffix=True).select("path", "line", F.col("name").alias("_indexed"))
-        rows = join_fact(matches, located, ["path", "line"], matches.count())
+        # Each place is looked up once, however many matches are there; no function holds what is left out. With the same
+        # filters wherever they are read, places are found by one shuffle.
+        at = matches.filter("path IS NOT NULL AND line >= 0").groupBy("path", "line").agg(F.count(F.lit(1)).alias("_n"))
+        total, n = (x or 0 for x in at.agg(F.sum("_n"), F.count(F.lit(1))).first())
+        places = at.select("path", "line").withColumn("request_id", F.concat_ws("\0", "path", F.col("line").cast("string")))
+        located = containing_function(places, functions, by_suffix=True, total=n).select("path", "line", F.col("name").alias("_indexed"))
+        # Of few places the matches stay where they are, and are read once.
+        rows = matches.join(F.broadcast(located), ["path", "line"], "left") if n <= FEW_FACTS else join_fact(matches, located, ["path", "line"], total)
     source = lambda o: F.col("_indexed") if o == "index" else F.col("metavars")[o] if o.startswith("$") else F.regexp_extract(F.coalesce("message", F.lit("")), o, 1)
     function = F.coalesce(*[function_name(source(o)) for o in order], F.lit("unknown"))
     rule = F.coalesce(F.nullif(F.substring_index("check_id", ".", -1), F.lit("")), F.lit("unknown"))
     if "metadata" in matches.columns:
         rule = F.coalesce(F.nullif(F.trim(F.col("metadata")["source_kind"]), F.lit("")), rule) if detector in ("intoverflow", "loop_mut_idx_oob") else rule
-    rows = rows.withColumns({"file": F.col("path"), "rule": rule, "function": function})
-    made = {"arith": lambda: arithmetic(F.col("rule")), "sink": sink, "memory": memory_place}
+    made = {"arith": lambda: arithmetic(F.col("rule"), values), "sink": lambda: sink(values), "memory": lambda: memory_place(values)}
     parts = [k for k in key if k not in ("file", "line", "function", "rule")]
-    rows = rows.withColumns({k: F.coalesce(made[k]() if k in made else F.coalesce(*[metavar(v) for v in CAPTURED[k]]), F.lit("")) for k in parts})
+    shown = {k: F.coalesce(made[k]() if k in made else F.coalesce(*[metavar(v, values) for v in CAPTURED[k]]), F.lit("")) for k in parts}
+    rows = rows.withColumns({"file": F.col("path"), "rule": rule, "function": function, **values.taken()}).withColumns(shown)
     if detector == "npd_funcret" and null_returners is not None:
         never = null_returners.filter(~F.col("can_return_null")).select(F.col("name").alias("callee"))
         returned = ~F.col("check_id").contains("param-assign")

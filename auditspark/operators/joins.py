@@ -11,6 +11,8 @@ MAX_HUBS = 4096
 #: Rows that a task sorts, some, where their number is known; and rows that hold arrays.
 ROWS = 1_000_000
 WIDE_ROWS = 250_000
+#: Facts of a key, a path and a name or so each, that are sent to all tasks: some 10 MB.
+FEW_FACTS = 100_000
 
 
 def dealt(rows: DataFrame, keys: list[str], total: int, most: int) -> DataFrame:

@@ -125,13 +125,13 @@ def dyadic_nodes(start: str, end: str) -> Column:
 LEVELS = 48
 
 
-def containing_function(requests: DataFrame, functions: DataFrame, by_suffix: bool = False) -> DataFrame:
+def containing_function(requests: DataFrame, functions: DataFrame, by_suffix: bool = False, total: int | None = None) -> DataFrame:
     """The innermost function that holds each ``requests(request_id, path, line)``: least extent, then path, then start.
 
     A function of any length lies in at most 2 log n dyadic nodes, and all lines of a node are held by it: so of each node
     only the innermost function counts. A request looks at the one node of each level above its line (of the levels that are
     in use), by joins with one fact a key whose hot keys are split, and takes the least of what it finds. No request meets
-    more than one function a level, however many hold it.
+    more than one function a level, however many hold it. total: how many requests there are, if it is known.
     """
     ranges = functions.select("function_id", "name", "file_path", "start_line", "end_line").filter("start_line <= end_line AND end_line >= 0")
     ranges = ranges.withColumns({"_from": F.greatest("start_line", F.lit(0)).cast("long"), "_to": F.col("end_line").cast("long")})
@@ -141,7 +141,7 @@ def containing_function(requests: DataFrame, functions: DataFrame, by_suffix: bo
     facts = cover.groupBy("_path", "level", "node").agg(F.min("_best").alias("_best"))
     # At most LEVELS numbers.
     levels = [r.level for r in cover.select("level").distinct().collect()]
-    total = requests.count() * max(1, len(levels))
+    total = (requests.count() if total is None else total) * max(1, len(levels))
     asked = requests.withColumn("_path", F.col("path") if not by_suffix else normal_path(F.col("path")))
     above = F.array(*(F.struct(F.lit(k).alias("level"), F.shiftright(F.col("line").cast("long"), k).alias("node")) for k in sorted(levels))) if levels else F.array().cast("array<struct<level:int,node:long>>")
     asked = asked.filter("line >= 0").select("*", F.inline(above))

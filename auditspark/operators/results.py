@@ -42,12 +42,23 @@ def audit_status(verdict: Column) -> Column:
     return F.when(v == "timeout", "timeout").when(v == "", "waiting").when(v == "confirmed", "issue").otherwise("clean")
 
 
-def metavar(name: str, metavars: str = "metavars") -> Column:
-    """The trimmed value of a metavariable; null if it is missing or blank."""
-    return F.nullif(F.trim(F.col(metavars)[f"${name}"]), F.lit(""))
+def metavar(name: str, metavars: str | dict[str, Column] = "metavars") -> Column:
+    """The trimmed value of a metavariable; null if it is missing or blank. metavars: a map column, or the columns of such values."""
+    return metavars[name] if isinstance(metavars, dict) else F.nullif(F.trim(F.col(metavars)[f"${name}"]), F.lit(""))
 
 
-def arithmetic(source: Column, metavars: str = "metavars") -> Column:
+class Values(dict):
+    """The columns ``_v_NAME`` that hold metavariables' values, by name, of those that expressions ask for."""
+
+    def __missing__(self, name: str) -> Column:
+        return self.setdefault(name, F.col(f"_v_{name}"))
+
+    def taken(self) -> dict[str, Column]:
+        """The values by the names of their columns, out of the map, so that each is looked up and trimmed once a row."""
+        return {f"_v_{name}": metavar(name) for name in self}
+
+
+def arithmetic(source: Column, metavars: str | dict[str, Column] = "metavars") -> Column:
     """The arithmetic that a match shows: as captured, else of two operands, a count and a size, or a length and an offset,
     with the operator that the rule's name tells; null if there is none."""
     v = lambda name: metavar(name, metavars)
@@ -57,13 +68,13 @@ def arithmetic(source: Column, metavars: str = "metavars") -> Column:
     return F.coalesce(v("ARITH"), of(v("A"), operator, v("B")), of(v("COUNT"), F.lit("*"), v("SIZE")), of(v("LEN"), offset, v("OFF")))
 
 
-def sink(metavars: str = "metavars") -> Column:
+def sink(metavars: str | dict[str, Column] = "metavars") -> Column:
     """Where a match uses the result: a call, an element, a pointer or a loop's bound; null if there is none."""
     v = lambda *names: F.coalesce(*[metavar(n, metavars) for n in names])
     return F.coalesce(F.concat(v("CALL"), F.lit("(...)")), F.concat(v("ARR", "BASE"), F.lit("["), v("IDX", "ARITH"), F.lit("]")), F.concat(F.lit("*("), v("PTR", "P"), F.lit(" +/- "), v("OFF", "ARITH"), F.lit(")")), F.concat(F.lit("loop bound "), v("BOUND")))
 
 
-def memory_place(metavars: str = "metavars") -> Column:
+def memory_place(metavars: str | dict[str, Column] = "metavars") -> Column:
     """The memory that a loop's index reaches, from the most to the least telling form; null if there is none."""
     v = lambda *names: F.coalesce(*[metavar(n, metavars) for n in names])
     pointer = v("PTR", "P")

@@ -391,6 +391,27 @@ def test_matches_of_one_place_are_looked_up_once(spark, monkeypatch):
     assert {(line, name) for file, line, name in found if file == "src/f0.c"} == {(1, "unknown"), (1, "low"), (2, "low"), (3, "all"), (4, "all")} and all(n == "unknown" for f, _, n in found if f != "src/f0.c")
 
 
+def test_matches_are_compiled(spark, monkeypatch):
+    """No method of a detector's plan is beyond the 8,000 bytes that the JVM compiles, places of matches or none are null, and few
+    places give the same as many."""
+    from auditspark.operators import detectors as D
+
+    held = "map('$P', concat('p', id % 3), '$IDX', IF(id % 2 = 0, ' i ', ' '), '$BASE', IF(id % 5 = 0, 'b', NULL), '$OFF', IF(id % 7 = 0, 'o', NULL), '$FIELD', 'f')"
+    schema = ["id AS match_id", "IF(id % 11 = 0, NULL, concat('src/f', id % 3, '.c')) AS path", "CAST(IF(id % 13 = 0, NULL, id % 5 - 1) AS INT) AS line", "'r.x' AS check_id", "'m' AS message"]
+    matches = spark.range(400).selectExpr(*schema, f"CAST({held} AS MAP<STRING,STRING>) AS metavars")
+    functions = spark.createDataFrame([(1, "low", "f0.c", 0, 2), (2, "all", "f0.c", 0, 9)], "function_id long, name string, file_path string, start_line int, end_line int")
+    for detector in ("intoverflow", "loop_mut_idx_oob"):
+        found = D.from_matches(matches, functions, detector)
+        whole = found.collect()
+        sizes = spark._jvm.org.apache.spark.sql.execution.debug.package.codegenStringSeq(found._jdf.queryExecution().executedPlan())
+        assert max(sizes.apply(i)._3().maxMethodCodeSize() for i in range(sizes.size())) <= 8_000
+    places = {(r.file, r.line): r.function for r in whole}
+    assert places["src/f0.c", 3] == "all" and places["src/f1.c", 3] == "unknown" and any(f is None for f, _ in places)
+    assert {"b[i]", "b[i +/- o]", "(p1 +/- i)->f", "p2->f"} <= {r.metadata["memory"] for r in whole}
+    monkeypatch.setattr(D, "FEW_FACTS", 0)
+    assert sorted(map(str, D.from_matches(matches, functions, "loop_mut_idx_oob").collect())) == sorted(map(str, whole))
+
+
 def test_json_is_cut_before_python(spark):
     from auditspark.functions import json_text as J
 
